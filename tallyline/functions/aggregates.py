@@ -32,5 +32,10 @@ def distinct_if(column: str, condition: Column, name: str) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    """Share in percent, two digits, null when the whole is zero."""
-    return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0).cast("bigint")), 2)
+    """Share in percent, two digits, null when the whole is zero.
+
+    Divided as decimals: a double would round some exact halves the wrong way.
+    """
+    n = "decimal(20,0)"
+    share = (F.lit(100).cast("decimal(3,0)") * part.cast(n)) / F.nullif(whole.cast(n), F.lit(0).cast(n))
+    return F.round(share, 2).cast("double")

@@ -24,7 +24,7 @@ MODEL_SCHEMA = (
 
 def comma_list(column: str) -> Column:
     """Parts of a comma list, trimmed, without empty ones; a null list is empty."""
-    parts = F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.col(column), F.lit("")), ","), lambda s: F.trim(s))
     return F.filter(parts, lambda s: s != "")
 
 
@@ -215,5 +215,5 @@ def threshold_structuring(transfers: DataFrame, limit: float, band: float, days:
         F.sum("s").over(w).cast("decimal(38,2)").alias("total_30d"), F.sum("u").over(w).alias("just_under_limit"),
     )
     return transfers.join(rolling, ["sender_id", "sent_on"]).withColumn(
-        "avg_amount", F.round(F.col("total_30d").cast("double") / F.col("transfers_30d"), 2)
+        "avg_amount", F.col("total_30d").cast("double") / F.col("transfers_30d")
     )

@@ -78,7 +78,9 @@ def list_cases(cases: DataFrame, owner: str | None = None, cursor: tuple | None
     rows = cases if owner is None else cases.filter(F.col("owner_sub") == owner)
     if cursor is not None:
         at = F.lit(cursor[0]).cast(cases.schema["created_at"].dataType)
-        rows = rows.filter(F.struct("created_at", "case_id") < F.struct(at, F.lit(cursor[1])))
+        # The first test says nothing new, but it is one the scan can skip files by.
+        before = F.struct("created_at", "case_id") < F.struct(at.alias("created_at"), F.lit(cursor[1]).alias("case_id"))
+        rows = rows.filter((F.col("created_at") <= at) & before)
     page = rows.orderBy(F.desc("created_at"), F.desc("case_id")).limit(min(limit, MAX_PAGE))
     return page.select("case_id", "owner_sub", "status", "created_at")
 

@@ -146,7 +146,9 @@ def open_hits_drill(
         rows = rows.filter(F.col("age_band") == band)
     order = ("transaction_date", "external_txn_key", "rule_id")
     if after is not None:
-        rows = rows.filter(F.struct(*order) > F.struct(*[F.lit(v) for v in after]))
+        seen = [F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]
+        # The first test says nothing new, but it is one the scan can skip files by.
+        rows = rows.filter((F.col(order[0]) >= seen[0]) & (F.struct(*order) > F.struct(*seen)))
     page = rows.select(*OPEN_HIT_COLUMNS, "age_days", "age_band").orderBy(*order)
     return page if page_size is None else page.limit(page_size)
 

@@ -37,7 +37,8 @@ def dst(col: str, cond: str, name: str) -> str:
 
 
 def pct(a: str, b: str) -> str:
-    return f"round(100.0::DOUBLE * {a} / nullif({b}, 0), 2)"
+    """Percentage rounded half up to two digits in whole numbers."""
+    return f"((20000 * ({a})::HUGEINT + ({b})) // nullif(2 * ({b})::HUGEINT, 0))::DOUBLE / 100"
 
 
 NEWEST = "ORDER BY seq_no DESC, modified_timestamp DESC NULLS LAST, created_timestamp DESC NULLS LAST"
@@ -584,7 +585,7 @@ SQL["rule_hit_detail"] = """SELECT rpt_grp_id, rpt_grp_name, rule_id, attempt_id
 SQL["exclusion_audit_detail"] = "SELECT * FROM audit"
 SQL["rule_breakdown"] = f"""SELECT rpt_grp_id, efile_batch_id AS batch_id, rule_id, count(*) AS rule_hits, count(exclusion_reason_id) AS excluded,
     {cnt('is_reported', 'reported')}, {cnt('is_reported = false', 'not_reported')} FROM hits WHERE efile_batch_id IS NOT NULL GROUP BY ALL"""
-_REASONS = """SELECT exclusion_reason_id, n AS excluded_hits, round(100.0::DOUBLE * n / sum(n) OVER (), 2) AS pct_of_excluded
+_REASONS = f"""SELECT exclusion_reason_id, n AS excluded_hits, {pct('n', 'sum(n) OVER ()')} AS pct_of_excluded
     FROM (SELECT exclusion_reason_id, count(*) AS n FROM cohort_hits WHERE exclusion_reason_id IS NOT NULL GROUP BY ALL)"""
 SQL["exclusion_reasons"] = _REASONS
 SQL["exclusion_defects"] = f"SELECT *, exclusion_reason_id = 'Transaction Cancelled' AS is_defect FROM ({_REASONS})"
@@ -627,7 +628,7 @@ SQL["open_value_by_currency"] = """SELECT if(place <= 3, code, 'mixed') AS curre
     FROM (SELECT rule_iso_currency_code AS code, count(*) AS n, sum(rule_currency_amount)::DECIMAL(38,2) AS v,
         row_number() OVER (ORDER BY count(*) DESC, rule_iso_currency_code) AS place FROM backlog GROUP BY 1) GROUP BY 1"""
 SQL["hit_disposition"] = " UNION ALL ".join(
-    f"SELECT '{n}' AS level, {cnt(c, 'hits')}, round(100.0::DOUBLE * count(*) FILTER ({c}) / nullif(count(*), 0), 2) AS pct_of_total FROM cohort_hits"
+    f"SELECT '{n}' AS level, {cnt(c, 'hits')}, {pct(f'count(*) FILTER ({c})', 'count(*)')} AS pct_of_total FROM cohort_hits"
     for n, c in {
         "1 total": "true", "2 excluded": "exclusion_reason_id IS NOT NULL", "3 requires reporting": "exclusion_reason_id IS NULL",
         "4 reported": DONE, "5 open": OPEN, "6 open over 30 days": f"{OPEN} AND {AGE} > 30",
@@ -758,7 +759,7 @@ SQL["decisions"] = """SELECT mtcn, action, grade, decided_at FROM (
     WHERE action IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mtcn ORDER BY decided_at DESC, event_id DESC) = 1"""
 SQL["threshold_structuring"] = """SELECT sender_id, sent_on, txn_id, amount, count(*) OVER w AS transfers_30d, (sum(amount) OVER w)::DECIMAL(38,2) AS total_30d,
     sum(if(amount < 250000 AND amount >= 200000, 1, 0)) OVER w::BIGINT AS just_under_limit,
-    round((sum(amount) OVER w)::DOUBLE / count(*) OVER w, 2) AS avg_amount FROM transfers
+    (sum(amount) OVER w)::DOUBLE / count(*) OVER w AS avg_amount FROM transfers
     WINDOW w AS (PARTITION BY sender_id ORDER BY sent_on RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW)""".replace(
     "sum(if(amount < 250000 AND amount >= 200000, 1, 0)) OVER w::BIGINT", "(sum(if(amount < 250000 AND amount >= 200000, 1, 0)) OVER w)::BIGINT"
 )

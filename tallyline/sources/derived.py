@@ -48,17 +48,20 @@ class Tables:
         """One row per order line, with columns (x_) that later tables draw faults from.
 
         Lines are reduced to their key first: the partial aggregate runs before the
-        shuffle, so a hot order is a handful of rows by the time of the join.
+        shuffle, so a hot order is a handful of rows by the time of the join. The one-letter
+        flags are aggregated as numbers, since a text maximum would force a sort-based
+        aggregate.
         """
         lines = self.base("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-            F.max("l_returnflag").alias("rf"),
-            F.max("l_linestatus").alias("ls"),
+            F.char(F.max(F.ascii("l_returnflag"))).alias("rf"),
+            F.char(F.max(F.ascii("l_linestatus"))).alias("ls"),
             F.max("l_extendedprice").alias("price"),
             F.max("l_quantity").alias("x_qty"),
             F.max("l_discount").alias("x_disc"),
             F.min("l_tax").alias("x_tax"),
         )
-        joined = lines.join(self.order_parties, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Both sides are facts and grow together: never broadcast one of them.
+        joined = lines.hint("merge").join(self.order_parties, F.col("l_orderkey") == F.col("o_orderkey"))
         return joined.selectExpr(
             "CAST(100 + c_nationkey AS INT) AS rpt_grp_id",
             "CAST(l_orderkey % 16 AS INT) AS bucket_id",
@@ -189,9 +192,8 @@ class Tables:
         )
         t = (
             self.hit_base.filter("x_region <> 'MIDDLE EAST'")
-            .groupBy("rpt_grp_id", F.concat(F.lit("B"), "x_ym").alias("batch_id"), F.col("external_txn_key").cast("string").alias("identifier"))
+            .groupBy("rpt_grp_id", "x_ym", "external_txn_key", "mtcn")
             .agg(
-                F.max("mtcn").alias("mtcn"),
                 F.max("created_timestamp").alias("created_timestamp"),
                 F.max("reporting_timestamp").alias("reporting_timestamp_latest"),
                 F.max(k).alias("k"),
@@ -200,14 +202,14 @@ class Tables:
             )
         )
         out = t.selectExpr(
-            "rpt_grp_id", "batch_id", "identifier", "mtcn",
+            "rpt_grp_id", "concat('B', x_ym) AS batch_id", "CAST(external_txn_key AS STRING) AS identifier", "mtcn",
             "CASE WHEN k >= 3 THEN 'FILTRATION' WHEN k = 2 THEN 'TRANSACTION_JOIN' WHEN k = 0 AND done THEN 'REPORT_GENERATION' ELSE 'TRANSFORMATION' END AS stage",
             "CASE WHEN k >= 3 THEN 'EXCLUDED' WHEN k = 2 THEN 'ERROR' WHEN k = 1 THEN 'FAILURE' WHEN done THEN 'GENERATED' ELSE 'SUCCESS' END AS status",
             "CASE WHEN k = 4 THEN 'EXCLUDED_BECAUSE_ALREADY_REPORTED(TARGET)' WHEN k = 2 THEN 'ATTEMPT_NOT_RECEIVED' WHEN k = 1 THEN 'TRANSFORMATION_SKIPPED' END AS comments",
             "created_timestamp", "created_timestamp + INTERVAL '1' DAY AS modified_timestamp",
             "reporting_timestamp_latest", "k <> 2 AS processing_complete",
-            "CASE WHEN q >= 50 THEN concat('{\"txn_sur_key\":\"', identifier, '\"}') ELSE '{}' END AS txn_metadata",
-            "CASE WHEN k = 2 THEN concat('Attempt ', identifier, ' not yet recorded') END AS skip_reason",
+            "CASE WHEN q >= 50 THEN concat('{\"txn_sur_key\":\"', external_txn_key, '\"}') ELSE '{}' END AS txn_metadata",
+            "CASE WHEN k = 2 THEN concat('Attempt ', external_txn_key, ' not yet recorded') END AS skip_reason",
         )
         return self._columns(out, "record_transformation_journey")
 
