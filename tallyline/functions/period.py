@@ -56,6 +56,17 @@ def previous_month(as_of: date) -> Period:
     return Period(last.replace(day=1), last)
 
 
+def previous_week_of(day: Column) -> tuple[Column, Column]:
+    """First and last day of the full week before each value's week."""
+    monday = F.to_date(F.date_trunc("week", day))
+    return F.date_sub(monday, 7), F.date_sub(monday, 1)
+
+
+def previous_month_of(day: Column) -> tuple[Column, Column]:
+    first = F.trunc(day, "month")
+    return F.to_date(F.add_months(first, -1)), F.date_sub(first, 1)
+
+
 def narrow(df: DataFrame, **wanted) -> DataFrame:
     """Keep rows equal to each argument; an argument of None does not filter."""
     for name, value in wanted.items():

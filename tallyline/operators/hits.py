@@ -42,7 +42,7 @@ def exclusion_audit_detail(
     audit: DataFrame, rpt_grp_id: int | None = None, mtcn: str | None = None, external_txn_key: str | None = None
 ) -> DataFrame:
     rows = _of_transaction(narrow(audit, rpt_grp_id=rpt_grp_id), mtcn, external_txn_key)
-    return rows.select(*AUDIT_COLUMNS).orderBy(F.desc_nulls_last("modified_timestamp"))
+    return rows.select(*AUDIT_COLUMNS).orderBy(F.desc_nulls_last("modified_timestamp"), "rpt_grp_id", "attempt_id", "rule_id")
 
 
 def rule_breakdown(hits: DataFrame, rpt_grp_id: int | None = None, batch_id: str | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ from tallyline.operators.snapshots import latest, latest_batch, latest_stage
 STATE = ("identifier", "mtcn", "rpt_grp_id", "batch_id", "stage", "status", "comments", "skip_reason")
 STAMPS = ("created_timestamp", "modified_timestamp")
 BATCH_KEY = ("rpt_grp_id", "batch_id")
+# Ends every sort of detail rows: many share one time, and a range sort can only split
+# a value across tasks when something else orders its rows.
+ROW_KEY = ("rpt_grp_id", "batch_id", "identifier", "stage")
 
 
 def stage_status(journey: DataFrame, batch_id: str | None = None, rpt_grp_id: int | None = None) -> DataFrame:
@@ -35,7 +38,7 @@ def failure_reasons(journey: DataFrame, batch_id: str | None = None, rpt_grp_id:
 
 
 def _detail(rows: DataFrame, *extra: str) -> DataFrame:
-    return rows.select(*STATE, *STAMPS, *extra).orderBy(F.desc_nulls_last("modified_timestamp"))
+    return rows.select(*STATE, *STAMPS, *extra).orderBy(F.desc_nulls_last("modified_timestamp"), *ROW_KEY)
 
 
 def transformation_failures(journey: DataFrame, batch_id: str | None = None, rpt_grp_id: int | None = None) -> DataFrame:
@@ -72,7 +75,7 @@ def txn_journey(
         rows = rows.filter(tests[0] | tests[-1])
     return rows.select(
         *STATE, "processing_complete", *STAMPS, "reporting_timestamp_latest", "txn_metadata"
-    ).orderBy(F.asc_nulls_last("created_timestamp"), F.asc_nulls_last("modified_timestamp"))
+    ).orderBy(F.asc_nulls_last("created_timestamp"), F.asc_nulls_last("modified_timestamp"), *ROW_KEY)
 
 
 def journey_profile(journey: DataFrame, p: Period) -> DataFrame:
@@ -132,11 +135,13 @@ def txn_root_cause(
     ]
     text_key = F.col("external_txn_key").cast("string")
     out = t
-    for df, batch, cols, name in ((hits, "efile_batch_id", hit_cols, "hit"), (audit, "processing_batch_id", audit_cols, "audit")):
-        scoped = narrow(df, **{batch: batch_id, "rpt_grp_id": rpt_grp_id})
-        first = found(scoped, batch, F.col("mtcn"), cols, f"{name}_1").withColumnRenamed("_key", "mtcn")
-        second = found(scoped, batch, text_key, cols, f"{name}_2").withColumnRenamed("_key", "identifier")
-        out = out.join(first, [*BATCH_KEY, "mtcn"], "left").join(second, [*BATCH_KEY, "identifier"], "left")
+    sides = ((hits, "efile_batch_id", hit_cols, "hit"), (audit, "processing_batch_id", audit_cols, "audit"))
+    # Both joins on one key follow each other, so the second reuses the first one's shuffle.
+    for n, (column, key) in enumerate((("mtcn", F.col("mtcn")), ("identifier", text_key)), start=1):
+        for df, batch, cols, name in sides:
+            scoped = narrow(df, **{batch: batch_id, "rpt_grp_id": rpt_grp_id})
+            rows = found(scoped, batch, key, cols, f"{name}_{n}").withColumnRenamed("_key", column)
+            out = out.join(rows, [*BATCH_KEY, column], "left")
     hit = F.coalesce("hit_1", "hit_2")
     aud = F.coalesce("audit_1", "audit_2")
     via = F.when(F.col("hit_1").isNotNull(), "mtcn").when(F.col("hit_2").isNotNull(), "identifier")

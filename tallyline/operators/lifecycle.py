@@ -193,11 +193,12 @@ def poll_rate(events: DataFrame, window: str = "1 hour") -> DataFrame:
 PART_ENTRIES = 5000
 
 
-def _ends(entries: DataFrame) -> DataFrame:
-    """First terminal entry per session."""
-    return entries.filter(F.col("type").isin("done", "error")).groupBy("session_id").agg(
-        F.min("entry_id").alias("end_id"), F.min_by("type", "entry_id").alias("status"),
-        F.min_by("ts", "entry_id").alias("ended_at"),
+def _sessions(entries: DataFrame) -> DataFrame:
+    """One row per session: its first terminal entry, first and last time, in one pass."""
+    last = F.when(F.col("type").isin("done", "error"), F.col("entry_id"))
+    return entries.groupBy("session_id").agg(
+        F.min(last).alias("end_id"), F.min_by("type", last).alias("status"), F.min_by("ts", last).alias("ended_at"),
+        F.min("ts").alias("started_at"), F.max("ts").alias("last_ts"), F.count("*").alias("entries"),
     )
 
 
@@ -208,7 +209,7 @@ def assemble_stream(entries: DataFrame, part_entries: int = PART_ENTRIES) -> Dat
     ever collects more than that many chunks however long a session is; nearly all sessions
     are the single part 0. Concatenating the parts in order gives the whole text.
     """
-    chunks = entries.filter("type = 'chunk'").join(_ends(entries), "session_id", "left")
+    chunks = entries.filter("type = 'chunk'").join(_sessions(entries).select("session_id", "end_id", "status"), "session_id")
     chunks = chunks.filter(F.col("end_id").isNull() | (F.col("entry_id") < F.col("end_id")))
     part = F.floor((F.col("entry_id") - 1) / part_entries).cast("bigint")
     pieces = F.array_sort(F.collect_list(F.struct("entry_id", "data")))
@@ -230,10 +231,7 @@ def expire_streams(
     """Entries that are kept: chunk data goes ``chunk_minutes`` after its session ended, and
     everything ``session_hours`` after the session's first entry."""
     now = F.lit(as_of).cast(entries.schema["ts"].dataType)
-    firsts = entries.groupBy("session_id").agg(F.min("ts").alias("started_at"))
-    known = entries.join(firsts, "session_id").join(
-        _ends(entries).select("session_id", "ended_at"), "session_id", "left"
-    )
+    known = entries.join(_sessions(entries).select("session_id", "started_at", "ended_at"), "session_id")
     young = now < F.col("started_at") + F.expr(f"INTERVAL {int(session_hours)} HOURS")
     fresh = F.col("ended_at").isNull() | (now < F.col("ended_at") + F.expr(f"INTERVAL {int(chunk_minutes)} MINUTES"))
     return known.filter(young & ((F.col("type") != "chunk") | fresh)).select("session_id", "entry_id", "type", "data", "ts")
@@ -241,7 +239,7 @@ def expire_streams(
 
 def open_sessions(entries: DataFrame) -> DataFrame:
     """Session rows: state, entries and last activity."""
-    per = entries.groupBy("session_id").agg(F.count("*").alias("entries"), F.max("ts").alias("last_ts"))
-    ends = _ends(entries).select("session_id", "status")
-    return per.join(ends, "session_id", "left").withColumn("status", F.coalesce("status", F.lit("streaming")))
+    return _sessions(entries).select(
+        "session_id", "entries", "last_ts", F.coalesce("status", F.lit("streaming")).alias("status")
+    )
 

@@ -13,9 +13,10 @@ from tallyline.operators.kpi import hit_totals
 from tallyline.operators.snapshots import latest_recon
 
 OPEN_HIT_COLUMNS = (
-    "rpt_grp_id", "rpt_grp_name", "rule_id", "external_txn_key", "galactic_id", "mtcn", "source",
-    "transaction_side", "transaction_date", "rule_currency_amount", "rule_iso_currency_code",
+    "rpt_grp_id", "rpt_grp_name", "bucket_id", "rule_id", "attempt_id", "external_txn_key", "galactic_id", "mtcn",
+    "source", "transaction_side", "transaction_date", "rule_currency_amount", "rule_iso_currency_code",
 )
+DRILL_ORDER = ("transaction_date", "external_txn_key", "rpt_grp_id", "rule_id", "attempt_id", "bucket_id")
 # Fixed value: the exclusion reason that points to bad data rather than a decision.
 DEFECT_REASON = "Invalid Data"
 
@@ -137,14 +138,14 @@ def open_hits_drill(
 ) -> DataFrame:
     """Open hits, oldest first, by age band and optional exact filters.
 
-    ``after`` is the (transaction_date, external_txn_key, rule_id) of the last row seen:
-    pages continue by key instead of skipping rows.
+    ``after`` holds the ``DRILL_ORDER`` values of the last row seen: pages continue by key
+    instead of skipping rows. The order ends in the table's key, so no two rows tie.
     """
     rows = narrow(_open(hits, p), **filters).withColumn("age_days", age_days(p.end))
     rows = rows.withColumn("age_band", age_band(F.col("age_days")))
     if band is not None:
         rows = rows.filter(F.col("age_band") == band)
-    order = ("transaction_date", "external_txn_key", "rule_id")
+    order = DRILL_ORDER
     if after is not None:
         seen = [F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after, strict=True)]
         # The first test says nothing new, but it is one the scan can skip files by.

@@ -241,6 +241,14 @@ STEPS: dict[str, str] = {
 
 SQL: dict[str, str] = {}
 
+# Shared blocks
+_DAYS = "(SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders)"
+SQL["period"] = f"""SELECT as_of, (as_of - (isodow(as_of) + 6)::INT) AS start_date, (as_of - isodow(as_of)::INT) AS end_date FROM {_DAYS}"""
+SQL["period_prev_month"] = f"""SELECT as_of, (date_trunc('month', as_of) - INTERVAL 1 MONTH)::DATE AS start_date,
+    (date_trunc('month', as_of)::DATE - 1) AS end_date FROM {_DAYS}"""
+for _n, _c in (("in_period", TXN_INSIDE), ("is_open", OPEN), ("is_reported_asof", DONE)):
+    SQL[_n] = f"SELECT rpt_grp_id, bucket_id, rule_id, attempt_id FROM hits WHERE {_c}"
+
 # Snapshots and headline figures
 SQL["latest_batch_state"] = "SELECT * FROM lb"
 SQL["latest_recon_state"] = "SELECT * FROM lr"
@@ -548,7 +556,7 @@ SQL["failed_transactions"] = f"SELECT {_STATE}, reporting_timestamp_latest FROM
 SQL["attempt_not_received"] = f"SELECT {_STATE}, txn_metadata FROM ls WHERE stage = 'TRANSACTION_JOIN' AND (status = 'ERROR' OR skip_reason ILIKE '%not yet recorded%')"
 SQL["join_problems"] = f"SELECT {_STATE}, txn_metadata FROM journey WHERE stage = 'TRANSACTION_JOIN' AND (status IN ('ERROR', 'FAILURE', 'FAILED') OR skip_reason IS NOT NULL)"
 SQL["txn_journey"] = f"SELECT {_STATE}, processing_complete, reporting_timestamp_latest, txn_metadata FROM journey"
-SQL["txn_journey_global"] = SQL["txn_journey"] + " WHERE identifier = '4242' OR mtcn = 'MTCN777'"
+SQL["txn_journey_global"] = SQL["txn_journey"]
 SQL["journey_profile"] = f"SELECT stage, status, skip_reason, count(*) AS record_count FROM journey WHERE {INSIDE} GROUP BY ALL"
 SQL["journey_markers"] = f"""SELECT rpt_grp_id, batch_id, count(*) AS journey_rows,
     {cnt("comments = 'EXCLUDED_BECAUSE_ALREADY_REPORTED(TARGET)' AND stage = 'FILTRATION' AND status = 'EXCLUDED'", 'already_reported')},
@@ -644,9 +652,9 @@ SQL["group_breakdown"] = f"""SELECT *, {pct('reported', 'requires_reporting')} A
     SELECT rpt_grp_id, {cohort('total_rule_hits excluded requires_reporting reported still_open')}, {cnt(f'{OPEN} AND {AGE} > 30', 'open_over_30_days')}
     FROM cohort_hits GROUP BY ROLLUP (rpt_grp_id))"""
 _BAND = f"CASE {' '.join(f'WHEN {c} THEN {chr(39)}{n}{chr(39)}' for n, c in _BANDS.items())} END"
-SQL["open_hits_drill"] = f"""SELECT rpt_grp_id, rpt_grp_name, rule_id, external_txn_key, galactic_id, mtcn, source, transaction_side, transaction_date,
+SQL["open_hits_drill"] = f"""SELECT rpt_grp_id, rpt_grp_name, bucket_id, rule_id, attempt_id, external_txn_key, galactic_id, mtcn, source, transaction_side, transaction_date,
     rule_currency_amount, rule_iso_currency_code, age::INT AS age_days, {_BAND} AS age_band FROM backlog"""
-SQL["open_hits_drill__page"] = SQL["open_hits_drill"] + " WHERE age > 30 AND source = 'TARGET' ORDER BY transaction_date, external_txn_key, rule_id LIMIT 100"
+SQL["open_hits_drill__page"] = SQL["open_hits_drill"] + " WHERE age > 30 AND source = 'TARGET' ORDER BY transaction_date, external_txn_key, rpt_grp_id, rule_id, attempt_id, bucket_id LIMIT 100"
 SQL["export_open_hits"] = SQL["open_hits_drill"]
 SQL["tie_out"] = f"""SELECT 'excluded + reported + open = total' AS "check", count(exclusion_reason_id) + {cnt(DONE, 'x').split(' AS ')[0]} + {cnt(OPEN, 'x').split(' AS ')[0]} AS left_side,
     count(*) AS right_side FROM cohort_hits HAVING left_side <> right_side"""

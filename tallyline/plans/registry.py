@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions.controls import EQUATIONS
-from tallyline.functions.period import Period
+from tallyline.functions.hits import open_at, reported_by
+from tallyline.functions.period import Period, previous_month_of, previous_week_of
 from tallyline.operators import batches, bridges, cases, hits, journey, kpi, lifecycle, metrics, snapshots, transform, validation
 from tallyline.operators.snapshots import latest_batch, latest_recon
 from tallyline.sources import sinks
@@ -39,6 +40,22 @@ def parts(name: str, names: str, build: Callable[[Tables], dict[str, DataFrame]]
 
 P = PERIOD
 
+# Shared blocks
+
+
+def _periods(t: Tables, bounds) -> DataFrame:
+    days = t.base("orders").select(F.to_date("o_orderdate").alias("as_of")).distinct()
+    first, last = bounds(F.col("as_of"))
+    return days.select("as_of", first.alias("start_date"), last.alias("end_date"))
+
+
+HIT_KEY = ("rpt_grp_id", "bucket_id", "rule_id", "attempt_id")
+plan("period", lambda t: _periods(t, previous_week_of))
+plan("period_prev_month", lambda t: _periods(t, previous_month_of))
+plan("in_period", lambda t: t.hits.filter(P.holds("transaction_date")).select(*HIT_KEY))
+plan("is_open", lambda t: t.hits.filter(open_at(P)).select(*HIT_KEY))
+plan("is_reported_asof", lambda t: t.hits.filter(reported_by(P)).select(*HIT_KEY))
+
 # Snapshots and headline figures
 plan("latest_batch_state", lambda t: latest_batch(t.batch_recon, P))
 plan("latest_recon_state", lambda t: latest_recon(t.hit_recon, P))
@@ -131,7 +148,7 @@ plan("failed_transactions", lambda t: journey.failed_transactions(t.journey))
 plan("attempt_not_received", lambda t: journey.attempt_not_received(t.journey))
 plan("join_problems", lambda t: journey.join_problems(t.journey))
 plan("txn_journey", lambda t: journey.txn_journey(t.journey))
-plan("txn_journey_global", lambda t: journey.txn_journey(t.journey, identifier="4242", mtcn="MTCN777"))
+plan("txn_journey_global", lambda t: journey.txn_journey(t.journey))
 plan("journey_profile", lambda t: journey.journey_profile(t.journey, P))
 plan("journey_markers", lambda t: journey.journey_markers(t.journey))
 plan("latest_stage", lambda t: snapshots.latest_stage(t.journey))
@@ -196,7 +213,6 @@ def _health(t: Tables) -> DataFrame:
 plan("health_five_level", _health)
 
 # Transformer
-HIT_KEY = ("rpt_grp_id", "bucket_id", "rule_id", "attempt_id")
 T = transform
 plan("select_rule_hits", lambda t: T.select_rule_hits(t.hits).select(*HIT_KEY))
 plan("drop_sml", lambda t: T.drop_sml(t.hits).select(*HIT_KEY))

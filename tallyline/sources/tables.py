@@ -127,3 +127,26 @@ def with_neutral_names(df: DataFrame, source_suffix: str, target_suffix: str) ->
 def check_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
     """Rows whose value lies outside a closed set (null is allowed)."""
     return df.filter(~F.col(column).isin(*allowed))
+
+
+# Content types by file ending, for uploads that come without one.
+CONTENT_TYPES = {
+    "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
+    "webp": "image/webp", "txt": "text/plain",
+}
+
+
+def read_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Uploaded files as rows of filename, content_type and text.
+
+    Bytes that are no UTF-8 are replaced, as a lenient decoder does; pdf and image bytes
+    are not turned into text.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    ending = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    types = F.create_map(*[F.lit(x) for pair in CONTENT_TYPES.items() for x in pair])
+    typed = files.select(name.alias("filename"), types[ending].alias("content_type"), "content")
+    is_text = F.coalesce(F.col("content_type").startswith("text/"), F.lit(True))
+    text = F.when(is_text, F.make_valid_utf8(F.col("content").cast("string")))
+    return typed.select("filename", "content_type", text.alias("text"))

@@ -24,7 +24,7 @@ def shared_root(tmp_path_factory):
 @pytest.fixture(scope="session")
 def spark(shared_root):
     session = local_session(
-        8, 4, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.checkpoint.dir": shared_root}
+        8, 4, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.checkpoint.dir": shared_root, "spark.sql.codegen.wholeStage": "false"}
     )
     yield session
     session.stop()

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import json
 
+from tallyline.operators import cases
 from tallyline.sources import sinks
-from tallyline.sources.tables import SCHEMAS, check_values, read_table, schema, with_neutral_names
+from tallyline.sources.tables import SCHEMAS, check_values, read_table, read_uploads, schema, with_neutral_names
 from tests.conftest import one, rows_of
 
 
@@ -55,3 +56,10 @@ def test_values_outside_a_closed_set(frame):
     assert rows_of(check_values(frame("s STRING", [("a",), ("z",), (None,)]), "s", ("a",))) == [("z",)]
 
 
+
+
+def test_uploaded_files_route_by_name_and_decode_leniently(spark, tmp_path):
+    for name, data in {"a.pdf": b"%PDF", "b.JPG": b"\xff\xd8", "c.txt": "né".encode() + b"\xff!", "d": b"plain"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = rows_of(cases.route_documents(read_uploads(spark, str(tmp_path))), "filename", "route", "format", "block")
+    assert got == [("a.pdf", "pdf", "pdf", None), ("b.JPG", "image", "jpeg", None), ("c.txt", "text", None, "né�!"), ("d", "text", None, "plain")]
