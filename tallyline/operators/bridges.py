@@ -100,6 +100,7 @@ def txn_bridge_candidates(batch_recon: DataFrame, journey: DataFrame, hits: Data
     Only whether a transaction reaches one or several external keys matters, so the hits
     shrink to the least and greatest external key per lookup key. The join then adds at
     most one row per journey row, even when one customer number covers a whole batch.
+    All three ways share one pass over the journey and one over the hits.
     """
     runs = run_keys(batch_recon, p)
     j = (
@@ -107,27 +108,37 @@ def txn_bridge_candidates(batch_recon: DataFrame, journey: DataFrame, hits: Data
         .select(*KEY, "identifier", "mtcn", F.get_json_object("txn_metadata", "$.txn_sur_key").alias("txn_sur_key"))
         .distinct()
     )
-    h = hits.withColumn("batch_id", F.col("efile_batch_id")).join(runs, list(KEY), "left_semi")
     ext = F.col("external_txn_key")
+
+    def options(*triples: tuple[str, str, Column]) -> Column:
+        return F.inline(
+            F.array(*[F.struct(F.lit(c).alias("candidate"), F.lit(k).alias("kind"), v.alias("lookup")) for c, k, v in triples])
+        )
+
     tries = (
-        ("txn_metadata.txn_sur_key -> rule_hit.external_txn_key", "txn_sur_key", ext.cast("string")),
+        ("txn_metadata.txn_sur_key -> rule_hit.external_txn_key", "key", F.col("txn_sur_key")),
         ("journey.mtcn -> rule_hit.mtcn", "mtcn", F.col("mtcn")),
-        ("journey.identifier -> rule_hit.external_txn_key", "identifier", ext.cast("string")),
+        ("journey.identifier -> rule_hit.external_txn_key", "key", F.col("identifier")),
     )
-    summary = None
-    for name, column, key in tries:
-        side = (
-            h.groupBy(*KEY, key.alias("_k")).agg(F.min(ext).alias("lo"), F.max(ext).alias("hi")).filter("_k IS NOT NULL")
-        )
-        per = (
-            j.withColumn("_k", F.col(column)).join(side, [*KEY, "_k"])
-            .groupBy(*KEY, "identifier").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        )
-        row = per.agg(
-            F.count("*").alias("matched_transactions"), count_if(F.col("lo") == F.col("hi"), "uniquely_matched_transactions"),
-            count_if(F.col("lo") < F.col("hi"), "ambiguous_transactions"),
-        ).select(F.lit(name).alias("candidate"), "*")
-        summary = row if summary is None else summary.unionByName(row)
+    wanted = j.select(*KEY, "identifier", options(*tries)).filter("lookup IS NOT NULL")
+    side = (
+        hits.withColumn("batch_id", F.col("efile_batch_id")).join(runs, list(KEY), "left_semi")
+        .select(*KEY, ext, options(("", "key", ext.cast("string")), ("", "mtcn", F.col("mtcn")))).filter("lookup IS NOT NULL")
+        .groupBy(*KEY, "kind", "lookup").agg(F.min(ext).alias("lo"), F.max(ext).alias("hi"))
+    )
+    per = (
+        wanted.join(side, [*KEY, "kind", "lookup"])
+        .groupBy("candidate", *KEY, "identifier").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    names = [t[0] for t in tries]
+    counts = {"matched_transactions": F.lit(True), "uniquely_matched_transactions": F.col("lo") == F.col("hi"), "ambiguous_transactions": F.col("lo") < F.col("hi")}
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("candidate"), *[F.count_if((F.col("candidate") == n) & c).alias(m) for m, c in counts.items()])
+            for n in names
+        ]
+    )
+    summary = per.agg(rows.alias("r")).select(F.inline("r"))
     totals = j.agg(
         F.count("*").alias("total_journey_transactions"),
         F.count("txn_sur_key").alias("with_txn_sur_key"), F.count("mtcn").alias("with_mtcn"),

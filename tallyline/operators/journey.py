@@ -113,41 +113,61 @@ def txn_root_cause(
     """One row per transaction with its journey state, rule-hit and exclusion evidence.
 
     Evidence is looked up inside (group, batch) by mtcn and, where that finds nothing, by
-    transaction key. Each side is reduced to one row per lookup key before the join, so a
-    hot key costs partial sums and the joins never multiply rows.
+    transaction key. Hits and audit rows are read once, put under both of their keys and
+    reduced to one row per key; each transaction then looks up its two keys in one join
+    and the answers meet again. A hot key costs partial sums, and no join multiplies rows.
     """
     t = latest_txn_state(narrow(journey, batch_id=batch_id, rpt_grp_id=rpt_grp_id, mtcn=mtcn))
 
-    def found(df: DataFrame, batch: str, key: Column, cols: list[Column], prefix: str) -> DataFrame:
-        grouped = df.filter(F.col(batch).isNotNull()).groupBy(
-            "rpt_grp_id", F.col(batch).alias("batch_id"), key.alias("_key")
-        ).agg(F.struct(*cols).alias(prefix))
-        return grouped.filter(F.col("_key").isNotNull())
-
-    hit_cols = [
-        F.count("*").alias("rows"), F.min("rule_id").alias("first_rule"), F.max("rule_id").alias("last_rule"),
-        F.max("external_txn_key").alias("key"), F.max("exclusion_reason_id").alias("reason"),
-        F.max("reported_batch_id").alias("reported_batch"),
-    ]
-    audit_cols = [
-        F.count("*").alias("rows"), F.max("exclusion_reason_id").alias("reason"),
-        F.max("exclusion_strategy").alias("strategy"),
-    ]
-    text_key = F.col("external_txn_key").cast("string")
-    out = t
-    sides = ((hits, "efile_batch_id", hit_cols, "hit"), (audit, "processing_batch_id", audit_cols, "audit"))
-    # Both joins on one key follow each other, so the second reuses the first one's shuffle.
-    for n, (column, key) in enumerate((("mtcn", F.col("mtcn")), ("identifier", text_key)), start=1):
-        for df, batch, cols, name in sides:
-            scoped = narrow(df, **{batch: batch_id, "rpt_grp_id": rpt_grp_id})
-            rows = found(scoped, batch, key, cols, f"{name}_{n}").withColumnRenamed("_key", column)
-            out = out.join(rows, [*BATCH_KEY, column], "left")
-    hit = F.coalesce("hit_1", "hit_2")
-    aud = F.coalesce("audit_1", "audit_2")
+    def keyed(df: DataFrame, mtcn_col: Column, text_col: Column) -> DataFrame:
+        keys = F.array(
+            F.struct(F.lit(1).alias("kind"), mtcn_col.alias("lookup")), F.struct(F.lit(2).alias("kind"), text_col.alias("lookup"))
+        )
+        return df.select("*", F.inline(keys))
+
+    def evidence(df: DataFrame, batch: str, *cols: Column) -> DataFrame:
+        rows = narrow(df, **{batch: batch_id, "rpt_grp_id": rpt_grp_id}).filter(F.col(batch).isNotNull())
+        both = keyed(rows.withColumn("batch_id", F.col(batch)), F.col("mtcn"), F.col("external_txn_key").cast("string"))
+        return both.filter("lookup IS NOT NULL").select(*BATCH_KEY, "kind", "lookup", *cols)
+
+    reason = F.col("exclusion_reason_id")
+    h = evidence(
+        hits, "efile_batch_id", F.lit(1).alias("is_hit"), "rule_id", "external_txn_key", reason.alias("hit_reason"),
+        "reported_batch_id",
+    )
+    a = evidence(audit, "processing_batch_id", F.lit(0).alias("is_hit"), reason.alias("audit_reason"), "exclusion_strategy")
+    found = (
+        h.unionByName(a, allowMissingColumns=True)
+        .groupBy(*BATCH_KEY, "kind", "lookup")
+        .agg(
+            F.struct(
+                F.sum("is_hit").alias("rows"), F.min("rule_id").alias("first_rule"), F.max("rule_id").alias("last_rule"),
+                F.max("external_txn_key").alias("key"), F.max("hit_reason").alias("reason"),
+                F.max("reported_batch_id").alias("reported_batch"),
+            ).alias("hit"),
+            F.struct(
+                (F.count("*") - F.sum("is_hit")).alias("rows"), F.max("audit_reason").alias("reason"),
+                F.max("exclusion_strategy").alias("strategy"),
+            ).alias("audit"),
+        )
+    )
+    shown = ("mtcn", "stage", "status", "comments", "skip_reason")
+    looked = keyed(t.select(*BATCH_KEY, "identifier", *shown), F.col("mtcn"), F.col("identifier")).join(
+        found, [*BATCH_KEY, "kind", "lookup"], "left"
+    )
+
+    def of(side: str, kind: int) -> Column:
+        got = (F.col("kind") == kind) & (F.col(f"{side}.rows") > 0)
+        return F.max(F.when(got, F.col(side))).alias(f"{side}_{kind}")
+
+    per = looked.groupBy(*BATCH_KEY, "identifier").agg(
+        F.max(F.struct(*shown)).alias("s"), *[of(side, kind) for side in ("hit", "audit") for kind in (1, 2)]
+    )
+    hit, aud = F.coalesce("hit_1", "hit_2"), F.coalesce("audit_1", "audit_2")
     via = F.when(F.col("hit_1").isNotNull(), "mtcn").when(F.col("hit_2").isNotNull(), "identifier")
     nothing = F.lit(0).cast("bigint")
-    return out.select(
-        *BATCH_KEY, "identifier", "mtcn", "stage", "status", "comments", "skip_reason", via.alias("bridge"),
+    return per.select(
+        *BATCH_KEY, "identifier", "s.*", via.alias("bridge"),
         F.coalesce(hit["rows"], nothing).alias("rule_hit_rows"), hit["first_rule"].alias("first_rule_id"),
         hit["last_rule"].alias("last_rule_id"), hit["key"].alias("external_txn_key"),
         hit["reason"].alias("hit_exclusion_reason"), hit["reported_batch"].alias("reported_batch_id"),

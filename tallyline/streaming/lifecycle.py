@@ -17,7 +17,7 @@ from tallyline.sources.sinks import UpsertLog
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def read_events(spark: SparkSession, folder: str, bytes_per_trigger: str = "64g") -> DataFrame:
+def read_events(spark: SparkSession, folder: str, bytes_per_trigger: int = 8 << 30) -> DataFrame:
     """Raw events as a file stream whose micro-batches are limited in size.
 
     Event time is cast to TIMESTAMP, which watermarks need.
