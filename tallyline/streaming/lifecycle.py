@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from tallyline.operators import lifecycle as L
+from tallyline.sources.derived import BASE
 from tallyline.sources.sinks import UpsertLog
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,8 +23,7 @@ def read_events(spark: SparkSession, folder: str, bytes_per_trigger: int = 8 <<
 
     Event time is cast to TIMESTAMP, which watermarks need.
     """
-    shape = spark.read.parquet(f"{folder}/events.parquet").schema
-    reader = spark.readStream.schema(shape).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(BASE["events"]).option("pathGlobFilter", "events*.parquet")
     reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
