@@ -211,7 +211,7 @@ def assemble_stream(entries: DataFrame, part_entries: int = PART_ENTRIES) -> Dat
     """
     chunks = entries.filter("type = 'chunk'").join(_sessions(entries).select("session_id", "end_id", "status"), "session_id")
     chunks = chunks.filter(F.col("end_id").isNull() | (F.col("entry_id") < F.col("end_id")))
-    part = F.floor((F.col("entry_id") - 1) / part_entries).cast("bigint")
+    part = F.expr(f"(entry_id - 1) div {int(part_entries)}")
     pieces = F.array_sort(F.collect_list(F.struct("entry_id", "data")))
     return chunks.groupBy("session_id", part.alias("part_no")).agg(
         F.array_join(F.transform(pieces, lambda p: p["data"]), "").alias("text"),

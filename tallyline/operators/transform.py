@@ -257,10 +257,10 @@ def build_batch_reconciliation(
     future_per = per & F.coalesce(in_future_period(), F.lit(False))
 
     def n(c: Column, name: str) -> Column:
-        return F.count_if(c).cast("int").alias(name)
+        return F.count_if(c).alias(name)
 
     return flat.groupBy("rpt_grp_id", "batch_id").agg(
-        F.count("*").cast("int").alias("txn_selected"),
+        F.count("*").alias("txn_selected"),
         n(F.col("all_excluded"), "excluded_txn"),
         n(F.col("missing"), "txn_missing_attempt_count"),
         n(F.col("already"), "already_reported_count"),
@@ -270,7 +270,7 @@ def build_batch_reconciliation(
         n(per, "reporting_period_txn"), n(future_per, "reporting_period_future_reporting_txn"),
         n(per & ~future_per, "reporting_period_actual_txn"),
         n(look | per, "activity_selected"),
-        sure_total(F.when(F.col("kept"), F.col("live_rows") - 1), "dropped").cast("int").alias("soft_dedup_dropped_txn_count"),
+        sure_total(F.when(F.col("kept"), F.col("live_rows") - 1), "soft_dedup_dropped_txn_count"),
     )
 
 

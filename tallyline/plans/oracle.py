@@ -246,6 +246,10 @@ _DAYS = "(SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders)"
 SQL["period"] = f"""SELECT as_of, (as_of - (isodow(as_of) + 6)::INT) AS start_date, (as_of - isodow(as_of)::INT) AS end_date FROM {_DAYS}"""
 SQL["period_prev_month"] = f"""SELECT as_of, (date_trunc('month', as_of) - INTERVAL 1 MONTH)::DATE AS start_date,
     (date_trunc('month', as_of)::DATE - 1) AS end_date FROM {_DAYS}"""
+SQL["opt"] = "SELECT rpt_grp_id, batch_id, seq_no FROM batch_recon"
+SQL["latest_batch"] = "SELECT rpt_grp_id, batch_id, seq_no, created_timestamp FROM lb"
+SQL["latest_recon"] = "SELECT rpt_grp_id, run_date, seq_no, created_timestamp FROM lr"
+SQL["controls"] = f"SELECT rpt_grp_id, batch_id, {', '.join(f'g_{n} AS {n}_diff' for n in SIDES)} FROM lbx"
 for _n, _c in (("in_period", TXN_INSIDE), ("is_open", OPEN), ("is_reported_asof", DONE)):
     SQL[_n] = f"SELECT rpt_grp_id, bucket_id, rule_id, attempt_id FROM hits WHERE {_c}"
 
@@ -710,17 +714,17 @@ for _n, _t in (("lookback", "reporting_timestamp >= w0 AND reporting_timestamp <
 
 
 def i(cond: str, name: str) -> str:
-    return f"(count(*) FILTER ({cond}))::INT AS {name}"
+    return f"count(*) FILTER ({cond}) AS {name}"
 
 
-SQL["build_batch_reconciliation"] = f"""SELECT rpt_grp_id, run AS batch_id, count(*)::INT AS txn_selected, {i('all_ex', 'excluded_txn')},
+SQL["build_batch_reconciliation"] = f"""SELECT rpt_grp_id, run AS batch_id, count(*) AS txn_selected, {i('all_ex', 'excluded_txn')},
     {i('n_live > 0 AND no_attempt', 'txn_missing_attempt_count')}, {i('n_live > 0 AND NOT no_attempt AND known', 'already_reported_count')},
     {i('kept', 'expected_reportable_txn')}, {i('kept AND x.t < x.w1', 'lookback_txn')},
     {i('kept AND x.t < x.w1 AND f_look', 'lookback_future_reporting_txn')},
     {i('kept AND x.t < x.w1 AND NOT coalesce(f_look, false)', 'lookback_actual_txn')}, {i('kept AND x.t >= x.w1', 'reporting_period_txn')},
     {i('kept AND x.t >= x.w1 AND f_per', 'reporting_period_future_reporting_txn')},
     {i('kept AND x.t >= x.w1 AND NOT coalesce(f_per, false)', 'reporting_period_actual_txn')}, {i('kept', 'activity_selected')},
-    coalesce(sum(n_live - 1) FILTER (kept), 0)::INT AS soft_dedup_dropped_txn_count FROM pool_state GROUP BY rpt_grp_id, run"""
+    coalesce(sum(n_live - 1) FILTER (kept), 0)::BIGINT AS soft_dedup_dropped_txn_count FROM pool_state GROUP BY rpt_grp_id, run"""
 SQL["assign_batch"] = """SELECT * REPLACE (
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, 'E' || strftime(transaction_date, '%Y%m'), efile_batch_id) AS efile_batch_id,
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, false, is_reported) AS is_reported,
@@ -812,6 +816,16 @@ SQL["stream_lifecycle_metrics"] = SQL["lifecycle_metrics"]
 SQL["stream_dedupe_submissions"] = "SELECT DISTINCT idempotency_key FROM submissions"
 SQL["stream_guarded_transitions"] = "SELECT case_id, f.s AS status, f.n::BIGINT AS accepted, events - f.n AS dropped FROM folded"
 
+SQL["stream_reap_stuck"] = """SELECT case_id, 'error' AS status, arg_max(to_status, (epoch_ms(ts), event_id)) AS failed_stage, 'TIMEOUT' AS error_reason,
+    date_trunc('millisecond', min(ts)) AS since FROM case_events GROUP BY case_id
+    HAVING arg_max(to_status, (epoch_ms(ts), event_id)) NOT IN ('complete', 'error')
+    AND min(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM case_events)"""
+SQL["stream_sessions"] = """SELECT case_id, min(ts) AS started_at, max(ts) + INTERVAL 10 MINUTE AS closed_at, count(*) AS events,
+    count(*) FILTER (to_status IN ('complete', 'error')) AS terminal_events FROM (
+        SELECT *, sum(if(pause < INTERVAL 10 MINUTE, 0, 1)) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS burst FROM (
+            SELECT *, ts - lag(ts) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pause FROM case_events))
+    GROUP BY case_id, burst HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM case_events)"""
+
 
 def oracle() -> dict[str, str]:
     return {name: with_tables(sql, STEPS) for name, sql in SQL.items()}

@@ -45,27 +45,27 @@ TABLES: dict[str, str] = {
     "batch_recon": """
         WITH b AS (
             SELECT x_ym, rpt_grp_id, rpt_grp_name, min(transaction_date) AS mn, max(transaction_date) AS mx,
-                   count(*)::INT AS sel, count(exclusion_reason_id)::INT AS excl,
-                   count(*) FILTER (exclusion_reason_id = 'Txn is already reported')::INT AS already,
-                   count(*) FILTER (exclusion_reason_id IS NULL AND x_tax = 0)::INT AS miss,
-                   count(*) FILTER (exclusion_reason_id IS NULL AND x_disc <= 0.01)::INT AS fail,
-                   count(*) FILTER (x_qty >= 49)::INT AS dup, count(*) FILTER (bucket_id < 4)::INT AS lb,
-                   count(*) FILTER (bucket_id >= 4)::INT AS per, count(*) FILTER (bucket_id >= 14)::INT AS fut,
+                   count(*) AS sel, count(exclusion_reason_id) AS excl,
+                   count(*) FILTER (exclusion_reason_id = 'Txn is already reported') AS already,
+                   count(*) FILTER (exclusion_reason_id IS NULL AND x_tax = 0) AS miss,
+                   count(*) FILTER (exclusion_reason_id IS NULL AND x_disc <= 0.01) AS fail,
+                   count(*) FILTER (x_qty >= 49) AS dup, count(*) FILTER (bucket_id < 4) AS lb,
+                   count(*) FILTER (bucket_id >= 4) AS per, count(*) FILTER (bucket_id >= 14) AS fut,
                    x_ym + rpt_grp_id AS h
             FROM hit_base GROUP BY ALL),
         s AS (SELECT *, unnest(if(fail >= miss, [1, 2], [1]))::INT AS seq_no FROM b)
         SELECT 'B' || x_ym AS batch_id, seq_no, rpt_grp_id, rpt_grp_name,
                strftime(mn::DATE - 7, '%Y-%m-%d') AS rpt_look_back_date, strftime(mn, '%Y-%m-%d') AS rpt_from_date,
                strftime(mx, '%Y-%m-%d') AS rpt_to_date, sel AS txn_selected,
-               CASE WHEN h % 6 > 0 THEN 0 END::INT AS txn_simulated, excl AS excluded_txn,
+               CASE WHEN h % 6 > 0 THEN 0 END::BIGINT AS txn_simulated, excl AS excluded_txn,
                miss AS txn_missing_attempt_count, already AS already_reported_count,
                sel - excl AS expected_reportable_txn,
-               if(h % 37 = 0, NULL, sel - excl - CASE WHEN seq_no = 1 THEN 2 WHEN h % 7 = 0 THEN 1 ELSE 0 END)::INT AS actual_reportable_txn,
-               lb AS lookback_txn, CASE WHEN h % 4 > 0 THEN 0 END::INT AS lookback_future_reporting_txn,
+               if(h % 37 = 0, NULL, sel - excl - CASE WHEN seq_no = 1 THEN 2 WHEN h % 7 = 0 THEN 1 ELSE 0 END) AS actual_reportable_txn,
+               lb AS lookback_txn, CASE WHEN h % 4 > 0 THEN 0 END::BIGINT AS lookback_future_reporting_txn,
                lb - if(h % 17 = 0, 1, 0) AS lookback_actual_txn, per AS reporting_period_txn,
                fut AS reporting_period_future_reporting_txn,
                per - fut + if(h % 19 = 0, 1, 0) AS reporting_period_actual_txn,
-               lb + per - if(h % 23 = 0, 3, 0) AS activity_selected, 0 AS activity_missing, 0 AS activity_simulated,
+               lb + per - if(h % 23 = 0, 3, 0) AS activity_selected, 0::BIGINT AS activity_missing, 0::BIGINT AS activity_simulated,
                sel - excl AS expected_activity_eligible_for_transformation,
                sel - excl - if(h % 11 = 0, 1, 0) AS actual_activity_eligible_for_transformation,
                sel - excl - fail AS activity_transformed, fail AS activity_transformation_failed,
@@ -75,7 +75,7 @@ TABLES: dict[str, str] = {
     "hit_recon": """
         WITH b AS (
             SELECT x_ym, rpt_grp_id, rpt_grp_name, min(transaction_date) AS mn, max(transaction_date) AS mx,
-                   count(*)::INT AS n, count(*) FILTER (is_reported)::INT AS rep FROM hit_base GROUP BY ALL)
+                   count(*) AS n, count(*) FILTER (is_reported) AS rep FROM hit_base GROUP BY ALL)
         SELECT rpt_grp_id, x_ym * 100 + 28 AS run_date, unnest(if(rep * 2 < n, [1, 2], [1]))::INT AS seq_no,
                mx + INTERVAL 3 DAY AS created_timestamp, mx AS data_selection_end_date,
                mn AS data_selection_start_date, n AS distinct_rule_hits_count_source,

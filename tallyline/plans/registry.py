@@ -8,9 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.functions.controls import EQUATIONS
+from tallyline.functions.controls import EQUATIONS, gap, health_five_level, rule_hit_gap, rule_hit_publish_gap
 from tallyline.functions.hits import open_at, reported_by
-from tallyline.functions.period import Period, previous_month_of, previous_week_of
+from tallyline.functions.period import Period, narrow, previous_month_of, previous_week_of
 from tallyline.operators import batches, bridges, cases, hits, journey, kpi, lifecycle, metrics, snapshots, transform, validation
 from tallyline.operators.snapshots import latest_batch, latest_recon
 from tallyline.sources import sinks
@@ -56,6 +56,14 @@ plan("in_period", lambda t: t.hits.filter(P.holds("transaction_date")).select(*H
 plan("is_open", lambda t: t.hits.filter(open_at(P)).select(*HIT_KEY))
 plan("is_reported_asof", lambda t: t.hits.filter(reported_by(P)).select(*HIT_KEY))
 
+plan("opt", lambda t: narrow(t.batch_recon, rpt_grp_id=None, batch_id=None).select("rpt_grp_id", "batch_id", "seq_no"))
+plan("latest_batch", lambda t: latest_batch(t.batch_recon, P).select("rpt_grp_id", "batch_id", "seq_no", "created_timestamp"))
+plan("latest_recon", lambda t: latest_recon(t.hit_recon, P).select("rpt_grp_id", "run_date", "seq_no", "created_timestamp"))
+plan(
+    "controls",
+    lambda t: latest_batch(t.batch_recon, P).select("rpt_grp_id", "batch_id", *[gap(c).alias(f"{c}_diff") for c in EQUATIONS]),
+)
+
 # Snapshots and headline figures
 plan("latest_batch_state", lambda t: latest_batch(t.batch_recon, P))
 plan("latest_recon_state", lambda t: latest_recon(t.hit_recon, P))
@@ -89,9 +97,7 @@ for _name in EQUATIONS:
 
 
 def _hit_control(t: Tables, which: str) -> DataFrame:
-    from tallyline.functions import controls as C
-
-    diff = C.rule_hit_gap() if which == "rule_hits" else C.rule_hit_publish_gap()
+    diff = rule_hit_gap() if which == "rule_hits" else rule_hit_publish_gap()
     return latest_recon(t.hit_recon, P).select("rpt_grp_id", "run_date", diff.alias("difference"), (diff == 0).alias("balanced"))
 
 
@@ -204,8 +210,6 @@ plan("batch_investigation_queue", lambda t: batches.batch_investigation_queue(t.
 
 
 def _health(t: Tables) -> DataFrame:
-    from tallyline.functions.controls import health_five_level
-
     runs = kpi.with_batch_info(latest_batch(t.batch_recon, P), t.batch_info)
     return runs.select("rpt_grp_id", "batch_id", health_five_level().alias("health"))
 
@@ -349,9 +353,9 @@ plan("open_sessions", lambda t: L.open_sessions(t.stream_entries))
 
 # Streaming forms: each runs its stream over all events and returns the table it leaves.
 def _stream(t: Tables, name: str, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], mode: str = "update") -> DataFrame:
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
     folder = sinks.shared_folder(t.spark, name)
-    return streams.run_to_table(build(streams.read_events(t.spark, t.folder)), folder, keys, mode)
+    streams.run(build(streams.read_events(streams.stream_session(t.spark), t.folder)), folder, keys, mode)
+    return streams.table(t.spark, folder, keys)
 
 
 plan("stream_lifecycle_metrics", lambda t: _stream(t, "metrics", lambda e: streams.metrics(case_events(e)), ("window_start",)))

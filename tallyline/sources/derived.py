@@ -156,8 +156,8 @@ class Tables:
             "CASE WHEN h % 13 = 0 THEN NULL ELSE mx + INTERVAL '2' DAY END AS modified_timestamp",
             "dup AS soft_dedup_dropped_txn_count",
         )
-        counts = {f.name for f in schema("report_transformation_reconciliation").fields if f.dataType.typeName() == "integer"}
-        typed = out.withColumns({c: F.col(c).cast("int") for c in counts})
+        counts = {f.name for f in schema("report_transformation_reconciliation").fields if f.dataType.typeName() == "long"}
+        typed = out.withColumns({c: F.col(c).cast("bigint") for c in counts})
         return self._columns(typed, "report_transformation_reconciliation")
 
     @cached_property
@@ -176,11 +176,11 @@ class Tables:
             "rpt_grp_id", "x_ym * 100 + 28 AS run_date", "seq_no",
             "mx + INTERVAL '3' DAY AS created_timestamp",
             "mx AS data_selection_end_date", "mn AS data_selection_start_date",
-            "CAST(n AS INT) AS distinct_rule_hits_count_source",
-            "CAST(rep - CASE WHEN seq_no = 1 AND rep > 0 THEN 1 ELSE 0 END AS INT) AS distinct_rule_hits_count_target",
-            "CAST(n - rep AS INT) AS missed_rule_hits_count_target",
+            "n AS distinct_rule_hits_count_source",
+            "rep - CASE WHEN seq_no = 1 AND rep > 0 THEN 1 ELSE 0 END AS distinct_rule_hits_count_target",
+            "n - rep AS missed_rule_hits_count_target",
             "mx + INTERVAL '4' DAY AS modified_timestamp", "rpt_grp_name",
-            "CAST(n + rpt_grp_id % 3 AS INT) AS rule_hit_publish_count_source",
+            "n + rpt_grp_id % 3 AS rule_hit_publish_count_source",
         )
         return self._columns(out, "rule_hit_reconciliation")
 

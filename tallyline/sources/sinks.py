@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -20,8 +19,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tallyline-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}") if "://" not in root else f"{root}/{purpose}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 # Table layouts. Columns that carry the name of the system that produced
 # them use the neutral endings _source (publishes the hits) and _target (reports them);
-# see with_neutral_names.
+# see with_neutral_names. Counters are BIGINT: one batch may hold more hits than an INT can count.
 SCHEMAS: dict[str, str] = {
     "rule_hit": """rpt_grp_id INT, bucket_id INT, rule_id STRING, attempt_id BIGINT, activity_type STRING,
         batch_id INT, created_timestamp TIMESTAMP, efile_batch_id STRING, exclusion_reason_id STRING,
@@ -18,9 +18,9 @@ SCHEMAS: dict[str, str] = {
         transaction_date TIMESTAMP, transaction_side STRING, reported_batch_id STRING""",
     "rule_hit_reconciliation": """rpt_grp_id INT, run_date INT, seq_no INT, created_timestamp TIMESTAMP,
         data_selection_end_date TIMESTAMP, data_selection_start_date TIMESTAMP,
-        distinct_rule_hits_count_source INT, distinct_rule_hits_count_target INT,
-        missed_rule_hits_count_target INT, modified_timestamp TIMESTAMP, rpt_grp_name STRING,
-        rule_hit_publish_count_source INT""",
+        distinct_rule_hits_count_source BIGINT, distinct_rule_hits_count_target BIGINT,
+        missed_rule_hits_count_target BIGINT, modified_timestamp TIMESTAMP, rpt_grp_name STRING,
+        rule_hit_publish_count_source BIGINT""",
     "rule_hit_exclusion_audit": """attempt_id BIGINT, rpt_grp_id INT, rule_id STRING, bucket_id INT,
         rpt_grp_name STRING, external_txn_key BIGINT, processing_batch_id STRING, exclusion_reason_id STRING,
         exclusion_strategy STRING, reported_batch_id STRING, mtcn STRING, created_timestamp TIMESTAMP,
@@ -31,14 +31,14 @@ SCHEMAS: dict[str, str] = {
         txn_metadata STRING, skip_reason STRING""",
     "report_transformation_reconciliation": """batch_id STRING, seq_no INT, rpt_grp_id INT,
         rpt_grp_name STRING, rpt_look_back_date STRING, rpt_from_date STRING, rpt_to_date STRING,
-        txn_selected INT, txn_simulated INT, excluded_txn INT, txn_missing_attempt_count INT,
-        already_reported_count INT, expected_reportable_txn INT, actual_reportable_txn INT, lookback_txn INT,
-        lookback_future_reporting_txn INT, lookback_actual_txn INT, reporting_period_txn INT,
-        reporting_period_future_reporting_txn INT, reporting_period_actual_txn INT, activity_selected INT,
-        activity_missing INT, activity_simulated INT, expected_activity_eligible_for_transformation INT,
-        actual_activity_eligible_for_transformation INT, activity_transformed INT,
-        activity_transformation_failed INT, duplicate_transformation INT, created_timestamp TIMESTAMP,
-        modified_timestamp TIMESTAMP, soft_dedup_dropped_txn_count INT""",
+        txn_selected BIGINT, txn_simulated BIGINT, excluded_txn BIGINT, txn_missing_attempt_count BIGINT,
+        already_reported_count BIGINT, expected_reportable_txn BIGINT, actual_reportable_txn BIGINT, lookback_txn BIGINT,
+        lookback_future_reporting_txn BIGINT, lookback_actual_txn BIGINT, reporting_period_txn BIGINT,
+        reporting_period_future_reporting_txn BIGINT, reporting_period_actual_txn BIGINT, activity_selected BIGINT,
+        activity_missing BIGINT, activity_simulated BIGINT, expected_activity_eligible_for_transformation BIGINT,
+        actual_activity_eligible_for_transformation BIGINT, activity_transformed BIGINT,
+        activity_transformation_failed BIGINT, duplicate_transformation BIGINT, created_timestamp TIMESTAMP,
+        modified_timestamp TIMESTAMP, soft_dedup_dropped_txn_count BIGINT""",
     "report_batch_info": """rpt_grp_id INT, batch_id STRING, seq_no INT, process_timestamp TIMESTAMP,
         created_timestamp TIMESTAMP, batch_status STRING, compiler_status STRING, report_status STRING,
         txn_lookback_start_timestamp TIMESTAMP, txn_start_timestamp TIMESTAMP, txn_end_timestamp TIMESTAMP""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -174,22 +174,39 @@ def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute") ->
     )
 
 
-def run_to_table(
-    df: DataFrame,
-    folder: str,
-    keys: tuple[str, ...],
-    mode: str = "update",
-    keep: Callable[[DataFrame], DataFrame] = lambda d: d,
-) -> DataFrame:
-    """Run a stream over everything available and return the table its upserts leave."""
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's with what stateful streams need.
+
+    State goes to RocksDB. A stream keeps its number of state partitions for life, and
+    adaptive execution does not reduce them, so it uses no more than the cluster has cores.
+    """
+    beside = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        beside.conf.set(key, spark.conf.get(key))
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    beside.conf.set("spark.sql.shuffle.partitions", min(wanted, max(spark.sparkContext.defaultParallelism, 1)))
+    beside.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return beside
+
+
+def run(df: DataFrame, folder: str, keys: tuple[str, ...], mode: str = "update") -> None:
+    """Run a stream over everything available into an upsert table under the folder."""
     log = UpsertLog(f"{folder}/table", keys)
-    spark = df.sparkSession
     query = (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .foreachBatch(lambda batch, batch_id: log.write(keep(batch), batch_id))
+        .foreachBatch(log.write)
         .start()
     )
     query.awaitTermination()
-    return log.read(spark)
+
+
+def table(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFrame:
+    """What the stream's upserts left."""
+    return UpsertLog(f"{folder}/table", keys).read(spark)
+
+
+def run_to_table(df: DataFrame, folder: str, keys: tuple[str, ...], mode: str = "update") -> DataFrame:
+    run(df, folder, keys, mode)
+    return table(df.sparkSession, folder, keys)
