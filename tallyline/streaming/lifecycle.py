@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from tallyline.operators import lifecycle as L
 from tallyline.sources.derived import BASE
 from tallyline.sources.sinks import UpsertLog
+from tallyline.streaming import processors
+from tallyline.streaming.processors import OUTPUT, REAPED, GuardedTransitions, Reaper
+
+register_pickle_by_value(processors)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,66 +50,6 @@ def sessions(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour")
 
 
 
-def _struct(strings: str = "", longs: str = "", times: str = "") -> StructType:
-    """Schema built without a session, since state is set up on the workers."""
-    fields = [(n, StringType()) for n in strings.split()] + [(n, LongType()) for n in longs.split()]
-    fields += [(n, TimestampType()) for n in times.split()]
-    return StructType([StructField(n, t) for n, t in fields])
-
-
-STATE = _struct("status", "accepted dropped changed_ns changed_event")
-OUTPUT = _struct("case_id status failed_stage", "accepted dropped")
-TIMER_STATE = _struct("status", "since_ms last_ms last_event")
-# Position of each state on the path; an error has its own code.
-CODES = {name: i for i, name in enumerate((L.START, *L.PATH))} | {L.FAILED: 100}
-NAMES = {code: name for name, code in CODES.items()}
-REAPED = _struct("case_id status failed_stage error_reason", times="since")
-
-
-class GuardedTransitions(StatefulProcessor):
-    """Keeps the state of one case and applies events whose predecessor is that state.
-
-    The state is five values per case. Events of a case inside one micro-batch are taken in
-    event order; an event that arrives in a later micro-batch than one it precedes is
-    stale, so it is dropped and counted. Rows wait as three number arrays, at most one
-    micro-batch of them, whose size the source limits; each step picks the earliest
-    fitting event by array operations.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("case", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, accepted, dropped, at, event = self.state.get() if self.state.exists() else (L.START, 0, 0, -1, -1)
-        seen, parts = 0, []
-        for chunk in rows:
-            seen += len(chunk)
-            if status not in L.TERMINAL:
-                code = chunk["to_status"].map(CODES).fillna(-1).to_numpy(dtype=np.int8)
-                parts.append((chunk["ts"].astype("int64").to_numpy(), chunk["event_id"].to_numpy(), code))
-        failed_stage, taken = None, 0
-        if parts:
-            ts, ids, code = (np.concatenate(p) for p in zip(*parts, strict=True))
-            while status not in L.TERMINAL:
-                after = (ts > at) | ((ts == at) & (ids > event))
-                fits = after & ((code == CODES[L.FAILED]) | (code == CODES[status] + 1))
-                where = np.flatnonzero(fits)
-                if not len(where):
-                    break
-                first = where[np.lexsort((ids[where], ts[where]))[0]]
-                to = NAMES[code[first]]
-                failed_stage = status if to == L.FAILED else None
-                status, at, event, taken = to, int(ts[first]), int(ids[first]), taken + 1
-        accepted, dropped = int(accepted) + taken, int(dropped) + seen - taken
-        self.state.update((status, accepted, dropped, int(at), int(event)))
-        yield pd.DataFrame(
-            {"case_id": [key[0]], "status": [status], "failed_stage": [failed_stage], "accepted": [accepted], "dropped": [dropped]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def guarded_transitions(events: DataFrame) -> DataFrame:
     """State per case after each micro-batch. Needs the RocksDB state store."""
     return (
@@ -123,45 +62,6 @@ def guarded_transitions(events: DataFrame) -> DataFrame:
     )
 
 
-class Reaper(StatefulProcessor):
-    """Times a case out when event time passes its first event by the limit without an end."""
-
-    def __init__(self, minutes: int):
-        self.limit_ms = minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("case", TIMER_STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, since, last, event = self.state.get() if self.state.exists() else (None, None, -1, -1)
-        for chunk in rows:
-            ms = chunk["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
-            ids = chunk["event_id"].to_numpy()
-            since = int(ms.min()) if since is None else min(since, int(ms.min()))
-            newest = np.lexsort((ids, ms))[-1]
-            if (ms[newest], ids[newest]) > (last, event):
-                status, last, event = chunk["to_status"].iloc[newest], int(ms[newest]), int(ids[newest])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status in L.TERMINAL:
-            self.state.clear()
-        else:
-            self.state.update((status, int(since), int(last), int(event)))
-            self.handle.registerTimer(int(since) + self.limit_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, since = self.state.get()[:2]
-        self.state.clear()
-        yield pd.DataFrame(
-            {"case_id": [key[0]], "status": [L.FAILED], "failed_stage": [status], "error_reason": [L.TIMEOUT], "since": [pd.Timestamp(since, unit="ms")]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute") -> DataFrame:
     """Cases that reach no terminal state within ``minutes`` of event time of their first event."""
     return (

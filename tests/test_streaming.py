@@ -114,3 +114,32 @@ def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
     small = log.compact(spark, str(tmp_path / "u"))
     small.write(make((1, "c")), 2)
     assert rows_of(small.read(spark)) == [(1, "c"), (2, "b")]
+
+
+def test_processors_share_the_batch_operators_states():
+    from tallyline.streaming import processors as p
+
+    assert p.PATH == (L.START, *L.PATH)
+    assert (p.FAILED, p.TERMINAL, p.TIMEOUT) == (L.FAILED, L.TERMINAL, L.TIMEOUT)
+
+
+def test_processors_load_without_the_package():
+    """A worker that cannot import the package can still unpickle the processors."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tallyline.streaming.processors import GuardedTransitions, Reaper
+
+    sent = cloudpickle.dumps([GuardedTransitions(), Reaper(15)])
+    code = (
+        "import pickle, sys\n"
+        "got = pickle.loads(sys.stdin.buffer.read())\n"
+        "assert not any(m.startswith('tallyline') for m in sys.modules)\n"
+        "print(got[1].limit_ms)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env=env, check=True, timeout=120)
+    assert done.stdout.strip() == b"900000"
