@@ -158,21 +158,29 @@ def route_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, first_block
     ).drop("text")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row.
+
+    A plain projection would be merged into every later expression that mentions the
+    column, and a JSON text parsed again for each field; a generator is not merged.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def parse_model_outputs(texts: DataFrame, column: str = "text") -> dict[str, DataFrame]:
-    """Read the JSON object inside each model answer; answers that break the schema go to quarantine."""
-    t = F.trim(F.col(column))
-    t = F.trim(F.regexp_replace(t, r"^```(?:json)?", ""))
-    t = F.trim(F.regexp_replace(t, r"```$", ""))
-    start = F.instr(t, "{")
-    end = F.length(t) - F.instr(F.reverse(t), "}") + 1
-    closed = (start > 0) & (F.instr(t, "}") > 0) & (end > start)
-    body = F.when(closed, F.substring(t, start, end - start + 1))
-    parsed = texts.withColumn("_json", body).withColumn("_p", F.from_json("_json", MODEL_SCHEMA, {"mode": "PERMISSIVE"}))
+    """Read the JSON object inside each model answer; answers that break the schema go to quarantine.
+
+    The object runs from the first opening to the last closing brace, which also leaves out
+    code fences and talk around it.
+    """
+    body = F.nullif(F.regexp_extract(column, r"(?s)\{.*\}", 0), F.lit(""))
+    parsed = _once(texts, "_json", body)
+    parsed = _once(parsed, "_p", F.from_json("_json", MODEL_SCHEMA, {"mode": "PERMISSIVE"}))
     p = F.col("_p")
     levels = F.coalesce(p["risk_indicators"], F.array())
     bad_level = F.exists(levels, lambda r: ~F.coalesce(r["severity"].isin(*SEVERITIES), F.lit(False)))
     reason = (
-        F.when(F.trim(F.col(column)) == "", "empty answer")
+        F.when(~F.coalesce(F.col(column).rlike(r"\S"), F.lit(False)), "empty answer")
         .when(F.col("_json").isNull(), "no JSON object")
         .when(p.isNull() | p["grade"].isNull() | p["recommendation"].isNull() | p["confidence"].isNull(), "schema")
         .when(~p["grade"].isin(*GRADES), "grade")
