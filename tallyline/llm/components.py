@@ -40,3 +40,16 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or state["n"] == 0:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen, now = state, saved(_shorten(_hook(now)), "edges")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (node, root) after more links (a, b): only the roots the links meet are united."""
+    if labels is None:
+        return components(links)
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    up = components(met.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    up = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    joined = up.select(F.col("root").alias("node"), F.col("top").alias("root")).join(labels.select("node"), "node", "left_anti")
+    return saved(moved.union(joined), "labels")

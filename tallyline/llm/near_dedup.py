@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
-from tallyline.llm.components import components
+from tallyline.llm.components import merged
 from tallyline.llm.shared import saved
 
 U32 = np.uint32
@@ -107,45 +107,63 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def several_roots(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in more than one component."""
+    keys = buckets.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return buckets.join(keys, "key")
+
+
+def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key, id, n, pos, root) by rare items, such that every pair that reaches ``percent`` shares one.
+
+    Two sets of that similarity agree in at least that part of either, so they share one of the first
+    n - ceil(n * percent / 100) + 1 items of each, in any fixed order. Rarest first, the items that only one member has
+    fill these places before common passages do, and texts that differ too much meet in no bucket.
+    """
+    tokens = members.join(items, "id").select("id", "n", "root", F.explode("items").alias("key"))
+    often = tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    own = tokens.join(often, "key").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
+    places = F.expr(f"n - ceil(n * {percent} / 100.0) + 1 - (n - size(shared))").cast("int")
+    kept = own.select("id", "n", "root", F.posexplode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("at", "t"), F.size("shared").alias("m"))
+    return kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root")
+
+
 def link_components(buckets: DataFrame, sets, percent: int) -> DataFrame:
-    """(node, root) of the components over all links between ids that share a bucket, from rows (key, id, n).
+    """(node, root) of the components over the links between ids that share a bucket, from rows (key, id, n).
 
-    Every bucket compares its members with hubs, twice as many hubs each round, until its members are in one component
-    or all have been hubs. So no two members of different components stay uncompared, yet a bucket of similar texts
-    costs one comparison for each member. ``sets`` gives (id, items) for a frame of ids; n is the size of the set.
+    First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
+    comparison a member. Members of buckets that still hold several components meet again by their rare items
+    (``rare_buckets``) and are compared with hubs, four times as many each round, until the members of each bucket are in
+    one component or all have been hubs: no pair of different components is left out, yet no group is squared.
+    ``sets`` gives (id, items) for a frame of ids; n is the size of the set.
     """
     counted = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    active = saved(buckets.join(counted.select("key"), "key").select("key", "id", "n", F.col("id").alias("root")), "buckets")
-    items = None
-    links, labels, step = None, None, 0
+    active = buckets.join(counted.select("key"), "key").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
+    active = saved(active, "buckets")
+    items = saved(sets(active.select("id").distinct()), "sets")
+    labels = None
+    step = 0
     while True:
-        part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << step))
-        hub = F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))).alias("h")
-        hubs = active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.hub", "h.hub_n", "h.hub_root")
-        close = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
+        part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 2 * max(step - 1, 0)))
+        hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
+        hubs = active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*")
+        close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))
         pairs = active.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & close)
-        pairs = saved(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-        if items is None:
-            # Later rounds compare members of the same buckets, so their sets are read once.
-            items = saved(sets(active.select("id").distinct()), "sets")
-        if not pairs.isEmpty():
-            found = saved(linked(pairs, items, percent), "links")
-            if not found.isEmpty():
-                links = found if links is None else saved(links.union(found), "links")
-                labels = components(links)
-        rest = active.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti").drop("root")
+        pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
+        found = saved(linked(saved(pairs, "pairs"), items, percent), "links")
+        if not found.isEmpty():
+            labels = merged(labels, found)
+        rest = active.join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti") if step else active
         if labels is not None:
-            rest = rest.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        else:
-            rest = rest.withColumn("root", F.lit(None).cast(active.schema["id"].dataType))
-        rest = rest.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        open_keys = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-        active = saved(rest.join(open_keys, "key"), "buckets")
+            rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        rest = rest.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
+        rest = several_roots(rest)
+        if not step:
+            rest = several_roots(rare_buckets(saved(rest.select("id", "n", "root").distinct(), "members"), items, percent))
+        active = saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
         step += 1
         if active.isEmpty():
-            if labels is None:
-                return active.select(F.col("id").alias("node"), "root")
-            return labels
+            return active.select(F.col("id").alias("node"), "root") if labels is None else labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, bands: int = 20, rows: int = 5) -> DataFrame:
