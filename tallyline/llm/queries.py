@@ -7,6 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.near_dedup import near_duplicates
+from tallyline.llm.packing import pack
+from tallyline.llm.token_store import stored_tokens
+
+
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary lies; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,5 +26,15 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary(), capacity=2048, end_id=0)
+
+
+def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return stored_tokens(table(spark, folder, "documents"), vocabulary(), end_id=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_minhash_near_dedup, op4_best_fit_packing, op10_simple8b_tokens)
+}
 SQL: dict[str, str] = {}
