@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.llm.decontaminate import contamination, find_matches
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
+from tallyline.llm.sharding import shard
 from tallyline.llm.token_store import stored_tokens
 
 
@@ -26,15 +28,30 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
 
+def op3_minimax_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(table(spark, folder, "documents"), shards=40)
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op7_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
+
+
 def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return stored_tokens(table(spark, folder, "documents"), vocabulary(), end_id=2)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op4_best_fit_packing, op10_simple8b_tokens)
+    f.__name__: f
+    for f in (
+        op2_minhash_near_dedup,
+        op3_minimax_sharding,
+        op4_best_fit_packing,
+        op7_suffix_array_decontamination,
+        op10_simple8b_tokens,
+    )
 }
 SQL: dict[str, str] = {}
