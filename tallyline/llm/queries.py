@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyline.llm import quality, toxicity
 from tallyline.llm.decontaminate import contamination, find_matches
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
@@ -24,6 +25,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Scores from which documents count as toxic or as good.
+TOXIC_FROM, GOOD_FROM = 0.5, 0.3
+
+
+def op1_nnpu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, toxicity.fit(docs, table(spark, folder, "labels")), TOXIC_FROM)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, percent=85)
 
@@ -36,6 +46,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op6_random_indexing_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")), GOOD_FROM)
+
+
 def op7_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
 
@@ -47,9 +62,11 @@ def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_nnpu_toxicity,
         op2_minhash_near_dedup,
         op3_minimax_sharding,
         op4_best_fit_packing,
+        op6_random_indexing_quality,
         op7_suffix_array_decontamination,
         op10_simple8b_tokens,
     )
