@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyline.llm import quality, toxicity
+from tallyline.llm.ann import nearest
 from tallyline.llm.decontaminate import contamination, find_matches
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
@@ -55,6 +57,10 @@ def op7_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFr
     return contamination(find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
 
 
+def op9_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return stored_tokens(table(spark, folder, "documents"), vocabulary(), end_id=2)
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_best_fit_packing,
         op6_random_indexing_quality,
         op7_suffix_array_decontamination,
+        op9_hash_prefix_forest,
         op10_simple8b_tokens,
     )
 }
