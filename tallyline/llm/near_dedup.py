@@ -129,18 +129,19 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
 
 
 def link_components(buckets: DataFrame, sets, percent: int) -> DataFrame:
-    """(node, root) of the components over the links between ids that share a bucket, from rows (key, id, n).
+    """(node, root) of the components over the links between ids that share a bucket, from rows (key, id).
 
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
     (``rare_buckets``) and are compared with hubs, four times as many each round, until the members of each bucket are in
     one component or all have been hubs: no pair of different components is left out, yet no group is squared.
-    ``sets`` gives (id, items) for a frame of ids; n is the size of the set.
+    ``sets`` gives (id, items) for a frame of ids.
     """
-    counted = buckets.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    active = buckets.join(counted.select("key"), "key").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
-    active = saved(active, "buckets")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    active = saved(buckets.join(shared, "key").select("key", "id"), "buckets")
     items = saved(sets(active.select("id").distinct()), "sets")
+    sizes = items.select("id", F.size("items").cast("long").alias("n"))
+    active = active.join(sizes, "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
     labels = None
     step = 0
     while True:
@@ -186,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = saved(
         signed.where("n > 0 and id is not null").join(classes, cls).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
     )
-    buckets = members.where("bands is not null").select(F.explode("bands").alias("key"), "id", "n")
+    buckets = members.where("bands is not null").select(F.explode("bands").alias("key"), "id")
 
     def sets(ids: DataFrame) -> DataFrame:
         return given.join(ids, "id", "left_semi").mapInArrow(set_reader(size), "id long, items array<long>")
