@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import quality, toxicity
+from tallyline.llm import html_text, quality, toxicity
 from tallyline.llm.ann import nearest
 from tallyline.llm.decontaminate import contamination, find_matches
+from tallyline.llm.line_dedup import without_repeated_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
 from tallyline.llm.sharding import shard
@@ -48,6 +49,10 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op6_random_indexing_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")), GOOD_FROM)
@@ -57,6 +62,11 @@ def op7_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFr
     return contamination(find_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
 
 
+def op8_recurrent_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.fit(pages))
+
+
 def op9_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -72,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minhash_near_dedup,
         op3_minimax_sharding,
         op4_best_fit_packing,
+        op5_fuzzy_line_dedup,
         op6_random_indexing_quality,
         op7_suffix_array_decontamination,
+        op8_recurrent_block_labeller,
         op9_hash_prefix_forest,
         op10_simple8b_tokens,
     )
