@@ -26,8 +26,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each fuzzy line once. A document left without lines keeps its row; n_chars counts what is left."""
-    return without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Each fuzzy line once; n_chars counts what is left. A document goes if others hold every line it had."""
+    out = without_repeated_lines(docs)
+    emptied = (F.col("n_kept") < F.col("n_lines")) & ~F.coalesce(F.col("text").rlike(r"[^\x09-\x0D ]"), F.lit(False))
+    return out.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,8 +103,8 @@ def searcher(k: int, wanted: int, share: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries, k: int = 20, wanted: int = 5_000, share: float = 0.4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found by inner product for every row that ``queries`` (a condition) selects.
+def nearest(vectors: DataFrame, queries: str, k: int = 20, wanted: int = 5_000, share: float = 0.4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found by inner product for every row that ``queries``, a SQL condition, selects.
 
     Equal vectors form one class with its k + 1 least ids: more of them cannot be among the k nearest. Classes are
     dealt to blocks of about BLOCK, and the queries visit every block in groups of about CHUNK. In a block the trees
@@ -119,7 +119,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, wanted: int = 5_000, share
     v = F.col(vector_col)
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     given = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda c: c != 0))
-    given = given.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    given = given.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.coalesce(F.expr(queries), F.lit(False)).alias("asks"))
     width = given.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()
     given = given.where(F.size("embedding") == (width["w"] if width else 0))
     least = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))

@@ -150,7 +150,8 @@ def without_repeated_lines(
     keeper = member.groupBy("root").agg(F.min("pos").alias("keeper"))
     touched = saved(member.join(keeper, "root").select("h1", "h2", "keeper"), "touched")
     gone = lines.select("id", "f", "line", "h1", "h2").join(touched, ["h1", "h2"]).where(F.struct("id", "f", "line") != F.col("keeper"))
-    gone = gone.groupBy("id", "f").agg(F.collect_set("line").alias("cut")).select(F.col("id").alias("_id"), F.col("f").alias("_f"), "cut")
-    marked = docs.join(gone, (keys[0] == F.col("_id")) & (keys[1] == F.col("_f")), "left").select(*[docs[c] for c in names], F.col("cut").alias("_cut"))
+    gone = gone.groupBy("id", "f").agg(F.collect_set("line").alias("cut"))
+    here = [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text_col])]
+    marked = docs.join(gone, (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias("cut"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return marked.mapInArrow(cutter(names.index(text_col), len(names)), f"{kinds}, n_lines long, n_kept long")

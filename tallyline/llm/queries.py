@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyline.llm import html_text, quality, toxicity
 from tallyline.llm.ann import nearest
@@ -68,7 +67,7 @@ def op8_recurrent_block_labeller(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_hash_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
 def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
