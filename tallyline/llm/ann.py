@@ -103,7 +103,7 @@ def searcher(k: int, wanted: int, share: float):
     return run
 
 
-def nearest(vectors: DataFrame, queries: str, k: int = 20, wanted: int = 5_000, share: float = 0.4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: str, k: int = 20, wanted: int = 5_000, share: float = 0.5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for every row that ``queries``, a SQL condition, selects.
 
     Equal vectors form one class with its k + 1 least ids: more of them cannot be among the k nearest. Classes are

@@ -171,7 +171,7 @@ def shard_matches(firsts: np.ndarray, hashes: np.ndarray, patterns: Patterns) ->
     new = np.ones(len(by), dtype=bool)
     new[1:] = (item[1:] != item[:-1]) | (np.diff(doc_word - item_word) != 0) | (np.diff(doc_word) != 1)
     start = np.flatnonzero(new)
-    end = np.append(start[1:], len(by)) - 1
+    end = np.append(start[1:], len(by))[: len(start)] - 1
     item, item_word, doc_word, length = item[start], item_word[start], doc_word[start], (doc_word[end] + length[end] - doc_word[start])
     doc = np.searchsorted(begins, doc_word, side="right") - 1
     by = np.lexsort([item_word, doc_word, item, doc])

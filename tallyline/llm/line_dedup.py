@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -152,6 +154,6 @@ def without_repeated_lines(
     gone = lines.select("id", "f", "line", "h1", "h2").join(touched, ["h1", "h2"]).where(F.struct("id", "f", "line") != F.col("keeper"))
     gone = gone.groupBy("id", "f").agg(F.collect_set("line").alias("cut"))
     here = [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text_col])]
-    marked = docs.join(gone, (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias("cut"))
+    marked = docs.join(gone, (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias(f"cut_{uuid.uuid4().hex}"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return marked.mapInArrow(cutter(names.index(text_col), len(names)), f"{kinds}, n_lines long, n_kept long")

@@ -14,19 +14,21 @@ from tallyline.llm.labelled import held_out, teaching_ids, texts_of
 from tallyline.llm.quality import sigmoid
 
 U64 = np.uint64
-BITS = 20  # hashed features
-PREFIXES = (4, 5, 6)  # bytes of word beginnings that are features beside whole words
-RARE, SURE = 5, 6.0  # confirmed texts a feature must occur in, and standard errors by which it must be more frequent there
+BITS = 20  # hashed words and word beginnings
+PREFIXES = (4, 5, 6)  # bytes of word beginnings that count beside whole words
+RATES = (1 / 200, 1 / 100, 1 / 50)  # shares of a text's words from which a word has further features
+LEVELS = len(RATES) + 1
+RARE, SURE = 5, 5.0  # confirmed texts a feature must occur in, and standard errors by which it must be more frequent there
 MODELS, STEPS, RATE = 3, 400, 0.05
 DECAY = 1e-5
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of all words and word beginnings, in any order and with repeats."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of all words and word beginnings, in any order and with repeats, and the number of words by row."""
     low = T.LOWER[data]
     hashes, starts, firsts = T.words(data, offsets, T.ALNUM)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.diff(firsts)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(firsts))
     up, down = T.powers(len(data))
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(T.BYTE_CODES[low] * up)])
@@ -39,35 +41,44 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         s = starts[at]
         rows.append(row[at])
         found.append(T.mix((sums[s + size] - sums[s]) * down[s] + U64(size)))
-    return np.concatenate(rows), (np.concatenate(found) >> U64(64 - BITS)).astype(np.int64)
+    return np.concatenate(rows), (np.concatenate(found) >> U64(64 - BITS)).astype(np.int64), np.diff(firsts)
+
+
+def graded(row: np.ndarray, word: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature: one for each distinct word of a row, and one more for each rate its share of the row reaches."""
+    pairs, counts = np.unique((row << BITS) | word, return_counts=True)
+    row, word = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    share = counts / n_words[row]
+    at = [np.arange(len(pairs)), *(np.flatnonzero(share >= rate) for rate in RATES)]
+    return np.concatenate([row[i] for i in at]), np.concatenate([word[i] * LEVELS + level for level, i in enumerate(at)])
 
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray  # mean weight of each hashed feature
+    features: np.ndarray  # those with a weight, ascending
+    weights: np.ndarray
     bias: float
 
     def score_rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        row, feature = features(data, offsets)
-        kept = self.weights[feature] != 0
-        pairs = np.unique((row[kept] << BITS) | feature[kept])
-        sums = np.bincount(pairs >> BITS, weights=self.weights[pairs & ((1 << BITS) - 1)], minlength=len(offsets) - 1)
-        return sigmoid(sums + self.bias)
+        row, word, n_words = words_of(data, offsets)
+        known = np.zeros(1 << BITS, dtype=bool)
+        known[self.features // LEVELS] = True
+        kept = known[word]
+        row, feature = graded(row[kept], word[kept], n_words)
+        at = np.searchsorted(self.features, feature)
+        found = np.append(self.features, -1)[at] == feature
+        return sigmoid(np.bincount(row[found], weights=self.weights[at[found]], minlength=len(offsets) - 1) + self.bias)
 
 
-def telling(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """The features that get a weight, and for each pair its number among them or -1.
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """The features that get a weight, from the numbers of positive and unlabelled texts that have each.
 
     A feature's share among negatives is its share in unlabelled text less what the positives in there account for.
     """
-    used, place = np.unique(feature, return_inverse=True)
-    n_p, n_u = max(positive.sum(), 1), max((~positive).sum(), 1)
-    in_p = np.bincount(place, weights=positive[row], minlength=len(used))
-    share_p, share_u = in_p / n_p, np.bincount(place, weights=~positive[row], minlength=len(used)) / n_u
+    share_p, share_u = in_p / max(n_p, 1), in_u / max(n_u, 1)
     share_n = np.maximum((share_u - prior * share_p) / (1 - prior), 0)
-    error = np.sqrt(np.maximum(share_p * (1 - share_p), 1 / n_p) / n_p + np.maximum(share_n * (1 - share_n), 1 / n_u) / n_u)
-    kept = (in_p >= RARE) & (share_p - share_n >= SURE * error)
-    return used[kept], np.where(kept, np.cumsum(kept) - 1, -1)[place]
+    error = np.maximum(share_p * (1 - share_p), 1 / max(n_p, 1)) / max(n_p, 1) + np.maximum(share_n * (1 - share_n), 1 / max(n_u, 1)) / max(n_u, 1)
+    return np.flatnonzero((in_p >= RARE) & (share_p - share_n >= SURE * np.sqrt(error)))
 
 
 def fit_nnpu(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior: float, n_features: int, seed: int) -> tuple[np.ndarray, float]:
@@ -100,48 +111,50 @@ def fit_nnpu(row: np.ndarray, feature: np.ndarray, positive: np.ndarray, prior:
     return w, float(b)
 
 
-def collect_features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and distinct feature of a bounded sample (label, text), and the rows' labels."""
+def sample_features(rows: DataFrame) -> pa.Table:
+    """The label and the features (a list) of a bounded sample (label, text)."""
 
     def run(batches):
         for batch in batches:
             for first, last, data, offsets in T.slices(batch.column(1)):
-                row, feature = features(data, offsets)
-                pairs = np.unique((row << BITS) | feature)
-                counts = np.bincount(pairs >> BITS, minlength=last - first)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32))
-                )
+                row, feature = graded(*words_of(data, offsets))
+                by = np.argsort(row, kind="stable")
+                counts = np.bincount(row, minlength=last - first)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(feature[by].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["label", "x"])
 
-    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, x array<int>").orderBy(F.xxhash64("x"), "label").toArrow()
-    labels = got.column("label").to_numpy()
-    lists = got.column("x").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy()) if len(labels) else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(labels)), sizes), lists.flatten().to_numpy().astype(np.int64) if len(labels) else np.zeros(0, np.int64), labels
+    return rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, x array<int>").orderBy(F.xxhash64("x"), "label").toArrow()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 4_000, unlabelled: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 3_000, unlabelled: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learn from at most ``positives`` confirmed rows and ``unlabelled`` documents whose labels are not looked at.
 
     Both samples are the first in the order of the ids' hashes, outside the held-out fold. The class prior is the share
-    of label 1 among all labelled rows outside that fold. Without a confirmed row every text scores 0.
+    of label 1 among all labelled rows outside that fold. Without a confirmed text every text scores next to 0.
     """
     rows = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    counts = rows.agg(F.avg((F.col(label) == 1).cast("double")).alias("prior")).first()
+    prior = rows.agg(F.avg((F.col(label) == 1).cast("double")).alias("prior")).first()["prior"]
     known = teaching_ids(labels, label, positives, id_col, value=1)
-    weights = np.zeros(1 << BITS)
-    if not counts["prior"]:
-        return ToxicityModel(weights, -40.0)
     others = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(unlabelled)
     both = texts_of(docs, known, id_col, text_col).union(texts_of(docs, others.withColumn("label", F.lit(0)), id_col, text_col))
-    row, feature, kind = collect_features(both)
-    prior = min(max(counts["prior"], 0.001), 0.9)
-    used, place = telling(row, feature, kind == 1, prior)
-    kept = place >= 0
-    bias = []
-    for seed in range(MODELS):
-        w, b = fit_nnpu(row[kept], place[kept], kind == 1, prior, len(used), seed)
-        weights[used] += w / MODELS
-        bias.append(b)
-    return ToxicityModel(np.where(np.abs(weights) > 1e-3, weights, 0), float(np.mean(bias)))
+    sample = sample_features(both)
+    positive = sample.column("label").to_numpy() == 1
+    if not prior or not positive.any():
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -10.0)
+    prior = min(max(prior, 0.001), 0.9)
+    counts = np.zeros((2, LEVELS << BITS), dtype=np.int64)
+    parts, at = [], 0
+    for chunk in sample.column("x").chunks:
+        sizes, feature = np.diff(chunk.offsets.to_numpy()), chunk.flatten().to_numpy()
+        row = np.repeat(np.arange(at, at + len(chunk), dtype=np.int32), sizes)
+        for kind in (0, 1):
+            counts[kind] += np.bincount(feature[positive[row] == kind], minlength=LEVELS << BITS)
+        parts.append((row, feature))
+        at += len(chunk)
+    used = telling(counts[1], counts[0], int(positive.sum()), int((~positive).sum()), prior)
+    number = np.full(LEVELS << BITS, -1, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    pairs = [(row[k], number[feature[k]]) for row, feature in parts for k in [number[feature] >= 0]]
+    row, feature = (np.concatenate([p[i] for p in pairs]).astype(np.int64) for i in (0, 1))
+    models = [fit_nnpu(row, feature, positive, prior, len(used), seed) for seed in range(MODELS)]
+    return ToxicityModel(used, np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])))

@@ -49,7 +49,7 @@ def test_recall_where_the_forest_chooses(spark, monkeypatch, block):
 def test_odd_vectors_and_a_hot_one(spark):
     rng = np.random.default_rng(3)
     good = [(i, rng.normal(size=6).tolist()) for i in range(1, 90)] + [(1000 + i, [1.0, 2.0, 0.5, 0.0, 0.0, 1.0]) for i in range(150)]
-    odd = [(500, None), (520, []), (540, [0.0] * 6), (560, [1.0, None, 0, 0, 0, 0.0]), (580, [float("nan")] * 6), (600, [float("inf")] * 6), (620, [1.0, 2.0]), (None, [1.0] * 6)]
+    odd = [(500, None), (520, []), (540, [0.0] * 6), (560, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (580, [float("nan")] * 6), (600, [float("inf")] * 6), (620, [1.0, 2.0]), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in good + odd], "vec_id long, embedding array<double>, cid string, block int")
     got, want = found(ann.nearest(df, ASKS, k=20)), brute(good, 20)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
