@@ -11,7 +11,7 @@ from tallyline.functions.period import Period, narrow
 from tallyline.operators.kpi import GROUP, HIT_TOTALS
 from tallyline.operators.ranges import join_windows
 from tallyline.operators.snapshots import latest, latest_recon
-from tallyline.operators.validation import KEY, RUN, run_keys
+from tallyline.operators.validation import KEY, RUN, run_keys, top
 
 # The columns tried as batch keys.
 HIT_KEYS = ("batch_id", "efile_batch_id", "reported_batch_id")
@@ -58,7 +58,9 @@ def journey_without_recon(journey: DataFrame, batch_recon: DataFrame, p: Period)
     }
 
 
-def bridge_by_group(batch_recon: DataFrame, hits: DataFrame, audit: DataFrame, p: Period) -> dict[str, DataFrame]:
+def bridge_by_group(
+    batch_recon: DataFrame, hits: DataFrame, audit: DataFrame, p: Period, k: int | None = None
+) -> dict[str, DataFrame]:
     """Evidence per batch, rolled up to groups. Distinct counts are per batch and then added.
 
     Distinct rules and customers per batch are counted over their own distinct
@@ -69,10 +71,12 @@ def bridge_by_group(batch_recon: DataFrame, hits: DataFrame, audit: DataFrame, p
     )
     keys = batches.select(*KEY).distinct()
     scoped = hits.withColumn("batch_id", F.col("efile_batch_id")).join(keys, list(KEY), "left_semi")
-    h = scoped.groupBy(*KEY).agg(
-        F.count("*").alias("rule_hit_rows"), F.count_distinct("rule_id").alias("distinct_rules"),
-        F.count_distinct("mtcn").alias("distinct_mtcns"),
-    )
+    # One shuffle of the hits, to (batch, rule, customer); the figures come from its counts.
+    pairs = scoped.groupBy(*KEY, "rule_id", "mtcn").agg(F.count("*").alias("n"))
+    rules = pairs.groupBy(*KEY, "rule_id").agg(F.sum("n").alias("n"))
+    rules = rules.groupBy(*KEY).agg(F.sum("n").alias("rule_hit_rows"), F.count("rule_id").alias("distinct_rules"))
+    mtcns = pairs.select(*KEY, "mtcn").distinct().groupBy(*KEY).agg(F.count("mtcn").alias("distinct_mtcns"))
+    h = rules.join(mtcns, list(KEY))
     a = audit.groupBy("rpt_grp_id", F.col("processing_batch_id").alias("batch_id")).agg(F.count("*").alias("exclusion_rows"))
     names = ("rule_hit_rows", "distinct_rules", "distinct_mtcns", "exclusion_rows")
     c = (
@@ -89,8 +93,8 @@ def bridge_by_group(batch_recon: DataFrame, hits: DataFrame, audit: DataFrame, p
             F.count("*").alias("transformation_batches"), count_if(with_hits, "batches_with_rule_hits"),
             count_if(with_audit, "batches_with_exclusions"),
             *[F.sum(n).alias("total_" + n) for n in names],
-        ).orderBy(F.desc("batches_with_rule_hits")),
-        "samples": c.filter(with_hits | with_audit).orderBy(F.desc("rule_hit_rows"), *KEY).limit(50),
+        ).orderBy(F.desc("batches_with_rule_hits"), *GROUP),
+        "samples": top(c.filter(with_hits | with_audit), k, F.desc("rule_hit_rows"), *KEY),
     }
 
 
@@ -215,11 +219,11 @@ WEEK = "INTERVAL 7 DAYS"
 
 
 def locate_recon_detail(
-    hit_recon: DataFrame, hits: DataFrame, rpt_grp_id: int | None = None, run_date: int | None = None, k: int = 30
+    hit_recon: DataFrame, hits: DataFrame, rpt_grp_id: int | None = None, run_date: int | None = None, k: int | None = None
 ) -> dict[str, DataFrame]:
     """Where the hits behind a reconciliation row may be: counts by several time anchors.
 
-    Works for one row or for all. Hits are counted per (group, anchor, time) first, and one
+    Works for one row or for all; ``k`` keeps the newest hits of each group as samples, or all. Hits are counted per (group, anchor, time) first, and one
     window join serves the four anchored counts.
     """
     runs = latest(narrow(hit_recon, rpt_grp_id=rpt_grp_id, run_date=run_date), ("rpt_grp_id", "run_date"))
@@ -256,14 +260,13 @@ def locate_recon_detail(
         .join(all_rows, "rpt_grp_id", "left").join(found, list(RUN), "left")
         .withColumns({n: F.coalesce(F.col(n), none) for n in ("all_rule_hit_rows", *tests)})
     )
-    # row_number <= k is limited per task before the shuffle, so a large group stays cheap.
-    newest = Window.partitionBy("rpt_grp_id").orderBy(F.desc_nulls_last("created_timestamp"), "attempt_id")
-    samples = (
-        scoped.join(runs.select("rpt_grp_id").distinct(), "rpt_grp_id", "left_semi")
-        .withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= k)
-        .select(
-            "rpt_grp_id", "place", "rule_id", "attempt_id", "external_txn_key", "mtcn", "is_reported", "exclusion_reason_id",
-            "transaction_date", "created_timestamp", "reporting_timestamp", "efile_batch_id", "reported_batch_id",
-        )
+    samples = scoped.join(runs.select("rpt_grp_id").distinct(), "rpt_grp_id", "left_semi")
+    if k is not None:
+        # row_number <= k is limited per task before the shuffle, so a large group stays cheap.
+        newest = Window.partitionBy("rpt_grp_id").orderBy(F.desc_nulls_last("created_timestamp"), "attempt_id", "rule_id", "bucket_id")
+        samples = samples.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= k).drop("place")
+    samples = samples.select(
+        "rpt_grp_id", "rule_id", "attempt_id", "bucket_id", "external_txn_key", "mtcn", "is_reported", "exclusion_reason_id",
+        "transaction_date", "created_timestamp", "reporting_timestamp", "efile_batch_id", "reported_batch_id",
     )
     return {"summary": rows, "samples": samples}

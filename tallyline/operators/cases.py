@@ -123,12 +123,11 @@ NAME_LENGTH = 60
 BLOCK_CHARS = 20000
 
 
-def route_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, first_block_only: bool = False) -> DataFrame:
+def route_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Sort documents into pdf, image and text by content type, then by file ending.
 
     Needs ``filename``, ``content_type`` and ``text``. A text becomes blocks of at most
-    ``block_chars`` characters that together hold all of it; ``first_block_only`` sends
-    what a single model call would see.
+    ``block_chars`` characters that together hold all of it.
     """
     ct = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
     lower = F.lower("filename")
@@ -152,7 +151,7 @@ def route_documents(docs: DataFrame, block_chars: int = BLOCK_CHARS, first_block
     )
     text = F.when(F.col("route") == "text", F.coalesce(F.col("text"), F.lit("")))
     last = F.greatest(F.ceil(F.length(text) / block_chars), F.lit(1)).cast("int") - 1
-    numbers = F.sequence(F.lit(0), F.lit(0) if first_block_only else F.coalesce(last, F.lit(0)))
+    numbers = F.sequence(F.lit(0), F.coalesce(last, F.lit(0)))
     return routed.withColumn("block_no", F.explode(numbers)).withColumn(
         "block", F.substring(text, F.col("block_no") * block_chars + 1, F.lit(block_chars))
     ).drop("text")

@@ -73,15 +73,18 @@ MAX_PAGE = 50
 def list_cases(cases: DataFrame, owner: str | None = None, cursor: tuple | None = None, limit: int = MAX_PAGE) -> DataFrame:
     """One page of cases, newest first. ``cursor`` is (created_at, case_id) of the last row seen.
 
-    A page that comes back full has a next page; its last row is the next cursor.
+    A page that comes back full has a next page; its last row is the next cursor. A page
+    longer than ``MAX_PAGE`` is refused.
     """
+    if not 0 < limit <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} cases, not {limit}")
     rows = cases if owner is None else cases.filter(F.col("owner_sub") == owner)
     if cursor is not None:
         at = F.lit(cursor[0]).cast(cases.schema["created_at"].dataType)
         # The first test says nothing new, but it is one the scan can skip files by.
         before = F.struct("created_at", "case_id") < F.struct(at.alias("created_at"), F.lit(cursor[1]).alias("case_id"))
         rows = rows.filter((F.col("created_at") <= at) & before)
-    page = rows.orderBy(F.desc("created_at"), F.desc("case_id")).limit(min(limit, MAX_PAGE))
+    page = rows.orderBy(F.desc("created_at"), F.desc("case_id")).limit(limit)
     return page.select("case_id", "owner_sub", "status", "created_at")
 
 

@@ -62,7 +62,7 @@ def hit_disposition(hits: DataFrame, p: Period) -> DataFrame:
     return long.select("level", "hits", percent(F.col("hits"), F.col("all_hits")).alias("pct_of_total"))
 
 
-def report_lag(hits: DataFrame, p: Period, approximate: bool = False) -> DataFrame:
+def report_lag(hits: DataFrame, p: Period) -> DataFrame:
     """Median and 95th percentile of days from transaction to report, per transaction day.
 
     Hits are first counted per (day, lag): lags are whole days, so the exact percentile
@@ -74,10 +74,7 @@ def report_lag(hits: DataFrame, p: Period, approximate: bool = False) -> DataFra
         .groupBy(F.to_date("transaction_date").alias("day"), lag.alias("lag"))
         .agg(F.count("*").alias("n"))
     )
-    if approximate:
-        q = F.expr("percentile_approx(lag, array(0.5, 0.95), 10000)")
-    else:
-        q = F.expr("percentile(lag, array(0.5, 0.95), n)")
+    q = F.expr("percentile(lag, array(0.5, 0.95), n)")
     return counts.groupBy("day").agg(F.sum("n").alias("reported_hits"), q.alias("q")).select(
         "day", "reported_hits",
         F.round(F.col("q")[0].cast("double"), 6).alias("median_days"),
@@ -106,25 +103,30 @@ def exclusion_daily_trend(hits: DataFrame, p: Period, reason: str) -> DataFrame:
     return daily.withColumn("is_peak", F.row_number().over(order) == 1)
 
 
+# A null group is a group of its own; only this column tells the total row.
+def _is_total() -> Column:
+    return (F.grouping("rpt_grp_id") == 1).alias("is_total")
+
+
 def recon_table(hit_recon: DataFrame, p: Period) -> DataFrame:
-    """Published, reported and missed hits per group and in total (null group)."""
+    """Published, reported and missed hits per group and in total; ``is_total`` marks the total row."""
     published = F.sum(F.coalesce(F.col("rule_hit_publish_count_source"), F.lit(0))).alias("published")
     per = latest_recon(hit_recon, p).groupBy("rpt_grp_id").agg(published, *hit_totals())
     # The cube level runs over the per-group sums, not over the detail rows.
     names = ("published", "expected", "matched", "missed")
-    return per.rollup("rpt_grp_id").agg(*[F.sum(n).alias(n) for n in names])
+    return per.rollup("rpt_grp_id").agg(_is_total(), *[F.sum(n).alias(n) for n in names])
 
 
 BREAKDOWN = ("total_rule_hits", "excluded", "requires_reporting", "reported", "still_open")
 
 
 def group_breakdown(hits: DataFrame, p: Period) -> DataFrame:
-    """Cohort counts per group with a total row (null group); totals add up the groups."""
+    """Cohort counts per group with a total row, marked by ``is_total``; totals add up the groups."""
     per = hits.filter(p.holds("transaction_date")).groupBy("rpt_grp_id").agg(
         *cohort(p, BREAKDOWN), count_if(open_at(p) & (age_days(p.end) > 30), "open_over_30_days")
     )
     names = (*BREAKDOWN, "open_over_30_days")
-    out = per.rollup("rpt_grp_id").agg(*[F.sum(n).alias(n) for n in names])
+    out = per.rollup("rpt_grp_id").agg(_is_total(), *[F.sum(n).alias(n) for n in names])
     return out.withColumn("reported_pct", percent(F.col("reported"), F.col("requires_reporting")))
 
 
@@ -154,20 +156,23 @@ def open_hits_drill(
     return page if page_size is None else page.limit(page_size)
 
 
-def tie_out(hits: DataFrame, p: Period) -> DataFrame:
-    """Identities the page must satisfy; returns the ones that fail, so no row is good."""
+def tie_out(hits: DataFrame, p: Period, published: DataFrame | None = None) -> DataFrame:
+    """The identities the page must satisfy, each with both sides and whether they agree.
+
+    The left sides are counted from the detail rows anew, without groups; the right sides are what the page shows:
+    the total row and the sum of the group rows of ``published``, by default ``group_breakdown`` of the same hits.
+    """
     names = (*BREAKDOWN, "open_over_30_days")
-    per = group_breakdown(hits, p)
-    grand = per.filter("rpt_grp_id IS NULL")
-    groups = per.filter("rpt_grp_id IS NOT NULL").agg(*[F.sum(n).alias(n) for n in names])
-    legs: Column = F.col("excluded") + F.col("reported") + F.col("still_open")
-    identity = grand.select(
-        F.lit("excluded + reported + open = total").alias("check"), legs.alias("left_side"),
-        F.col("total_rule_hits").alias("right_side"),
-    )
-    totals = grand.unpivot([], list(names), "check", "left_side").join(
-        groups.unpivot([], list(names), "check", "right_side"), "check"
+    shown = group_breakdown(hits, p) if published is None else published
+    cohort_rows = hits.filter(p.holds("transaction_date"))
+    counted = cohort_rows.agg(*cohort(p, BREAKDOWN), count_if(open_at(p) & (age_days(p.end) > 30), "open_over_30_days"))
+    total = [F.coalesce(F.sum(F.when(F.col("is_total"), F.col(n))), F.lit(0)).alias(f"total {n}") for n in names]
+    groups = [F.coalesce(F.sum(F.when(~F.col("is_total"), F.col(n))), F.lit(0)).alias(f"groups {n}") for n in names]
+    right = shown.agg(*total, *groups).unpivot([], [f"{k} {n}" for k in ("total", "groups") for n in names], "check", "right_side")
+    left = counted.unpivot([], list(names), "name", "left_side")
+    parts = left.join(right, F.col("name") == F.element_at(F.split("check", " "), 2)).select("check", "left_side", "right_side")
+    legs = counted.select(
+        F.lit("excluded + reported + open = total").alias("check"),
+        (F.col("excluded") + F.col("reported") + F.col("still_open")).alias("left_side"), F.col("total_rule_hits").alias("right_side"),
     )
-    both = identity.unionByName(totals.withColumn("check", F.concat(F.lit("groups add up: "), "check")))
-    return both.filter(~F.col("left_side").eqNullSafe(F.col("right_side")))
-
+    return parts.unionByName(legs).withColumn("passed", F.col("left_side").eqNullSafe(F.col("right_side")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tallyline.functions.period import Period, narrow
 
@@ -13,10 +14,14 @@ NEWEST = ("seq_no", "modified_timestamp", "created_timestamp")
 def latest(df: DataFrame, keys: tuple[str, ...], newest: tuple[str, ...] = NEWEST) -> DataFrame:
     """The newest row per key; nulls sort as oldest.
 
+    Rows that tie on ``newest`` are told apart by their other columns, in the order of the table, greatest first, so
+    the answer never depends on the order of reading.
+
     ``row_number() = 1`` plans as a partial WindowGroupLimit before the shuffle, so a
     task sends one row per key however many versions it read.
     """
-    order = [F.desc_nulls_last(c) for c in newest if c in df.columns]
+    others = [f.name for f in df.schema.fields if f.name not in (*keys, *newest) and not isinstance(f.dataType, (MapType, VariantType))]
+    order = [F.desc_nulls_last(c) for c in (*[c for c in newest if c in df.columns], *others)]
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).filter(F.col("_rn") == 1).drop("_rn")
 
@@ -56,9 +61,8 @@ def upsert_latest(
 ) -> DataFrame:
     """Table content after an upsert: a change replaces the row of its key.
 
-    Among changes to one key the newest wins; any change beats the stored row.
+    Among changes to one key the newest wins; any change beats the stored row. Only the changes are ordered; the
+    stored rows are passed on, save those a change replaces. Keys hold no nulls.
     """
-    both = current.withColumn("_is_change", F.lit(0)).unionByName(
-        changes.withColumn("_is_change", F.lit(1)), allowMissingColumns=True
-    )
-    return latest(both, keys, ("_is_change", *newest)).drop("_is_change")
+    kept = current.join(changes.select(*keys).distinct(), list(keys), "left_anti")
+    return kept.unionByName(latest(changes, keys, newest), allowMissingColumns=True)

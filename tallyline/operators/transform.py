@@ -139,8 +139,8 @@ def missing_attempts(hits: DataFrame, attempts: DataFrame, config: DataFrame, mo
 
 
 def reported_keys(hits: DataFrame, config: DataFrame) -> DataFrame:
-    """Keys with at least one reported hit."""
-    return with_recon_key(hits.filter("is_reported"), config).select(*KEY).distinct()
+    """Keys with reported hits and how many."""
+    return with_recon_key(hits.filter("is_reported"), config).groupBy(*KEY).agg(F.count("*").alias("reported_hits"))
 
 
 def already_reported(
@@ -149,12 +149,15 @@ def already_reported(
     """Split candidates by whether another hit of their key was reported before.
 
     The rule itself is not published; this is our reading. It cannot rest on the row's own
-    exclusion reason, since candidates have none.
+    exclusion reason, since candidates have none. Candidates are rows of ``hits``, so a
+    reported candidate is one of its key's reported hits, and not another one.
     """
     keyed = with_recon_key(candidates, config).alias("h")
     known = reported_keys(hits, config).alias("r")
-    kept = keyed.join(known, same_key("h", "r"), "left_anti")
-    seen = keyed.join(known, same_key("h", "r"), "left_semi")
+    flagged = keyed.join(known, same_key("h", "r"), "left").select("h.*", "reported_hits")
+    others = F.coalesce("reported_hits", F.lit(0)) - F.coalesce("is_reported", F.lit(False)).cast("int")
+    kept = flagged.filter(others == 0).drop("reported_hits")
+    seen = flagged.filter(others > 0)
     evidence = seen.select(
         "rpt_grp_id", F.col("key_txn").alias("identifier"), F.lit("FILTRATION").alias("stage"),
         F.lit("EXCLUDED").alias("status"),
@@ -226,30 +229,42 @@ def build_batch_reconciliation(
     with an exclusion or the SML mark leave; keys without arrived attempts and keys
     reported before leave; the latest attempt of each remaining key is kept. Selected,
     excluded, missing, already reported and reportable figures count keys; the dedup
-    figure counts rows. Everything after the joins is two partial aggregations, per
+    figure counts rows. A key counts as already reported if every live row of it has
+    another reported hit; a live row that is the key's only reported hit stays alone. Everything after the joins is two partial aggregations, per
     (batch, key) and per batch.
     """
     pool = hits.filter(F.col("efile_batch_id").isNull()).select(
         *HIT_PK, "external_txn_key", "exclusion_reason_id", "galactic_id", "mtcn", "transaction_date",
-        "created_timestamp", "reporting_timestamp",
+        "created_timestamp", "reporting_timestamp", "is_reported",
     )
     inside = join_windows(pool, windows, ("rpt_grp_id",), "transaction_date", "lookback_start_ts", "to_ts")
     keyed = with_recon_key(with_attempts(inside, attempts), config)
     live = required() & ~is_sml()
+    own = live & F.coalesce("is_reported", F.lit(False))
     kept = F.struct("attempt_id", "rule_id", "bucket_id")
     row = F.struct("transaction_date", "created_timestamp", "reporting_timestamp", "from_ts", "to_ts", "lookback_start_ts")
     per_key = keyed.groupBy("batch_id", *KEY).agg(
         F.every(excluded()).alias("all_excluded"),
         F.count_if(live).alias("live_rows"),
         F.every(F.when(live, F.col("txn_sur_key").isNull())).alias("all_missing"),
-        F.max_by(F.when(live, row), F.when(live, kept)).alias("r"),
+        F.count_if(own).alias("own_reported"),
+        F.max_by(F.when(live, row), F.when(live, kept)).alias("r_any"),
+        F.max_by(F.when(own, row), F.when(own, kept)).alias("r_own"),
     )
-    known = reported_keys(hits, config).withColumn("was_reported", F.lit(True))
-    flagged = per_key.alias("h").join(known.alias("r_"), same_key("h", "r_"), "left").select("h.*", "was_reported")
+    known = reported_keys(hits, config)
+    flagged = per_key.alias("h").join(known.alias("r_"), same_key("h", "r_"), "left").select("h.*", "reported_hits")
+    times = F.coalesce("reported_hits", F.lit(0))
+    alone = (times == 1) & (F.col("own_reported") == 1)
+    flagged = flagged.withColumns(
+        {
+            "was_reported": (times > 0) & ~alone, "r": F.when(alone, F.col("r_own")).otherwise(F.col("r_any")),
+            "left_rows": F.when(alone, F.lit(1)).otherwise(F.col("live_rows")),
+        }
+    ).drop("r_any", "r_own")
     has_rows = F.col("live_rows") > 0
     missing = has_rows & F.col("all_missing")
-    already = has_rows & ~F.col("all_missing") & F.col("was_reported").isNotNull()
-    left = has_rows & ~F.col("all_missing") & F.col("was_reported").isNull()
+    already = has_rows & ~F.col("all_missing") & F.col("was_reported")
+    left = has_rows & ~F.col("all_missing") & ~F.col("was_reported")
     flat = flagged.withColumns({"missing": missing, "already": already, "kept": left}).select("*", "r.*")
     look = F.col("kept") & (F.col("transaction_date") < F.col("from_ts"))
     per = F.col("kept") & (F.col("transaction_date") >= F.col("from_ts"))
@@ -270,20 +285,17 @@ def build_batch_reconciliation(
         n(per, "reporting_period_txn"), n(future_per, "reporting_period_future_reporting_txn"),
         n(per & ~future_per, "reporting_period_actual_txn"),
         n(look | per, "activity_selected"),
-        sure_total(F.when(F.col("kept"), F.col("live_rows") - 1), "soft_dedup_dropped_txn_count"),
+        sure_total(F.when(F.col("kept"), F.col("left_rows") - 1), "soft_dedup_dropped_txn_count"),
     )
 
 
 def assign_batch(hits: DataFrame, chosen: DataFrame, batch_id: Column, at: datetime) -> DataFrame:
     """Rule-hit table after the chosen hits went into a batch: efile batch set, not reported yet."""
-    changes = chosen.withColumns(
-        {
-            "efile_batch_id": batch_id,
-            "is_reported": F.lit(False),
-            "modified_timestamp": F.lit(at).cast(chosen.schema["modified_timestamp"].dataType),
-        }
-    )
-    return upsert_latest(hits, changes, HIT_PK)
+    changes = chosen.select(*HIT_PK, batch_id.alias("_new")).dropDuplicates(HIT_PK).withColumn("_chosen", F.lit(True))
+    stamp = F.lit(at).cast(hits.schema["modified_timestamp"].dataType)
+    new = {"efile_batch_id": F.col("_new"), "is_reported": F.lit(False), "modified_timestamp": stamp}
+    marked = hits.join(changes, list(HIT_PK), "left")
+    return marked.withColumns({c: F.when(F.col("_chosen"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("_new", "_chosen")
 
 
 def expected_matched_missed(expected: DataFrame, actual: DataFrame, keys: tuple[str, ...], group: str = "rpt_grp_id") -> DataFrame:

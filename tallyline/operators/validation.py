@@ -33,8 +33,10 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return long.groupBy("field", "value").agg(F.count("*").alias("row_count"))
 
 
-def top(df: DataFrame, k: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(k)
+def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
+    """Rows in order; the first ``k`` of them, or all."""
+    rows = df.orderBy(*order)
+    return rows if k is None else rows.limit(k)
 
 
 def run_keys(df: DataFrame, p: Period) -> DataFrame:
@@ -42,7 +44,7 @@ def run_keys(df: DataFrame, p: Period) -> DataFrame:
     return df.filter(p.holds("created_timestamp") & F.col("batch_id").isNotNull()).select(*KEY).distinct()
 
 
-def batch_join_time(batch_recon: DataFrame, batch_info: DataFrame, p: Period) -> Sections:
+def batch_join_time(batch_recon: DataFrame, batch_info: DataFrame, p: Period, k: int | None = None) -> Sections:
     j = with_batch_info(latest_batch(batch_recon, p), batch_info)
     there = F.col("has_batch_info").isNotNull()
     inside = p.holds("process_timestamp")
@@ -59,14 +61,14 @@ def batch_join_time(batch_recon: DataFrame, batch_info: DataFrame, p: Period) ->
         "status": value_counts(matched, "batch_status"),
         "unmatched": top(
             j.filter(~there).select(*GROUP, "batch_id", "seq_no", "created_timestamp"),
-            10, F.desc("created_timestamp"), *KEY,
+            k, F.desc("created_timestamp"), *KEY,
         ),
         "timing": top(
             matched.select(
                 *GROUP, "batch_id", "seq_no", F.col("created_timestamp").alias("reconciliation_created_timestamp"),
                 "process_timestamp", "batch_info_created_timestamp", "batch_status", "compiler_status", "report_status",
             ),
-            15, F.desc_nulls_last("process_timestamp"), *KEY,
+            k, F.desc_nulls_last("process_timestamp"), *KEY,
         ),
     }
 
@@ -89,7 +91,7 @@ def balance_counts(df: DataFrame, controls: tuple[str, ...]) -> DataFrame:
     )
 
 
-def control_equations(batch_recon: DataFrame, p: Period) -> Sections:
+def control_equations(batch_recon: DataFrame, p: Period, k: int | None = None) -> Sections:
     b = latest_batch(batch_recon, p)
     back = -C.gap("reportable")
     bad = C.any_gap("reportable", "activity", "transformation")
@@ -103,7 +105,7 @@ def control_equations(batch_recon: DataFrame, p: Period) -> Sections:
                 "activity_transformation_failed", "duplicate_transformation",
                 C.gap("transformation").alias("transformation_difference"),
             ),
-            20, F.desc(F.abs("reportable_difference")), *KEY,
+            k, F.desc(F.abs("reportable_difference")), *KEY,
         ),
     }
 
@@ -114,7 +116,7 @@ WINDOWS = (
 )
 
 
-def future_reporting(batch_recon: DataFrame, p: Period) -> Sections:
+def future_reporting(batch_recon: DataFrame, p: Period, k: int | None = None) -> Sections:
     b = latest_batch(batch_recon, p)
     ahead = C.zero(FUTURE[0]) + C.zero(FUTURE[1])
     return {
@@ -127,13 +129,13 @@ def future_reporting(batch_recon: DataFrame, p: Period) -> Sections:
         ),
         "largest": top(
             b.filter(ahead > 0).select(*GROUP, "batch_id", *WINDOWS, ahead.alias("total_future_reporting")),
-            20, F.desc("total_future_reporting"), *KEY,
+            k, F.desc("total_future_reporting"), *KEY,
         ),
     }
 
 
 def against_journey(
-    batch_recon: DataFrame, journey: DataFrame, p: Period, pairs: dict[str, tuple[str, Column]], k: int = 25
+    batch_recon: DataFrame, journey: DataFrame, p: Period, pairs: dict[str, tuple[str, Column]], k: int | None = None
 ) -> Sections:
     """Compare batch counters with marker rows in the journey.
 
@@ -191,7 +193,7 @@ def transformed_failed(batch_recon: DataFrame, journey: DataFrame, p: Period) ->
     )
 
 
-def duplicates(batch_recon: DataFrame, p: Period) -> Sections:
+def duplicates(batch_recon: DataFrame, p: Period, k: int | None = None) -> Sections:
     b = latest_batch(batch_recon, p)
     dup = C.zero("duplicate_transformation") > 0
     return {
@@ -203,7 +205,7 @@ def duplicates(batch_recon: DataFrame, p: Period) -> Sections:
             b.filter(dup).select(
                 *GROUP, "batch_id", "duplicate_transformation", "activity_transformed", "activity_transformation_failed"
             ),
-            25, F.desc("duplicate_transformation"), *KEY,
+            k, F.desc("duplicate_transformation"), *KEY,
         ),
     }
 
@@ -296,7 +298,7 @@ def _left_counts(df: DataFrame, side: DataFrame, on: tuple[str, ...]) -> DataFra
     return df.join(side, list(on), "left").withColumns({n: F.coalesce(F.col(n), none) for n in names})
 
 
-def recon_detail_linkage(hit_recon: DataFrame, log: DataFrame, analysis: DataFrame, p: Period) -> Sections:
+def recon_detail_linkage(hit_recon: DataFrame, log: DataFrame, analysis: DataFrame, p: Period, k: int | None = None) -> Sections:
     pro, rep = F.col("is_processed"), F.col("is_reported")
     lg = log.groupBy(*RUN).agg(
         F.count("*").alias("log_rows"), F.count_distinct("external_txn_key").alias("log_distinct_transactions"),
@@ -317,12 +319,12 @@ def recon_detail_linkage(hit_recon: DataFrame, log: DataFrame, analysis: DataFra
             count_if(missed, "rows_with_misses"), count_if(missed & seen, "miss_rows_with_log_evidence"),
             count_if(missed & studied, "miss_rows_with_analysis_evidence"),
         ),
-        "samples": top(j, 50, F.desc("missed_rule_hits"), F.desc("expected_rule_hits"), *RUN),
+        "samples": top(j, k, F.desc("missed_rule_hits"), F.desc("expected_rule_hits"), *RUN),
     }
 
 
 def missed_hit_evidence(
-    hit_recon: DataFrame, log: DataFrame, analysis: DataFrame, unprocessed: DataFrame, p: Period
+    hit_recon: DataFrame, log: DataFrame, analysis: DataFrame, unprocessed: DataFrame, p: Period, k: int | None = None
 ) -> Sections:
     pro, rep = F.col("is_processed"), F.col("is_reported")
     lg = log.groupBy(*RUN).agg(
@@ -348,11 +350,13 @@ def missed_hit_evidence(
             sure_total("missed_rule_hits", "total_missed_rule_hits"),
             *[count_if(F.col(c) == miss, f"rows_where_{c}_equals_missed") for c in candidates],
         ),
-        "samples": top(j, 50, F.desc("missed_rule_hits"), *RUN),
+        "samples": top(j, k, F.desc("missed_rule_hits"), *RUN),
     }
 
 
-def report_generation(batch_recon: DataFrame, journey: DataFrame, batch_info: DataFrame, p: Period) -> Sections:
+def report_generation(
+    batch_recon: DataFrame, journey: DataFrame, batch_info: DataFrame, p: Period, k: int | None = None
+) -> Sections:
     done = journey.filter(M.generated()).groupBy(*KEY).agg(F.count_distinct("identifier").alias("generated_txn"))
     base = with_batch_info(latest_batch(batch_recon, p), batch_info).withColumn("actual", C.zero("actual_reportable_txn"))
     j = _left_counts(base, done, KEY).withColumn("difference", F.col("generated_txn") - F.col("actual"))
@@ -375,7 +379,7 @@ def report_generation(batch_recon: DataFrame, journey: DataFrame, batch_info: Da
                 *GROUP, "batch_id", "seq_no", F.col("actual").alias("actual_reportable_txn"), "generated_txn", "difference",
                 "report_status", "compiler_status", "batch_status",
             ),
-            25, F.desc(F.abs("difference")), *KEY,
+            k, F.desc(F.abs("difference")), *KEY,
         ),
     }
 
@@ -397,7 +401,7 @@ def rule_hit_recon(hit_recon: DataFrame, p: Period) -> Sections:
             count_if(d == 0, "distinct_equation_balances"), count_if(d != 0, "distinct_equation_fails"),
             count_if(u == 0, "publish_equation_balances"), count_if(u != 0, "publish_equation_fails"),
         ),
-        "rows": rows.orderBy("rpt_grp_name", "run_date"),
+        "rows": rows.orderBy("rpt_grp_name", *RUN),
     }
 
 
@@ -411,7 +415,7 @@ def transformation_waterfall(batch_recon: DataFrame, p: Period) -> Sections:
             "expected_reportable_txn", sel.alias("selection_balance_diff"),
             "actual_activity_eligible_for_transformation", "activity_transformed", "activity_transformation_failed",
             "duplicate_transformation", dis.alias("transformation_balance_diff"),
-        ).orderBy(F.desc(F.abs("selection_balance_diff")), F.desc(F.abs("transformation_balance_diff"))),
+        ).orderBy(F.desc(F.abs("selection_balance_diff")), F.desc(F.abs("transformation_balance_diff")), *KEY),
     }
 
 
@@ -422,17 +426,16 @@ CANDIDATE_FIELDS = (
 )
 
 
-def selection_balance(batch_recon: DataFrame, p: Period, limit: int | None = None) -> Sections:
+def selection_balance(batch_recon: DataFrame, p: Period, k: int | None = None) -> Sections:
     """Batches whose selection does not add up, with totals of fields that might explain it.
 
-    The older report took the 50 worst batches before summing; ``limit=50`` does the same.
+    The totals always cover every such batch; ``k`` shortens the list alone.
     """
     diff = C.gap("selection")
     bad = latest_batch(batch_recon, p).filter(diff != 0).withColumn("selection_balance_diff", diff)
     order = (F.desc(F.abs("selection_balance_diff")), *KEY)
-    scope = bad if limit is None else top(bad, limit, *order)
     return {
-        "summary": scope.agg(
+        "summary": bad.agg(
             F.count("*").alias("unbalanced_batches"),
             F.max(F.abs("selection_balance_diff")).alias("max_selection_difference"),
             *[total(c) for c in CANDIDATE_FIELDS],
@@ -442,7 +445,7 @@ def selection_balance(batch_recon: DataFrame, p: Period, limit: int | None = Non
                 "batch_id", *GROUP, "selection_balance_diff", "txn_selected", "excluded_txn",
                 "txn_missing_attempt_count", "already_reported_count", "expected_reportable_txn", *CANDIDATE_FIELDS,
             ),
-            50, *order,
+            k, *order,
         ),
     }
 
@@ -457,5 +460,5 @@ def control_relationships(batch_recon: DataFrame, p: Period) -> Sections:
         "exceptions": b.filter(C.any_gap(*RELATED)).select(
             "batch_id", *GROUP, "expected_reportable_txn", "activity_selected", "lookback_txn", "reporting_period_txn",
             *[C.gap(c).alias(f"{c}_diff") for c in RELATED],
-        ).orderBy(F.desc(F.abs("activity_diff")), F.desc(F.abs("expected_vs_selected_diff"))),
+        ).orderBy(F.desc(F.abs("activity_diff")), F.desc(F.abs("expected_vs_selected_diff")), *KEY),
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallyline.plans.oracle_tables import with_tables
 
-START, AFTER, LAST = "DATE '1995-01-01'", "DATE '2001-08-01'", "DATE '2001-07-31'"
+START, AFTER, LAST = "DATE '1996-06-01'", "DATE '1996-10-01'", "DATE '1996-09-30'"
 INSIDE = f"created_timestamp >= {START} AND created_timestamp < {AFTER}"
 TXN_INSIDE = f"transaction_date >= {START} AND transaction_date < {AFTER}"
 OPEN = f"(exclusion_reason_id IS NULL AND (reporting_timestamp IS NULL OR reporting_timestamp >= {AFTER}))"
@@ -127,7 +127,7 @@ STEPS: dict[str, str] = {
         FROM batch_info""",
     "lbi": "SELECT * FROM lbx LEFT JOIN info USING (rpt_grp_id, batch_id, seq_no)",
     "any_lbi": "SELECT * FROM any_lb LEFT JOIN info USING (rpt_grp_id, batch_id, seq_no)",
-    "lr": f"""SELECT * FROM hit_recon WHERE run_date BETWEEN 19950101 AND 20010731
+    "lr": f"""SELECT * FROM hit_recon WHERE run_date BETWEEN 19960601 AND 19960930
         QUALIFY row_number() OVER (PARTITION BY rpt_grp_id, run_date {NEWEST}) = 1""",
     "lr_made": f"""SELECT * FROM hit_recon WHERE {INSIDE}
         QUALIFY row_number() OVER (PARTITION BY rpt_grp_id, run_date {NEWEST}) = 1""",
@@ -199,25 +199,25 @@ STEPS: dict[str, str] = {
     "gone": """SELECT rpt_grp_id, key_txn, key_part, count(*) AS row_count FROM keyed
         LEFT JOIN attempts USING (attempt_id) GROUP BY ALL HAVING count(txn_sur_key) = 0""",
     "candidates": "SELECT * FROM keyed WHERE efile_batch_id IS NULL AND exclusion_reason_id IS NULL",
-    "seen": "SELECT DISTINCT rpt_grp_id, key_txn, key_part FROM keyed WHERE is_reported",
+    "reported_n": "SELECT rpt_grp_id, key_txn, key_part, count(*) AS n_rep FROM keyed WHERE is_reported GROUP BY ALL",
     "windows": """SELECT rpt_grp_id, batch_id, arg_max(txn_lookback_start_timestamp, seq_no) AS w0,
         arg_max(txn_start_timestamp, seq_no) AS w1, arg_max(txn_end_timestamp, seq_no) AS w2 FROM batch_info GROUP BY ALL""",
     "pool": """SELECT w.batch_id AS run, w0, w1, w2, keyed.* EXCLUDE batch_id, txn_sur_key,
             exclusion_reason_id IS NULL AND NOT coalesce(contains(galactic_id, 'SML'), false)
-                AND NOT coalesce(contains(mtcn, 'SML'), false) AS live
-        FROM keyed JOIN windows w ON w.rpt_grp_id = keyed.rpt_grp_id AND transaction_date BETWEEN w0 AND w2
+                AND NOT coalesce(contains(mtcn, 'SML'), false) AS live,
+            coalesce(n_rep, 0) > coalesce(is_reported, false)::INT AS other_reported
+        FROM keyed LEFT JOIN reported_n r ON r.rpt_grp_id = keyed.rpt_grp_id AND r.key_txn = keyed.key_txn
+            AND r.key_part IS NOT DISTINCT FROM keyed.key_part JOIN windows w ON w.rpt_grp_id = keyed.rpt_grp_id AND transaction_date BETWEEN w0 AND w2
         LEFT JOIN attempts USING (attempt_id) WHERE efile_batch_id IS NULL""",
     "pool_keys": """SELECT rpt_grp_id, run, key_txn, key_part, bool_and(exclusion_reason_id IS NOT NULL) AS all_ex,
-            count(*) FILTER (live) AS n_live, count(txn_sur_key) FILTER (live) = 0 AS no_attempt,
+            count(*) FILTER (live) AS n_live, count(*) FILTER (live AND NOT other_reported) AS n_left, count(txn_sur_key) FILTER (live) = 0 AS no_attempt,
             arg_max({'t': transaction_date, 'c': created_timestamp, 'r': reporting_timestamp, 'w0': w0, 'w1': w1, 'w2': w2},
-                (attempt_id, rule_id, bucket_id)) FILTER (live) AS x
+                (attempt_id, rule_id, bucket_id)) FILTER (live AND NOT other_reported) AS x
         FROM pool GROUP BY ALL""",
-    "pool_state": """SELECT k.*, s.key_txn IS NOT NULL AS known,
-            n_live > 0 AND NOT no_attempt AND s.key_txn IS NULL AS kept,
+    "pool_state": """SELECT k.*, n_left = 0 AS known, n_live > 0 AND NOT no_attempt AND n_left > 0 AS kept,
             x.c::DATE > x.r::DATE AND x.r >= x.w0 AND x.r < x.w1 AS f_look,
             x.c::DATE > x.r::DATE AND x.r >= x.w1 AND x.r <= x.w2 AS f_per
-        FROM pool_keys k LEFT JOIN seen s ON s.rpt_grp_id = k.rpt_grp_id AND s.key_txn = k.key_txn
-            AND s.key_part IS NOT DISTINCT FROM k.key_part""",
+        FROM pool_keys k""",
     "graded": """SELECT *, [x FOR x IN list_transform(string_split(coalesce(flags, ''), ','), lambda f: trim(f)) IF x <> ''] AS fl
         FROM cases_flat""",
     "grades": """SELECT *, CASE WHEN gsi_match_score >= 0.75 OR flags ILIKE '%threshold%' OR flags ILIKE '%structur%' THEN 'HIGH'
@@ -350,10 +350,10 @@ SQL["val_batch_join_time"] = f"""
            {cnt(f'NOT ({_IN_PT})', 'process_timestamp_outside')} FROM lbi"""
 SQL["val_batch_join_time__status"] = "SELECT 'batch_status' AS field, coalesce(batch_status, '<NULL>') AS value, count(*) AS row_count FROM lbi WHERE has_info GROUP BY ALL"
 SQL["val_batch_join_time__unmatched"] = """SELECT rpt_grp_id, rpt_grp_name, batch_id, seq_no, created_timestamp FROM lbi WHERE has_info IS NULL
-    ORDER BY created_timestamp DESC, rpt_grp_id, batch_id LIMIT 10"""
+    ORDER BY created_timestamp DESC, rpt_grp_id, batch_id"""
 SQL["val_batch_join_time__timing"] = """SELECT rpt_grp_id, rpt_grp_name, batch_id, seq_no, created_timestamp AS reconciliation_created_timestamp,
     process_timestamp, batch_info_created_timestamp, batch_status, compiler_status, report_status FROM lbi WHERE has_info
-    ORDER BY process_timestamp DESC NULLS LAST, rpt_grp_id, batch_id LIMIT 15"""
+    ORDER BY process_timestamp DESC NULLS LAST, rpt_grp_id, batch_id"""
 
 
 def balances(names: list[str]) -> str:
@@ -369,14 +369,14 @@ SQL["val_control_equations__mismatches"] = """
            activity_selected, lookback_txn, reporting_period_txn, activity_simulated, actual_activity_eligible_for_transformation,
            activity_transformed, activity_transformation_failed, duplicate_transformation, g_transformation AS transformation_difference
     FROM lbx WHERE g_reportable <> 0 OR g_activity <> 0 OR g_transformation <> 0
-    ORDER BY abs(g_reportable) DESC, rpt_grp_id, batch_id LIMIT 20"""
+    ORDER BY abs(g_reportable) DESC, rpt_grp_id, batch_id"""
 _LF, _PF = "coalesce(lookback_future_reporting_txn, 0)", "coalesce(reporting_period_future_reporting_txn, 0)"
 _WIN = "lookback_txn lookback_actual_txn lookback_future_reporting_txn reporting_period_txn reporting_period_actual_txn reporting_period_future_reporting_txn".split()
 SQL["val_future_reporting"] = f"""SELECT count(*) AS total_batches, {cnt(f'{_LF} > 0', 'batches_with_lookback_future_reporting')},
     {cnt(f'{_PF} > 0', 'batches_with_reporting_period_future_reporting')}, {cnt(f'{_LF} + {_PF} > 0', 'batches_with_any_future_reporting')},
     {', '.join(sure(c, 'sum_' + c) for c in _WIN)} FROM lb"""
 SQL["val_future_reporting__largest"] = f"""SELECT rpt_grp_id, rpt_grp_name, batch_id, {', '.join(_WIN)}, {_LF} + {_PF} AS total_future_reporting
-    FROM lb WHERE {_LF} + {_PF} > 0 ORDER BY total_future_reporting DESC, rpt_grp_id, batch_id LIMIT 20"""
+    FROM lb WHERE {_LF} + {_PF} > 0 ORDER BY total_future_reporting DESC, rpt_grp_id, batch_id"""
 
 
 def journey_check(pairs: dict[str, str]) -> tuple[str, str]:
@@ -392,7 +392,7 @@ def journey_check(pairs: dict[str, str]) -> tuple[str, str]:
     last = list(pairs.values())[-1]
     return (
         f"SELECT {', '.join(facts)} FROM journey_cmp",
-        f"SELECT rpt_grp_id, rpt_grp_name, batch_id, {cols} FROM journey_cmp WHERE {bad} ORDER BY {z(last)} DESC, rpt_grp_id, batch_id LIMIT 25",
+        f"SELECT rpt_grp_id, rpt_grp_name, batch_id, {cols} FROM journey_cmp WHERE {bad} ORDER BY {z(last)} DESC, rpt_grp_id, batch_id",
     )
 
 
@@ -405,7 +405,7 @@ for _n, _p in {
 SQL["val_duplicates"] = f"""SELECT count(*) AS total_batches, {cnt('duplicate_transformation > 0', 'batches_with_duplicates')},
     {sure('duplicate_transformation', 'total_duplicates')} FROM lb"""
 SQL["val_duplicates__largest"] = """SELECT rpt_grp_id, rpt_grp_name, batch_id, duplicate_transformation, activity_transformed,
-    activity_transformation_failed FROM lb WHERE duplicate_transformation > 0 ORDER BY duplicate_transformation DESC, rpt_grp_id, batch_id LIMIT 25"""
+    activity_transformation_failed FROM lb WHERE duplicate_transformation > 0 ORDER BY duplicate_transformation DESC, rpt_grp_id, batch_id"""
 SQL["json_row"] = f"SELECT 'summary' AS section, to_json(d)::VARCHAR AS result FROM ({SQL['val_duplicates']}) d"
 SQL["val_rule_hit_linkage"] = f"""SELECT count(*) AS rule_hit_rows, count(DISTINCT (h.rpt_grp_id, h.efile_batch_id)) AS distinct_batches,
     {cnt('is_reported = false', 'is_reported_false')}, {cnt('is_reported', 'is_reported_true')}, {cnt('is_reported IS NULL', 'is_reported_null')}
@@ -445,12 +445,12 @@ SQL["val_recon_detail_linkage"] = f"""SELECT count(*) AS reconciliation_rows, {c
     {cnt('analysis_rows = 0', 'rows_without_analysis_evidence')}, {cnt('missed_rule_hits > 0', 'rows_with_misses')},
     {cnt('missed_rule_hits > 0 AND log_rows > 0', 'miss_rows_with_log_evidence')},
     {cnt('missed_rule_hits > 0 AND analysis_rows > 0', 'miss_rows_with_analysis_evidence')} FROM linkage"""
-SQL["val_recon_detail_linkage__samples"] = "SELECT * FROM linkage ORDER BY missed_rule_hits DESC, expected_rule_hits DESC, rpt_grp_id, run_date, seq_no LIMIT 50"
+SQL["val_recon_detail_linkage__samples"] = "SELECT * FROM linkage ORDER BY missed_rule_hits DESC, expected_rule_hits DESC, rpt_grp_id, run_date, seq_no"
 SQL["val_missed_hit_evidence"] = f"""SELECT count(*) AS reconciliation_rows_with_misses, {sure('expected_rule_hits', 'total_expected_rule_hits')},
     {sure('matched_rule_hits', 'total_matched_rule_hits')}, {sure('missed_rule_hits', 'total_missed_rule_hits')},
     {', '.join(cnt(f'{c} = missed_rule_hits', f'rows_where_{c}_equals_missed') for c in ('log_not_processed', 'log_not_reported', 'log_not_processed_not_reported', 'analysis_rows'))}
     FROM missed_cmp"""
-SQL["val_missed_hit_evidence__samples"] = "SELECT * FROM missed_cmp ORDER BY missed_rule_hits DESC, rpt_grp_id, run_date, seq_no LIMIT 50"
+SQL["val_missed_hit_evidence__samples"] = "SELECT * FROM missed_cmp ORDER BY missed_rule_hits DESC, rpt_grp_id, run_date, seq_no"
 _COMPLETE = "compiler_status IS NOT DISTINCT FROM 'Report Generation Completed'"
 SQL["val_report_generation"] = f"""SELECT count(*) AS total_batches, {cnt('generated_txn > 0', 'batches_with_generation_evidence')},
     {cnt('actual > 0', 'batches_with_actual_reportable')}, {cnt('difference = 0', 'exact_match_batches')},
@@ -460,7 +460,7 @@ SQL["val_report_generation"] = f"""SELECT count(*) AS total_batches, {cnt('gener
     {cnt(f'NOT {_COMPLETE} AND generated_txn > 0', 'generated_but_not_completed')} FROM generation"""
 SQL["val_report_generation__compiler"] = f"SELECT coalesce(compiler_status, '<NULL>') AS compiler_status, {raw('generated_txn')} FROM generation GROUP BY 1"
 SQL["val_report_generation__mismatches"] = """SELECT rpt_grp_id, rpt_grp_name, batch_id, seq_no, actual AS actual_reportable_txn, generated_txn,
-    difference, report_status, compiler_status, batch_status FROM generation ORDER BY abs(difference) DESC, rpt_grp_id, batch_id LIMIT 25"""
+    difference, report_status, compiler_status, batch_status FROM generation ORDER BY abs(difference) DESC, rpt_grp_id, batch_id"""
 SQL["val_rule_hit_recon__rows"] = f"""SELECT rpt_grp_id, rpt_grp_name, run_date, seq_no, {SRC}, {PUB}, {TGT}, {MIS},
     {SRC} - {TGT} AS distinct_minus_matched, {PUB} - {TGT} AS publish_minus_matched, {MIS} - {SRC} + {TGT} AS variance_vs_distinct,
     {MIS} - {PUB} + {TGT} AS variance_vs_publish FROM lr"""
@@ -473,10 +473,9 @@ SQL["val_transformation_waterfall__details"] = """SELECT batch_id, rpt_grp_id, r
     activity_transformed, activity_transformation_failed, duplicate_transformation, g_transformation_with_dup AS transformation_balance_diff FROM lbx"""
 _CAND = """txn_simulated lookback_txn lookback_future_reporting_txn lookback_actual_txn reporting_period_txn
     reporting_period_future_reporting_txn reporting_period_actual_txn activity_selected activity_missing activity_simulated""".split()
-_WORST = "SELECT * FROM lbx WHERE g_selection <> 0 ORDER BY abs(g_selection) DESC, rpt_grp_id, batch_id LIMIT 50"
+_WORST = "SELECT * FROM lbx WHERE g_selection <> 0 ORDER BY abs(g_selection) DESC, rpt_grp_id, batch_id"
 _SELSUM = f"count(*) AS unbalanced_batches, max(abs(g_selection)) AS max_selection_difference, {', '.join(tot(c) for c in _CAND)}"
 SQL["val_selection_balance"] = f"SELECT {_SELSUM} FROM lbx WHERE g_selection <> 0"
-SQL["val_selection_balance__limit_first"] = f"SELECT {_SELSUM} FROM ({_WORST})"
 SQL["val_selection_balance__top"] = f"""SELECT batch_id, rpt_grp_id, rpt_grp_name, g_selection AS selection_balance_diff, txn_selected, excluded_txn,
     txn_missing_attempt_count, already_reported_count, expected_reportable_txn, {', '.join(_CAND)} FROM ({_WORST})"""
 _REL = ["expected_vs_selected", "activity", "lookback", "reporting_period", "transformation_with_dup"]
@@ -504,7 +503,7 @@ SQL["bridge_by_group__groups"] = f"""SELECT rpt_grp_id, rpt_grp_name, count(*) A
     {cnt('exclusion_rows > 0', 'batches_with_exclusions')},
     {', '.join(raw(c, 'total_' + c) for c in ('rule_hit_rows', 'distinct_rules', 'distinct_mtcns', 'exclusion_rows'))}
     FROM hit_audit_batches GROUP BY ALL"""
-SQL["bridge_by_group__samples"] = "SELECT * FROM hit_audit_batches WHERE rule_hit_rows > 0 OR exclusion_rows > 0 ORDER BY rule_hit_rows DESC, rpt_grp_id, batch_id LIMIT 50"
+SQL["bridge_by_group__samples"] = "SELECT * FROM hit_audit_batches WHERE rule_hit_rows > 0 OR exclusion_rows > 0 ORDER BY rule_hit_rows DESC, rpt_grp_id, batch_id"
 SQL["txn_bridge_candidates"] = " UNION ALL ".join(
     f"""SELECT '{n}' AS candidate, count(*) AS matched_transactions, {cnt('k = 1', 'uniquely_matched_transactions')},
         {cnt('k > 1', 'ambiguous_transactions')} FROM (
@@ -542,10 +541,9 @@ SQL["locate_recon_detail"] = f"""SELECT rpt_grp_id, run_date, seq_no, rpt_grp_na
     {', '.join(f'coalesce({n}, 0) AS {n}' for n in _WINDOWS)}
     FROM any_lr LEFT JOIN (SELECT rpt_grp_id, count(*) AS total FROM hits GROUP BY ALL) USING (rpt_grp_id)
     {' '.join(f'LEFT JOIN {window_count(c, a, b, n)} USING (rpt_grp_id, run_date)' for n, (c, a, b) in _WINDOWS.items())}"""
-SQL["locate_recon_detail__samples"] = """SELECT rpt_grp_id, row_number() OVER w::INT AS place, rule_id, attempt_id, external_txn_key, mtcn, is_reported,
+SQL["locate_recon_detail__samples"] = """SELECT rpt_grp_id, rule_id, attempt_id, bucket_id, external_txn_key, mtcn, is_reported,
     exclusion_reason_id, transaction_date, created_timestamp, reporting_timestamp, efile_batch_id, reported_batch_id
-    FROM hits SEMI JOIN any_lr USING (rpt_grp_id)
-    WINDOW w AS (PARTITION BY rpt_grp_id ORDER BY created_timestamp DESC NULLS LAST, attempt_id) QUALIFY place <= 30"""
+    FROM hits SEMI JOIN any_lr USING (rpt_grp_id)"""
 
 # Journey
 SQL["latest_stage"] = "SELECT * FROM ls"
@@ -651,17 +649,24 @@ SQL["report_lag"] = """SELECT transaction_date::DATE AS day, count(*) AS reporte
     FROM (SELECT *, date_diff('day', transaction_date::DATE, reporting_timestamp::DATE)::DOUBLE AS lag_days FROM cohort_hits WHERE reporting_timestamp IS NOT NULL) GROUP BY 1"""
 SQL["exclusion_daily_trend"] = """SELECT day, excluded_hits, row_number() OVER (ORDER BY excluded_hits DESC, day) = 1 AS is_peak
     FROM (SELECT transaction_date::DATE AS day, count(*) AS excluded_hits FROM cohort_hits WHERE exclusion_reason_id = 'Txn is already reported' GROUP BY 1)"""
-SQL["recon_table"] = f"SELECT rpt_grp_id, {tot(PUB, 'published')}, {tot(SRC, 'expected')}, {tot(TGT, 'matched')}, {tot(MIS, 'missed')} FROM lr GROUP BY ROLLUP (rpt_grp_id)"
+SQL["recon_table"] = f"SELECT rpt_grp_id, GROUPING(rpt_grp_id) = 1 AS is_total, {tot(PUB, 'published')}, {tot(SRC, 'expected')}, {tot(TGT, 'matched')}, {tot(MIS, 'missed')} FROM lr GROUP BY ROLLUP (rpt_grp_id)"
 SQL["group_breakdown"] = f"""SELECT *, {pct('reported', 'requires_reporting')} AS reported_pct FROM (
-    SELECT rpt_grp_id, {cohort('total_rule_hits excluded requires_reporting reported still_open')}, {cnt(f'{OPEN} AND {AGE} > 30', 'open_over_30_days')}
+    SELECT rpt_grp_id, GROUPING(rpt_grp_id) = 1 AS is_total, {cohort('total_rule_hits excluded requires_reporting reported still_open')}, {cnt(f'{OPEN} AND {AGE} > 30', 'open_over_30_days')}
     FROM cohort_hits GROUP BY ROLLUP (rpt_grp_id))"""
 _BAND = f"CASE {' '.join(f'WHEN {c} THEN {chr(39)}{n}{chr(39)}' for n, c in _BANDS.items())} END"
 SQL["open_hits_drill"] = f"""SELECT rpt_grp_id, rpt_grp_name, bucket_id, rule_id, attempt_id, external_txn_key, galactic_id, mtcn, source, transaction_side, transaction_date,
     rule_currency_amount, rule_iso_currency_code, age::INT AS age_days, {_BAND} AS age_band FROM backlog"""
 SQL["open_hits_drill__page"] = SQL["open_hits_drill"] + " WHERE age > 30 AND source = 'TARGET' ORDER BY transaction_date, external_txn_key, rpt_grp_id, rule_id, attempt_id, bucket_id LIMIT 100"
 SQL["export_open_hits"] = SQL["open_hits_drill"]
-SQL["tie_out"] = f"""SELECT 'excluded + reported + open = total' AS "check", count(exclusion_reason_id) + {cnt(DONE, 'x').split(' AS ')[0]} + {cnt(OPEN, 'x').split(' AS ')[0]} AS left_side,
-    count(*) AS right_side FROM cohort_hits HAVING left_side <> right_side"""
+_TIED = ("total_rule_hits", "excluded", "requires_reporting", "reported", "still_open", "open_over_30_days")
+_COUNTED = f"SELECT {cohort('total_rule_hits excluded requires_reporting reported still_open')}, {cnt(f'{OPEN} AND {AGE} > 30', 'open_over_30_days')} FROM cohort_hits"
+_SHOWN = [
+    f"""SELECT '{kind} {n}' AS "check", (SELECT {n} FROM ({_COUNTED})) AS left_side,
+        coalesce((SELECT sum({n}) FROM ({SQL['group_breakdown']}) WHERE {'' if kind == 'total' else 'NOT '}is_total), 0)::BIGINT AS right_side"""
+    for kind in ("total", "groups") for n in _TIED
+]
+_SHOWN.append(f"SELECT 'excluded + reported + open = total', excluded + reported + still_open, total_rule_hits FROM ({_COUNTED})")
+SQL["tie_out"] = f"SELECT *, left_side = right_side AS passed FROM ({' UNION ALL '.join(_SHOWN)})"
 SQL["kpi_groups"] = f"""SELECT *, {pct('matched_rule_hits', 'expected_rule_hits')} AS match_rate_pct FROM (
     SELECT count(*) AS batches_run, count(DISTINCT rpt_grp_id) AS report_groups_run, {cnt(ISSUE, 'batches_with_issues')},
         {cnt(f"{LEVEL} IN ('Critical', 'Failed')", 'critical_or_failed_batches')}, {tot('txn_missing_attempt_count', 'missing_attempts')},
@@ -702,9 +707,11 @@ SQL["key_excluded"] = """SELECT rpt_grp_id, key_txn, key_part, count(*) AS row_c
 SQL["missing_attempts__kept"] = f"SELECT {_PK} FROM keyed k WHERE NOT EXISTS (FROM gone g WHERE {_SAME})"
 SQL["missing_attempts__counts"] = "SELECT rpt_grp_id, count(*) AS missing_attempt_keys FROM gone GROUP BY ALL"
 SQL["missing_attempts__evidence"] = "SELECT DISTINCT rpt_grp_id, key_txn AS identifier, 'TRANSACTION_JOIN' AS stage, 'ERROR' AS status, 'ATTEMPT_NOT_RECEIVED' AS comments FROM gone"
-SQL["already_reported__kept"] = f"SELECT {_PK} FROM candidates k WHERE NOT EXISTS (FROM seen g WHERE {_SAME})"
+# Another hit of the key: one with another primary key.
+_OTHER = f"FROM keyed g WHERE {_SAME} AND g.is_reported AND (g.rpt_grp_id, g.bucket_id, g.rule_id, g.attempt_id) <> (k.rpt_grp_id, k.bucket_id, k.rule_id, k.attempt_id)"
+SQL["already_reported__kept"] = f"SELECT {_PK} FROM candidates k WHERE NOT EXISTS ({_OTHER})"
 SQL["already_reported__evidence"] = f"""SELECT DISTINCT rpt_grp_id, key_txn AS identifier, 'FILTRATION' AS stage, 'EXCLUDED' AS status,
-    'EXCLUDED_BECAUSE_ALREADY_REPORTED(TARGET)' AS comments FROM candidates k WHERE EXISTS (FROM seen g WHERE {_SAME})"""
+    'EXCLUDED_BECAUSE_ALREADY_REPORTED(TARGET)' AS comments FROM candidates k WHERE EXISTS ({_OTHER})"""
 SQL["soft_dedup"] = f"SELECT {_PK} FROM candidates QUALIFY row_number() OVER (PARTITION BY rpt_grp_id, key_txn, key_part ORDER BY attempt_id DESC, rule_id DESC, bucket_id DESC) = 1"
 SQL["soft_dedup__dropped"] = """SELECT rpt_grp_id, count(*) AS rows_in, count(DISTINCT (key_txn, key_part)) AS rows_kept,
     count(*) - count(DISTINCT (key_txn, key_part)) AS soft_dedup_dropped_txn_count FROM candidates GROUP BY rpt_grp_id"""
@@ -724,7 +731,7 @@ SQL["build_batch_reconciliation"] = f"""SELECT rpt_grp_id, run AS batch_id, coun
     {i('kept AND x.t < x.w1 AND NOT coalesce(f_look, false)', 'lookback_actual_txn')}, {i('kept AND x.t >= x.w1', 'reporting_period_txn')},
     {i('kept AND x.t >= x.w1 AND f_per', 'reporting_period_future_reporting_txn')},
     {i('kept AND x.t >= x.w1 AND NOT coalesce(f_per, false)', 'reporting_period_actual_txn')}, {i('kept', 'activity_selected')},
-    coalesce(sum(n_live - 1) FILTER (kept), 0)::BIGINT AS soft_dedup_dropped_txn_count FROM pool_state GROUP BY rpt_grp_id, run"""
+    coalesce(sum(n_left - 1) FILTER (kept), 0)::BIGINT AS soft_dedup_dropped_txn_count FROM pool_state GROUP BY rpt_grp_id, run"""
 SQL["assign_batch"] = """SELECT * REPLACE (
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, 'E' || strftime(transaction_date, '%Y%m'), efile_batch_id) AS efile_batch_id,
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, false, is_reported) AS is_reported,

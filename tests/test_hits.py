@@ -101,7 +101,13 @@ def test_published_totals_tie_out(spark):
         F.when((i >= EXCLUDED) & (i < EXCLUDED + REPORTED), F.lit(at(2026, 6, 20))).alias("reporting_timestamp"),
         F.lit(at(2026, 6, 10)).alias("transaction_date"),
     )
-    assert metrics.tie_out(t, p).count() == 0
-    total = one(metrics.group_breakdown(t, p).filter("rpt_grp_id IS NULL"))
+    with_null = t.union(t.limit(3).withColumn("rpt_grp_id", F.lit(None).cast("int")))
+    for rows in (t, with_null, t.limit(0)):
+        checks = metrics.tie_out(rows, p)
+        assert checks.count() == 13 and checks.filter("NOT passed").count() == 0
+    shown = metrics.group_breakdown(t, p)
+    wrong = shown.withColumn("reported", F.when(F.col("rpt_grp_id") == 3, F.col("reported") - 1).otherwise(F.col("reported")))
+    assert rows_of(metrics.tie_out(t, p, wrong).filter("NOT passed"), "check") == [("groups reported",)]
+    total = one(shown.filter("is_total"))
     assert (total["total_rule_hits"], total["excluded"], total["requires_reporting"]) == (TOTAL, EXCLUDED, REPORTED + OPEN)
     assert (total["reported"], total["still_open"], total["reported_pct"]) == (REPORTED, OPEN, 99.1)

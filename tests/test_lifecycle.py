@@ -100,7 +100,10 @@ def test_pages_cover_all_cases_once_with_equal_times(frame):
             break
         cursor = (page[-1].created_at, page[-1].case_id)
     assert len(seen) == len(set(seen)) == 23 and seen == sorted(seen, key=lambda c: (int(c[1:]) % 3, c), reverse=True)
-    assert L.list_cases(t, limit=500).count() == 24
+    assert L.list_cases(t).count() == 24
+    for limit in (0, 51):
+        with pytest.raises(ValueError):
+            L.list_cases(t, limit=limit)
 
 
 def test_cap_counts_active_cases_only(frame):

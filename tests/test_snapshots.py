@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date
 
 from tallyline.functions.period import Period, as_run_date, narrow, previous_month, previous_week
-from tallyline.operators.snapshots import latest_batch, latest_recon, latest_stage, upsert_latest
+from tallyline.operators.snapshots import latest, latest_batch, latest_recon, latest_stage, upsert_latest
 from tests.conftest import at, rows_of
 
 
@@ -89,6 +89,13 @@ def test_upsert_replaces_by_key_and_keeps_the_rest(frame):
     assert rows_of(upsert_latest(old, new, ("k",)), "k", "v") == [(1, "second"), (2, "stays"), (3, "added")]
 
 
+def test_ties_fall_to_the_greatest_of_the_other_columns(frame):
+    ddl = "k INT, seq_no INT, modified_timestamp TIMESTAMP, v STRING, w INT"
+    rows = [(1, 2, None, "a", 9), (1, 2, None, "b", 1), (1, 2, None, "b", 3), (1, 1, None, "z", 9)]
+    for given in (rows, rows[::-1]):
+        assert rows_of(latest(frame(ddl, given).repartition(3), ("k",)), "v", "w") == [("b", 3)]
+
+
 def test_optional_filters(frame):
     df = frame("a INT, b STRING", [(1, "x"), (2, "y")])
     assert narrow(df, a=None, b=None).count() == 2

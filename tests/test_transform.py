@@ -71,6 +71,15 @@ def test_already_reported_looks_at_other_hits_of_the_key(make):
     assert one(out["evidence"])["comments"] == "EXCLUDED_BECAUSE_ALREADY_REPORTED(LEDGER)"
 
 
+def test_a_hit_is_not_excluded_by_its_own_report(make):
+    """A key's only reported hit stays; with two, neither does; a lone hit stays."""
+    rows = [hit(1, external_txn_key=7, is_reported=True), hit(2, external_txn_key=7)]
+    rows += [hit(i, external_txn_key=8, is_reported=True) for i in (3, 4)] + [hit(5, external_txn_key=9, is_reported=True)]
+    t = make("rule_hit", rows)
+    out = T.already_reported(T.select_rule_hits(t), t, config(make))
+    assert rows_of(out["kept"], "attempt_id") == [(1,), (5,)]
+
+
 def test_soft_dedup_keeps_the_latest_attempt_and_counts_the_rest(make):
     t = make("rule_hit", [hit(5, external_txn_key=7), hit(9, external_txn_key=7), hit(3)])
     assert rows_of(T.soft_dedup(t, config(make)), "attempt_id") == [(3,), (9,)]
