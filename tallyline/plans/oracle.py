@@ -820,18 +820,19 @@ SQL["open_sessions"] = """SELECT session_id, count(*) AS entries, max(ts) AS las
 
 # Streaming forms give what their batch forms give
 SQL["stream_lifecycle_metrics"] = SQL["lifecycle_metrics"]
-SQL["stream_dedupe_submissions"] = "SELECT DISTINCT idempotency_key FROM submissions"
+SQL["stream_dedupe_submissions"] = "SELECT idempotency_key, arg_min(case_id, (created_at, event_id)) AS case_id, min(created_at) AS created_at FROM submissions GROUP BY 1"
 SQL["stream_guarded_transitions"] = "SELECT case_id, f.s AS status, f.n::BIGINT AS accepted, events - f.n AS dropped FROM folded"
 
-SQL["stream_reap_stuck"] = """SELECT case_id, 'error' AS status, arg_max(to_status, (epoch_ms(ts), event_id)) AS failed_stage, 'TIMEOUT' AS error_reason,
-    date_trunc('millisecond', min(ts)) AS since FROM case_events GROUP BY case_id
-    HAVING arg_max(to_status, (epoch_ms(ts), event_id)) NOT IN ('complete', 'error')
-    AND min(ts) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM case_events)"""
+# No end within 15 minutes of the first event, and the newest event is a minute past that.
+SQL["stream_reap_stuck"] = """SELECT case_id, 'error' AS status, arg_max(to_status, (ts, event_id)) AS failed_stage, 'TIMEOUT' AS error_reason, min(t0) AS since
+    FROM case_events JOIN (SELECT case_id, min(ts) AS t0 FROM case_events GROUP BY 1) USING (case_id) WHERE ts <= t0 + INTERVAL 15 MINUTE
+    GROUP BY case_id HAVING count(*) FILTER (to_status IN ('complete', 'error')) = 0
+    AND min(t0) + INTERVAL 15 MINUTE < (SELECT max(ts) - INTERVAL 1 MINUTE FROM case_events)"""
 SQL["stream_sessions"] = """SELECT case_id, min(ts) AS started_at, max(ts) + INTERVAL 10 MINUTE AS closed_at, count(*) AS events,
     count(*) FILTER (to_status IN ('complete', 'error')) AS terminal_events FROM (
         SELECT *, sum(if(pause < INTERVAL 10 MINUTE, 0, 1)) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS burst FROM (
             SELECT *, ts - lag(ts) OVER (PARTITION BY case_id ORDER BY ts, event_id) AS pause FROM case_events))
-    GROUP BY case_id, burst HAVING max(ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM case_events)"""
+    GROUP BY case_id, burst"""
 
 
 def oracle() -> dict[str, str]:

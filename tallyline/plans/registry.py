@@ -357,22 +357,22 @@ def _stream(t: Tables, name: str, build: Callable[[DataFrame], DataFrame], keys:
     return streams.table(t.spark, folder, keys)
 
 
-plan("stream_lifecycle_metrics", lambda t: _stream(t, "metrics", lambda e: streams.metrics(case_events(e)), ("window_start",)))
+# No registered stream may lose a row, however its files are cut: the rows lie within this of the newest.
+SPAN = "400 days"
+plan("stream_lifecycle_metrics", lambda t: _stream(t, "metrics", lambda e: streams.metrics(case_events(e), delay=SPAN), ("window_start",)))
 plan(
     "stream_dedupe_submissions",
-    lambda t: _stream(
-        t, "dedupe", lambda e: streams.dedupe_submissions(submissions(e), "60 days"), ("idempotency_key",), "append"
-    ).select("idempotency_key"),
+    lambda t: _stream(t, "dedupe", lambda e: streams.dedupe_submissions(submissions(e), SPAN, 400 * 24 * 60), ("idempotency_key",)),
 )
 plan(
     "stream_guarded_transitions",
-    lambda t: _stream(t, "guarded", lambda e: streams.guarded_transitions(case_events(e)), ("case_id",)).select(
+    lambda t: _stream(t, "guarded", lambda e: streams.guarded_transitions(case_events(e), SPAN), ("case_id",)).select(
         "case_id", "status", "accepted", "dropped"
     ),
 )
 plan(
     "stream_sessions",
-    lambda t: _stream(t, "sessions", lambda e: streams.sessions(case_events(e)), ("case_id", "started_at"), "append"),
+    lambda t: _stream(t, "sessions", lambda e: streams.sessions(case_events(e), delay=SPAN), ("case_id", "started_at")).filter("events > 0"),
 )
 plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e)), ("case_id", "since")))
 

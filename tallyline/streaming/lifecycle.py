@@ -10,7 +10,9 @@ from tallyline.operators import lifecycle as L
 from tallyline.sources.derived import BASE
 from tallyline.sources.sinks import UpsertLog
 from tallyline.streaming import processors
-from tallyline.streaming.processors import OUTPUT, REAPED, GuardedTransitions, Reaper
+from tallyline.streaming.processors import (
+    FIRST_OUTPUT, OUTPUT, REAPED, SESSION_OUTPUT, FirstSubmission, GuardedTransitions, Reaper, Sessions,
+)
 
 register_pickle_by_value(processors)
 
@@ -32,46 +34,38 @@ def metrics(events: DataFrame, window: str = "1 day", delay: str = "1 hour") ->
     return L.lifecycle_metrics(events.withWatermark("ts", delay), window)
 
 
-def dedupe_submissions(submissions: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """First arrival per idempotency key; a key is remembered for ``delay`` of event time."""
-    timed = submissions.withWatermark("created_at", delay)
-    return timed.dropDuplicatesWithinWatermark(["idempotency_key"])
-
-
-def sessions(events: DataFrame, gap: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
-    """Bursts of events per case, closed by ``gap`` of silence."""
+def _by_event_time(df: DataFrame, time: str, delay: str, key: str, processor, output) -> DataFrame:
+    """One stateful processor per key over rows at most ``delay`` behind the newest. Needs the RocksDB state store."""
     return (
-        events.withWatermark("ts", delay)
-        .groupBy("case_id", F.session_window("ts", gap).alias("w"))
-        .agg(F.count("*").alias("events"), F.count_if(F.col("to_status").isin(*L.TERMINAL)).alias("terminal_events"))
-        .select("case_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("closed_at"), "events", "terminal_events")
+        df.withWatermark(time, delay)
+        .groupBy(key)
+        .transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Update", timeMode="EventTime")
     )
 
 
+def dedupe_submissions(submissions: DataFrame, delay: str = "24 hours", keep_minutes: int = 24 * 60) -> DataFrame:
+    """The earliest submission per idempotency key and its case; a key is remembered for ``keep_minutes`` of event time."""
+    rows = submissions.select("idempotency_key", "case_id", "created_at", "event_id")
+    return _by_event_time(rows, "created_at", delay, "idempotency_key", FirstSubmission(keep_minutes), FIRST_OUTPUT)
 
 
-def guarded_transitions(events: DataFrame) -> DataFrame:
-    """State per case after each micro-batch. Needs the RocksDB state store."""
-    return (
-        events.select("case_id", "to_status", "ts", "event_id")
-        .groupBy("case_id")
-        .transformWithStateInPandas(
-            statefulProcessor=GuardedTransitions(), outputStructType=OUTPUT,
-            outputMode="Update", timeMode="None",
-        )
-    )
+def sessions(events: DataFrame, gap_minutes: int = 10, delay: str = "1 hour") -> DataFrame:
+    """Bursts of events per case with ``gap_minutes`` of silence after them, open ones as they stand.
+
+    A row without events takes back a burst that late rows joined to an earlier one.
+    """
+    return _by_event_time(events.select("case_id", "to_status", "ts"), "ts", delay, "case_id", Sessions(gap_minutes), SESSION_OUTPUT)
+
+
+def guarded_transitions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """State per case after each micro-batch, whatever the order of arrival within ``delay``."""
+    return _by_event_time(events.select("case_id", "to_status", "ts", "event_id"), "ts", delay, "case_id", GuardedTransitions(), OUTPUT)
 
 
-def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute") -> DataFrame:
+def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute", keep_minutes: int = 366 * 24 * 60) -> DataFrame:
     """Cases that reach no terminal state within ``minutes`` of event time of their first event."""
-    return (
-        events.select("case_id", "to_status", "ts", "event_id")
-        .withWatermark("ts", delay)
-        .groupBy("case_id")
-        .transformWithStateInPandas(
-            statefulProcessor=Reaper(minutes), outputStructType=REAPED, outputMode="Update", timeMode="EventTime"
-        )
-    )
+    rows = events.select("case_id", "to_status", "ts", "event_id")
+    return _by_event_time(rows, "ts", delay, "case_id", Reaper(minutes, keep_minutes), REAPED)
 
 
 def stream_session(spark: SparkSession) -> SparkSession:

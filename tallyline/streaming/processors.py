@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
@@ -28,93 +27,206 @@ def _struct(strings: str = "", longs: str = "", times: str = "") -> StructType:
     return StructType([StructField(n, t) for n, t in fields])
 
 
-STATE = _struct("status", "accepted dropped changed_ns changed_event")
+STATE = _struct("status failed_stage", "accepted dropped")
+EVENT = _struct("status", "at_us event_id")
 OUTPUT = _struct("case_id status failed_stage", "accepted dropped")
-TIMER_STATE = _struct("status", "since_ms last_ms last_event")
-# Position of each state on the path; an error has its own code.
-CODES = {name: i for i, name in enumerate(PATH)} | {FAILED: 100}
-NAMES = {code: name for name, code in CODES.items()}
 REAPED = _struct("case_id status failed_stage error_reason", times="since")
+FIRST = _struct("case_id", "at_us event_id")
+FIRST_OUTPUT = _struct("idempotency_key case_id", times="created_at")
+MOMENT = _struct(longs="at_us terminal")
+START = _struct(longs="at_us")
+SESSION_OUTPUT = _struct("case_id", "events terminal_events", "started_at closed_at")
 
 
-class GuardedTransitions(StatefulProcessor):
-    """Keeps the state of one case and applies events whose predecessor is that state.
+def micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
 
-    The state is five values per case. Events of a case inside one micro-batch are taken in
-    event order; an event that arrives in a later micro-batch than one it precedes is
-    stale, so it is dropped and counted. Rows wait as three number arrays, at most one
-    micro-batch of them, whose size the source limits; each step picks the earliest
-    fitting event by array operations.
+
+def fold(status: str, failed_stage: str | None, events: list[tuple]) -> tuple[str, str | None, int]:
+    """State, failed stage and number of accepted ones after events (status, time, id) in any order."""
+    taken = 0
+    for to, _, _ in sorted(events, key=lambda e: e[1:]):
+        if status in TERMINAL:
+            break
+        if to == FAILED:
+            status, failed_stage, taken = FAILED, status, taken + 1
+        elif to in PATH and PATH.index(to) == PATH.index(status) + 1:
+            status, taken = to, taken + 1
+    return status, failed_stage, taken
+
+
+class Waiting(StatefulProcessor):
+    """Keeps the rows of a key that the watermark has not passed, since earlier ones may still come."""
+
+    schema = EVENT
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def held(self) -> list[tuple]:
+        return [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+
+    def hold(self, rows: list[tuple]) -> None:
+        if rows:
+            self.waiting.put(rows)
+        else:
+            self.waiting.clear()
+
+    def wake(self, ms: int | None) -> None:
+        """One timer for the key, or none."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if ms is not None:
+            self.handle.registerTimer(ms)
+
+    def close(self) -> None:
+        pass
+
+
+class GuardedTransitions(Waiting):
+    """Keeps the state of one case and applies events whose predecessor is that state, in event time.
+
+    Events wait until the watermark has passed them and are then applied for good. Every row put out counts the waiting
+    ones too, as they stand, so the last one is what the batch operator gives, however the events were cut into
+    micro-batches; only rows behind the watermark are lost.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("case", STATE)
 
+    def _settle(self, rows: list[tuple], watermark_ms: int) -> tuple:
+        status, failed, accepted, dropped = self.state.get() if self.state.exists() else (PATH[0], None, 0, 0)
+        past = [r for r in rows if r[1] // 1000 <= watermark_ms]
+        rows = [r for r in rows if r[1] // 1000 > watermark_ms]
+        status, failed, taken = fold(status, failed, past)
+        settled = (status, failed, int(accepted) + taken, int(dropped) + len(past) - taken)
+        self.state.update(settled)
+        self.hold(rows)
+        self.wake(max(r[1] for r in rows) // 1000 + 1 if rows else None)
+        return settled
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, accepted, dropped, at, event = self.state.get() if self.state.exists() else (PATH[0], 0, 0, -1, -1)
-        seen, parts = 0, []
-        for chunk in rows:
-            seen += len(chunk)
-            if status not in TERMINAL:
-                code = chunk["to_status"].map(CODES).fillna(-1).to_numpy(dtype=np.int8)
-                parts.append((chunk["ts"].astype("int64").to_numpy(), chunk["event_id"].to_numpy(), code))
-        failed_stage, taken = None, 0
-        if parts:
-            ts, ids, code = (np.concatenate(p) for p in zip(*parts, strict=True))
-            while status not in TERMINAL:
-                after = (ts > at) | ((ts == at) & (ids > event))
-                fits = after & ((code == CODES[FAILED]) | (code == CODES[status] + 1))
-                where = np.flatnonzero(fits)
-                if not len(where):
-                    break
-                first = where[np.lexsort((ids[where], ts[where]))[0]]
-                to = NAMES[code[first]]
-                failed_stage = status if to == FAILED else None
-                status, at, event, taken = to, int(ts[first]), int(ids[first]), taken + 1
-        accepted, dropped = int(accepted) + taken, int(dropped) + seen - taken
-        self.state.update((status, accepted, dropped, int(at), int(event)))
-        yield pd.DataFrame(
-            {"case_id": [key[0]], "status": [status], "failed_stage": [failed_stage], "accepted": [accepted], "dropped": [dropped]}
-        )
+        fresh = [r for c in rows for r in zip(c["to_status"].tolist(), micros(c["ts"]), c["event_id"].tolist(), strict=True)]
+        status, failed, accepted, dropped = self._settle(self.held() + fresh, timerValues.getCurrentWatermarkInMs())
+        rest = self.held()
+        status, failed, taken = fold(status, failed, rest)
+        out = {"case_id": [key[0]], "status": [status], "failed_stage": [failed if status == FAILED else None]}
+        yield pd.DataFrame(out | {"accepted": [accepted + taken], "dropped": [dropped + len(rest) - taken]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle(self.held(), timerValues.getCurrentWatermarkInMs())
+        return iter(())
 
-    def close(self) -> None:
-        pass
 
+class Reaper(Waiting):
+    """Times a case out if no end lies within the limit of its first event, decided once the watermark has passed that limit.
 
-class Reaper(StatefulProcessor):
-    """Times a case out when event time passes its first event by the limit without an end."""
+    A decided case is remembered for ``keep_minutes`` of event time, so what it says later does not start it anew.
+    """
 
-    def __init__(self, minutes: int):
-        self.limit_ms = minutes * 60_000
+    def __init__(self, minutes: int, keep_minutes: int):
+        self.limit_us = minutes * 60_000_000
+        self.keep_ms = keep_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("case", TIMER_STATE)
+        super().init(handle)
+        self.decided = handle.getValueState("decided", START)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, since, last, event = self.state.get() if self.state.exists() else (None, None, -1, -1)
-        for chunk in rows:
-            ms = chunk["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
-            ids = chunk["event_id"].to_numpy()
-            since = int(ms.min()) if since is None else min(since, int(ms.min()))
-            newest = np.lexsort((ids, ms))[-1]
-            if (ms[newest], ids[newest]) > (last, event):
-                status, last, event = chunk["to_status"].iloc[newest], int(ms[newest]), int(ids[newest])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if status in TERMINAL:
-            self.state.clear()
-        else:
-            self.state.update((status, int(since), int(last), int(event)))
-            self.handle.registerTimer(int(since) + self.limit_ms)
+        fresh = [r for c in rows for r in zip(c["to_status"].tolist(), micros(c["ts"]), c["event_id"].tolist(), strict=True)]
+        if not self.decided.exists():
+            events = self.held() + fresh
+            limit = min(e[1] for e in events) + self.limit_us
+            # An earlier first event would only move the limit back.
+            self.hold([e for e in events if e[1] <= limit])
+            self.wake(limit // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, since = self.state.get()[:2]
-        self.state.clear()
+        if self.decided.exists():
+            self.decided.clear()
+            return
+        events = sorted(self.held(), key=lambda e: e[1:])
+        self.hold([])
+        self.decided.update((events[0][1],))
+        self.wake((events[0][1] + self.limit_us) // 1000 + self.keep_ms)
+        if not any(e[0] in TERMINAL for e in events):
+            since = pd.Timestamp(events[0][1], unit="us")
+            yield pd.DataFrame({"case_id": [key[0]], "status": [FAILED], "failed_stage": [events[-1][0]], "error_reason": [TIMEOUT], "since": [since]})
+
+
+class FirstSubmission(Waiting):
+    """The earliest submission of an idempotency key, remembered for ``keep_minutes`` of event time after it."""
+
+    schema = FIRST
+
+    def __init__(self, keep_minutes: int):
+        self.keep_ms = keep_minutes * 60_000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.held()
+        fresh = [r for c in rows for r in zip(c["case_id"].tolist(), micros(c["created_at"]), c["event_id"].tolist(), strict=True)]
+        first = min(before + fresh, key=lambda r: r[1:])
+        if [first] != before:
+            self.hold([first])
+            self.wake(first[1] // 1000 + self.keep_ms)
+            yield pd.DataFrame({"idempotency_key": [key[0]], "case_id": [first[0]], "created_at": [pd.Timestamp(first[1], unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hold([])
+        return iter(())
+
+
+class Sessions(Waiting):
+    """Bursts of a case's events, those still open included.
+
+    A burst is put out whenever it changes. One that became part of an earlier burst is put out once more with no events.
+    """
+
+    schema = MOMENT
+
+    def __init__(self, gap_minutes: int):
+        self.gap_us = gap_minutes * 60_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.shown = handle.getListState("shown", START)
+
+    def _bursts(self, moments: list[tuple]) -> list[list[tuple]]:
+        out: list[list[tuple]] = []
+        for m in sorted(moments):
+            if out and m[0] < out[-1][-1][0] + self.gap_us:
+                out[-1].append(m)
+            else:
+                out.append([m])
+        return out
+
+    def _settle(self, bursts: list[list[tuple]], watermark_ms: int) -> None:
+        rest = [b for b in bursts if (b[-1][0] + self.gap_us) // 1000 >= watermark_ms]
+        self.hold([m for b in rest for m in b])
+        if rest:
+            self.shown.put([(b[0][0],) for b in rest])
+        else:
+            self.shown.clear()
+        self.wake(max(b[-1][0] for b in rest) // 1000 + self.gap_us // 1000 + 1 if rest else None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = [(t, int(s in TERMINAL)) for c in rows for s, t in zip(c["to_status"].tolist(), micros(c["ts"]), strict=True)]
+        bursts = self._bursts(self.held() + fresh)
+        shown = [r[0] for r in self.shown.get()] if self.shown.exists() else []
+        gone = sorted(set(shown) - {b[0][0] for b in bursts})
+        starts = [b[0][0] for b in bursts] + gone
         yield pd.DataFrame(
-            {"case_id": [key[0]], "status": [FAILED], "failed_stage": [status], "error_reason": [TIMEOUT], "since": [pd.Timestamp(since, unit="ms")]}
+            {
+                "case_id": [key[0]] * len(starts), "events": [len(b) for b in bursts] + [0] * len(gone),
+                "terminal_events": [sum(m[1] for m in b) for b in bursts] + [0] * len(gone),
+                "started_at": pd.to_datetime(starts, unit="us"), "closed_at": pd.to_datetime([b[-1][0] + self.gap_us for b in bursts] + gone, unit="us"),
+            }
         )
+        self._settle(bursts, timerValues.getCurrentWatermarkInMs())
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._settle(self._bursts(self.held()), timerValues.getCurrentWatermarkInMs())
+        return iter(())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import lifecycle as L
@@ -38,26 +39,63 @@ def events(n, seed, minutes=600):
     return out
 
 
-def test_guarded_transitions_over_ordered_files_equal_the_batch(spark, tmp_path):
-    rows = sorted(events(240, 1), key=lambda r: (r[1], r[0]))
-    files = [rows[:80], rows[80:160], rows[160:]]
-    for f in files:
-        random.Random(0).shuffle(f)
-    got = S.run_to_table(S.guarded_transitions(source(spark, tmp_path, files)), str(tmp_path), ("case_id",))
-    want = L.guarded_transitions(spark.createDataFrame(rows, DDL))
-    cols = ("case_id", "status", "accepted", "dropped")
-    assert rows_of(got, *cols) == rows_of(want, *cols)
+def cut(rows, n, mixed):
+    """The rows in n files, in time order or mixed."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    if mixed:
+        random.Random(n).shuffle(rows)
+    return [rows[i * len(rows) // n : (i + 1) * len(rows) // n] for i in range(n)]
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+@pytest.mark.parametrize("n", [1, 4, 16])
+def test_streams_give_the_batch_answer_however_the_files_are_cut(spark, tmp_path, n, mixed):
+    rows = events(160, 1)
+    files = cut(rows, n, mixed)
+    batch = spark.createDataFrame(rows, DDL)
+    got = S.run_to_table(S.guarded_transitions(source(spark, tmp_path / "g", files), "2 days"), str(tmp_path / "g"), ("case_id",))
+    cols = ("case_id", "status", "failed_stage", "accepted", "dropped")
+    assert rows_of(got, *cols) == rows_of(L.guarded_transitions(batch), *cols)
+    subs = lambda df: df.selectExpr("to_status AS idempotency_key", "case_id", "owner_sub", "ts AS created_at", "event_id")
+    got = S.run_to_table(S.dedupe_submissions(subs(source(spark, tmp_path / "d", files)), "2 days", 9999), str(tmp_path / "d"), ("idempotency_key",))
+    cols = ("idempotency_key", "case_id", "created_at")
+    assert rows_of(got, *cols) == rows_of(L.dedupe_submissions(subs(batch)), *cols)
+    got = S.run_to_table(S.sessions(source(spark, tmp_path / "s", files), delay="2 days"), str(tmp_path / "s"), ("case_id", "started_at"))
+    assert rows_of(got.filter("events > 0"), "case_id", "started_at", "events", "closed_at") == bursts(rows)
+    last = [[(10_000 + i, at(2026, 6, 9), "o", "end", "complete")] for i in range(2)]
+    got = S.run_to_table(S.reap_stuck(source(spark, tmp_path / "r", files + last), delay="2 days"), str(tmp_path / "r"), ("case_id",))
+    assert rows_of(got, "case_id", "failed_stage", "since") == stuck(rows)
+
+
+def bursts(rows):
+    out = []
+    for case in {r[3] for r in rows}:
+        mine: list[list] = []
+        for t in sorted(r[1] for r in rows if r[3] == case):
+            if mine and t < mine[-1][-1] + timedelta(minutes=10):
+                mine[-1].append(t)
+            else:
+                mine.append([t])
+        out += [(case, b[0], len(b), b[-1] + timedelta(minutes=10)) for b in mine]
+    return sorted(out, key=str)
+
+
+def stuck(rows):
+    out = []
+    for case in {r[3] for r in rows}:
+        first = min(r[1] for r in rows if r[3] == case)
+        mine = sorted((r[1], r[0], r[4]) for r in rows if r[3] == case and r[1] <= first + timedelta(minutes=15))
+        if not any(s in L.TERMINAL for _, _, s in mine):
+            out.append((case, mine[-1][2], first))
+    return sorted(out, key=str)
 
 
-def test_a_predecessor_that_comes_too_late_is_dropped_and_counted(spark, tmp_path):
+def test_a_row_behind_the_watermark_is_lost(spark, tmp_path):
     t = at(2026, 6, 1, 12)
-    files = [
-        [(2, t, "o", "a", "retrieving"), (1, t - timedelta(minutes=5), "o", "b", "error")],
-        [(3, t - timedelta(minutes=1), "o", "a", "analyzing"), (4, t, "o", "b", "retrieving")],
-        [(5, t + timedelta(minutes=1), "o", "a", "analyzing")],
-    ]
+    newer = [[(i, t + timedelta(hours=9), "o", "z", "retrieving")] for i in (2, 3)]
+    files = [[(1, t, "o", "a", "analyzing")], *newer, [(4, t - timedelta(minutes=1), "o", "a", "retrieving")]]
     got = S.run_to_table(S.guarded_transitions(source(spark, tmp_path, files)), str(tmp_path), ("case_id",))
-    assert rows_of(got, "case_id", "status", "accepted", "dropped") == [("a", "analyzing", 2, 1), ("b", "error", 1, 1)]
+    assert rows_of(got.filter("case_id = 'a'"), "status", "accepted", "dropped") == [("queued", 0, 1)]
 
 
 def test_windowed_metrics_equal_the_batch_when_nothing_is_late(spark, tmp_path):
@@ -79,8 +117,8 @@ def test_rows_behind_the_watermark_do_not_count(spark, tmp_path):
 
 def test_first_submission_per_key_across_files(spark, tmp_path):
     files = [[(1, at(2026, 6, 1), "o", "a", "k1"), (2, at(2026, 6, 1), "o", "b", "k2")], [(3, at(2026, 6, 1, 2), "o", "c", "k1"), (4, at(2026, 6, 1, 3), "o", "d", "k3")]]
-    subs = source(spark, tmp_path, files).selectExpr("to_status AS idempotency_key", "case_id", "ts AS created_at")
-    got = S.run_to_table(S.dedupe_submissions(subs), str(tmp_path), ("idempotency_key",), "append")
+    subs = source(spark, tmp_path, files).selectExpr("to_status AS idempotency_key", "case_id", "ts AS created_at", "event_id")
+    got = S.run_to_table(S.dedupe_submissions(subs), str(tmp_path), ("idempotency_key",))
     assert rows_of(got, "idempotency_key", "case_id") == [("k1", "a"), ("k2", "b"), ("k3", "d")]
 
 
@@ -100,8 +138,9 @@ def test_stuck_cases_time_out_by_event_time(spark, tmp_path):
 def test_bursts_close_after_the_gap(spark, tmp_path):
     t = at(2026, 6, 1)
     rows = [(i, t + timedelta(minutes=k), "o", "a", "retrieving") for i, k in enumerate((0, 5, 9, 40))] + [(9, at(2026, 6, 3), "o", "z", "error")]
-    got = S.run_to_table(S.sessions(source(spark, tmp_path, [rows])), str(tmp_path), ("case_id", "started_at"), "append")
-    assert rows_of(got, "case_id", "started_at", "events") == [("a", t, 3), ("a", t + timedelta(minutes=40), 1)]
+    got = S.run_to_table(S.sessions(source(spark, tmp_path, [rows])), str(tmp_path), ("case_id", "started_at"))
+    z = ("z", at(2026, 6, 3), 1)
+    assert rows_of(got, "case_id", "started_at", "events") == [("a", t, 3), ("a", t + timedelta(minutes=40), 1), z]
 
 
 def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
@@ -133,13 +172,13 @@ def test_processors_load_without_the_package():
 
     from tallyline.streaming.processors import GuardedTransitions, Reaper
 
-    sent = cloudpickle.dumps([GuardedTransitions(), Reaper(15)])
+    sent = cloudpickle.dumps([GuardedTransitions(), Reaper(15, 60)])
     code = (
         "import pickle, sys\n"
         "got = pickle.loads(sys.stdin.buffer.read())\n"
         "assert not any(m.startswith('tallyline') for m in sys.modules)\n"
-        "print(got[1].limit_ms)"
+        "print(got[1].limit_us)"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], input=sent, capture_output=True, cwd="/", env=env, check=True, timeout=120)
-    assert done.stdout.strip() == b"900000"
+    assert done.stdout.strip() == b"900000000"
