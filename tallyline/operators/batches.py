@@ -43,7 +43,7 @@ def report_group_batches(recon: DataFrame, p: Period, rpt_grp_id: int | None = N
             "rpt_grp_id", "batch_id", "created_timestamp", "seq_no", "txn_selected", *REPORTABLE, *OUTCOME,
             *ELIGIBLE, C.health().alias("status"),
         )
-        .orderBy(F.desc("created_timestamp"))
+        .orderBy(F.desc("created_timestamp"), "rpt_grp_id", "batch_id")
     )
 
 
@@ -143,14 +143,14 @@ def recon_issue_detail(recon: DataFrame, p: Period, raw: bool = False) -> DataFr
             "batch_id", *GROUP, *REPORTABLE, a.alias(names[0]), *ELIGIBLE, b.alias(names[1]),
             *OUTCOME, c.alias(names[2]), *stamps,
         )
-        .orderBy("rpt_grp_name", "batch_id")
+        .orderBy("rpt_grp_name", "batch_id", "rpt_grp_id")
     )
 
 
 def batch_health_table(recon: DataFrame, p: Period) -> DataFrame:
     return (
         latest_batch(recon, p)
-        .orderBy(C.health_rank(), F.desc_nulls_last("modified_timestamp"))
+        .orderBy(C.health_rank(), F.desc_nulls_last("modified_timestamp"), "rpt_grp_id", "batch_id")
         .select(
             "batch_id", *GROUP, "seq_no", "txn_selected", *REPORTABLE, *ELIGIBLE, *OUTCOME,
             "txn_missing_attempt_count", C.gap("reportable").alias("reportable_diff"),
@@ -167,7 +167,7 @@ def batch_full_detail(recon: DataFrame, batch_id: str | None = None) -> DataFram
     return (
         narrow(recon, batch_id=batch_id)
         .select(*columns)
-        .orderBy(F.desc("seq_no"), F.desc_nulls_last("modified_timestamp"))
+        .orderBy(F.desc("seq_no"), F.desc_nulls_last("modified_timestamp"), "rpt_grp_id", "batch_id")
     )
 
 
@@ -176,7 +176,7 @@ def failures_by_batch(recon: DataFrame, p: Period) -> DataFrame:
         latest_batch(recon, p)
         .filter(C.has_failures())
         .select(*GROUP, "batch_id", F.col("activity_transformation_failed").alias("failed_count"), "modified_timestamp")
-        .orderBy(F.desc("failed_count"))
+        .orderBy(F.desc("failed_count"), "rpt_grp_id", "batch_id")
     )
 
 
@@ -222,7 +222,7 @@ def group_transformation_health(recon: DataFrame, p: Period) -> DataFrame:
             raw_total("activity_transformation_failed", "transform_failed"),
             F.sum(C.gap_or_null("reportable")).alias("reportable_recon_diff"),
         )
-        .orderBy(F.desc("transform_failed"), F.desc("join_errors"))
+        .orderBy(F.desc("transform_failed"), F.desc("join_errors"), *GROUP)
     )
 
 
@@ -240,7 +240,8 @@ def batch_health_weekly(recon: DataFrame, p: Period) -> DataFrame:
             diff.alias("reconciliation_diff"), F.col("modified_timestamp").alias("last_updated"),
         )
         .orderBy(
-            F.desc("needs_attention"), F.desc_nulls_last(F.abs("reconciliation_diff")), F.desc_nulls_last("last_updated")
+            F.desc("needs_attention"), F.desc_nulls_last(F.abs("reconciliation_diff")),
+            F.desc_nulls_last("last_updated"), "rpt_grp_id", "batch_id",
         )
     )
 
@@ -285,7 +286,7 @@ def batch_investigation_queue(recon: DataFrame, batch_info: DataFrame, p: Period
         .filter(F.col("health") != "Healthy")
         .orderBy(
             "_rank", F.desc(F.abs(C.gap("reportable"))), F.desc(C.zero("activity_transformation_failed")),
-            F.desc_nulls_last("modified_timestamp"),
+            F.desc_nulls_last("modified_timestamp"), "rpt_grp_id", "batch_id",
         )
         .select(
             *GROUP, "batch_id", "seq_no", "health", C.gap("reportable").alias("reportable_diff"),

@@ -139,7 +139,7 @@ def recon_group_runs(hit_recon: DataFrame, p: Period, rpt_grp_id: int | None = N
             *GROUP, "run_date", "seq_no", *[F.col(c).alias(n) for c, n in HIT_TOTALS],
             "rule_hit_publish_count_source", "modified_timestamp",
         )
-        .orderBy(F.desc("run_date"))
+        .orderBy(F.desc("run_date"), "rpt_grp_id")
     )
 
 

@@ -46,9 +46,9 @@ def json_report(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def overwrite_partitions(df: DataFrame, path: str, *columns: str) -> None:
-    """Replace only the partitions the rows belong to."""
+    """Replace only the partitions the rows belong to; a large one is split by its size at run time."""
     (
-        df.repartition(*columns, F.pmod(F.xxhash64(*df.columns), F.lit(16)))
+        df.hint("rebalance", *[F.col(c) for c in columns])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*columns)
