@@ -6,16 +6,17 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
-from tallyline.llm.near_dedup import band_keys, circulant_minhash, link_components, lists
+from tallyline.llm.near_dedup import Sets, band_keys, circulant_minhash, link_components, lists
 from tallyline.llm.shared import saved
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
+BITS = 1 << 25  # of a bitmap: 4 MB
+SEEN = 200_000  # lines a task remembers to have read
 
 
 class Lines:
@@ -23,6 +24,7 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        self.points = points
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         breaks = np.flatnonzero(points == 10)
         ends = np.concatenate([at[1:], breaks])
@@ -56,6 +58,15 @@ class Lines:
         return T.mix((self.sums[0][to] - self.sums[0][at]) * self.down[at]), begins
 
 
+    def sets(self, size: int) -> list[np.ndarray]:
+        items, begins = self.shingles(size)
+        return [np.unique(x) for x in np.split(items, begins[1:])] if len(begins) else []
+
+    def texts(self) -> list[str]:
+        text = self.points.astype("<u4").tobytes().decode("utf-32-le")
+        return [text[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
+
 LINE = "id long, f long, line int, h1 long, h2 long, bands array<long>"
 
 
@@ -76,20 +87,94 @@ def signer(size: int, bands: int, rows: int):
     return run
 
 
-def set_reader(size: int):
-    """Rows (text, lines, nums): the shingle sets of the given lines of each text."""
+def line_reader(size: int, wanted):
+    """(id, body, n) of each line whose first hash the bitmap may hold, once a task while it is among the last ones seen."""
 
     def run(batches):
+        bitmap, seen = wanted.value, np.zeros(0, U64)
         for batch in batches:
-            for first, last, data, offsets in T.slices(batch.column(0), 1 << 20):
+            for _, _, data, offsets in T.slices(batch.column(0), 1 << 20):
                 lines = Lines(data, offsets)
-                wanted, nums = batch.column(1).slice(first, last - first), batch.column(2).slice(first, last - first)
-                row = np.repeat(np.arange(last - first), pc.list_value_length(wanted).to_numpy())
-                begins = np.searchsorted(lines.rows, np.arange(last - first))
-                lines.take(begins[row] + wanted.flatten().to_numpy())
-                items, starts = lines.shingles(size)
-                sets = [np.unique(s) for s in np.split(items, starts[1:])] if len(starts) else []
-                yield pa.RecordBatch.from_arrays([nums.flatten(), lists(np.concatenate(sets) if sets else np.zeros(0, U64), np.array([len(s) for s in sets], np.int64))], names=["id", "items"])
+                lines.take(lines.solid > 0)
+                codes, first = np.unique(lines.prints()[0], return_index=True)
+                kept = bitmap.holds(codes) & ~np.isin(codes, seen)
+                if not kept.any():
+                    continue
+                lines.take(first[kept])
+                seen = np.concatenate([seen, codes[kept]])[-SEEN:]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(codes[kept].view(np.int64)), pa.array(lines.texts()), pa.array([len(x) for x in lines.sets(size)], pa.int64())], names=["id", "body", "n"]
+                )
+
+    return run
+
+
+def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
+    """The shingle sets of texts that are one line each."""
+    out = []
+    for _, _, data, offsets in T.slices(column, 1 << 20):
+        out += Lines(data, offsets).sets(size)
+    return out
+
+
+class LineSets(Sets):
+    """Lines travel as text, an eighth of their sets; the sets are made where they are compared."""
+
+    def __init__(self, fetch, percent: int, size: int):
+        super().__init__(fetch, percent)
+        self.size = size
+
+    def linked(self, both: DataFrame) -> DataFrame:
+        size, percent = self.size, self.percent
+
+        def run(batches):
+            for batch in batches:
+                pairs = zip(sets_of(batch.column(2), size), sets_of(batch.column(3), size), strict=True)
+                common = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in pairs]
+                kept = pa.array([100 * c >= percent * (n - c) for c, n in common], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+    def items(self, bodies: DataFrame) -> DataFrame:
+        size = self.size
+
+        def run(batches):
+            for batch in batches:
+                sets = sets_of(batch.column(1), size)
+                flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat, np.array([len(x) for x in sets], np.int64))], names=["id", "items"])
+
+        return bodies.select("id", "body").mapInArrow(run, "id long, items array<long>")
+
+
+class Bitmap:
+    """A fixed number of bits by hash: it may hold too much, never too little, and spares rows that join nothing."""
+
+    def __init__(self, hashes: DataFrame):
+        """From a column ``h`` of 64-bit hashes; the words are joined by Spark, at most BITS / 64 of them come here."""
+        at = F.col("h").bitwiseAND(F.lit(BITS - 1))
+        words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("mask"))
+        found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        self.words = np.zeros(BITS // 64, U64)
+        self.words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(U64) if found.num_rows else 0
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & U64(BITS - 1)
+        return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
+def bucket_reader(wanted):
+    """(key, id) of the bands the bitmap may hold, from rows (h1, bands)."""
+
+    def run(batches):
+        bitmap = wanted.value
+        for batch in batches:
+            bands = batch.column(1)
+            keys = bands.flatten().to_numpy().view(U64)
+            kept = bitmap.holds(keys)
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(bands.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(ids[kept])], names=["key", "id"])
 
     return run
 
@@ -122,8 +207,9 @@ def without_repeated_lines(
     A line's set holds its distinct runs of ``size`` characters, A-Z lowered (a shorter line is one run). Lines are
     linked from ``percent`` hundredths of Jaccard similarity on, within a document or across documents; of each
     component of links the line of the least id stays, the first one there. 10 bands of 4 rows miss a link of
-    similarity 0.8 once in 200, one of 0.85 once in 1,600, one of 0.9 once in 43,000. Equal lines
-    (two 64-bit hashes) are one class before banding, so a line on a third of all documents costs one row per band.
+    similarity 0.8 once in 200, one of 0.85 once in 1,600, one of 0.9 once in 43,000; similar lines have more than one
+    chance, as any path of links joins them. Equal lines (two 64-bit hashes) are one class and one node, so a line on a
+    third of all documents costs a task one row per band.
 
     Lines of white space alone always stay. A document whose lines all go keeps its row with an empty text; a null text
     stays null with no lines. Rows that share an id and a text count as one document, a null id sorts first. No rows
@@ -131,24 +217,25 @@ def without_repeated_lines(
     """
     docs = docs.drop("n_lines", "n_kept")
     names = docs.columns
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("f")]
-    given = docs.select(*keys, F.col(text_col).alias("text")).where("text is not null")
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("f")]
+    given = docs.select(*own, F.col(text_col).alias("text")).where("text is not null")
+    spark = docs.sparkSession
     lines = saved(given.mapInArrow(signer(size, bands, rows), LINE), "lines")
-    first = F.min(F.struct("id", "f", "line", "bands")).alias("p")
-    classes = lines.groupBy("h1", "h2").agg(first, F.count("*").alias("n"))
-    classes = saved(classes.select("h1", "h2", F.struct("p.id", "p.f", "p.line").alias("pos"), "p.bands", "n", F.monotonically_increasing_id().alias("num")), "classes")
-
-    def sets(ids: DataFrame) -> DataFrame:
-        wanted = classes.select(F.col("num").alias("id"), "pos").join(ids, "id").groupBy("pos.id", "pos.f").agg(F.collect_list(F.struct("pos.line", F.col("id").alias("num"))).alias("l"))
-        found = given.join(wanted, ["id", "f"]).select("text", "l.line", "l.num").mapInArrow(set_reader(size), "id long, items array<long>")
-        return found.dropDuplicates(["id"])
-
-    roots = link_components(classes.select(F.explode("bands").alias("key"), F.col("num").alias("id")), sets, percent)
-    member = classes.select("h1", "h2", "pos", "n", "num").join(roots.withColumnRenamed("node", "num"), "num", "left")
-    # The least node of a component has no row of its own in roots.
-    tops = roots.select(F.col("root").alias("num")).distinct().withColumn("top", F.lit(True))
-    member = member.join(tops, "num", "left").where("n > 1 or root is not null or top").select("h1", "h2", "pos", F.coalesce("root", "num").alias("root"))
-    member = saved(member, "members")
+    # A line's first hash is its node. Only bands that two different lines share matter from here on.
+    keys = lines.select(F.explode("bands").alias("key"), F.col("h1").alias("id")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    keys = saved(keys.where("least < most").select("key"), "keys")
+    met = spark.sparkContext.broadcast(Bitmap(keys.select(F.col("key").alias("h"))))
+    buckets = lines.select("h1", "bands").mapInArrow(bucket_reader(met), "key long, id long").distinct().join(keys, "key", "left_semi")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(Bitmap(ids.select(F.col("id").alias("h"))))
+        found = given.select("text").mapInArrow(line_reader(size, wanted), "id long, body string, n long")
+        return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+    roots = link_components(buckets, LineSets(fetch, percent, size))
+    nodes = roots.select(F.col("node").alias("h1"), "root").union(roots.select("root", "root").distinct())
+    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "f", "line")).alias("pos"), F.count("*").alias("n")).join(nodes, "h1", "left")
+    member = saved(classes.where("n > 1 or root is not null").select("h1", "h2", "pos", F.coalesce("root", "h1").alias("root")), "members")
     keeper = member.groupBy("root").agg(F.min("pos").alias("keeper"))
     touched = saved(member.join(keeper, "root").select("h1", "h2", "keeper"), "touched")
     gone = lines.select("id", "f", "line", "h1", "h2").join(touched, ["h1", "h2"]).where(F.struct("id", "f", "line") != F.col("keeper"))

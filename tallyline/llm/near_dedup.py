@@ -100,11 +100,21 @@ def set_reader(size: int):
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach ``percent`` hundredths of Jaccard similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+class Sets:
+    """How the full sets of ids are fetched and compared: here as arrays of 64-bit items."""
+
+    def __init__(self, fetch, percent: int):
+        self.fetch = fetch  # from a frame of ids to (id, body, n), n being the size of the set
+        self.percent = percent
+
+    def linked(self, both: DataFrame) -> DataFrame:
+        """The pairs (a, b) that reach ``percent`` hundredths of Jaccard similarity, from (a, b, x, y) with their bodies."""
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(100 * common >= self.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+    def items(self, bodies: DataFrame) -> DataFrame:
+        """(id, items) from (id, body)."""
+        return bodies.select("id", F.col("body").alias("items"))
 
 
 def several_roots(buckets: DataFrame) -> DataFrame:
@@ -120,7 +130,7 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
     n - ceil(n * percent / 100) + 1 items of each, in any fixed order. Rarest first, the items that only one member has
     fill these places before common passages do, and texts that differ too much meet in no bucket.
     """
-    tokens = members.join(items, "id").select("id", "n", "root", F.explode("items").alias("key"))
+    tokens = items.join(members, "id").select("id", "n", "root", F.explode("items").alias("key"))
     often = tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     own = tokens.join(often, "key").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
     places = F.expr(f"n - ceil(n * {percent} / 100.0) + 1 - (n - size(shared))").cast("int")
@@ -128,20 +138,18 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
     return kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root")
 
 
-def link_components(buckets: DataFrame, sets, percent: int) -> DataFrame:
+def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
     """(node, root) of the components over the links between ids that share a bucket, from rows (key, id).
 
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
     (``rare_buckets``) and are compared with hubs, four times as many each round, until the members of each bucket are in
     one component or all have been hubs: no pair of different components is left out, yet no group is squared.
-    ``sets`` gives (id, items) for a frame of ids.
     """
-    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    active = saved(buckets.join(shared, "key").select("key", "id"), "buckets")
-    items = saved(sets(active.select("id").distinct()), "sets")
-    sizes = items.select("id", F.size("items").cast("long").alias("n"))
-    active = active.join(sizes, "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
+    percent = sets.percent
+    active = saved(buckets, "buckets")
+    bodies = saved(sets.fetch(active.select("id").distinct()), "sets")
+    active = active.join(bodies.select("id", "n"), "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
     labels = None
     step = 0
     while True:
@@ -151,16 +159,21 @@ def link_components(buckets: DataFrame, sets, percent: int) -> DataFrame:
         close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))
         pairs = active.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & close)
         pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
-        found = saved(linked(saved(pairs, "pairs"), items, percent), "links")
+        both = saved(pairs, "pairs").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
+        both = both.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+        found = saved(sets.linked(both), "links")
         if not found.isEmpty():
             labels = merged(labels, found)
-        rest = active.join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti") if step else active
+        rest = active.join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti")
         if labels is not None:
             rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
         rest = rest.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
         rest = several_roots(rest)
         if not step:
-            rest = several_roots(rare_buckets(saved(rest.select("id", "n", "root").distinct(), "members"), items, percent))
+            # What was compared with the only other member of its buckets is done.
+            members = saved(rest.select("id", "n", "root").distinct(), "members")
+            bodies = saved(bodies.join(members.select("id"), "id", "left_semi"), "sets")
+            rest = several_roots(rare_buckets(members, sets.items(bodies), percent))
         active = saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
         step += 1
         if active.isEmpty():
@@ -188,11 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("n > 0 and id is not null").join(classes, cls).select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("bands")).alias("bands")), "members"
     )
     buckets = members.where("bands is not null").select(F.explode("bands").alias("key"), "id")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    buckets = buckets.join(shared, "key").select("key", "id")
 
-    def sets(ids: DataFrame) -> DataFrame:
-        return given.join(ids, "id", "left_semi").mapInArrow(set_reader(size), "id long, items array<long>")
+    def fetch(ids: DataFrame) -> DataFrame:
+        found = given.join(ids, "id", "left_semi").mapInArrow(set_reader(size), "id long, items array<long>")
+        return found.select("id", F.col("items").alias("body"), F.size("items").cast("long").alias("n"))
 
-    roots = link_components(buckets, sets, percent)
+    roots = link_components(buckets, Sets(fetch, percent))
     found = members.select("id", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     found = found.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
     alone = signed.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))

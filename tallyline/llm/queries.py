@@ -13,6 +13,7 @@ from tallyline.llm.line_dedup import without_repeated_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
 from tallyline.llm.sharding import shard
+from tallyline.llm.sql import SQL  # noqa: F401
 from tallyline.llm.token_store import stored_tokens
 
 
@@ -89,4 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simple8b_tokens,
     )
 }
-SQL: dict[str, str] = {}
