@@ -129,10 +129,13 @@ class LineSets(Sets):
 
         def run(batches):
             for batch in batches:
-                pairs = zip(sets_of(batch.column(2), size), sets_of(batch.column(3), size), strict=True)
-                common = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in pairs]
-                kept = pa.array([100 * c >= percent * (n - c) for c, n in common], pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+                # Sets take many times the room of their texts, so only a few are held at once.
+                for first, last in T.row_slices(T.column_bytes(batch.column(2))[1] + T.column_bytes(batch.column(3))[1], 1 << 20):
+                    part = batch.slice(first, last - first)
+                    pairs = zip(sets_of(part.column(2), size), sets_of(part.column(3), size), strict=True)
+                    common = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in pairs]
+                    kept = pa.array([100 * c >= percent * (n - c) for c, n in common], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -141,9 +144,10 @@ class LineSets(Sets):
 
         def run(batches):
             for batch in batches:
-                sets = sets_of(batch.column(1), size)
-                flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat, np.array([len(x) for x in sets], np.int64))], names=["id", "items"])
+                for first, last in T.row_slices(T.column_bytes(batch.column(1))[1], 1 << 20):
+                    sets = sets_of(batch.column(1).slice(first, last - first), size)
+                    found = lists(np.concatenate(sets), np.array([len(x) for x in sets], np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), found], names=["id", "items"])
 
         return bodies.select("id", "body").mapInArrow(run, "id long, items array<long>")
 
