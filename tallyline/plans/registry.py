@@ -374,7 +374,7 @@ plan(
     "stream_sessions",
     lambda t: _stream(t, "sessions", lambda e: streams.sessions(case_events(e), delay=SPAN), ("case_id", "started_at")).filter("events > 0"),
 )
-plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e)), ("case_id", "since")))
+plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e), delay=SPAN), ("case_id", "since")))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

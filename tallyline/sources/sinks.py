@@ -61,7 +61,7 @@ class UpsertLog:
 
     Each batch is written to its own folder and overwrites it when Spark repeats the batch,
     so a retry after a lost executor or driver leaves the same content. Readers take the
-    newest row per key.
+    newest row per key. Where the rows have a column ``live``, one in which it is false takes its key out.
     """
 
     def __init__(self, path: str, keys: tuple[str, ...], newest: tuple[str, ...] = ()):
@@ -70,11 +70,16 @@ class UpsertLog:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/_seq={batch_id}")
 
-    def read(self, spark: SparkSession) -> DataFrame:
+    def _newest(self, spark: SparkSession) -> DataFrame:
         rows = spark.read.option("basePath", self.path).parquet(self.path)
-        return latest(rows, self.keys, ("_seq", *self.newest)).drop("_seq")
+        marked = ("live",) if "live" in rows.columns else ()
+        rows = latest(rows, self.keys, ("_seq", *self.newest, *marked)).drop("_seq")
+        return rows.filter("live") if marked else rows
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return self._newest(spark).drop("live")
 
     def compact(self, spark: SparkSession, target: str) -> UpsertLog:
         """Write the current content as one batch of a new log."""
-        self.read(spark).write.mode("overwrite").parquet(f"{target}/_seq=-1")
+        self._newest(spark).write.mode("overwrite").parquet(f"{target}/_seq=-1")
         return UpsertLog(target, self.keys, self.newest)

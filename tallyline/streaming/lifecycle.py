@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,14 @@ def guarded_transitions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute", keep_minutes: int = 366 * 24 * 60) -> DataFrame:
-    """Cases that reach no terminal state within ``minutes`` of event time of their first event."""
+    """Cases that reach no terminal state within ``minutes`` of event time of their first event.
+
+    A time-out is put out once the newest event is a minute past the limit (``delay`` past it, if that is less). A row
+    that is not ``live`` takes one back that events later than that, but within ``delay``, have changed.
+    """
     rows = events.select("case_id", "to_status", "ts", "event_id")
-    return _by_event_time(rows, "ts", delay, "case_id", Reaper(minutes, keep_minutes), REAPED)
+    processor = Reaper(minutes, keep_minutes, pd.Timedelta(delay) // pd.Timedelta("1ms"))
+    return _by_event_time(rows, "ts", delay, "case_id", processor, REAPED)
 
 
 def stream_session(spark: SparkSession) -> SparkSession:

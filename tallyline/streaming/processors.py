@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
 # The path of a case, its failed state and the reason of a time-out. They are
 # the same as those of the batch operators; a test compares them.
@@ -30,7 +30,8 @@ def _struct(strings: str = "", longs: str = "", times: str = "") -> StructType:
 STATE = _struct("status failed_stage", "accepted dropped")
 EVENT = _struct("status", "at_us event_id")
 OUTPUT = _struct("case_id status failed_stage", "accepted dropped")
-REAPED = _struct("case_id status failed_stage error_reason", times="since")
+REAPED = _struct("case_id status failed_stage error_reason", times="since").add("live", BooleanType())
+SHOWN = _struct("failed_stage", "at_us")
 FIRST = _struct("case_id", "at_us event_id")
 FIRST_OUTPUT = _struct("idempotency_key case_id", times="created_at")
 MOMENT = _struct(longs="at_us terminal")
@@ -121,40 +122,64 @@ class GuardedTransitions(Waiting):
 
 
 class Reaper(Waiting):
-    """Times a case out if no end lies within the limit of its first event, decided once the watermark has passed that limit.
+    """Times a case out if no end lies within the limit of its first event.
 
+    That is put out once the newest event lies more than ``settle_minutes`` past the limit, as the rows so far imply it,
+    and decided once the watermark, ``delay_ms`` behind the newest event, has passed the limit. Until then a late event may
+    change it: a time-out that no longer holds is put out once more with ``live`` false.
     A decided case is remembered for ``keep_minutes`` of event time, so what it says later does not start it anew.
     """
 
-    def __init__(self, minutes: int, keep_minutes: int):
+    def __init__(self, minutes: int, keep_minutes: int, delay_ms: int = 0, settle_minutes: int = 1):
         self.limit_us = minutes * 60_000_000
         self.keep_ms = keep_minutes * 60_000
+        self.early_ms = max(delay_ms - settle_minutes * 60_000, 0)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.decided = handle.getValueState("decided", START)
+        self.shown = handle.getValueState("shown", SHOWN)
+
+    def _settle(self, key, events: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        first = min(e[1] for e in events)
+        # An earlier first event would only move the limit back.
+        events = sorted((e for e in events if e[1] <= first + self.limit_us), key=lambda e: e[1:])
+        limit_ms = (first + self.limit_us) // 1000
+        due_ms = limit_ms - self.early_ms
+        out = None
+        if watermark_ms > due_ms and not any(e[0] in TERMINAL for e in events):
+            out = (events[-1][0], first)
+        shown = tuple(self.shown.get()) if self.shown.exists() else None
+        rows = []
+        if shown and (not out or out[1] != shown[1]):
+            rows.append((key[0], None, None, None, pd.Timestamp(shown[1], unit="us"), False))
+        if out and out != shown:
+            rows.append((key[0], FAILED, out[0], TIMEOUT, pd.Timestamp(first, unit="us"), True))
+        if watermark_ms > limit_ms:
+            self.hold([])
+            self.shown.clear()
+            self.decided.update((first,))
+            self.wake(limit_ms + self.keep_ms)
+        else:
+            self.hold(events)
+            if out:
+                self.shown.update(out)
+            else:
+                self.shown.clear()
+            self.wake(limit_ms if watermark_ms > due_ms else due_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=REAPED.names)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = [r for c in rows for r in zip(c["to_status"].tolist(), micros(c["ts"]), c["event_id"].tolist(), strict=True)]
         if not self.decided.exists():
-            events = self.held() + fresh
-            limit = min(e[1] for e in events) + self.limit_us
-            # An earlier first event would only move the limit back.
-            self.hold([e for e in events if e[1] <= limit])
-            self.wake(limit // 1000 + 1)
-        return iter(())
+            yield from self._settle(key, self.held() + fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.decided.exists():
             self.decided.clear()
             return
-        events = sorted(self.held(), key=lambda e: e[1:])
-        self.hold([])
-        self.decided.update((events[0][1],))
-        self.wake((events[0][1] + self.limit_us) // 1000 + self.keep_ms)
-        if not any(e[0] in TERMINAL for e in events):
-            since = pd.Timestamp(events[0][1], unit="us")
-            yield pd.DataFrame({"case_id": [key[0]], "status": [FAILED], "failed_stage": [events[-1][0]], "error_reason": [TIMEOUT], "since": [since]})
+        yield from self._settle(key, self.held(), timerValues.getCurrentWatermarkInMs())
 
 
 class FirstSubmission(Waiting):
