@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from tallyline.llm.line_dedup import without_repeated_lines
 from tests.llm.conftest import ODD, groups, lower
 
@@ -45,3 +47,17 @@ def test_hot_line(spark):
     got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(r["doc_id"] for r in got if r["n_kept"] == 2) == [0]
     assert sum(r["n_kept"] for r in got) == 301
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    """Each pair shares 16 of 20 runs and has no second path."""
+    rnd = random.Random(1)
+    letters = lambda n: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for i in range(4000):
+        common = letters(23)
+        rows += [(2 * i, common + letters(2)), (2 * i + 1, common + letters(2))]
+    sets = [{t[k : k + 8] for k in range(len(t) - 7)} for _, t in rows]
+    assert all(5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [2 * i for i in range(4000)]
