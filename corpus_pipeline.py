@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import quality
@@ -32,10 +32,26 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """One row of those that share an id and a text, with a number ``_row`` in the order of ids; all rows without an id."""
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    numbers = marked.where("doc_id is not null").select("doc_id", "_text").distinct().orderBy("doc_id", "_text")
+    numbers = saved(numbers.withColumn("_row", F.monotonically_increasing_id()), "numbers")
+    found = marked.join(numbers, ["doc_id", "_text"], "left").drop("_text")
+    first = F.row_number().over(Window.partitionBy("_row").orderBy(*docs.columns))
+    single = found.where("_row is not null").withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return saved(single.unionByName(found.where("_row is null")), "rows")
+
+
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words a shingle, similarity 0.8. Empty texts are no copies."""
-    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: five words a shingle, similarity 0.8. Empty texts are no copies.
+
+    Rows that share an id are judged each by its text; those that share both are one document.
+    """
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    rows, key = (docs, "doc_id") if repeated.isEmpty() else (numbered_rows(docs), "_row")
+    gone = near_duplicates(rows, id_col=key, size=5, percent=80).where("not kept").select(key)
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_queries_are_registered():
 
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
+
+
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    # 7 and 12 hold a copy and another text; 9 is repeated whole; a null id stays.
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (11, d), (12, d + " more"), (12, e), (13, None), (13, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.unique_documents(spark, docs.repartition(3), DATA)
+    assert got.columns == docs.columns
+    want = [(3, a), (7, b), (9, c), (11, d), (12, e), (13, None), (None, a), (None, a)]
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted(want, key=str)
