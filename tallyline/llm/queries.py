@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm import html_text, quality, toxicity
 from tallyline.llm.ann import nearest
+from tallyline.llm.collocations import collocations
 from tallyline.llm.decontaminate import contamination, find_matches
 from tallyline.llm.line_dedup import without_repeated_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
 from tallyline.llm.sharding import shard
+from tallyline.llm.spelling import spelling_variants
 from tallyline.llm.sql import SQL  # noqa: F401
 from tallyline.llm.token_store import stored_tokens
 
@@ -75,6 +77,14 @@ def op10_simple8b_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return stored_tokens(table(spark, folder, "documents"), vocabulary(), end_id=2)
 
 
+def op11_trie_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"), min_count=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,5 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_recurrent_block_labeller,
         op9_hash_prefix_forest,
         op10_simple8b_tokens,
+        op11_trie_spelling,
+        op13_phrase_collocations,
     )
 }
