@@ -10,6 +10,7 @@ from tallyline.llm import html_text, quality, toxicity
 from tallyline.llm.ann import nearest
 from tallyline.llm.collocations import collocations
 from tallyline.llm.decontaminate import contamination, find_matches
+from tallyline.llm.jaccard_join import jaccard_components
 from tallyline.llm.line_dedup import without_repeated_lines
 from tallyline.llm.near_dedup import near_duplicates
 from tallyline.llm.packing import pack
@@ -81,6 +82,10 @@ def op11_trie_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(table(spark, folder, "documents"))
 
 
+def op12_count_vector_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"), size=4, percent=85)
+
+
 def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"), min_count=100, longest=5, top=2000)
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_hash_prefix_forest,
         op10_simple8b_tokens,
         op11_trie_spelling,
+        op12_count_vector_rtree,
         op13_phrase_collocations,
     )
 }
