@@ -16,6 +16,7 @@ from tallyline.llm.shared import saved
 ENDS = T.byte_table((0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F), (0x0A, 0x0D))
 WORD = ~(ENDS | T.byte_table((0x09, 0x09), (0x20, 0x20)))
 NO_LANG = "und"
+LEVELS = 3  # lengths up to which rare phrases are looked up before windows are counted
 BITS = 25  # log2 of the positions of a bitmap: 4 MB, whatever the corpus
 
 
@@ -23,7 +24,7 @@ class Bitmap:
     """A set of 64-bit keys that may say yes to a few others, never no to one of its own; its size is fixed."""
 
     def __init__(self, keys: DataFrame, bits: int = BITS):
-        place = F.col("key").bitwiseAND((1 << bits) - 1)
+        place = F.col("key").cast("long").bitwiseAND((1 << bits) - 1)
         chunk = F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits")
         rows = keys.groupBy(F.shiftright(place, 15).alias("chunk")).agg(chunk).collect()  # at most 2 ** (bits - 15) rows
         self.bits = bits
@@ -54,11 +55,19 @@ class Slice:
         self.joined = np.zeros(len(hashes), dtype=bool)
         self.joined[1:] = (before[1:] == before[:-1]) & (self.row[1:] == self.row[:-1])
 
-    def pairs(self) -> np.ndarray:
-        """The key of each word together with the one before it; 0 for the first."""
-        out = np.zeros(len(self.keys), dtype=T.U64)
-        out[1:] = T.mix(self.keys[:-1] * T.U64(T.BASE) + self.keys[1:])
-        return out
+    def grams(self, known: list[Bitmap]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For lengths 1, 2, ... up to one more than ``known`` has: keys of the phrases that end at each word, and whether
+        such a phrase lies in one piece and may be frequent, as far as the shorter ones say."""
+        keys, ok = [self.keys], [np.ones(len(self.keys), dtype=bool)]
+        for bitmap in known:
+            held = ok[-1] & bitmap.holds(keys[-1])
+            ok[-1] = held
+            longer, both = np.zeros_like(self.keys), np.zeros_like(held)
+            longer[1:] = T.mix(keys[-1][:-1] * T.U64(T.BASE) + self.keys[1:])
+            both[1:] = held[1:] & held[:-1] & self.joined[1:]
+            keys.append(longer)
+            ok.append(both)
+        return keys, ok
 
     def texts(self, words: np.ndarray) -> pa.Array:
         """The words at these places."""
@@ -81,54 +90,56 @@ def slices(batches):
             yield Slice(data, offsets, own.to_pylist()), own
 
 
-def _counted(lang: pa.Array, keys: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    found, at, n = np.unique(keys, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([lang.take(pa.array(rows[at])), pa.array(found.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+COUNTED = "lang string, slot int, n long"
+SLOTS = 30  # phrases are counted in 2 ** 30 slots; two that share one are counted as one, so no frequent one is missed
 
 
-COUNTED = "lang string, key long, n long"
+def _counted(keys: np.ndarray, langs: pa.Array | None = None, rows: np.ndarray | None = None) -> pa.RecordBatch:
+    """(null, slot, n) for the phrases with these keys, or (lang, null, n) for the words of the rows."""
+    if rows is not None:
+        found, at, n = np.unique(keys, return_index=True, return_counts=True)
+        columns = [langs.take(pa.array(rows[at])), pa.nulls(len(found), pa.int32()), pa.array(n)]
+    else:
+        found, n = np.unique((keys & T.U64((1 << SLOTS) - 1)).astype(np.int32), return_counts=True)
+        columns = [pa.nulls(len(found), pa.string()), pa.array(found), pa.array(n)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "slot", "n"])
 
 
-def word_counts(batches):
-    for s, langs in slices(batches):
-        if len(s.keys):
-            yield _counted(langs, s.keys, s.row)
-
-
-def pair_counter(often: Bitmap):
-    """How often neighbours of often-used words stand side by side."""
+def gram_counter(known: list[Bitmap]):
+    """How often phrases one word longer than those of the last bitmap occur; with none, words and the words of each language."""
 
     def run(batches):
         for s, langs in slices(batches):
-            ok = often.holds(s.keys)
-            ok[1:] &= ok[:-1] & s.joined[1:]
-            ok[:1] = False
-            if ok.any():
-                yield _counted(langs, s.pairs()[ok], s.row[ok])
+            keys, ok = s.grams(known)
+            if ok[-1].any():
+                yield _counted(keys[-1][ok[-1]])
+            if not known and len(s.keys):
+                yield _counted(lang_codes(langs.to_pylist())[s.row], langs, s.row)
 
     return run
 
 
-def window_counter(often: Bitmap, pairs: Bitmap, longest: int):
+def window_counter(known: list[Bitmap], longest: int):
     """Distinct windows of ``longest`` words as lead columns w1, w2, ... with their counts, by slice.
 
-    A window begins at every often-used word and is padded with nulls from the first word on that ends its piece or
-    forms a pair that is too rare with the word before it.
+    A window begins at every frequent word and is padded with nulls from the first word on that lies in another piece
+    or ends a phrase within the window that is too rare.
     """
 
     def run(batches):
         for s, langs in slices(batches):
-            begin = np.flatnonzero(often.holds(s.keys))
+            _, ok = s.grams(known)
+            begin = np.flatnonzero(ok[0])
             if not len(begin):
                 continue
-            linked = s.joined & pairs.holds(s.pairs())
-            linked = np.append(linked, np.zeros(longest, dtype=bool))
+            pad = np.zeros(longest, dtype=bool)
+            ok = [np.append(x, pad) for x in ok[: len(known)]]
             found, which = np.unique(s.keys, return_inverse=True)
-            which = np.append(which, np.zeros(longest, dtype=which.dtype))
+            which = np.append(which, pad.astype(which.dtype))
             alive = np.ones(len(begin), dtype=bool)
             columns, mark = [], T.U64(0)
             for k in range(longest):
-                alive = alive & linked[begin + k] if k else alive
+                alive = alive & ok[min(k, len(ok) - 1)][begin + k]
                 columns.append(np.where(alive, which[begin + k], -1))
                 mark = T.mix(mark * T.U64(T.BASE) + (columns[-1] + 1).astype(T.U64))
             _, at, n = np.unique(mark, return_index=True, return_counts=True)
@@ -151,13 +162,16 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int) -> tuple[DataFr
 
     docs has lang and text, without nulls in lang.
     """
-    words = saved(docs.mapInArrow(word_counts, COUNTED).groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
-    often = Bitmap(words.where(F.col("n") >= min_count))
-    found = docs.mapInArrow(pair_counter(often), COUNTED).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    pairs = Bitmap(found.where(F.col("n") >= min_count))
+    known: list[Bitmap] = []
+    for _ in range(min(longest, LEVELS)):
+        found = docs.mapInArrow(gram_counter(known), COUNTED).groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+        if not known:
+            found = saved(found, "words")
+            totals = found.where("slot is null").select("lang", "n")
+        known.append(Bitmap(found.where((F.col("n") >= min_count) & F.col("slot").isNotNull()).select(F.col("slot").alias("key"))))
     names = [f"w{k}" for k in range(1, longest + 1)]
     fields = ", ".join(["lang string", *(f"{w} string" for w in names), "n long"])
-    windows = docs.mapInArrow(window_counter(often, pairs, longest), fields).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    windows = docs.mapInArrow(window_counter(known, longest), fields).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     windows = saved(windows, "windows")
     sums = windows.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("rolled")).where(F.col("f") >= min_count)
     # A sum over the first k columns counts a phrase if its k-th word is not padding.
@@ -165,7 +179,7 @@ def phrase_counts(docs: DataFrame, min_count: int, longest: int) -> tuple[DataFr
     for k, w in enumerate(names, 1):
         whole = whole | ((F.col("rolled") == (1 << (longest - k)) - 1) & F.col(w).isNotNull())
     phrases = sums.where(whole).select("lang", F.array_compact(F.array(*names)).alias("words"), F.concat_ws(" ", *names).alias("phrase"), "f")
-    return saved(phrases, "phrases"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return saved(phrases, "phrases"), totals
 
 
 def collocations(
@@ -179,9 +193,9 @@ def collocations(
     lowest score counts, the first of equal ones. A candidate that never occurs outside a longer one is dropped. Each
     language's first ``top`` by score, a and phrase are returned.
 
-    Only windows of the longest length are counted. Windows are padded behind a pair of words that occurs less than
-    ``min_count`` times: no candidate goes on there. Which pairs are rare is looked up in bitmaps of a fixed size; what
-    they let through too much is counted and dropped by its exact count, so they never change the result.
+    Only windows of the longest length are counted. A window is padded from where a phrase of up to three words in it
+    occurs less than ``min_count`` times: no candidate goes on there. Which are rare is looked up in bitmaps of a fixed
+    size; what they let through too much is counted and dropped by its exact count, so they never change the result.
 
     A null text has no words, a null language is ``und``. Repeated rows count each. No rows, or no phrase often enough,
     give no rows; other columns are ignored.
