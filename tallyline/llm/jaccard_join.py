@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
+from tallyline.llm.bitmap import Bitmap
 from tallyline.llm.components import components, merged
 from tallyline.llm.near_dedup import lists, shingle_sets
 from tallyline.llm.shared import saved
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 256  # coordinates of a point
 FANOUT = 16  # entries of a node
 TILE = 2048  # points of one tree
 CHUNK = 20_000  # pairs of nodes looked at together
@@ -55,7 +56,7 @@ def agreement_keys(items: np.ndarray, counts: np.ndarray, classes: SizeClasses)
     row = np.repeat(np.arange(len(counts)), counts)
     for above in (0, 1):
         level = own + above
-        groups = np.array(classes.groups, dtype=T.U64)[level]
+        groups = np.where(counts > 0, np.array(classes.groups, dtype=T.U64)[level], T.U64(0))
         spare = np.array(classes.spare)[level]
         part = ((items >> T.U64(32)) * groups[row]) >> T.U64(32)
         used = np.flatnonzero(groups[row] > 0)
@@ -295,17 +296,20 @@ def linked_components(blocks: DataFrame, sets: DataFrame, percent: int) -> DataF
     """(node, root) over all links within blocks (id, block), from sets (id, n, cls, point, items); None without links.
 
     In every round each point finds its best partners in other components, the pairs are verified and the components
-    merged. Blocks whose points still have untried partners in other components go on, with four times as many partners a
-    point, until none is left untried.
+    merged. Blocks whose points still have untried partners in other components go on, with sixteen times as many partners
+    a point, until none is left untried.
     """
     active = saved(sets.select("id", "n", "cls", "point").join(blocks, "id").withColumn("root", F.col("id")), "points")
     labels, want, local = None, 4, True
     while True:
         jobs = tile_jobs(active, local).repartition("job").sortWithinPartitions("job", "side")
         found = saved(jobs.mapInArrow(tree_search(percent, want), CANDIDATES), "candidates")
-        pairs = found.where("a is not null").select("a", "b").distinct()
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        # Only the sets of candidates travel.
+        pairs = saved(found.where("a is not null").select("a", "b").distinct(), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+        met = sets.select("id", "items").join(saved(ids, "ids"), "id", "left_semi")
+        both = pairs.join(met.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        both = both.join(met.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
         links = saved(links, "links")
@@ -322,7 +326,32 @@ def linked_components(blocks: DataFrame, sets: DataFrame, percent: int) -> DataF
         active = saved(rest.join(several, "block", "left_semi").select("id", "n", "cls", "point", "block", "root"), "points")
         if active.isEmpty():
             return labels
-        want, local = want * 4, False
+        want, local = want * 16, False
+
+
+def only(known: Bitmap, held: bool):
+    """The rows whose id the bitmap holds, or those whose id it does not hold."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy().view(T.U64)
+            rows = np.flatnonzero(known.holds(T.mix(ids * T.U64(T.BASE))) == held)
+            if len(rows):
+                yield batch.take(pa.array(rows))
+
+    return run
+
+
+def id_bitmap(ids: DataFrame) -> Bitmap:
+    """A bitmap of ids as ``only`` looks them up."""
+    keys = ids.select("id").mapInArrow(_mixed, "key long")
+    return Bitmap(keys)
+
+
+def _mixed(batches):
+    for batch in batches:
+        ids = batch.column(0).to_numpy().view(T.U64)
+        yield pa.RecordBatch.from_arrays([pa.array(T.mix(ids * T.U64(T.BASE)).view(np.int64))], names=["key"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -332,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are linked from ``percent`` hundredths of Jaccard similarity on; every such link counts.
 
     Equal sets become one class. The tokens of a set are hashed into groups: linked sets agree in the whole of a group
-    (``SizeClasses``), and what agrees so, in steps, forms a block. The counts of 64 coarser groups are a set's point.
+    (``SizeClasses``), and what agrees so, in steps, forms a block. The counts of 256 coarser groups are a set's point.
     Blocks are searched with R-trees of points (``Forest``), where the sum of the smaller counts bounds what two sets share, and the
     surviving pairs are verified on whole sets.
 
@@ -344,13 +373,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cls = ["n", "f1", "f2"]
     usable = (F.col("n") > 0) & F.col("id").isNotNull()
     members = saved(signed.where(usable).join(signed.where(usable).groupBy(*cls).agg(F.min("id").alias("rep")), cls).select("id", "n", "rep"), "members")
-    reps = given.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    keys = reps.mapInArrow(key_reader(size, percent), "id long, key long")
+    # Texts whose id a bitmap of fixed size tells apart are read in place; only the others are joined.
+    copies = id_bitmap(members.where("id <> rep"))
+    fields, key_fields = "id long, text string", "id long, key long"
+    lone = given.where("id is not null").mapInArrow(only(copies, False), fields)
+    maybe = given.where("id is not null").mapInArrow(only(copies, True), fields)
+    reps = maybe.join(members.where("id = rep").select("id").distinct(), "id", "left_semi")
+    keys = lone.mapInArrow(key_reader(size, percent), key_fields).union(reps.mapInArrow(key_reader(size, percent), key_fields))
     hub = F.min("id").over(Window.partitionBy("key"))
     agreeing = keys.withColumn("hub", hub).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     found = components(agreeing).select(F.col("node").alias("id"), F.col("root").alias("block"))
     blocks = saved(found.union(found.select(F.col("block").alias("id"), "block").distinct()), "blocks")
-    points = reps.join(blocks.select("id"), "id", "left_semi").mapInArrow(point_reader(size, percent), "id long, n long, cls long, point binary, items array<long>")
+    inside = given.where("id is not null").mapInArrow(only(id_bitmap(blocks), True), fields).join(blocks.select("id"), "id", "left_semi")
+    points = inside.mapInArrow(point_reader(size, percent), "id long, n long, cls long, point binary, items array<long>")
     roots = linked_components(blocks, saved(points, "sets"), percent)
     out = members.withColumn("component_id", F.col("rep"))
     if roots is not None:

@@ -6,7 +6,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from tallyline.llm.shared import saved
 from tallyline.llm.tokens import Encoder, with_end
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-BINS = "bin long, fill int, closed boolean, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
+BINS = "fill int, closed boolean, pieces array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long>>"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -44,7 +43,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def packed(items: pa.ListArray, sizes: np.ndarray, capacity: int, slack: int, bin_base: int) -> pa.RecordBatch:
+def packed(items: pa.ListArray, sizes: np.ndarray, capacity: int, slack: int) -> pa.RecordBatch:
     """One row per bin over items that are lists of pieces. A bin with at most ``slack`` places left is closed."""
     where, n = best_fit(sizes, capacity)
     order = np.argsort(where, kind="stable")
@@ -53,15 +52,10 @@ def packed(items: pa.ListArray, sizes: np.ndarray, capacity: int, slack: int, bi
     fills = np.bincount(where, weights=sizes, minlength=n).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), members.flatten())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(n) + bin_base), pa.array(fills), pa.array(fills >= capacity - slack), lists], names=["bin", "fill", "closed", "pieces"]
+        [pa.array(fills), pa.array(fills >= capacity - slack), lists], names=["fill", "closed", "pieces"]
     )
 
 
-def bin_base(step: int, flush: int) -> int:
-    """Bin numbers of a task: rounds, tasks and flushes have ranges of their own."""
-    return (step << 56) + (TaskContext.get().partitionId() << 32) + (flush << 24)
-
-
 def pieces_of(docs: pa.Array, counts: np.ndarray, ids: np.ndarray, capacity: int) -> tuple[pa.ListArray, np.ndarray]:
     """The pieces of the documents, one list each, and their lengths: a first one of the remainder, then full ones."""
     n = -(-counts // capacity)
@@ -80,10 +74,10 @@ def pieces_of(docs: pa.Array, counts: np.ndarray, ids: np.ndarray, capacity: int
 def cutter(path: str, end_id: int, capacity: int, slack: int, batch_items: int):
     def run(batches):
         encoder = Encoder.shared(path)
-        held, sizes, flush = [], [], 0
+        held, sizes = [], []
 
         def emit():
-            return packed(pa.concat_arrays(held), np.concatenate(sizes), capacity, slack, bin_base(0, flush))
+            return packed(pa.concat_arrays(held), np.concatenate(sizes), capacity, slack)
 
         for batch in batches:
             for first, last, ids, counts in encoder.column(batch.column(1)):
@@ -93,52 +87,59 @@ def cutter(path: str, end_id: int, capacity: int, slack: int, batch_items: int):
                 sizes.append(lengths)
                 if sum(map(len, sizes)) >= batch_items:
                     yield emit()
-                    held, sizes, flush = [], [], flush + 1
+                    held, sizes = [], []
         if held:
             yield emit()
 
     return run
 
 
-def repacker(step: int, capacity: int, slack: int):
+def repacker(capacity: int, slack: int):
     def run(batches):
         held = [(b.column(0), b.column(1).to_numpy()) for b in batches if len(b)]
         if held:
-            yield packed(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.int64), capacity, slack, bin_base(step, 0))
+            yield packed(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.int64), capacity, slack)
 
     return run
 
 
 def pack(
     docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-    slack: int = 0, fan_in: int = 8, batch_items: int = 200_000,
+    slack: int = 0, fan_in: int = 8, batch_items: int = 200_000, patience: int = 8,
 ) -> DataFrame:
     """Pack the token ids of all texts into sequences of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and an end id; only one longer than ``capacity`` is cut, into full pieces after a first one
     that may be shorter. Every task packs its pieces best-fit and closes the bins with at most ``slack`` ids of room.
     The others become items of the next round, where ``fan_in`` times fewer tasks pack what several tasks left over,
-    until one task has packed all that was left, or a round no longer saves one bin in a thousand: then the bins
-    left do not fit together. A task packs at most ``batch_items`` items at once, so no task's memory grows with the table.
+    until one task has packed all that was left. Where that is more than a task may hold, bins are dealt anew until
+    ``patience`` rounds on end have saved less than one bin in a thousand: then those left do not fit together. A task packs at most ``batch_items`` items at once, so no task's memory grows with the table.
 
     Null and empty texts have the end id alone; rows with a null or repeated id are packed like others. No rows give no
     pieces; other columns are ignored.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    bins = saved(given.mapInArrow(cutter(vocabulary, end_id, capacity, slack, batch_items), BINS), "bins")
+    tasks, base = given.rdd.getNumPartitions(), 0
+
+    def numbered(bins: DataFrame) -> DataFrame:
+        """Rounds have ranges of numbers of their own, tasks too."""
+        return saved(bins.withColumn("bin", F.monotonically_increasing_id() + F.lit(base)), "bins")
+
+    bins = numbered(given.mapInArrow(cutter(vocabulary, end_id, capacity, slack, batch_items), BINS))
     done = bins.where("closed")
     rest = bins.where("not closed")
-    tasks, step, left = bins.rdd.getNumPartitions(), 0, rest.count()
+    step, left, fruitless = 0, rest.count(), 0
     while left > 1:
-        before, wider, step = left, tasks, step + 1
+        before, wider, step, base = left, tasks, step + 1, base + (tasks << 33)
         tasks = max(-(-tasks // fan_in), -(-left // batch_items))
         # Which bins meet changes from round to round.
         dealt = rest.repartition(tasks, F.xxhash64("bin", F.lit(step)))
-        bins = saved(dealt.select("pieces", "fill").mapInArrow(repacker(step, capacity, slack), BINS), "bins")
+        bins = numbered(dealt.select("pieces", "fill").mapInArrow(repacker(capacity, slack), BINS))
         done = done.union(bins.where("closed"))
         rest = bins.where("not closed")
         left = rest.count()
-        if tasks == 1 or (tasks >= wider and before - left < before / 1000):
+        fruitless = fruitless + 1 if tasks >= wider and before - left < before / 1000 else 0
+        if tasks == 1 or fruitless >= patience:
             break
     every = done.union(rest)
     rows = every.select(F.col("bin").alias("sequence_id"), "pieces", F.posexplode("pieces").alias("at", "p"))

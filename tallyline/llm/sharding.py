@@ -85,16 +85,10 @@ def shard_starts(groups: DataFrame, shards: int, digits: int = 4) -> tuple[int,
             break
         digits += 1
         prefixes = [summary.rows[i][0] for i in unclear]
-        # Neighbouring prefixes are one range of keys.
-        ranges: list[list[int]] = []
-        for i in unclear:
-            if ranges and ranges[-1][1] == i - 1:
-                ranges[-1][1] = i
-            else:
-                ranges.append([i, i])
+        # One set look-up for each length of prefix, however many there are.
         wanted = F.lit(False)
-        for a, b in ranges:
-            wanted = wanted | F.col("key").between(summary.rows[a][0], summary.rows[b][0] + "g")
+        for n in sorted({len(p) for p in prefixes}):
+            wanted = wanted | F.substring("key", 1, n).isin([p for p in prefixes if len(p) == n])
         finer = _sums(groups.where(wanted), digits)
         split = set(prefixes)
         summary = Summary(sorted([r for r in summary.rows if r[0] not in split] + finer))

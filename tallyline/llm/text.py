@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 U64 = np.uint64
 # Fixed odd multipliers and seeds of the hashes.
 BASE = 0x9E3779B97F4A7C15

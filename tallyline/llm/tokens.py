@@ -14,8 +14,8 @@ import pyarrow as pa
 from tallyline.llm import text as T
 
 # Text bytes taken at once, and distinct chunks kept between slices.
-SLICE = 4 << 20
-KEPT = 2_000_000
+SLICE = 1 << 20
+KEPT = 500_000
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -42,7 +42,7 @@ def worker_state() -> dict:
 
 
 class Encoder:
-    """Ids of the ``tokenizers`` library for a column of texts; strings of special tokens count as text.
+    """Ids of the ``tokenizers`` library for a column of texts; strings of added tokens give their ids, as they do there.
 
     A text is cut into chunks at ``chunk_starts`` and every distinct chunk is encoded once. The encoder keeps up to
     ``KEPT`` chunks with their ids in sorted arrays; beyond that it starts anew with those of the current slice.
@@ -53,11 +53,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         vocabulary = self.model.get_vocab(with_added_tokens=False)
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for word, i in vocabulary.items():  # one character stands for one byte
             self.bytes_of[i] = len(word)
+        added = self.model.get_added_tokens_decoder()
+        self.bytes_of = np.append(self.bytes_of, np.zeros(max(max(added, default=0) + 1 - len(self.bytes_of), 0), dtype=np.int64))
+        for i, token in added.items():
+            self.bytes_of[i] = len(token.content.encode())
+        # An added token that holds or takes white space could lie across a cut.
+        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added.values())
         self._forget()
 
     @classmethod
@@ -109,7 +114,7 @@ class Encoder:
         """All ids of the rows one after another, and their number by row."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        starts = chunk_starts(data, offsets)
+        starts = chunk_starts(data, offsets) if self.cuts else np.unique(offsets[:-1][offsets[:-1] < offsets[1:]])
         ends = np.append(starts[1:], len(data))
         up, down = T.powers(len(data))
         hashes = T.mix(np.add.reduceat(T.BYTE_CODES[data] * up, starts) * down[starts] + (ends - starts).astype(T.U64))
