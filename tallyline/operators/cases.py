@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,17 @@ RECOMMENDATIONS = ("APPROVE", "DENY", "ESCALATE")
 SEVERITIES = ("low", "medium", "high")
 CONFIDENCE = 0.6
 DECISIONS = ("APPROVED", "DENIED")
-MODEL_SCHEMA = (
+# The answers of the two agents: their fields, all required, and the list whose entries carry a severity.
+DATA_ANSWER = (
     "grade STRING, recommendation STRING, confidence DOUBLE, rationale STRING, "
-    "risk_indicators ARRAY<STRUCT<indicator: STRING, severity: STRING, evidence: STRING>>"
+    "risk_indicators ARRAY<STRUCT<indicator: STRING, severity: STRING, evidence: STRING>>",
+    "risk_indicators", ("indicator", "severity", "evidence"),
+)
+DOCUMENT_ANSWER = (
+    "detected_language STRING, document_summary STRING, "
+    "document_findings ARRAY<STRUCT<finding: STRING, severity: STRING, evidence: STRING>>, "
+    "grade STRING, recommendation STRING, confidence DOUBLE, grade_changed BOOLEAN, change_reason STRING, rationale STRING",
+    "document_findings", ("finding", "severity", "evidence"),
 )
 
 
@@ -166,22 +177,26 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def parse_model_outputs(texts: DataFrame, column: str = "text") -> dict[str, DataFrame]:
+def parse_model_outputs(texts: DataFrame, column: str = "text", answer: tuple = DATA_ANSWER) -> dict[str, DataFrame]:
     """Read the JSON object inside each model answer; answers that break the schema go to quarantine.
 
     The object runs from the first opening to the last closing brace, which also leaves out
-    code fences and talk around it.
+    code fences and talk around it. Every field of the ``answer`` and of the entries of its list is required.
     """
+    schema, listed, parts = answer
     body = F.nullif(F.regexp_extract(column, r"(?s)\{.*\}", 0), F.lit(""))
     parsed = _once(texts, "_json", body)
-    parsed = _once(parsed, "_p", F.from_json("_json", MODEL_SCHEMA, {"mode": "PERMISSIVE"}))
+    parsed = _once(parsed, "_p", F.from_json("_json", schema, {"mode": "PERMISSIVE"}))
     p = F.col("_p")
-    levels = F.coalesce(p["risk_indicators"], F.array())
+    levels = F.coalesce(p[listed], F.array())
+    fields = parsed.schema["_p"].dataType.fieldNames()
+    lacking = reduce(or_, [p[f].isNull() for f in fields])
+    lacking |= F.exists(levels, lambda r: r.isNull() | reduce(or_, [r[f].isNull() for f in parts]))
     bad_level = F.exists(levels, lambda r: ~F.coalesce(r["severity"].isin(*SEVERITIES), F.lit(False)))
     reason = (
         F.when(~F.coalesce(F.col(column).rlike(r"\S"), F.lit(False)), "empty answer")
         .when(F.col("_json").isNull(), "no JSON object")
-        .when(p.isNull() | p["grade"].isNull() | p["recommendation"].isNull() | p["confidence"].isNull(), "schema")
+        .when(p.isNull() | lacking, "schema")
         .when(~p["grade"].isin(*GRADES), "grade")
         .when(~p["recommendation"].isin(*RECOMMENDATIONS), "recommendation")
         .when(bad_level, "severity")

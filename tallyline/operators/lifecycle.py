@@ -73,8 +73,7 @@ MAX_PAGE = 50
 def list_cases(cases: DataFrame, owner: str | None = None, cursor: tuple | None = None, limit: int = MAX_PAGE) -> DataFrame:
     """One page of cases, newest first. ``cursor`` is (created_at, case_id) of the last row seen.
 
-    A page that comes back full has a next page; its last row is the next cursor. A page
-    longer than ``MAX_PAGE`` is refused.
+    ``next_cursor`` of a page says where the next one starts. A page longer than ``MAX_PAGE`` is refused.
     """
     if not 0 < limit <= MAX_PAGE:
         raise ValueError(f"a page has 1 to {MAX_PAGE} cases, not {limit}")
@@ -88,43 +87,68 @@ def list_cases(cases: DataFrame, owner: str | None = None, cursor: tuple | None
     return page.select("case_id", "owner_sub", "status", "created_at")
 
 
-def guarded_transitions(events: DataFrame) -> DataFrame:
+def next_cursor(page: DataFrame, limit: int = MAX_PAGE) -> DataFrame:
+    """One row with the cursor of the page after this one; no row if this page is not full, so the last."""
+    last = F.min(F.struct("created_at", "case_id")).alias("last")
+    return page.agg(F.count("*").alias("n"), last).filter(F.col("n") == limit).select("last.created_at", "last.case_id")
+
+
+# What a state is in a transition map: its place on the path; beyond that, failed from that place.
+NAMES = (START, *PATH)
+ENDED = len(PATH)
+# Where every state leads, how many events were accepted on the way and which was the last: nothing has happened yet.
+NOWHERE = "CAST(NULL AS STRUCT<ts: {ts}, event_id: BIGINT>)"
+
+
+def _leads(to: str, n: str, at: str) -> str:
+    return f"named_struct('to', {to}, 'n', {n}, 'at', {at})"
+
+
+def transition_maps(events: DataFrame, bucket: str = "hour") -> DataFrame:
+    """One map per case and time bucket: what the bucket's events make of each state a case may come in with.
+
+    ``map`` has an entry for each active state: the state it leads to, the events accepted on the way and the last of
+    them. Maps compose: what a bucket does to a case does not depend on the buckets before, so all buckets of a case are folded at
+    the same time.
+    """
+    at = events.schema["ts"].dataType.simpleString()
+    nothing = NOWHERE.format(ts=at)
+    start = "array(" + ", ".join(_leads(str(i), "0L", nothing) for i in range(ENDED)) + ")"
+    steps = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(NAMES) if i)
+    step = F.expr(f"CASE to_status {steps} WHEN '{FAILED}' THEN -1 ELSE 0 END").alias("step")
+    taken = f"s.to < {ENDED} AND (e.step = -1 OR e.step = s.to + 1)"
+    after = _leads(f"if(e.step = -1, {ENDED + 1} + s.to, e.step)", "s.n + 1", "named_struct('ts', e.ts, 'event_id', e.event_id)")
+    folded = F.expr(f"aggregate(array_sort(events), {start}, (m, e) -> transform(m, s -> if({taken}, {after}, s)))")
+    rows = events.select("case_id", F.date_trunc(bucket, "ts").alias("bucket"), F.struct("ts", F.col("event_id").cast("bigint").alias("event_id"), step).alias("e"))
+    grouped = rows.groupBy("case_id", "bucket").agg(F.collect_list("e").alias("events"))
+    return grouped.select("case_id", "bucket", F.size("events").cast("bigint").alias("events"), folded.alias("map"))
+
+
+def compose_maps(maps: DataFrame, ts: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Rows (keys, events, end): the maps of a key composed in the order of their buckets, from the first state on."""
+    nothing = NOWHERE.format(ts=ts)
+    on = "element_at(b.map, s.to + 1)"
+    then = _leads(f"{on}.to", f"s.n + {on}.n", f"coalesce({on}.at, s.at)")
+    end = F.expr(f"aggregate(array_sort(maps), {_leads('0', '0L', nothing)}, (s, b) -> if(s.to < {ENDED}, {then}, s))")
+    grouped = maps.groupBy(*keys).agg(F.sum("events").alias("events"), F.collect_list(F.struct("bucket", "map")).alias("maps"))
+    return grouped.select(*keys, "events", end.alias("end"))
+
+
+def guarded_transitions(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """Final state per case, accepted and dropped events, from unordered events.
 
-    An event is accepted only if its predecessor is the current state; an error is
-    accepted in any active state and ends the case. Instead of folding a collected list,
-    the accepted chain is found step by step: the first error, then the first retrieving
-    before it, then the first analyzing after that, and so on. Each step is a minimum with
-    a partial aggregate, joined back to the events, so one case may hold any share of them.
+    An event is accepted only if its predecessor is the current state; an error is accepted in any active state and
+    ends the case. The events of a case and time bucket become a map of states (``transition_maps``), and a case is its maps in
+    order: one scan, no join, and a case that holds any share of the events is split over its buckets. A ``bucket`` (a
+    unit of time) is to hold no more events of one case than fit one task. Events without a time come first.
     """
-    order = F.struct("ts", "event_id")
-    ev = events.select("case_id", "to_status", order.alias("o"))
-    state = ev.groupBy("case_id").agg(
-        F.count("*").alias("events"), F.min(F.when(F.col("to_status") == FAILED, F.col("o"))).alias("err"),
-        F.min(F.when(F.col("to_status") == PATH[0], F.col("o"))).alias("t0"),
-    )
-    state = state.withColumn("t0", F.when(F.col("err").isNull() | (F.col("t0") < F.col("err")), F.col("t0")))
-    for i, stage in enumerate(PATH[1:], start=1):
-        before = F.col("err").isNull() | (F.col("o") < F.col("err"))
-        nxt = (
-            ev.filter(F.col("to_status") == stage)
-            .join(state.filter(f"t{i - 1} IS NOT NULL").select("case_id", "err", F.col(f"t{i - 1}").alias("prev")), "case_id")
-            .filter((F.col("o") > F.col("prev")) & before)
-            .groupBy("case_id").agg(F.min("o").alias(f"t{i}"))
-        )
-        state = state.join(nxt, "case_id", "left")
-    steps = [F.col(f"t{i}") for i in range(len(PATH))]
-    done = steps[-1].isNotNull()
-    failed = F.col("err").isNotNull() & ~done
-    reached = F
-    for i in reversed(range(len(PATH))):
-        reached = reached.when(steps[i].isNotNull(), PATH[i])
-    accepted = sum((s.isNotNull().cast("bigint") for s in steps), F.lit(0).cast("bigint")) + failed.cast("bigint")
-    last = F.when(failed, F.col("err")).otherwise(F.coalesce(*reversed(steps)))
-    return state.select(
-        "case_id", F.when(failed, FAILED).otherwise(reached.otherwise(START)).alias("status"),
-        F.when(failed, reached.otherwise(START)).alias("failed_stage"),
-        accepted.alias("accepted"), (F.col("events") - accepted).alias("dropped"), last["ts"].alias("changed_at"),
+    done = compose_maps(transition_maps(events, bucket), events.schema["ts"].dataType.simpleString())
+    names = F.array(*map(F.lit, NAMES))
+    to = F.col("end.to")
+    failed = to > ENDED
+    return done.select(
+        "case_id", F.when(failed, FAILED).otherwise(F.get(names, to)).alias("status"), F.when(failed, F.get(names, to - ENDED - 1)).alias("failed_stage"),
+        F.col("end.n").alias("accepted"), (F.col("events") - F.col("end.n")).alias("dropped"), F.col("end.at.ts").alias("changed_at"),
     )
 
 
@@ -145,13 +169,24 @@ def active_case_cap(cases: DataFrame, n: int = 5) -> DataFrame:
     return per.filter(F.col("active_cases") >= n)
 
 
-def lifecycle_metrics(events: DataFrame, window: str = "1 day") -> DataFrame:
-    """Cases created, completed and failed, and events per stage, in tumbling windows."""
+CREATED = "created"
+
+
+def lifecycle_metrics(events: DataFrame, window: str = "1 day", submissions: DataFrame | None = None) -> DataFrame:
+    """Events per stage, cases completed and failed, in tumbling windows; with ``submissions`` also cases created.
+
+    A case is created by the first submission of its idempotency key. A window with creations alone has no events.
+    """
+    rows = events.select("ts", "to_status")
+    counted = (*STAGES, *TERMINAL)
+    if submissions is not None:
+        born = dedupe_submissions(submissions).select(F.col("created_at").alias("ts"), F.lit(CREATED).alias("to_status"))
+        rows, counted = rows.unionByName(born), (CREATED, *counted)
     s = F.col("to_status")
-    per = events.groupBy(F.window("ts", window).alias("w")).agg(
-        F.count("*").alias("events"), *[F.count_if(s == x).alias(x) for x in (*STAGES, *TERMINAL)]
+    per = rows.groupBy(F.window("ts", window).alias("w")).agg(
+        F.count_if(s.isNull() | (s != CREATED)).alias("events"), *[F.count_if(s == x).alias(x) for x in counted]
     )
-    return per.select(F.col("w.start").alias("window_start"), "events", *STAGES, *TERMINAL)
+    return per.select(F.col("w.start").alias("window_start"), "events", *counted)
 
 
 def stage_durations(results: DataFrame) -> DataFrame:

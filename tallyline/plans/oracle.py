@@ -246,7 +246,7 @@ _DAYS = "(SELECT DISTINCT o_orderdate::DATE AS as_of FROM orders)"
 SQL["period"] = f"""SELECT as_of, (as_of - (isodow(as_of) + 6)::INT) AS start_date, (as_of - isodow(as_of)::INT) AS end_date FROM {_DAYS}"""
 SQL["period_prev_month"] = f"""SELECT as_of, (date_trunc('month', as_of) - INTERVAL 1 MONTH)::DATE AS start_date,
     (date_trunc('month', as_of)::DATE - 1) AS end_date FROM {_DAYS}"""
-SQL["opt"] = "SELECT rpt_grp_id, batch_id, seq_no FROM batch_recon"
+SQL["opt"] = "SELECT rpt_grp_id, batch_id, seq_no FROM batch_recon WHERE rpt_grp_id = 105"
 SQL["latest_batch"] = "SELECT rpt_grp_id, batch_id, seq_no, created_timestamp FROM lb"
 SQL["latest_recon"] = "SELECT rpt_grp_id, run_date, seq_no, created_timestamp FROM lr"
 SQL["controls"] = f"SELECT rpt_grp_id, batch_id, {', '.join(f'g_{n} AS {n}_diff' for n in SIDES)} FROM lbx"
@@ -772,6 +772,10 @@ _WHY = """CASE WHEN channel = '5-LOW' AND receiver_country = receiver_country TH
 SQL["parse_model_outputs"] = f"""SELECT mtcn, 'HIGH' AS grade, 'ESCALATE' AS recommendation, 0.5::DOUBLE AS confidence, sender_name AS rationale, 'low' AS severity
     FROM cases_flat WHERE {_WHY} IS NULL"""
 SQL["parse_model_outputs__quarantine"] = f"SELECT mtcn, if({_WHY} = 'cut', 'schema', {_WHY}) AS reason FROM cases_flat WHERE {_WHY} IS NOT NULL"
+SQL["parse_model_outputs__documents"] = """SELECT mtcn, 'de' AS detected_language, sender_name AS document_summary, 'LOW' AS grade,
+    0.75::DOUBLE AS confidence, false AS grade_changed FROM cases_flat WHERE channel = '1-URGENT' AND sender_name IS NOT NULL AND receiver_country IS NOT NULL"""
+SQL["parse_model_outputs__documents_quarantine"] = """SELECT mtcn, if(channel = '5-LOW' AND sender_name IS NOT NULL AND receiver_country IS NOT NULL, 'severity', 'schema') AS reason
+    FROM cases_flat WHERE channel <> '1-URGENT' OR sender_name IS NULL OR receiver_country IS NULL"""
 SQL["decisions"] = """SELECT mtcn, action, grade, decided_at FROM (
         SELECT split_part(case_id, '-', 1) AS mtcn, CASE to_status WHEN 'complete' THEN 'APPROVED' WHEN 'error' THEN 'DENIED' END AS action,
                if(value > 20, 'HIGH', 'LOW') AS grade, ts AS decided_at, event_id FROM case_events)
@@ -792,6 +796,8 @@ SQL["case_summary_view"] = """SELECT case_id, status, max(output) FILTER (stage
     FROM cases LEFT JOIN first_results USING (case_id) WHERE status IN ('complete', 'error') GROUP BY case_id, status"""
 SQL["list_cases"] = "SELECT case_id, owner_sub, status, created_at FROM cases ORDER BY created_at DESC, case_id DESC LIMIT 50"
 SQL["list_cases__next"] = "SELECT case_id, owner_sub, status, created_at FROM cases WHERE (created_at, case_id) < (TIMESTAMP '2024-01-10', '5-5') ORDER BY created_at DESC, case_id DESC LIMIT 20"
+SQL["list_cases__owner"] = "SELECT case_id, owner_sub, status, created_at FROM cases WHERE owner_sub = 'u7' ORDER BY created_at DESC, case_id DESC LIMIT 10"
+SQL["list_cases__cursor"] = f"SELECT created_at, case_id FROM ({SQL['list_cases']}) ORDER BY created_at, case_id LIMIT 1"
 SQL["dedupe_submissions"] = """SELECT idempotency_key, arg_min(case_id, (created_at, event_id)) AS case_id, arg_min(owner_sub, (created_at, event_id)) AS owner_sub,
     min(created_at) AS created_at, count(*) AS submissions FROM submissions GROUP BY idempotency_key"""
 SQL["claim_cases"] = "SELECT case_id, arg_min(worker, (claimed_at, event_id)) AS claimed_by, min(claimed_at) AS claimed_at, count(*) - 1 AS lost_claims FROM claims GROUP BY case_id"
@@ -802,6 +808,11 @@ SQL["reap_stuck"] = """SELECT case_id, owner_sub, 'error' AS status, status AS f
 SQL["active_case_cap"] = "SELECT owner_sub, count(*) AS active_cases FROM cases WHERE status NOT IN ('complete', 'error') GROUP BY owner_sub HAVING count(*) >= 5"
 SQL["lifecycle_metrics"] = f"""SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS events,
     {', '.join(cnt(f"to_status = '{s}'", s) for s in ('retrieving', 'analyzing', 'doc_analysis', 'complete', 'error'))} FROM case_events GROUP BY 1"""
+SQL["stream_lifecycle_metrics"] = SQL["lifecycle_metrics"]
+SQL["lifecycle_metrics"] = f"""SELECT coalesce(e.window_start, c.window_start) AS window_start, coalesce(events, 0) AS events, coalesce(created, 0) AS created,
+    {', '.join(f'coalesce({s}, 0) AS {s}' for s in ('retrieving', 'analyzing', 'doc_analysis', 'complete', 'error'))}
+    FROM ({SQL['lifecycle_metrics']}) e FULL JOIN (SELECT date_trunc('day', created_at)::TIMESTAMP AS window_start, count(*) AS created
+        FROM (SELECT min(created_at) AS created_at FROM submissions GROUP BY idempotency_key) GROUP BY 1) c USING (window_start)"""
 SQL["stage_durations"] = """SELECT stage, count(*) AS cases, round(quantile_cont(seconds, 0.5), 6) AS median_seconds, round(quantile_cont(seconds, 0.95), 6) AS p95_seconds FROM (
     SELECT b.stage, trunc(epoch_us(b.completed_at - a.completed_at) / 1e6)::DOUBLE AS seconds FROM first_results a JOIN first_results b USING (case_id)
     WHERE (a.stage, b.stage) IN (('retrieving', 'analyzing'), ('analyzing', 'doc_analysis'))) WHERE seconds >= 0 GROUP BY stage"""
@@ -819,7 +830,6 @@ SQL["open_sessions"] = """SELECT session_id, count(*) AS entries, max(ts) AS las
     FROM stream_entries LEFT JOIN stream_ends USING (session_id) GROUP BY session_id"""
 
 # Streaming forms give what their batch forms give
-SQL["stream_lifecycle_metrics"] = SQL["lifecycle_metrics"]
 SQL["stream_dedupe_submissions"] = "SELECT idempotency_key, arg_min(case_id, (created_at, event_id)) AS case_id, min(created_at) AS created_at FROM submissions GROUP BY 1"
 SQL["stream_guarded_transitions"] = "SELECT case_id, f.s AS status, f.n::BIGINT AS accepted, events - f.n AS dropped FROM folded"
 

@@ -56,7 +56,7 @@ plan("in_period", lambda t: t.hits.filter(P.holds("transaction_date")).select(*H
 plan("is_open", lambda t: t.hits.filter(open_at(P)).select(*HIT_KEY))
 plan("is_reported_asof", lambda t: t.hits.filter(reported_by(P)).select(*HIT_KEY))
 
-plan("opt", lambda t: narrow(t.batch_recon, rpt_grp_id=None, batch_id=None).select("rpt_grp_id", "batch_id", "seq_no"))
+plan("opt", lambda t: narrow(t.batch_recon, rpt_grp_id=105, batch_id=None).select("rpt_grp_id", "batch_id", "seq_no"))
 plan("latest_batch", lambda t: latest_batch(t.batch_recon, P).select("rpt_grp_id", "batch_id", "seq_no", "created_timestamp"))
 plan("latest_recon", lambda t: latest_recon(t.hit_recon, P).select("rpt_grp_id", "run_date", "seq_no", "created_timestamp"))
 plan(
@@ -317,6 +317,29 @@ def _parsed(t: Tables) -> dict[str, DataFrame]:
 parts("parse_model_outputs", "summary quarantine", _parsed)
 
 
+def _document_answers(t: Tables) -> DataFrame:
+    """Answers about documents, most of which lack one field or one field of a finding."""
+    finding = (
+        "named_struct('finding', CASE channel WHEN '3-MEDIUM' THEN NULL ELSE 'seal' END, "
+        "'severity', CASE channel WHEN '5-LOW' THEN 'awful' ELSE 'high' END, 'evidence', receiver_country)"
+    )
+    fields = (
+        "'detected_language', CASE channel WHEN '2-HIGH' THEN NULL ELSE 'de' END, 'document_summary', sender_name, "
+        f"'document_findings', array({finding}), 'grade', 'LOW', 'recommendation', 'APPROVE', 'confidence', 0.75D, "
+        "'grade_changed', CASE WHEN channel = '4-NOT SPECIFIED' THEN NULL ELSE false END, 'change_reason', 'none', 'rationale', 'fits'"
+    )
+    return t.cases_flat.selectExpr("mtcn", f"concat('So: ', to_json(named_struct({fields}))) AS text")
+
+
+def _parsed_documents(t: Tables) -> dict[str, DataFrame]:
+    out = cases.parse_model_outputs(_document_answers(t), answer=cases.DOCUMENT_ANSWER)
+    good = out["good"].select("mtcn", "detected_language", "document_summary", "grade", "confidence", "grade_changed")
+    return {"documents": good, "documents_quarantine": out["quarantine"].select("mtcn", "reason")}
+
+
+parts("parse_model_outputs", "documents documents_quarantine", _parsed_documents)
+
+
 def _decisions(t: Tables) -> DataFrame:
     """Analyst decisions read off the event stream."""
     return t.case_events.selectExpr(
@@ -334,13 +357,15 @@ plan("case_status_view", lambda t: L.case_status_view(t.cases, t.stage_results))
 plan("case_summary_view", lambda t: L.case_summary_view(t.cases, t.stage_results))
 plan("list_cases", lambda t: L.list_cases(t.cases))
 plan("list_cases__next", lambda t: L.list_cases(t.cases, cursor=(datetime(2024, 1, 10), "5-5"), limit=20))
+plan("list_cases__owner", lambda t: L.list_cases(t.cases, owner="u7", limit=10))
+plan("list_cases__cursor", lambda t: L.next_cursor(L.list_cases(t.cases)))
 plan("dedupe_submissions", lambda t: L.dedupe_submissions(t.submissions))
 plan("claim_cases", lambda t: L.claim_cases(t.claims))
 plan("idempotent_stages", lambda t: L.idempotent_stages(t.stage_results))
 plan("guarded_transitions", lambda t: L.guarded_transitions(t.case_events))
 plan("reap_stuck", lambda t: L.reap_stuck(t.cases, AS_OF))
 plan("active_case_cap", lambda t: L.active_case_cap(t.cases))
-plan("lifecycle_metrics", lambda t: L.lifecycle_metrics(t.case_events))
+plan("lifecycle_metrics", lambda t: L.lifecycle_metrics(t.case_events, submissions=t.submissions))
 plan("stage_durations", lambda t: L.stage_durations(t.stage_results))
 plan("poll_rate", lambda t: L.poll_rate(t.case_events))
 plan("silent_sessions", lambda t: L.silent_sessions(t.case_events, AS_OF))
