@@ -6,6 +6,7 @@ This module imports nothing of its own package: its classes travel to the worker
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +28,10 @@ def _struct(strings: str = "", longs: str = "", times: str = "") -> StructType:
     return StructType([StructField(n, t) for n, t in fields])
 
 
-STATE = _struct("status failed_stage", "accepted dropped")
+SETTLED = _struct(longs="state accepted events")
+BUCKET = _struct(longs="bucket")
+ENTRIES = _struct("entries")
+LEADS = _struct("leads", "events")
 EVENT = _struct("status", "at_us event_id")
 OUTPUT = _struct("case_id status failed_stage", "accepted dropped")
 REAPED = _struct("case_id status failed_stage error_reason", times="since").add("live", BooleanType())
@@ -43,19 +47,6 @@ def micros(times: pd.Series) -> list[int]:
     return times.astype("datetime64[us]").astype("int64").tolist()
 
 
-def fold(status: str, failed_stage: str | None, events: list[tuple]) -> tuple[str, str | None, int]:
-    """State, failed stage and number of accepted ones after events (status, time, id) in any order."""
-    taken = 0
-    for to, _, _ in sorted(events, key=lambda e: e[1:]):
-        if status in TERMINAL:
-            break
-        if to == FAILED:
-            status, failed_stage, taken = FAILED, status, taken + 1
-        elif to in PATH and PATH.index(to) == PATH.index(status) + 1:
-            status, taken = to, taken + 1
-    return status, failed_stage, taken
-
-
 class Waiting(StatefulProcessor):
     """Keeps the rows of a key that the watermark has not passed, since earlier ones may still come."""
 
@@ -85,41 +76,92 @@ class Waiting(StatefulProcessor):
         pass
 
 
-class GuardedTransitions(Waiting):
-    """Keeps the state of one case and applies events whose predecessor is that state, in event time.
+def transition_map(events: list[tuple]) -> list[list[int]]:
+    """For each active state, where events (status, time, id) in any order lead a case that comes in with it, and how many are accepted.
+
+    States are their places on the path; beyond that, failed from that place.
+    """
+    leads = [[i, 0] for i in range(len(PATH) - 1)]
+    for to, _, _ in sorted(events, key=lambda e: e[1:]):
+        step = PATH.index(to) if to in PATH else 0
+        for lead in leads:
+            if lead[0] < len(PATH) - 1 and (to == FAILED or step == lead[0] + 1):
+                lead[:] = [len(PATH) + lead[0] if to == FAILED else step, lead[1] + 1]
+    return leads
+
+
+def follow(state: int, accepted: int, leads: list[list[int]]) -> tuple[int, int]:
+    """Where a map leads from a state, and how many events are accepted by then."""
+    if state >= len(PATH) - 1:
+        return state, accepted
+    to, taken = leads[state]
+    return to, accepted + taken
+
+
+class GuardedTransitions(StatefulProcessor):
+    """Keeps the state of one case and a transition map for each time bucket that the watermark has not passed.
 
-    Events wait until the watermark has passed them and are then applied for good. Every row put out counts the waiting
-    ones too, as they stand, so the last one is what the batch operator gives, however the events were cut into
-    micro-batches; only rows behind the watermark are lost.
+    A micro-batch reads and folds only the events of the buckets it has rows for; the other buckets' maps are composed as they are.
+    Buckets behind the watermark are applied for good and forgotten. Every row put out counts the waiting buckets too, so the last
+    one is what the batch operator gives, however the events were cut into micro-batches; only rows behind the watermark are lost.
     """
 
+    def __init__(self, bucket_minutes: int = 60):
+        self.width_us = bucket_minutes * 60_000_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.state = handle.getValueState("case", STATE)
-
-    def _settle(self, rows: list[tuple], watermark_ms: int) -> tuple:
-        status, failed, accepted, dropped = self.state.get() if self.state.exists() else (PATH[0], None, 0, 0)
-        past = [r for r in rows if r[1] // 1000 <= watermark_ms]
-        rows = [r for r in rows if r[1] // 1000 > watermark_ms]
-        status, failed, taken = fold(status, failed, past)
-        settled = (status, failed, int(accepted) + taken, int(dropped) + len(past) - taken)
-        self.state.update(settled)
-        self.hold(rows)
-        self.wake(max(r[1] for r in rows) // 1000 + 1 if rows else None)
-        return settled
+        self.handle = handle
+        self.settled = handle.getValueState("settled", SETTLED)
+        self.events = handle.getMapState("events", BUCKET, ENTRIES)
+        self.maps = handle.getMapState("maps", BUCKET, LEADS)
+
+    def _learn(self, fresh: list[tuple]) -> None:
+        touched: dict[int, list[tuple]] = {}
+        for e in fresh:
+            touched.setdefault(e[1] // self.width_us, []).append(e)
+        for bucket, rows in touched.items():
+            key = (bucket,)
+            held = json.loads(self.events.getValue(key)[0]) if self.events.containsKey(key) else []
+            rows = [tuple(e) for e in held] + rows
+            self.events.updateValue(key, (json.dumps(rows),))
+            self.maps.updateValue(key, (json.dumps(transition_map(rows)), len(rows)))
+
+    def _settle(self, watermark_ms: int) -> tuple[tuple, list[tuple]]:
+        """The state behind the watermark, and the buckets (number, map, events) that wait, in order."""
+        state, accepted, events = self.settled.get() if self.settled.exists() else (0, 0, 0)
+        waiting = []
+        for key, (leads, n) in sorted((tuple(k), tuple(v)) for k, v in self.maps.iterator()):
+            if (key[0] + 1) * self.width_us // 1000 <= watermark_ms:
+                state, accepted = follow(state, accepted, json.loads(leads))
+                events += n
+                self.maps.removeKey(key)
+                self.events.removeKey(key)
+            else:
+                waiting.append((key[0], json.loads(leads), n))
+        self.settled.update((state, accepted, events))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.handle.registerTimer((waiting[-1][0] + 1) * self.width_us // 1000 + 1)
+        return (state, accepted, events), waiting
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [r for c in rows for r in zip(c["to_status"].tolist(), micros(c["ts"]), c["event_id"].tolist(), strict=True)]
-        status, failed, accepted, dropped = self._settle(self.held() + fresh, timerValues.getCurrentWatermarkInMs())
-        rest = self.held()
-        status, failed, taken = fold(status, failed, rest)
-        out = {"case_id": [key[0]], "status": [status], "failed_stage": [failed if status == FAILED else None]}
-        yield pd.DataFrame(out | {"accepted": [accepted + taken], "dropped": [dropped + len(rest) - taken]})
+        self._learn([r for c in rows for r in zip(c["to_status"].tolist(), micros(c["ts"]), c["event_id"].tolist(), strict=True)])
+        (state, accepted, events), waiting = self._settle(timerValues.getCurrentWatermarkInMs())
+        for _, leads, n in waiting:
+            state, accepted = follow(state, accepted, leads)
+            events += n
+        failed = state >= len(PATH)
+        out = {"case_id": [key[0]], "status": [FAILED if failed else PATH[state]], "failed_stage": [PATH[state - len(PATH)] if failed else None]}
+        yield pd.DataFrame(out | {"accepted": [accepted], "dropped": [events - accepted]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._settle(self.held(), timerValues.getCurrentWatermarkInMs())
+        self._settle(timerValues.getCurrentWatermarkInMs())
         return iter(())
 
+    def close(self) -> None:
+        pass
+
 
 class Reaper(Waiting):
     """Times a case out if no end lies within the limit of its first event.

@@ -112,3 +112,31 @@ def test_rolling_structuring_with_a_sender_holding_a_third_of_all_transfers(fram
     for s, i, d, _ in rows:
         near = [a for s2, _, d2, a in rows if s2 == s and 0 <= (d - d2).days <= 30]
         assert got[i] == (len(near), sum(near), sum(9000 <= a < 10000 for a in near))
+
+
+def test_every_missing_field_goes_to_quarantine(frame):
+    import json
+
+    answers = {
+        "data": (cases.DATA_ANSWER, {
+            "grade": "LOW", "recommendation": "APPROVE", "confidence": 0.5, "rationale": "r",
+            "risk_indicators": [{"indicator": "i", "severity": "low", "evidence": "e"}],
+        }),
+        "document": (cases.DOCUMENT_ANSWER, {
+            "detected_language": "de", "document_summary": "s", "document_findings": [{"finding": "f", "severity": "high", "evidence": "e"}], "grade": "LOW",
+            "recommendation": "APPROVE", "confidence": 0.5, "grade_changed": False, "change_reason": "", "rationale": "r",
+        }),
+    }
+    for answer, whole in answers.values():
+        rows = [("whole", json.dumps(whole)), ("talk", "Sure: " + json.dumps(whole) + " done")]
+        listed = answer[1]
+        rows.append(("no entries", json.dumps(whole | {listed: []})))
+        for field in whole:
+            rows.append((field, json.dumps({k: v for k, v in whole.items() if k != field})))
+        for part in whole[listed][0]:
+            entry = {k: v for k, v in whole[listed][0].items() if k != part}
+            rows.append((f"entry {part}", json.dumps(whole | {listed: [whole[listed][0], entry]})))
+        out = cases.parse_model_outputs(frame("id STRING, text STRING", rows), answer=answer)
+        assert rows_of(out["good"], "id") == [("no entries",), ("talk",), ("whole",)]
+        assert {r.reason for r in out["quarantine"].collect()} == {"schema"}
+        assert out["quarantine"].count() == len(rows) - 3

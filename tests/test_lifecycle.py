@@ -156,3 +156,47 @@ def test_tumbling_metrics(frame):
     rows = [("a", "retrieving", at(2026, 6, 1, 23, 59), 1), ("a", "error", at(2026, 6, 2), 2), ("b", "complete", at(2026, 6, 2, 5), 3)]
     got = rows_of(L.lifecycle_metrics(frame(EVENTS, rows)), "events", "retrieving", "complete", "error")
     assert got == [(1, 1, 0, 0), (2, 0, 1, 1)]
+
+
+def test_one_case_with_most_events(frame, spark):
+    """A case of 200,000 events over two months, dealt over its hours, against the plain loop."""
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    to = F.element_at(F.array(*map(F.lit, ["retrieving", "queued", "doc_analysis", "complete", "retrieving"])), (F.xxhash64("id") % 5 + 5).cast("int") % 5 + 1)
+    rows = spark.range(n).select(
+        F.lit("hot").alias("case_id"), F.when(F.col("id") == 150_000, "analyzing").when(F.col("id") == 199_999, "error").otherwise(to).alias("to_status"),
+        F.timestamp_seconds(F.lit(1_780_000_000) + F.col("id") * 26).alias("ts"), F.col("id").alias("event_id"),
+    )
+    want = fold([r.to_status for r in rows.orderBy("event_id").collect()])
+    got = L.guarded_transitions(rows.repartition(7, "ts")).collect()
+    assert [(r.status, r.failed_stage, r.accepted, r.dropped) for r in got] == [want]
+    per_hour = L.transition_maps(rows).agg(F.max("events"), F.count("*")).first()
+    assert per_hour[0] <= 140 and per_hour[1] > 1400
+
+
+def test_a_case_is_read_once(tables):
+    plan = L.guarded_transitions(tables.case_events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_next_cursor(frame):
+    rows = [(f"c{i}", "u", "queued", at(2026, 6, 1 + i // 2)) for i in range(5)]
+    t = frame("case_id STRING, owner_sub STRING, status STRING, created_at TIMESTAMP", rows)
+    seen, cursor = [], None
+    while True:
+        page = L.list_cases(t, cursor=cursor, limit=2)
+        seen += [r.case_id for r in page.collect()]
+        last = L.next_cursor(page, 2).collect()
+        if not last:
+            break
+        cursor = tuple(last[0])
+    assert seen == ["c4", "c3", "c2", "c1", "c0"]
+
+
+def test_created_cases_count_once_per_key(frame):
+    rows = [("a", "retrieving", at(2026, 6, 1), 1), ("a", None, at(2026, 6, 1), 2)]
+    sent = [("k", "a", "u", at(2026, 6, 1), 1), ("k", "b", "u", at(2026, 6, 2), 2), ("l", "c", "u", at(2026, 6, 3), 3)]
+    subs = frame("idempotency_key STRING, case_id STRING, owner_sub STRING, created_at TIMESTAMP, event_id INT", sent)
+    got = rows_of(L.lifecycle_metrics(frame(EVENTS, rows), submissions=subs), "window_start", "events", "created", "retrieving")
+    assert got == [(at(2026, 6, 1), 2, 1, 1), (at(2026, 6, 3), 0, 1, 0)]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from datetime import timedelta
 
 from tallyline.functions import markers as M
 from tallyline.operators import bridges, journey, validation
@@ -161,3 +162,29 @@ def test_batch_ids_of_different_types_meet_as_text(make, june):
     hits = make("rule_hit", [dict(rpt_grp_id=1, batch_id=12, efile_batch_id="B-1", attempt_id=1)])
     got = {r.candidate_bridge: r.matched_rows for r in bridges.batch_bridge_candidates(recon, hits, make("rule_hit_exclusion_audit", []), june).collect()}
     assert got["rule_hit.batch_id"] == 1 and got["rule_hit.efile_batch_id"] == 0 and len(got) == 5
+
+
+def test_aligned_intervals_make_up_a_window(frame):
+    from tallyline.operators.ranges import BITS, interval_cover
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    rows = [(a, a + rnd.choice([-1, 0, 1, 30, 31, 32, 33, 63, 64, 1023, 1024, 5000, 40_000])) for a in (rnd.randint(-3000, 3000) for _ in range(300))]
+    rows.append((20_000, 2_932_896))  # to the year 9999
+    for first, last, cover in frame("a INT, b INT", rows).select("a", "b", interval_cover(F.col("a"), F.col("b"))).collect():
+        days = sorted((c << (BITS * n), (c + 1) << (BITS * n)) for n, c in cover)
+        assert [d[0] for d in days[1:]] == [d[1] for d in days[:-1]]
+        assert (days[0][0], days[-1][1]) == (first, last + 1) if first <= last else not days
+        assert len(cover) <= 4 * 62 + 3
+
+
+def test_windows_without_an_end(frame):
+    """Long and short windows against all pairs; the facts lie on the bounds, too."""
+    rnd = random.Random(6)
+    windows = [(i % 3, f"w{i}", at(2020, 1, 1) + timedelta(hours=rnd.randint(0, 40_000)), rnd.choice([1, 50, 3000, None])) for i in range(60)]
+    windows = [(g, w, a, at(9999, 12, 31) if n is None else a + timedelta(hours=n)) for g, w, a, n in windows]
+    facts = [(i % 4, i, rnd.choice([w[2] for w in windows]) + timedelta(hours=rnd.choice([-1, 0, 1, 700]))) for i in range(400)]
+    w = frame("g INT, w STRING, a TIMESTAMP, b TIMESTAMP", [*windows, (0, "none", None, at(2021, 1, 1)), (0, "back", at(2021, 1, 1), at(2020, 1, 1))])
+    f = frame("g INT, i INT, ts TIMESTAMP", [*facts, (0, 999, None)])
+    got = rows_of(join_windows(f, w, ("g",), "ts", "a", "b"), "i", "w")
+    assert sorted(got) == sorted((i, n) for g, i, t in facts for k, n, a, b in windows if g == k and a <= t <= b)
