@@ -35,7 +35,8 @@ class SizeClasses:
         self.first, self.groups, self.spare = [1], [], []
 
     def reach(self, size: int) -> None:
-        while self.first[-1] <= size or len(self.groups) < 2:
+        """Know the range of a size and the one above."""
+        while len(self.first) < 3 or self.first[-2] <= size:
             last = self.first[-1] * 100 // self.percent
             t = 2 * last * (100 - self.percent) // (100 + self.percent)
             self.spare.append(1 + (t + 1) // 20 if t else 0)
@@ -44,9 +45,7 @@ class SizeClasses:
             self.first.append(last + 1)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
-        top = int(sizes.max(initial=1))
-        self.reach(top)
-        self.reach(self.first[-1])
+        self.reach(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.first), sizes, side="right") - 1
 
 

@@ -29,6 +29,17 @@ def minimax(sizes, shards):
     return low, cut(low)
 
 
+def test_many_groups(spark):
+    """Hundreds of prefixes stay open at once; they are looked up as a set."""
+    rng = random.Random(3)
+    rows = sorted((hashlib.sha256(str(i).encode()).hexdigest(), int(rng.paretovariate(1.2) * 200)) for i in range(120_000))
+    groups = spark.createDataFrame(rows, "key string, bytes long")
+    capacity, starts = shard_starts(groups, 40)
+    low, cuts = minimax([b for _, b in rows], 40)
+    assert capacity == low
+    assert starts == [next((rows[i][0][: len(s)] for i in range(len(rows)) if cuts[i] > k), "g") for k, s in enumerate(starts)]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_smallest_capacity_and_cuts(spark, seed):
     rng = random.Random(seed)

@@ -18,7 +18,6 @@ from tests.llm.conftest import ODD
 @pytest.fixture(scope="module")
 def ids_of():
     model = Tokenizer.from_file(vocabulary())
-    model.encode_special_tokens = True
     return lambda text: model.encode(text or "", add_special_tokens=False).ids
 
 
@@ -123,3 +122,19 @@ def test_items_that_do_not_fit_together_end(spark, ids_of):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     n, _ = check_packing(rows, pack(df, vocabulary(), capacity=10, batch_items=50).collect(), ids_of, 10)
     assert n == 500
+
+
+def test_texts_of_special_tokens(spark, ids_of):
+    """Strings of added tokens give the ids the library gives, at chunk ends and between letters too."""
+    rows = [(1, "ok <|endoftext|> end"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|> b\n<|endoftext|>\n"), (4, "<|endoftext| > <|endoftext|")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert any(50256 in ids_of(t) for _, t in rows)
+    stored(rows, stored_tokens(df, vocabulary(), 2).collect(), ids_of)
+    check_packing(rows, pack(df, vocabulary(), capacity=16).collect(), ids_of, 16)
+
+
+def test_many_flushes_of_one_task(spark, ids_of):
+    """A task that packs hundreds of times gives every bin a number of its own."""
+    rows = [(i, "x " * (i % 5)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    check_packing(rows, pack(df, vocabulary(), capacity=9, batch_items=4, patience=1).collect(), ids_of, 9)
