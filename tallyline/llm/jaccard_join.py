@@ -18,7 +18,7 @@ from tallyline.llm.shared import saved
 GROUPS = 256  # coordinates of a point
 FANOUT = 16  # entries of a node
 TILE = 2048  # points of one tree
-CHUNK = 20_000  # pairs of nodes looked at together
+CHUNK = 4_000  # pairs of nodes looked at together
 SEED = 101
 
 
@@ -98,10 +98,12 @@ def set_signer(size: int):
     return run
 
 
-def key_reader(size: int, percent: int):
+def key_reader(size: int, percent: int, chosen=iter):
+    """(id, key) of the rows (id, text) that ``chosen`` lets pass."""
+
     def run(batches):
         classes = SizeClasses(percent)
-        for batch in batches:
+        for batch in chosen(batches):
             for first, last, items, counts in shingle_sets(batch.column(1), size):
                 ids = batch.column(0).slice(first, last - first)
                 for row, keys in agreement_keys(items, counts, classes):
@@ -110,12 +112,12 @@ def key_reader(size: int, percent: int):
     return run
 
 
-def point_reader(size: int, percent: int):
-    """(id, n, cls, point, items) of sets: their size and its class, their group counts and their items."""
+def point_reader(size: int, percent: int, chosen=iter):
+    """(id, n, cls, point, items) of the rows that ``chosen`` lets pass: their sets' size and its class, their group counts and their items."""
 
     def run(batches):
         classes = SizeClasses(percent)
-        for batch in batches:
+        for batch in chosen(batches):
             for first, last, items, counts in shingle_sets(batch.column(1), size):
                 points = [row.tobytes() for row in group_counts(items, counts)]
                 yield pa.RecordBatch.from_arrays(
@@ -375,16 +377,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Texts whose id a bitmap of fixed size tells apart are read in place; only the others are joined.
     copies = id_bitmap(members.where("id <> rep"))
     fields, key_fields = "id long, text string", "id long, key long"
-    lone = given.where("id is not null").mapInArrow(only(copies, False), fields)
-    maybe = given.where("id is not null").mapInArrow(only(copies, True), fields)
+    known = given.where("id is not null")
+    maybe = known.mapInArrow(only(copies, True), fields)
     reps = maybe.join(members.where("id = rep").select("id").distinct(), "id", "left_semi")
-    keys = lone.mapInArrow(key_reader(size, percent), key_fields).union(reps.mapInArrow(key_reader(size, percent), key_fields))
+    keys = known.mapInArrow(key_reader(size, percent, only(copies, False)), key_fields).union(reps.mapInArrow(key_reader(size, percent), key_fields))
     hub = F.min("id").over(Window.partitionBy("key"))
     agreeing = keys.withColumn("hub", hub).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     found = components(agreeing).select(F.col("node").alias("id"), F.col("root").alias("block"))
     blocks = saved(found.union(found.select(F.col("block").alias("id"), "block").distinct()), "blocks")
-    inside = given.where("id is not null").mapInArrow(only(id_bitmap(blocks), True), fields).join(blocks.select("id"), "id", "left_semi")
-    points = inside.mapInArrow(point_reader(size, percent), "id long, n long, cls long, point binary, items array<long>")
+    point_fields = "id long, n long, cls long, point binary, items array<long>"
+    points = known.mapInArrow(point_reader(size, percent, only(id_bitmap(blocks), True)), point_fields).join(blocks.select("id"), "id", "left_semi")
     roots = linked_components(blocks, saved(points, "sets"), percent)
     out = members.withColumn("component_id", F.col("rep"))
     if roots is not None:
