@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +95,24 @@ def cutter(path: str, end_id: int, capacity: int, slack: int, batch_items: int):
     return run
 
 
+def loosened(items: pa.ListArray, sizes: np.ndarray, below: float) -> tuple[pa.ListArray, np.ndarray]:
+    """The items of at least a size as they are, the pieces of the others each by itself."""
+    loose = pa.array(sizes < below)
+    pieces = items.filter(loose).flatten()
+    kept = items.filter(pc.invert(loose))
+    single = pa.ListArray.from_arrays(pa.array(np.arange(len(pieces) + 1, dtype=np.int32)), pieces)
+    return pa.concat_arrays([kept, single.cast(kept.type)]), np.concatenate([sizes[sizes >= below], pieces.field("length").to_numpy()])
+
+
 def repacker(capacity: int, slack: int):
+    """Packs bins as items; where that needs fewer bins, the emptier half, or all, are taken apart."""
+
     def run(batches):
         held = [(b.column(0), b.column(1).to_numpy()) for b in batches if len(b)]
         if held:
-            yield packed(pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.int64), capacity, slack)
+            items, sizes = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]).astype(np.int64)
+            ways = [(items, sizes), *(loosened(items, sizes, below) for below in (np.median(sizes), capacity + 1))]
+            yield min((packed(*way, capacity, slack) for way in ways), key=len)
 
     return run
 
@@ -111,7 +125,7 @@ def pack(
 
     A document is its ids and an end id; only one longer than ``capacity`` is cut, into full pieces after a first one
     that may be shorter. Every task packs its pieces best-fit and closes the bins with at most ``slack`` ids of room.
-    The others become items of the next round, where ``fan_in`` times fewer tasks pack what several tasks left over,
+    The others become items of the next round, the emptier ones in pieces where that saves bins, where ``fan_in`` times fewer tasks pack what several tasks left over,
     until one task has packed all that was left. Where that is more than a task may hold, bins are dealt anew until
     ``patience`` rounds on end have saved less than one bin in a thousand: then those left do not fit together. A task packs at most ``batch_items`` items at once, so no task's memory grows with the table.
 
@@ -132,8 +146,12 @@ def pack(
     while left > 1:
         before, wider, step, base = left, tasks, step + 1, base + (tasks << 33)
         tasks = max(-(-tasks // fan_in), -(-left // batch_items))
-        # Which bins meet changes from round to round.
-        dealt = rest.repartition(tasks, F.xxhash64("bin", F.lit(step)))
+        # Which bins meet changes from round to round: by chance, or those as far above half full as others are below.
+        chance = F.xxhash64("bin", F.lit(step))
+        if step % 2 or tasks == 1:
+            dealt = rest.repartition(tasks, chance)
+        else:
+            dealt = rest.repartitionByRange(tasks, F.abs(2 * F.col("fill") - capacity), chance)
         bins = numbered(dealt.select("pieces", "fill").mapInArrow(repacker(capacity, slack), BINS))
         done = done.union(bins.where("closed"))
         rest = bins.where("not closed")

@@ -5,6 +5,7 @@ Rows are taken in slices of a few MB, so the arrays stay small whatever the batc
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+ROWS = 1024  # rows whose bytes are copied out of a batch at once
 U64 = np.uint64
 # Fixed odd multipliers and seeds of the hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -34,8 +36,7 @@ BYTE_CODES = seeds(256, 11)
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse, modulo 2^64."""
     out = []
     for base in (BASE, INVERSE):
@@ -45,11 +46,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@functools.lru_cache(maxsize=1)
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(SLICE)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(SLICE, 1 << (n - 1).bit_length() if n > 1 else 1))
+    """Those of a slice are kept; those of a longer text are not."""
+    up, down = _slice_powers() if n <= SLICE else _powers_of(n)
     return up[:n], down[:n]
 
 
+def give_back() -> None:
+    """Return the memory that freed arrays still hold to the system: workers wait between tasks beside each other."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and its n + 1 offsets; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -144,7 +160,9 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndar
 
 def slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First and last row, the bytes and the offsets from 0 of each slice of a text column."""
-    data, offsets = column_bytes(column)
-    for first, last in row_slices(offsets, limit):
-        low, high = int(offsets[first]), int(offsets[last])
-        yield first, last, data[low:high], offsets[first : last + 1] - low
+    for begin in range(0, max(len(column), 1), ROWS):
+        data, offsets = column_bytes(column.slice(begin, ROWS))
+        for first, last in row_slices(offsets, limit):
+            low, high = int(offsets[first]), int(offsets[last])
+            yield begin + first, begin + last, data[low:high], offsets[first : last + 1] - low
+    give_back()
