@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-ROWS = 1024  # rows whose bytes are copied out of a batch at once
+POWERS = 3 << 20  # powers that are kept, as many as the longest slice of any operator has bytes
+ROWS = 4096  # rows whose bytes are copied out of a batch at once
 U64 = np.uint64
 # Fixed odd multipliers and seeds of the hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -48,12 +49,12 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.lru_cache(maxsize=1)
 def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _powers_of(SLICE)
+    return _powers_of(POWERS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Those of a slice are kept; those of a longer text are not."""
-    up, down = _slice_powers() if n <= SLICE else _powers_of(n)
+    up, down = _slice_powers() if n <= POWERS else _powers_of(n)
     return up[:n], down[:n]
 
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from tallyline.llm import text as T
 
 # Text bytes taken at once, and distinct chunks kept between slices.
-SLICE = 1 << 20
-KEPT = 500_000
+SLICE = 3 << 20
+KEPT = 1_500_000
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
