@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.shared import saved
+from tallyline.llm.shared import dropped, saved
 
 
 def _hook(edges: DataFrame) -> DataFrame:
@@ -39,11 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or state["n"] == 0:
             return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        seen, now = state, saved(_shorten(_hook(now)), "edges")
+        seen, before, now = state, now, saved(_shorten(_hook(now)), "edges")
+        dropped(before)
 
 
 def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The labels (node, root) after more links (a, b): only the roots the links meet are united."""
+    """The labels (node, root) after more links (a, b): only the roots the links meet are united; the old table goes."""
     if labels is None:
         return components(links)
     of = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
@@ -52,4 +53,6 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     up = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = labels.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     joined = up.select(F.col("root").alias("node"), F.col("top").alias("root")).join(labels.select("node"), "node", "left_anti")
-    return saved(moved.union(joined), "labels")
+    out = saved(moved.union(joined), "labels")
+    dropped(labels)
+    return out

@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
-from tallyline.llm.near_dedup import Sets, band_keys, circulant_minhash, link_components, lists
-from tallyline.llm.shared import saved
+from tallyline.llm.near_dedup import Sets, band_keys, link_components, lists
+from tallyline.llm.shared import dropped, saved
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
 BITS = 1 << 25  # of a bitmap: 4 MB
-SEEN = 200_000  # lines a task remembers to have read
+SEEN = 1 << 18  # lines a task remembers to have met
+SLICE = 1 << 18  # bytes of text at once: their arrays stay in the processor's cache
+FACTORS = T.seeds(128, 997).astype(np.uint32) | np.uint32(1)
 
 
 class Lines:
@@ -67,43 +69,79 @@ class Lines:
         return [text[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
 
+class Recent:
+    """Hashes a task has met, each in the place its last bits name: one may be forgotten, none is taken for met that was not."""
+
+    def __init__(self):
+        self.slots = np.arange(SEEN, dtype=U64) ^ U64(1)
+
+    def fresh(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash that is not remembered stands first; from now on it is."""
+        codes, first = np.unique(hashes, return_index=True)
+        at = (codes & U64(SEEN - 1)).astype(np.int64)
+        new = self.slots[at] != codes
+        self.slots[at] = codes
+        return np.sort(first[new])
+
+
+def line_minhash(items: np.ndarray, begins: np.ndarray, coordinates: int) -> np.ndarray:
+    """MinHash coordinates (coordinates x lines); no line may be empty.
+
+    The shingles are mixed hashes, so the product with a fixed odd number deals them over the 32-bit numbers anew.
+    """
+    placed = (items >> U64(32)).astype(np.uint32)
+    work = np.empty_like(placed)
+    out = np.empty((coordinates, len(begins)), dtype=np.uint32)
+    for k in range(coordinates):
+        np.multiply(placed, FACTORS[k], out=work)
+        np.minimum.reduceat(work, begins, out=out[k])
+    return out
+
+
 LINE = "id long, f long, line int, h1 long, h2 long, bands array<long>"
 
 
 def signer(size: int, bands: int, rows: int):
+    """Every line with its hashes; its bands where the task meets it first, else none."""
+
     def run(batches):
+        recent = Recent()
         for batch in batches:
-            for first, last, data, offsets in T.slices(batch.column(2), 1 << 20):
+            for first, last, data, offsets in T.slices(batch.column(2), SLICE):
                 lines = Lines(data, offsets)
                 lines.take(lines.solid > 0)
-                keys = np.zeros((0, bands), U64)
-                if len(lines.starts):
-                    keys = band_keys(circulant_minhash(*lines.shingles(size), bands * rows), bands)
-                at = pa.array(lines.rows + first)
+                at, prints = pa.array(lines.rows + first), lines.prints()
                 cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.numbers.astype(np.int32))]
-                cols += [*(pa.array(p.view(np.int64)) for p in lines.prints()), lists(keys, np.full(len(keys), bands))]
-                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in LINE.split(", ")])
+                cols += [pa.array(p.view(np.int64)) for p in prints]
+                fresh = recent.fresh(prints[0])
+                counts = np.zeros(len(lines.starts), np.int64)
+                counts[fresh] = bands
+                lines.take(fresh)
+                keys = np.zeros((0, bands), U64)
+                if len(fresh):
+                    keys = band_keys(line_minhash(*lines.shingles(size), bands * rows), bands)
+                yield pa.RecordBatch.from_arrays([*cols, lists(keys, counts)], names=[c.split()[0] for c in LINE.split(", ")])
 
     return run
 
 
 def line_reader(size: int, wanted):
-    """(id, body, n) of each line whose first hash the bitmap may hold, once a task while it is among the last ones seen."""
+    """(id, body, n) of each line whose first hash the bitmap may hold, once a task while it is remembered."""
 
     def run(batches):
-        bitmap, seen = wanted.value, np.zeros(0, U64)
+        bitmap, recent = wanted.value, Recent()
         for batch in batches:
-            for _, _, data, offsets in T.slices(batch.column(0), 1 << 20):
+            for _, _, data, offsets in T.slices(batch.column(0), SLICE):
                 lines = Lines(data, offsets)
                 lines.take(lines.solid > 0)
-                codes, first = np.unique(lines.prints()[0], return_index=True)
-                kept = bitmap.holds(codes) & ~np.isin(codes, seen)
-                if not kept.any():
+                codes = lines.prints()[0]
+                lines.take(held := np.flatnonzero(bitmap.holds(codes)))
+                fresh = recent.fresh(codes := codes[held])
+                if not len(fresh):
                     continue
-                lines.take(first[kept])
-                seen = np.concatenate([seen, codes[kept]])[-SEEN:]
+                lines.take(fresh)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[kept].view(np.int64)), pa.array(lines.texts()), pa.array([len(x) for x in lines.sets(size)], pa.int64())], names=["id", "body", "n"]
+                    [pa.array(codes[fresh].view(np.int64)), pa.array(lines.texts()), pa.array([len(x) for x in lines.sets(size)], pa.int64())], names=["id", "body", "n"]
                 )
 
     return run

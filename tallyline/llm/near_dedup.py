@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
 from tallyline.llm.components import merged
-from tallyline.llm.shared import saved
+from tallyline.llm.shared import dropped, saved
 
 U32 = np.uint32
 
@@ -147,9 +147,9 @@ def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
     one component or all have been hubs: no pair of different components is left out, yet no group is squared.
     """
     percent = sets.percent
-    active = saved(buckets, "buckets")
-    bodies = saved(sets.fetch(active.select("id").distinct()), "sets")
-    active = active.join(bodies.select("id", "n"), "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
+    table = saved(buckets, "buckets")
+    bodies = saved(sets.fetch(table.select("id").distinct()), "sets")
+    active = table.join(bodies.select("id", "n"), "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
     labels = None
     step = 0
     while True:
@@ -159,7 +159,8 @@ def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
         close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))
         pairs = active.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & close)
         pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
-        both = saved(pairs, "pairs").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
+        pairs = saved(pairs, "pairs")
+        both = pairs.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
         both = both.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         found = saved(sets.linked(both), "links")
         if not found.isEmpty():
@@ -169,12 +170,16 @@ def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
             rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
         rest = rest.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
         rest = several_roots(rest)
+        members = None
         if not step:
             # What was compared with the only other member of its buckets is done.
             members = saved(rest.select("id", "n", "root").distinct(), "members")
-            bodies = saved(bodies.join(members.select("id"), "id", "left_semi"), "sets")
+            everyone, bodies = bodies, saved(bodies.join(members.select("id"), "id", "left_semi"), "sets")
+            dropped(everyone)
             rest = several_roots(rare_buckets(members, sets.items(bodies), percent))
-        active = saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
+        before, table = table, saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
+        active = table
+        dropped(before, pairs, found, members)
         step += 1
         if active.isEmpty():
             return active.select(F.col("id").alias("node"), "root") if labels is None else labels

@@ -32,4 +32,16 @@ def saved(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables of ``saved`` once all that was made of them is written itself; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "saved_at", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
