@@ -242,14 +242,14 @@ def cutter(text_at: int, cut_at: int):
 
 
 def without_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8, percent: int = 80, bands: int = 20, rows: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8, percent: int = 80, bands: int = 22, rows: int = 4
 ) -> DataFrame:
     """The documents with all their columns, the text without repeated lines, and n_lines and n_kept.
 
     A line's set holds its distinct runs of ``size`` characters, A-Z lowered (a shorter line is one run). Lines are
     linked from ``percent`` hundredths of Jaccard similarity on, within a document or across documents; of each
-    component of links the line of the least id stays, the first one there. 20 bands of 4 rows miss a link of
-    similarity 0.8 once in 38,000, one of 0.85 once in 2.6 million; similar lines have more than one chance, as any path
+    component of links the line of the least id stays, the first one there. 22 bands of 4 rows miss a link of
+    similarity 0.8 once in 108,000, one of 0.85 once in 11 million; similar lines have more than one chance, as any path
     of links joins them. Equal lines (two 64-bit hashes) are one class and one node, so a line on a
     third of all documents costs a task one row per band.
 
