@@ -44,7 +44,7 @@ def test_odd_rows_pass_every_stage(spark, odd):
 def test_queries_are_registered():
     import __spark_entry__
 
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
