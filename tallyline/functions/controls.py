@@ -84,6 +84,16 @@ def has_issue() -> Column:
     return recon_broken() | has_failures()
 
 
+# The kinds of issue a batch can have.
+ISSUES = ("REPORTABLE_RECON_DIFF", "ELIGIBILITY_RECON_DIFF", "TRANSFORMATION_FAILURE", "DUPLICATE_TRANSFORMATION")
+
+
+def issue_kinds() -> dict[str, Column]:
+    """When a batch has an issue of each kind."""
+    tests = (gap("reportable") != 0, gap("eligibility") != 0, has_failures(), zero("duplicate_transformation") > 0)
+    return dict(zip(ISSUES, tests, strict=True))
+
+
 def any_gap(*controls: str) -> Column:
     """At least one of the controls fails."""
     return reduce(lambda a, b: a | b, [gap(c) != 0 for c in controls])

@@ -78,12 +78,7 @@ def batch_health(batch_recon: DataFrame, p: Period) -> DataFrame:
 
 def issues_by_type(batch_recon: DataFrame, p: Period) -> DataFrame:
     """Batches affected per kind of issue, zero counts included; one pass, then unpivot."""
-    kinds = {
-        "REPORTABLE_RECON_DIFF": C.gap("reportable") != 0,
-        "ELIGIBILITY_RECON_DIFF": C.gap("eligibility") != 0,
-        "TRANSFORMATION_FAILURE": C.has_failures(),
-        "DUPLICATE_TRANSFORMATION": C.zero("duplicate_transformation") > 0,
-    }
+    kinds = C.issue_kinds()
     wide = latest_batch(batch_recon, p).agg(*[distinct_if("batch_id", cond, kind) for kind, cond in kinds.items()])
     return wide.unpivot([], list(kinds), "issue_type", "affected_batches").orderBy(F.desc("affected_batches"))
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.aggregates import sure_total
 from tallyline.functions.hits import excluded, required
+from tallyline.functions.markers import failed, generated, transformed
 from tallyline.operators.ranges import join_windows
 from tallyline.operators.snapshots import latest, upsert_latest
+from tallyline.sources.tables import schema
 
 # Reconciliation strategies; anything else means the first.
 ONCE, PER_RULE, INTRA_COUNTRY = "TRANSACTION_ONCE", "TRANSACTION_PER_RULE", "INTRA_COUNTRY"
@@ -220,18 +222,16 @@ def future_reporting(hits: DataFrame, windows: DataFrame, which: str) -> DataFra
     return inside.groupBy("rpt_grp_id", "batch_id").agg(F.count("*").alias("future_reporting_txn"))
 
 
-def build_batch_reconciliation(
-    hits: DataFrame, attempts: DataFrame, config: DataFrame, windows: DataFrame
-) -> DataFrame:
-    """One reconciliation row per batch from raw hits.
+def batch_keys(hits: DataFrame, attempts: DataFrame, config: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per batch and reconciliation key of its window, with what became of the key.
 
     Steps: hits in the batch window that are in no batch yet; keys fully excluded; rows
     with an exclusion or the SML mark leave; keys without arrived attempts and keys
     reported before leave; the latest attempt of each remaining key is kept. Selected,
     excluded, missing, already reported and reportable figures count keys; the dedup
     figure counts rows. A key counts as already reported if every live row of it has
-    another reported hit; a live row that is the key's only reported hit stays alone. Everything after the joins is two partial aggregations, per
-    (batch, key) and per batch.
+    another reported hit; a live row that is the key's only reported hit stays alone. Everything after the joins is
+    partial aggregations, per (batch, key) here and per batch in ``build_batch_reconciliation``.
     """
     pool = hits.filter(F.col("efile_batch_id").isNull()).select(
         *HIT_PK, "external_txn_key", "exclusion_reason_id", "galactic_id", "mtcn", "transaction_date",
@@ -242,7 +242,7 @@ def build_batch_reconciliation(
     live = required() & ~is_sml()
     own = live & F.coalesce("is_reported", F.lit(False))
     kept = F.struct("attempt_id", "rule_id", "bucket_id")
-    row = F.struct("transaction_date", "created_timestamp", "reporting_timestamp", "from_ts", "to_ts", "lookback_start_ts")
+    row = F.struct("transaction_date", "created_timestamp", "reporting_timestamp", "from_ts", "to_ts", "lookback_start_ts", "txn_sur_key")
     per_key = keyed.groupBy("batch_id", *KEY).agg(
         F.every(excluded()).alias("all_excluded"),
         F.count_if(live).alias("live_rows"),
@@ -265,7 +265,11 @@ def build_batch_reconciliation(
     missing = has_rows & F.col("all_missing")
     already = has_rows & ~F.col("all_missing") & F.col("was_reported")
     left = has_rows & ~F.col("all_missing") & ~F.col("was_reported")
-    flat = flagged.withColumns({"missing": missing, "already": already, "kept": left}).select("*", "r.*")
+    return flagged.withColumns({"missing": missing, "already": already, "kept": left}).select("*", "r.*")
+
+
+def _key_counts() -> list[Column]:
+    """The figures of a batch row that count keys of ``batch_keys``, and the rows its dedup drops."""
     look = F.col("kept") & (F.col("transaction_date") < F.col("from_ts"))
     per = F.col("kept") & (F.col("transaction_date") >= F.col("from_ts"))
     future_look = look & F.coalesce(in_future_lookback(), F.lit(False))
@@ -274,7 +278,7 @@ def build_batch_reconciliation(
     def n(c: Column, name: str) -> Column:
         return F.count_if(c).alias(name)
 
-    return flat.groupBy("rpt_grp_id", "batch_id").agg(
+    return [
         F.count("*").alias("txn_selected"),
         n(F.col("all_excluded"), "excluded_txn"),
         n(F.col("missing"), "txn_missing_attempt_count"),
@@ -286,7 +290,70 @@ def build_batch_reconciliation(
         n(per & ~future_per, "reporting_period_actual_txn"),
         n(look | per, "activity_selected"),
         sure_total(F.when(F.col("kept"), F.col("left_rows") - 1), "soft_dedup_dropped_txn_count"),
+    ]
+
+
+def build_batch_reconciliation(
+    hits: DataFrame, attempts: DataFrame, config: DataFrame, windows: DataFrame
+) -> DataFrame:
+    """The figures of one reconciliation row per batch that raw hits alone decide (see ``batch_keys``)."""
+    return batch_keys(hits, attempts, config, windows).groupBy("rpt_grp_id", "batch_id").agg(*_key_counts())
+
+
+def batch_reconciliation_rows(
+    hits: DataFrame, attempts: DataFrame, config: DataFrame, windows: DataFrame, journey: DataFrame, stored: DataFrame, at: datetime
+) -> DataFrame:
+    """Whole rows of the batch reconciliation table, all 31 columns, to be appended to the stored snapshots.
+
+    ``seq_no`` follows the batch's greatest stored one and starts at 1. Dates are those of the batch window, both
+    timestamps are ``at``. The published notes name the other figures without defining them; our reading:
+
+    - actual_reportable_txn: what this batch reports itself, the actual part of lookback and period. The reportable
+      control therefore shows what was reported before its creation day.
+    - activity_missing: kept keys whose latest attempt has not arrived (another one of the key has); those left are
+      expected to be eligible.
+    - actual eligible: of these, keys whose transaction reached transformation in the batch's journey; transformed if
+      it succeeded or was reported, failed if it only failed. The transformation control holds by construction.
+    - duplicate_transformation: transformed keys beyond the first of their transaction.
+    - simulated figures are 0, since raw hits carry no mark of a simulation.
+
+    Keys are summed to transactions before they meet the journey, which comes as one row per transaction, so that join
+    never multiplies and the sum per batch follows it. A journey without rows gives no eligible keys, a batch without
+    configuration has no name.
+    """
+    ready = F.col("kept") & F.col("txn_sur_key").isNotNull()
+    txns = batch_keys(hits, attempts, config, windows).groupBy("rpt_grp_id", "batch_id", "key_txn").agg(
+        *_key_counts(), F.count_if(F.col("kept") & ~ready).alias("activity_missing"), F.count_if(ready).alias("ready")
     )
+    states = journey.groupBy("rpt_grp_id", "batch_id", F.col("identifier").alias("key_txn")).agg(
+        F.bool_or(transformed() | generated()).alias("done"), F.bool_or(failed()).alias("failed")
+    )
+    done = F.coalesce("done", F.lit(False))
+    only_failed = F.coalesce("failed", F.lit(False)) & ~done
+    counted = [c for c in txns.columns if c not in ("rpt_grp_id", "batch_id", "key_txn")]
+    sums = txns.join(states, ["rpt_grp_id", "batch_id", "key_txn"], "left").groupBy("rpt_grp_id", "batch_id").agg(
+        *[F.sum(c).alias(c) for c in counted],
+        sure_total(F.when(done, F.col("ready")), "activity_transformed"),
+        sure_total(F.when(only_failed, F.col("ready")), "activity_transformation_failed"),
+        sure_total(F.when(done & (F.col("ready") > 1), F.col("ready") - 1), "duplicate_transformation"),
+    )
+    last = stored.groupBy("rpt_grp_id", "batch_id").agg(F.max("seq_no").alias("last_seq"))
+    names = config.groupBy("rpt_grp_id").agg(F.max("rpt_grp_name").alias("rpt_grp_name"))
+    whole = sums.join(windows, ["rpt_grp_id", "batch_id"]).join(last, ["rpt_grp_id", "batch_id"], "left").join(names, "rpt_grp_id", "left")
+    layout = schema("report_transformation_reconciliation")
+    stamp = F.lit(at).cast(layout["created_timestamp"].dataType)
+    day = {"rpt_look_back_date": "lookback_start_ts", "rpt_from_date": "from_ts", "rpt_to_date": "to_ts"}
+    return whole.withColumns(
+        {
+            "seq_no": F.coalesce("last_seq", F.lit(0)) + 1,
+            **{name: F.date_format(ts, "yyyy-MM-dd") for name, ts in day.items()},
+            "actual_reportable_txn": F.col("lookback_actual_txn") + F.col("reporting_period_actual_txn"),
+            "expected_activity_eligible_for_transformation": F.col("ready"),
+            "actual_activity_eligible_for_transformation": F.col("activity_transformed") + F.col("activity_transformation_failed"),
+            **{name: F.lit(0).cast("long") for name in ("txn_simulated", "activity_simulated")},
+            **{name: stamp for name in ("created_timestamp", "modified_timestamp")},
+        }
+    ).select(*layout.fieldNames())
 
 
 def assign_batch(hits: DataFrame, chosen: DataFrame, batch_id: Column, at: datetime) -> DataFrame:

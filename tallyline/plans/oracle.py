@@ -211,7 +211,7 @@ STEPS: dict[str, str] = {
         LEFT JOIN attempts USING (attempt_id) WHERE efile_batch_id IS NULL""",
     "pool_keys": """SELECT rpt_grp_id, run, key_txn, key_part, bool_and(exclusion_reason_id IS NOT NULL) AS all_ex,
             count(*) FILTER (live) AS n_live, count(*) FILTER (live AND NOT other_reported) AS n_left, count(txn_sur_key) FILTER (live) = 0 AS no_attempt,
-            arg_max({'t': transaction_date, 'c': created_timestamp, 'r': reporting_timestamp, 'w0': w0, 'w1': w1, 'w2': w2},
+            arg_max({'t': transaction_date, 'c': created_timestamp, 'r': reporting_timestamp, 'w0': w0, 'w1': w1, 'w2': w2, 'a': txn_sur_key},
                 (attempt_id, rule_id, bucket_id)) FILTER (live AND NOT other_reported) AS x
         FROM pool GROUP BY ALL""",
     "pool_state": """SELECT k.*, n_left = 0 AS known, n_live > 0 AND NOT no_attempt AND n_left > 0 AS kept,
@@ -281,6 +281,25 @@ SQL["problem_batches"] = f"""
     SELECT batch_id, rpt_grp_id, rpt_grp_name, expected_reportable_txn, actual_reportable_txn, g_reportable AS reportable_diff,
            expected_activity_eligible_for_transformation, actual_activity_eligible_for_transformation, g_eligibility AS eligibility_diff,
            activity_transformation_failed, duplicate_transformation, modified_timestamp FROM lbx WHERE {ISSUE}"""
+
+
+def only(sql: str, cond: str) -> str:
+    """The statement over those of the latest batches that meet the condition."""
+    return sql.replace("FROM lbx", f"FROM (SELECT * FROM lbx WHERE {cond}) lbx")
+
+
+def met(table: str, cond: str, batch: str = "batch_id", more: str = "") -> str:
+    return f"EXISTS (SELECT 1 FROM {table} o WHERE o.rpt_grp_id = lbx.rpt_grp_id AND o.{batch} = lbx.batch_id {more} AND {cond})"
+
+
+_ASIA = "rpt_grp_id IN (SELECT rpt_grp_id FROM group_config WHERE country_name = 'ASIA')"
+SQL["kpi_cards__status"] = only(STEPS["kpi"], met("batch_info", "batch_status = 'Generated'", more="AND o.seq_no = lbx.seq_no"))
+SQL["kpi_cards__group"] = only(STEPS["kpi"], "rpt_grp_id = 105 AND batch_id = 'B199607'")
+SQL["dashboard_summary__country"] = f"SELECT * FROM ({only(STEPS['kpi'], _ASIA)}), ({STEPS['hit_sums']} WHERE {_ASIA})"
+SQL["batch_health__rule"] = only(SQL["batch_health"], met("hits", "rule_id = 'R7' AND source = 'TARGET'", "efile_batch_id"))
+SQL["issues_by_type__stage"] = only(SQL["issues_by_type"], met("journey", "stage = 'TRANSACTION_JOIN'"))
+SQL["report_group_health__country"] = only(SQL["report_group_health"], _ASIA)
+SQL["problem_batches__issue"] = only(SQL["problem_batches"], "coalesce(duplicate_transformation, 0) > 0")
 SQL["operations_trend"] = f"""
     SELECT created_timestamp::DATE AS day, count(DISTINCT batch_id) AS batches_run, {dst('batch_id', ISSUE, 'issue_batches')},
            {tot('activity_transformation_failed', 'transformation_failures')} FROM lbx GROUP BY 1"""
@@ -732,6 +751,25 @@ SQL["build_batch_reconciliation"] = f"""SELECT rpt_grp_id, run AS batch_id, coun
     {i('kept AND x.t >= x.w1 AND f_per', 'reporting_period_future_reporting_txn')},
     {i('kept AND x.t >= x.w1 AND NOT coalesce(f_per, false)', 'reporting_period_actual_txn')}, {i('kept', 'activity_selected')},
     coalesce(sum(n_left - 1) FILTER (kept), 0)::BIGINT AS soft_dedup_dropped_txn_count FROM pool_state GROUP BY rpt_grp_id, run"""
+_IN_TXN = f"""SELECT rpt_grp_id, run AS batch_id, key_txn, {i('kept AND x.a IS NULL', 'no_sur')}, {i('kept AND x.a IS NOT NULL', 'ready')}
+    FROM pool_state GROUP BY ALL"""
+_REACHED = """SELECT rpt_grp_id, batch_id, identifier AS key_txn, max(status IN ('SUCCESS', 'GENERATED')) AS ok,
+    max(stage = 'TRANSFORMATION' AND status = 'FAILURE') AS bad FROM journey GROUP BY ALL"""
+SQL["build_batch_reconciliation__row"] = f"""SELECT c.*, coalesce(last, 0) + 1 AS seq_no, rpt_grp_name,
+    strftime(w0, '%Y-%m-%d') AS rpt_look_back_date, strftime(w1, '%Y-%m-%d') AS rpt_from_date, strftime(w2, '%Y-%m-%d') AS rpt_to_date,
+    0 AS txn_simulated, 0 AS activity_simulated, lookback_actual_txn + reporting_period_actual_txn AS actual_reportable_txn,
+    activity_missing, eligible AS expected_activity_eligible_for_transformation, good + lost AS actual_activity_eligible_for_transformation,
+    good AS activity_transformed, lost AS activity_transformation_failed, again AS duplicate_transformation,
+    TIMESTAMP '2002-01-01' AS created_timestamp, TIMESTAMP '2002-01-01' AS modified_timestamp
+    FROM ({SQL["build_batch_reconciliation"]}) c
+    JOIN (SELECT rpt_grp_id, batch_id, sum(no_sur)::BIGINT AS activity_missing, sum(ready)::BIGINT AS eligible,
+            coalesce(sum(ready) FILTER (ok), 0)::BIGINT AS good, coalesce(sum(ready) FILTER (bad AND NOT ok), 0)::BIGINT AS lost,
+            coalesce(sum(ready - 1) FILTER (ok AND ready > 1), 0)::BIGINT AS again
+          FROM ({_IN_TXN}) LEFT JOIN ({_REACHED}) USING (rpt_grp_id, batch_id, key_txn) GROUP BY ALL) USING (rpt_grp_id, batch_id)
+    JOIN windows USING (rpt_grp_id, batch_id) LEFT JOIN (SELECT rpt_grp_id, rpt_grp_name FROM group_config) USING (rpt_grp_id)
+    LEFT JOIN (SELECT rpt_grp_id, batch_id, max(seq_no) AS last FROM batch_recon GROUP BY ALL) USING (rpt_grp_id, batch_id)"""
+SQL["build_batch_reconciliation__controls"] = f"""SELECT rpt_grp_id, batch_id, seq_no, {', '.join(f'g_{n} AS {n}_diff' for n in SIDES)}
+    FROM (SELECT *, {GAPS} FROM ({SQL["build_batch_reconciliation__row"]}))"""
 SQL["assign_batch"] = """SELECT * REPLACE (
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, 'E' || strftime(transaction_date, '%Y%m'), efile_batch_id) AS efile_batch_id,
     if(efile_batch_id IS NULL AND exclusion_reason_id IS NULL, false, is_reported) AS is_reported,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.controls import EQUATIONS, gap, health_five_level, rule_hit_gap, rule_hit_publish_gap
 from tallyline.functions.hits import open_at, reported_by
 from tallyline.functions.period import Period, narrow, previous_month_of, previous_week_of
-from tallyline.operators import batches, bridges, cases, hits, journey, kpi, lifecycle, metrics, snapshots, transform, validation
+from tallyline.operators import batches, bridges, cases, filters, hits, journey, kpi, lifecycle, metrics, snapshots, transform, validation
 from tallyline.operators.snapshots import latest_batch, latest_recon
 from tallyline.sources import sinks
 from tallyline.sources.derived import Tables, case_events, submissions
@@ -76,6 +76,27 @@ plan("batch_health", lambda t: kpi.batch_health(t.batch_recon, P))
 plan("issues_by_type", lambda t: kpi.issues_by_type(t.batch_recon, P))
 plan("report_group_health", lambda t: kpi.report_group_health(t.batch_recon, t.hit_recon, P))
 plan("problem_batches", lambda t: batches.problem_batches(t.batch_recon, P))
+
+
+def _filtered(t: Tables, f: filters.Filters) -> DataFrame:
+    return filters.filtered_batches(t.batch_recon, P, f, batch_info=t.batch_info, hits=t.hits, journey=t.journey, config=t.group_config)
+
+
+def _filtered_recon(t: Tables, f: filters.Filters) -> DataFrame:
+    return filters.filtered_recon(t.hit_recon, f, config=t.group_config)
+
+
+# The headline operators over filtered tables, each filter once.
+BY_STATUS, BY_ISSUE = filters.Filters(batch_status="Generated"), filters.Filters(issue_type="DUPLICATE_TRANSFORMATION")
+BY_STAGE, BY_COUNTRY = filters.Filters(stage="TRANSACTION_JOIN"), filters.Filters(country="ASIA")
+BY_RULE, BY_GROUP = filters.Filters(rule_id="R7", source="TARGET"), filters.Filters(rpt_grp_id=105, batch_id="B199607")
+plan("kpi_cards__status", lambda t: kpi.kpi_cards(_filtered(t, BY_STATUS), P))
+plan("kpi_cards__group", lambda t: kpi.kpi_cards(_filtered(t, BY_GROUP), P))
+plan("dashboard_summary__country", lambda t: kpi.dashboard_summary(_filtered(t, BY_COUNTRY), _filtered_recon(t, BY_COUNTRY), P))
+plan("batch_health__rule", lambda t: kpi.batch_health(_filtered(t, BY_RULE), P))
+plan("issues_by_type__stage", lambda t: kpi.issues_by_type(_filtered(t, BY_STAGE), P))
+plan("report_group_health__country", lambda t: kpi.report_group_health(_filtered(t, BY_COUNTRY), _filtered_recon(t, BY_COUNTRY), P))
+plan("problem_batches__issue", lambda t: batches.problem_batches(_filtered(t, BY_ISSUE), P))
 plan("operations_trend", lambda t: kpi.operations_trend(t.batch_recon, P))
 plan("report_group_batches", lambda t: batches.report_group_batches(t.batch_recon, P))
 plan("batch_control_summary", lambda t: batches.batch_control_summary(t.batch_recon))
@@ -240,6 +261,20 @@ plan(
     "build_batch_reconciliation",
     lambda t: T.build_batch_reconciliation(t.hits, t.attempts, t.group_config, T.batch_windows(t.batch_info)),
 )
+
+
+def _whole_rows(t: Tables) -> DataFrame:
+    windows = T.batch_windows(t.batch_info)
+    return T.batch_reconciliation_rows(t.hits, t.attempts, t.group_config, windows, t.journey, t.batch_recon, datetime(2002, 1, 1))
+
+
+plan("build_batch_reconciliation__row", _whole_rows)
+plan(
+    "build_batch_reconciliation__controls",
+    lambda t: _whole_rows(t).select("rpt_grp_id", "batch_id", "seq_no", *[gap(c).alias(f"{c}_diff") for c in EQUATIONS]),
+)
+
+
 def _assigned(t: Tables) -> DataFrame:
     label = F.concat(F.lit("E"), F.date_format("transaction_date", "yyyyMM"))
     return T.assign_batch(t.hits, T.select_rule_hits(t.hits), label, datetime(2002, 1, 1)).select(*schema("rule_hit").fieldNames())
