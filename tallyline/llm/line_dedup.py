@@ -158,6 +158,8 @@ def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
 class LineSets(Sets):
     """Lines travel as text, an eighth of their sets; the sets are made where they are compared."""
 
+    few = 16
+
     def __init__(self, fetch, percent: int, size: int):
         super().__init__(fetch, percent)
         self.size = size

@@ -103,6 +103,8 @@ def set_reader(size: int):
 class Sets:
     """How the full sets of ids are fetched and compared: here as arrays of 64-bit items."""
 
+    few = 0  # members up to which a bucket goes on as it is instead of by rare items
+
     def __init__(self, fetch, percent: int):
         self.fetch = fetch  # from a frame of ids to (id, body, n), n being the size of the set
         self.percent = percent
@@ -144,7 +146,8 @@ def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
     (``rare_buckets``) and are compared with hubs, four times as many each round, until the members of each bucket are in
-    one component or all have been hubs: no pair of different components is left out, yet no group is squared.
+    one component or all have been hubs: no pair of different components is left out, yet no group is squared. Buckets
+    of at most ``sets.few`` members skip the rare items: comparing these members costs less than dealing out all items.
     """
     percent = sets.percent
     table = saved(buckets, "buckets")
@@ -170,16 +173,24 @@ def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
             rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
         rest = rest.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
         rest = several_roots(rest)
-        members = None
+        members = everyone = None
         if not step:
             # What was compared with the only other member of its buckets is done.
-            members = saved(rest.select("id", "n", "root").distinct(), "members")
-            everyone, bodies = bodies, saved(bodies.join(members.select("id"), "id", "left_semi"), "sets")
-            dropped(everyone)
-            rest = several_roots(rare_buckets(members, sets.items(bodies), percent))
+            small, large = None, rest
+            if sets.few:
+                sizes = rest.groupBy("key").agg(F.count("*").alias("members"))
+                sized = rest.join(sizes, "key")
+                small, large = (sized.where(c).drop("members") for c in (F.col("members") <= sets.few, F.col("members") > sets.few))
+            members = saved(large.select("id", "n", "root").distinct(), "members")
+            wanted = members.select("id") if small is None else members.select("id").union(small.select("id")).distinct()
+            everyone, bodies = bodies, saved(bodies.join(wanted, "id", "left_semi"), "sets")
+            rare = rare_buckets(members, sets.items(bodies.join(members.select("id"), "id", "left_semi")), percent)
+            rest = several_roots(rare).select("key", "id", "n", "pos", "root")
+            if small is not None:
+                rest = rest.union(small.select("key", "id", "n", "pos", "root"))
         before, table = table, saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
         active = table
-        dropped(before, pairs, found, members)
+        dropped(before, pairs, found, members, everyone)
         step += 1
         if active.isEmpty():
             return active.select(F.col("id").alias("node"), "root") if labels is None else labels
