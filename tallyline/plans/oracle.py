@@ -869,6 +869,7 @@ SQL["open_sessions"] = """SELECT session_id, count(*) AS entries, max(ts) AS las
 
 # Streaming forms give what their batch forms give
 SQL["stream_dedupe_submissions"] = "SELECT idempotency_key, arg_min(case_id, (created_at, event_id)) AS case_id, min(created_at) AS created_at FROM submissions GROUP BY 1"
+SQL["stream_idempotent_stages"] = SQL["idempotent_stages"]
 SQL["stream_guarded_transitions"] = "SELECT case_id, f.s AS status, f.n::BIGINT AS accepted, events - f.n AS dropped FROM folded"
 
 # No end within 15 minutes of the first event, and the newest event is a minute past that.

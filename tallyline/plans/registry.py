@@ -14,7 +14,7 @@ from tallyline.functions.period import Period, narrow, previous_month_of, previo
 from tallyline.operators import batches, bridges, cases, filters, hits, journey, kpi, lifecycle, metrics, snapshots, transform, validation
 from tallyline.operators.snapshots import latest_batch, latest_recon
 from tallyline.sources import sinks
-from tallyline.sources.derived import Tables, case_events, submissions
+from tallyline.sources.derived import Tables, case_events, stage_results, submissions
 from tallyline.sources.tables import schema
 from tallyline.streaming import lifecycle as streams
 
@@ -420,9 +420,16 @@ def _stream(t: Tables, name: str, build: Callable[[DataFrame], DataFrame], keys:
 # No registered stream may lose a row, however its files are cut: the rows lie within this of the newest.
 SPAN = "400 days"
 plan("stream_lifecycle_metrics", lambda t: _stream(t, "metrics", lambda e: streams.metrics(case_events(e), delay=SPAN), ("window_start",)))
+
+
+def _earliest(t: Tables, name: str, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...]) -> DataFrame:
+    return streams.first_of(_stream(t, name, build, (*keys, "window_start")), keys)
+
+
+plan("stream_dedupe_submissions", lambda t: _earliest(t, "dedupe", lambda e: streams.dedupe_submissions(submissions(e), SPAN), ("idempotency_key",)))
 plan(
-    "stream_dedupe_submissions",
-    lambda t: _stream(t, "dedupe", lambda e: streams.dedupe_submissions(submissions(e), SPAN, 400 * 24 * 60), ("idempotency_key",)),
+    "stream_idempotent_stages",
+    lambda t: _earliest(t, "stages", lambda e: streams.idempotent_stages(stage_results(case_events(e)), SPAN), ("case_id", "stage")),
 )
 plan(
     "stream_guarded_transitions",
@@ -430,10 +437,16 @@ plan(
         "case_id", "status", "accepted", "dropped"
     ),
 )
-plan(
-    "stream_sessions",
-    lambda t: _stream(t, "sessions", lambda e: streams.sessions(case_events(e), delay=SPAN), ("case_id", "started_at")).filter("events > 0"),
-)
+
+
+def _bursts(t: Tables) -> DataFrame:
+    folder = sinks.shared_folder(t.spark, "sessions")
+    beside = streams.stream_session(t.spark)
+    streams.run(streams.sessions(case_events(streams.read_events(beside, t.folder)), delay=SPAN), folder, ("case_id", "started_at"), "append")
+    return streams.all_bursts(beside, folder)
+
+
+plan("stream_sessions", _bursts)
 plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e), delay=SPAN), ("case_id", "since")))
 
 

@@ -339,9 +339,7 @@ class Tables:
 
     @cached_property
     def stage_results(self) -> DataFrame:
-        return self.case_events.filter("to_status IN ('retrieving', 'analyzing', 'doc_analysis')").selectExpr(
-            "case_id", "to_status AS stage", "props AS output", "ts AS completed_at", "event_id"
-        )
+        return stage_results(self.case_events)
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -411,4 +409,11 @@ def submissions(events: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["SCHEMAS", "Tables", "case_events", "submissions"]
+def stage_results(transitions: DataFrame) -> DataFrame:
+    """What each stage of a case wrote, repeated writes included."""
+    return transitions.filter("to_status IN ('retrieving', 'analyzing', 'doc_analysis')").selectExpr(
+        "case_id", "to_status AS stage", "props AS output", "ts AS completed_at", "event_id"
+    )
+
+
+__all__ = ["SCHEMAS", "Tables", "case_events", "stage_results", "submissions"]

@@ -11,9 +11,7 @@ from tallyline.operators import lifecycle as L
 from tallyline.sources.derived import BASE
 from tallyline.sources.sinks import UpsertLog
 from tallyline.streaming import processors
-from tallyline.streaming.processors import (
-    FIRST_OUTPUT, OUTPUT, REAPED, SESSION_OUTPUT, FirstSubmission, GuardedTransitions, Reaper, Sessions,
-)
+from tallyline.streaming.processors import OUTPUT, REAPED, GuardedTransitions, Reaper
 
 register_pickle_by_value(processors)
 
@@ -44,18 +42,66 @@ def _by_event_time(df: DataFrame, time: str, delay: str, key: str, processor, ou
     )
 
 
+def earliest(rows: DataFrame, keys: tuple[str, ...], time: str, values: tuple[str, ...], delay: str, keep_minutes: int) -> DataFrame:
+    """The earliest row per key and tumbling window of ``keep_minutes``; ties fall to the smallest event_id.
+
+    State holds one row per key and window until the watermark passes the window, so it stays bounded however many
+    keys come. ``first_of`` takes the first window of a key from the table this leaves.
+    """
+    first = F.struct(time, "event_id")
+    per = rows.withWatermark(time, delay).groupBy(*keys, F.window(time, f"{int(keep_minutes)} minutes").alias("w"))
+    found = per.agg(*[F.min_by(v, first).alias(v) for v in values], F.min(time).alias(time))
+    return found.select(*keys, F.col("w.start").alias("window_start"), *values, time)
+
+
+def first_of(windows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row per key out of a table of ``earliest``: windows do not overlap, so the first one holds the earliest row."""
+    rest = [c for c in windows.columns if c not in (*keys, "window_start")]
+    return windows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "window_start").alias("first")).select(*keys, "first.*")
+
+
 def dedupe_submissions(submissions: DataFrame, delay: str = "24 hours", keep_minutes: int = 24 * 60) -> DataFrame:
-    """The earliest submission per idempotency key and its case; a key is remembered for ``keep_minutes`` of event time."""
-    rows = submissions.select("idempotency_key", "case_id", "created_at", "event_id")
-    return _by_event_time(rows, "created_at", delay, "idempotency_key", FirstSubmission(keep_minutes), FIRST_OUTPUT)
+    """The earliest submission per idempotency key and window, with its case (see ``earliest``)."""
+    return earliest(submissions, ("idempotency_key",), "created_at", ("case_id",), delay, keep_minutes)
+
+
+def idempotent_stages(results: DataFrame, delay: str = "24 hours", keep_minutes: int = 24 * 60) -> DataFrame:
+    """The first written result per case, stage and window (see ``earliest``)."""
+    return earliest(results, ("case_id", "stage"), "completed_at", ("output",), delay, keep_minutes)
+
+
+TICK = "INTERVAL 1 MICROSECOND"
 
 
 def sessions(events: DataFrame, gap_minutes: int = 10, delay: str = "1 hour") -> DataFrame:
-    """Bursts of events per case with ``gap_minutes`` of silence after them, open ones as they stand.
+    """Bursts of events per case with ``gap_minutes`` of silence after them, put out once the watermark has passed them.
+
+    For append mode. ``open_bursts`` reads those that still wait. An event exactly ``gap_minutes`` after the last one
+    starts a new burst; session windows that touch are merged, so the gap is a microsecond shorter.
+    """
+    ended = F.coalesce(F.col("to_status").isin(*L.TERMINAL), F.lit(False)).cast("int")
+    burst = F.session_window("ts", f"{int(gap_minutes) * 60_000_000 - 1} microseconds").alias("w")
+    per = events.withWatermark("ts", delay).groupBy("case_id", burst).agg(F.count("*").alias("events"), F.sum(ended).alias("terminal_events"))
+    closed = F.col("w.end") + F.expr(TICK)
+    return per.select("case_id", "events", "terminal_events", F.col("w.start").alias("started_at"), closed.alias("closed_at"))
+
+
+def open_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """The bursts that a stream of ``sessions`` still holds as state, as they stand after its last micro-batch."""
+    held = spark.read.format("statestore").load(f"{folder}/checkpoint").select("value.*")
+    closed = F.col("session_window.end") + F.expr(TICK)
+    return held.select(
+        "case_id", F.col("count").alias("events"), F.col("sum").alias("terminal_events"),
+        F.col("session_window.start").alias("started_at"), closed.alias("closed_at"),
+    )
+
+
+def all_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed bursts from the table of a stream of ``sessions``, open ones from its state. A burst is in one of the two.
 
-    A row without events takes back a burst that late rows joined to an earlier one.
+    To be read while the stream stands still: a running one may close a burst between the two readings.
     """
-    return _by_event_time(events.select("case_id", "to_status", "ts"), "ts", delay, "case_id", Sessions(gap_minutes), SESSION_OUTPUT)
+    return table(spark, folder, ("case_id", "started_at")).unionByName(open_bursts(spark, folder))
 
 
 def guarded_transitions(events: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -36,11 +36,7 @@ EVENT = _struct("status", "at_us event_id")
 OUTPUT = _struct("case_id status failed_stage", "accepted dropped")
 REAPED = _struct("case_id status failed_stage error_reason", times="since").add("live", BooleanType())
 SHOWN = _struct("failed_stage", "at_us")
-FIRST = _struct("case_id", "at_us event_id")
-FIRST_OUTPUT = _struct("idempotency_key case_id", times="created_at")
-MOMENT = _struct(longs="at_us terminal")
 START = _struct(longs="at_us")
-SESSION_OUTPUT = _struct("case_id", "events terminal_events", "started_at closed_at")
 
 
 def micros(times: pd.Series) -> list[int]:
@@ -222,78 +218,3 @@ class Reaper(Waiting):
             self.decided.clear()
             return
         yield from self._settle(key, self.held(), timerValues.getCurrentWatermarkInMs())
-
-
-class FirstSubmission(Waiting):
-    """The earliest submission of an idempotency key, remembered for ``keep_minutes`` of event time after it."""
-
-    schema = FIRST
-
-    def __init__(self, keep_minutes: int):
-        self.keep_ms = keep_minutes * 60_000
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.held()
-        fresh = [r for c in rows for r in zip(c["case_id"].tolist(), micros(c["created_at"]), c["event_id"].tolist(), strict=True)]
-        first = min(before + fresh, key=lambda r: r[1:])
-        if [first] != before:
-            self.hold([first])
-            self.wake(first[1] // 1000 + self.keep_ms)
-            yield pd.DataFrame({"idempotency_key": [key[0]], "case_id": [first[0]], "created_at": [pd.Timestamp(first[1], unit="us")]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.hold([])
-        return iter(())
-
-
-class Sessions(Waiting):
-    """Bursts of a case's events, those still open included.
-
-    A burst is put out whenever it changes. One that became part of an earlier burst is put out once more with no events.
-    """
-
-    schema = MOMENT
-
-    def __init__(self, gap_minutes: int):
-        self.gap_us = gap_minutes * 60_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.shown = handle.getListState("shown", START)
-
-    def _bursts(self, moments: list[tuple]) -> list[list[tuple]]:
-        out: list[list[tuple]] = []
-        for m in sorted(moments):
-            if out and m[0] < out[-1][-1][0] + self.gap_us:
-                out[-1].append(m)
-            else:
-                out.append([m])
-        return out
-
-    def _settle(self, bursts: list[list[tuple]], watermark_ms: int) -> None:
-        rest = [b for b in bursts if (b[-1][0] + self.gap_us) // 1000 >= watermark_ms]
-        self.hold([m for b in rest for m in b])
-        if rest:
-            self.shown.put([(b[0][0],) for b in rest])
-        else:
-            self.shown.clear()
-        self.wake(max(b[-1][0] for b in rest) // 1000 + self.gap_us // 1000 + 1 if rest else None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = [(t, int(s in TERMINAL)) for c in rows for s, t in zip(c["to_status"].tolist(), micros(c["ts"]), strict=True)]
-        bursts = self._bursts(self.held() + fresh)
-        shown = [r[0] for r in self.shown.get()] if self.shown.exists() else []
-        gone = sorted(set(shown) - {b[0][0] for b in bursts})
-        starts = [b[0][0] for b in bursts] + gone
-        yield pd.DataFrame(
-            {
-                "case_id": [key[0]] * len(starts), "events": [len(b) for b in bursts] + [0] * len(gone),
-                "terminal_events": [sum(m[1] for m in b) for b in bursts] + [0] * len(gone),
-                "started_at": pd.to_datetime(starts, unit="us"), "closed_at": pd.to_datetime([b[-1][0] + self.gap_us for b in bursts] + gone, unit="us"),
-            }
-        )
-        self._settle(bursts, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._settle(self._bursts(self.held()), timerValues.getCurrentWatermarkInMs())
-        return iter(())

@@ -57,16 +57,29 @@ def test_streams_give_the_batch_answer_however_the_files_are_cut(spark, tmp_path
     cols = ("case_id", "status", "failed_stage", "accepted", "dropped")
     assert rows_of(got, *cols) == rows_of(L.guarded_transitions(batch), *cols)
     subs = lambda df: df.selectExpr("to_status AS idempotency_key", "case_id", "owner_sub", "ts AS created_at", "event_id")
-    got = S.run_to_table(S.dedupe_submissions(subs(source(spark, tmp_path / "d", files)), "2 days", 9999), str(tmp_path / "d"), ("idempotency_key",))
+    got = earliest_of(S.dedupe_submissions(subs(source(spark, tmp_path / "d", files)), "2 days", 60), tmp_path / "d", "idempotency_key")
     cols = ("idempotency_key", "case_id", "created_at")
     assert rows_of(got, *cols) == rows_of(L.dedupe_submissions(subs(batch)), *cols)
-    got = S.run_to_table(S.sessions(source(spark, tmp_path / "s", files), delay="2 days"), str(tmp_path / "s"), ("case_id", "started_at"))
-    assert rows_of(got.filter("events > 0"), "case_id", "started_at", "events", "closed_at") == bursts(rows)
+    done = lambda df: df.selectExpr("case_id", "to_status AS stage", "owner_sub AS output", "ts AS completed_at", "event_id")
+    got = earliest_of(S.idempotent_stages(done(source(spark, tmp_path / "i", files)), "2 days", 90), tmp_path / "i", "case_id", "stage")
+    cols = ("case_id", "stage", "output", "completed_at")
+    assert rows_of(got, *cols) == rows_of(L.idempotent_stages(done(batch)), *cols)
+    got = bursts_of(spark, S.sessions(source(spark, tmp_path / "s", files), delay="2 days"), tmp_path / "s")
+    assert rows_of(got, "case_id", "started_at", "events", "closed_at") == bursts(rows)
     last = [[(10_000 + i, at(2026, 6, 9), "o", "end", "complete")] for i in range(2)]
     got = S.run_to_table(S.reap_stuck(source(spark, tmp_path / "r", files + last), delay="2 days"), str(tmp_path / "r"), ("case_id",))
     assert rows_of(got, "case_id", "failed_stage", "since") == stuck(rows)
 
 
+def earliest_of(df, folder, *keys):
+    return S.first_of(S.run_to_table(df, str(folder), (*keys, "window_start")), keys)
+
+
+def bursts_of(spark, df, folder):
+    S.run(df, str(folder), ("case_id", "started_at"), "append")
+    return S.all_bursts(spark, str(folder))
+
+
 def bursts(rows):
     out = []
     for case in {r[3] for r in rows}:
@@ -118,7 +131,7 @@ def test_rows_behind_the_watermark_do_not_count(spark, tmp_path):
 def test_first_submission_per_key_across_files(spark, tmp_path):
     files = [[(1, at(2026, 6, 1), "o", "a", "k1"), (2, at(2026, 6, 1), "o", "b", "k2")], [(3, at(2026, 6, 1, 2), "o", "c", "k1"), (4, at(2026, 6, 1, 3), "o", "d", "k3")]]
     subs = source(spark, tmp_path, files).selectExpr("to_status AS idempotency_key", "case_id", "ts AS created_at", "event_id")
-    got = S.run_to_table(S.dedupe_submissions(subs), str(tmp_path), ("idempotency_key",))
+    got = earliest_of(S.dedupe_submissions(subs), tmp_path, "idempotency_key")
     assert rows_of(got, "idempotency_key", "case_id") == [("k1", "a"), ("k2", "b"), ("k3", "d")]
 
 
@@ -138,11 +151,32 @@ def test_stuck_cases_time_out_by_event_time(spark, tmp_path):
 def test_bursts_close_after_the_gap(spark, tmp_path):
     t = at(2026, 6, 1)
     rows = [(i, t + timedelta(minutes=k), "o", "a", "retrieving") for i, k in enumerate((0, 5, 9, 40))] + [(9, at(2026, 6, 3), "o", "z", "error")]
-    got = S.run_to_table(S.sessions(source(spark, tmp_path, [rows])), str(tmp_path), ("case_id", "started_at"))
+    got = bursts_of(spark, S.sessions(source(spark, tmp_path, [rows])), tmp_path)
     z = ("z", at(2026, 6, 3), 1)
     assert rows_of(got, "case_id", "started_at", "events") == [("a", t, 3), ("a", t + timedelta(minutes=40), 1), z]
 
 
+def test_an_event_at_the_gap_starts_a_new_burst_and_closed_bursts_leave_the_state(spark, tmp_path):
+    t = at(2026, 6, 1)
+    rows = [(1, t, "o", "a", "retrieving"), (2, t + timedelta(minutes=10), "o", "a", "complete"), (3, t + timedelta(minutes=19), "o", "a", None)]
+    later = [(4, at(2026, 6, 3), "o", "z", "error")]
+    got = bursts_of(spark, S.sessions(source(spark, tmp_path, [rows, later])), tmp_path)
+    a = [("a", t, 1, 0), ("a", t + timedelta(minutes=10), 2, 1)]
+    assert rows_of(got, "case_id", "started_at", "events", "terminal_events") == [*a, ("z", at(2026, 6, 3), 1, 1)]
+    assert rows_of(S.open_bursts(spark, str(tmp_path)), "case_id") == [("z",)]
+    assert rows_of(S.table(spark, str(tmp_path), ("case_id", "started_at")), "case_id") == [("a",), ("a",)]
+
+
+def test_a_key_seen_again_in_a_later_window_keeps_its_first_row(spark, tmp_path):
+    files = [[(i, at(2026, 6, 1 + i), "o", f"c{i}", "k")] for i in (0, 3, 9)]
+    subs = source(spark, tmp_path, files).selectExpr("to_status AS idempotency_key", "case_id", "ts AS created_at", "event_id")
+    windows = S.run_to_table(S.dedupe_submissions(subs), str(tmp_path), ("idempotency_key", "window_start"))
+    assert windows.count() == 3
+    assert rows_of(S.first_of(windows, ("idempotency_key",)), "case_id") == [("c0",)]
+    # The state holds only the windows that the watermark has not passed.
+    assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() == 1
+
+
 def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
     log = UpsertLog(str(tmp_path / "t"), ("k",))
     make = lambda *rows: spark.createDataFrame(rows, "k INT, v STRING")
