@@ -4,7 +4,8 @@ from datetime import date
 
 from tallyline.functions.period import Period, as_run_date, narrow, previous_month, previous_week
 from tallyline.operators.snapshots import latest, latest_batch, latest_recon, latest_stage, upsert_latest
-from tests.conftest import at, rows_of
+from tallyline.plans.registry import callables
+from tests.conftest import DATA, at, rows_of
 
 
 def test_previous_week_is_monday_to_sunday():
@@ -112,3 +113,9 @@ def test_period_reaches_the_scan(tables):
     df = tables.hits.filter(p.holds("transaction_date"))
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate,1996-06-01" in text
+
+
+def test_opt_without_arguments_keeps_every_row(spark, tables):
+    got = callables()["opt"](spark, DATA)
+    assert rows_of(got) == rows_of(tables.batch_recon, "rpt_grp_id", "batch_id", "seq_no")
+    assert got.select("rpt_grp_id").distinct().count() > 1
