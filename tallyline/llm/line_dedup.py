@@ -10,38 +10,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
+from tallyline.llm.bitmap import Bitmap
+from tallyline.llm.components import components
 from tallyline.llm.near_dedup import Sets, band_keys, link_components, lists
-from tallyline.llm.shared import dropped, saved
+from tallyline.llm.shared import saved
 
 U64 = np.uint64
 NO_ID = -(1 << 63)
-BITS = 1 << 25  # of a bitmap: 4 MB
 SEEN = 1 << 18  # lines a task remembers to have met
 SLICE = 1 << 18  # bytes of text at once: their arrays stay in the processor's cache
 FACTORS = T.seeds(128, 997).astype(np.uint32) | np.uint32(1)
 
 
+def bounds(at: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and number in the row of every line, from the rows' offsets and the places of line breaks."""
+    ends = np.concatenate([at[1:], breaks])
+    # A row's end comes before a line break that stands first in the next row.
+    order = np.lexsort([np.arange(len(ends)) >= len(at) - 1, ends])
+    is_break = order >= len(at) - 1
+    ends = ends[order]
+    starts = np.concatenate([[0], (ends + is_break)[:-1]]) if len(ends) else np.zeros(0, np.int64)
+    rows = np.concatenate([[0], np.cumsum(~is_break)[:-1]]) if len(ends) else np.zeros(0, np.int64)
+    return starts, ends, rows, np.arange(len(ends)) - np.searchsorted(rows, rows)
+
+
 class Lines:
     """The lines of some rows as code points: bounds, row and number in the row of every line, and prefix sums of hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, prints: int = 2):
+        """prints: how many hashes of a line are wanted."""
         points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
         self.points = points
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-        breaks = np.flatnonzero(points == 10)
-        ends = np.concatenate([at[1:], breaks])
-        # A row's end comes before a line break that stands first in the next row.
-        order = np.lexsort([np.arange(len(ends)) >= len(at) - 1, ends])
-        is_break = order >= len(at) - 1
-        self.ends = ends[order]
-        self.starts = np.concatenate([[0], (self.ends + is_break)[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        self.rows = np.concatenate([[0], np.cumsum(~is_break)[:-1]]) if len(ends) else np.zeros(0, np.int64)
-        self.numbers = np.arange(len(self.ends)) - np.searchsorted(self.rows, self.rows)
+        self.starts, self.ends, self.rows, self.numbers = bounds(at, np.flatnonzero(points == 10))
         low = np.where((points >= 65) & (points <= 90), points + 32, points).astype(U64)
         blank = (low == 32) | ((low >= 9) & (low <= 13))
         self.solid = np.diff(np.concatenate([[0], np.cumsum(~blank)])[np.stack([self.starts, self.ends])], axis=0)[0]
         self.up, self.down = T.powers(len(points) + 1)
-        self.sums = [np.concatenate([np.zeros(1, U64), np.cumsum(T.mix(low * seed) * self.up[:-1])]) for seed in T.seeds(2, 131)]
+        self.sums = [np.concatenate([np.zeros(1, U64), np.cumsum(T.mix(low * seed) * self.up[:-1])]) for seed in T.seeds(2, 131)[:prints]]
 
     def take(self, kept: np.ndarray) -> None:
         self.starts, self.ends, self.rows, self.numbers = (a[kept] for a in (self.starts, self.ends, self.rows, self.numbers))
@@ -60,15 +66,6 @@ class Lines:
         return T.mix((self.sums[0][to] - self.sums[0][at]) * self.down[at]), begins
 
 
-    def sets(self, size: int) -> list[np.ndarray]:
-        items, begins = self.shingles(size)
-        return [np.unique(x) for x in np.split(items, begins[1:])] if len(begins) else []
-
-    def texts(self) -> list[str]:
-        text = self.points.astype("<u4").tobytes().decode("utf-32-le")
-        return [text[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
-
-
 class Recent:
     """Hashes a task has met, each in the place its last bits name: one may be forgotten, none is taken for met that was not."""
 
@@ -98,67 +95,162 @@ def line_minhash(items: np.ndarray, begins: np.ndarray, coordinates: int) -> np.
     return out
 
 
-LINE = "id long, f long, line int, h1 long, h2 long, bands array<long>"
+PARTS = 1 << 10  # groups the hashes are dealt into, by their first ten bits
+HELD = 1 << 21  # band keys a task holds before it passes them on
+KEY = np.dtype([("key", "<u4"), ("h1", "<u8")])
+PLACE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("f", "<i8"), ("line", "<i4")])
+DEALT = "part int, keys binary, places binary"
+
+
+def records(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, values in zip(kind.names, columns, strict=True):
+        out[name] = values
+    return out
+
+
+def dealt(hashes: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """The records of each part as one binary value."""
+    part = (hashes >> U64(54)).astype(np.uint16)
+    ends = np.cumsum(np.bincount(part, minlength=PARTS)) * rows.dtype.itemsize
+    rows = rows[np.argsort(part, kind="stable")]
+    return pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(rows.view(np.uint8))])
 
 
 def signer(size: int, bands: int, rows: int):
-    """Every line with its hashes; its bands where the task meets it first, else none."""
+    """Every line's hashes and place, and its band keys where the task meets it first, dealt into parts."""
+
+    def packed(places, keys, nodes):
+        places, keys, nodes = (np.concatenate(x) for x in (places, keys, nodes))
+        found = [dealt(keys, records(KEY, (keys >> U64(22)).astype(np.uint32), nodes)), dealt(places["h1"], places)]
+        out = pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), *found], names=["part", "keys", "places"])
+        return out.filter(pa.compute.greater(pa.compute.add(*(pa.compute.binary_length(x) for x in found)), 0))
 
     def run(batches):
-        recent = Recent()
+        recent, held = Recent(), ([], [], [])
         for batch in batches:
             for first, last, data, offsets in T.slices(batch.column(2), SLICE):
                 lines = Lines(data, offsets)
                 lines.take(lines.solid > 0)
-                at, prints = pa.array(lines.rows + first), lines.prints()
-                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.numbers.astype(np.int32))]
-                cols += [pa.array(p.view(np.int64)) for p in prints]
-                fresh = recent.fresh(prints[0])
-                counts = np.zeros(len(lines.starts), np.int64)
-                counts[fresh] = bands
-                lines.take(fresh)
-                keys = np.zeros((0, bands), U64)
+                if not len(lines.starts):
+                    continue
+                own = [batch.column(i).slice(first, last - first).to_numpy()[lines.rows] for i in (0, 1)]
+                prints = lines.prints()
+                held[0].append(records(PLACE, *prints, *own, lines.numbers))
+                lines.take(fresh := recent.fresh(prints[0]))
                 if len(fresh):
-                    keys = band_keys(line_minhash(*lines.shingles(size), bands * rows), bands)
-                yield pa.RecordBatch.from_arrays([*cols, lists(keys, counts)], names=[c.split()[0] for c in LINE.split(", ")])
+                    held[1].append(band_keys(line_minhash(*lines.shingles(size), bands * rows), bands).ravel())
+                    held[2].append(np.repeat(prints[0][fresh], bands))
+                if sum(map(len, held[1])) + sum(map(len, held[0])) > HELD:
+                    yield packed(*held)
+                    held = ([], [], [])
+        if held[0]:
+            yield packed(held[0], held[1] or [np.zeros(0, U64)], held[2] or [np.zeros(0, U64)])
 
     return run
 
 
+SMALL = 32  # lines up to which all pairs of a band key are compared
+GATHERED = "key long, h1 long, other long, h2 long, id long, f long, line int, n long, first boolean"
+
+
+def met(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band key, line and number of lines for the lines of each band key that two or more have."""
+    keys = keys[np.argsort(keys["key"])]
+    same = keys["key"][1:] == keys["key"][:-1]
+    keys = keys[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(keys) else keys
+    keys = keys[np.lexsort([keys["h1"], keys["key"]])]
+    keys = unrepeated(keys)
+    _, at, n = np.unique(keys["key"], return_inverse=True, return_counts=True)
+    several = n[at] > 1
+    return keys["key"][several], keys["h1"][several].view(np.int64), n[at][several]
+
+
+def all_pairs(node: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The distinct pairs (n x 2) of the lines of each small band key, from lines in the order of band keys."""
+    out = []
+    for size in np.unique(m[m <= SMALL]):
+        one, two = np.triu_indices(size, 1)
+        rows = np.sort(node[m == size].reshape(-1, size), axis=1)
+        out.append(np.stack([rows[:, one].ravel(), rows[:, two].ravel()], axis=1))
+    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    found = found[np.lexsort([found[:, 1], found[:, 0]])]
+    return found[np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])[: len(found)]]
+
+
+def gatherer(group: pa.Table) -> pa.Table:
+    """Of one part: pairs (h1, other) of lines that share a band key, (key, h1) where more than SMALL do, and all places.
+
+    n counts the places of equal lines, first marks the least of them.
+    """
+    part = group.column("part")[0].as_py()
+    keys, places = (np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), kind) for c, kind in (("keys", KEY), ("places", PLACE)))
+    key, node, m = met(keys)
+    pairs = all_pairs(node, m)
+    places = places[np.lexsort([places[c] for c in ("line", "f", "id", "h2", "h1")])]
+    # Rows that share an id and a text have the same places.
+    places = unrepeated(places)
+    first = np.ones(len(places), bool)
+    first[1:] = (places["h1"][1:] != places["h1"][:-1]) | (places["h2"][1:] != places["h2"][:-1])
+    n = np.diff(np.append(np.flatnonzero(first), len(places)))
+    large = m > SMALL
+    found = [
+        {"h1": pairs[:, 0], "other": pairs[:, 1]},
+        {"key": (key[large].astype(np.int64) << 10) | part, "h1": node[large]},
+        {**{c: places[c].astype(np.int64 if places[c].dtype == U64 else places[c].dtype) for c in PLACE.names}, "n": np.repeat(n, n), "first": first},
+    ]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [(c, kinds[k]) for c, k in (x.split() for x in GATHERED.split(", "))]
+    return pa.concat_tables([pa.table({c: pa.array(rows[c], k) if c in rows else pa.nulls(len(rows["h1"]), k) for c, k in fields}) for rows in found])
+
+
+SPREAD = 1640531527  # odd, and small enough that its product with a line's number fits 64 bits
+
+
 def line_reader(size: int, wanted):
-    """(id, body, n) of each line whose first hash the bitmap may hold, once a task while it is remembered."""
+    """(id, f, line, body, n) of each line whose place the bitmap may hold, from rows (id, f, text)."""
 
     def run(batches):
-        bitmap, recent = wanted.value, Recent()
+        bitmap = wanted.value
         for batch in batches:
-            for _, _, data, offsets in T.slices(batch.column(0), SLICE):
-                lines = Lines(data, offsets)
-                lines.take(lines.solid > 0)
-                codes = lines.prints()[0]
-                lines.take(held := np.flatnonzero(bitmap.holds(codes)))
-                fresh = recent.fresh(codes := codes[held])
-                if not len(fresh):
+            for first, last, data, offsets in T.slices(batch.column(2), SLICE):
+                starts, ends, rows, numbers = bounds(offsets, np.flatnonzero(data == 10))
+                f = batch.column(1).slice(first, last - first).to_numpy()
+                held = np.flatnonzero(bitmap.holds((f[rows] ^ (numbers * SPREAD)).view(U64)))
+                if not len(held):
                     continue
-                lines.take(fresh)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(codes[fresh].view(np.int64)), pa.array(lines.texts()), pa.array([len(x) for x in lines.sets(size)], pa.int64())], names=["id", "body", "n"]
-                )
+                text, at = data.tobytes(), pa.array(rows[held] + first)
+                bodies = pa.array([text[a:b].decode() for a, b in zip(starts[held].tolist(), ends[held].tolist(), strict=True)], pa.string())
+                cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[held].astype(np.int32)), bodies]
+                n = np.concatenate([distinct(bodies.slice(i, AT_ONCE), size)[1] for i in range(0, len(held), AT_ONCE)])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n)], names=["id", "f", "line", "body", "n"])
 
     return run
 
 
-def sets_of(column: pa.Array, size: int) -> list[np.ndarray]:
-    """The shingle sets of texts that are one line each."""
-    out = []
-    for _, _, data, offsets in T.slices(column, 1 << 20):
-        out += Lines(data, offsets).sets(size)
-    return out
+AT_ONCE = 1 << 10  # lines whose sets are made at once: their numbers and 54 bits of each item's hash fill 64 bits
+
+
+def unrepeated(values: np.ndarray) -> np.ndarray:
+    """Sorted values, each once; np.unique would hash them, which takes ten times as long here."""
+    return values[np.concatenate([[True], values[1:] != values[:-1]])[: len(values)]]
+
+
+def distinct(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of at most AT_ONCE texts that are one line each, one after another in ascending order, and their sizes."""
+    data, offsets = T.column_bytes(column)
+    lines = Lines(data[offsets[0] : offsets[-1]], offsets - offsets[0], 1)
+    items, begins = lines.shingles(size)
+    row = np.repeat(lines.rows.astype(U64), np.diff(np.append(begins, len(items))))
+    found = unrepeated(np.sort((row << U64(54)) | (items >> U64(10))))
+    return found, np.bincount((found >> U64(54)).astype(np.int64), minlength=len(column))
 
 
 class LineSets(Sets):
     """Lines travel as text, an eighth of their sets; the sets are made where they are compared."""
 
     few = 16
+    growth = 6, 0
 
     def __init__(self, fetch, percent: int, size: int):
         super().__init__(fetch, percent)
@@ -169,12 +261,12 @@ class LineSets(Sets):
 
         def run(batches):
             for batch in batches:
-                # Sets take many times the room of their texts, so only a few are held at once.
-                for first, last in T.row_slices(T.column_bytes(batch.column(2))[1] + T.column_bytes(batch.column(3))[1], 1 << 20):
-                    part = batch.slice(first, last - first)
-                    pairs = zip(sets_of(part.column(2), size), sets_of(part.column(3), size), strict=True)
-                    common = [(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in pairs]
-                    kept = pa.array([100 * c >= percent * (n - c) for c, n in common], pa.bool_())
+                for part in few_lines(batch, (2, 3)):
+                    (x, n), (y, m) = (distinct(part.column(i), size) for i in (2, 3))
+                    all_items = np.sort(np.concatenate([x, y]))
+                    shared = all_items[1:][all_items[1:] == all_items[:-1]]
+                    common = np.bincount((shared >> U64(54)).astype(np.int64), minlength=part.num_rows)
+                    kept = pa.array(100 * common >= percent * (n + m - common))
                     yield pa.RecordBatch.from_arrays([part.column(0).filter(kept), part.column(1).filter(kept)], names=["a", "b"])
 
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -184,43 +276,19 @@ class LineSets(Sets):
 
         def run(batches):
             for batch in batches:
-                for first, last in T.row_slices(T.column_bytes(batch.column(1))[1], 1 << 20):
-                    sets = sets_of(batch.column(1).slice(first, last - first), size)
-                    found = lists(np.concatenate(sets), np.array([len(x) for x in sets], np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), found], names=["id", "items"])
+                for part in few_lines(batch, (1,)):
+                    found, n = distinct(part.column(1), size)
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists(found & U64((1 << 54) - 1), n)], names=["id", "items"])
 
         return bodies.select("id", "body").mapInArrow(run, "id long, items array<long>")
 
 
-class Bitmap:
-    """A fixed number of bits by hash: it may hold too much, never too little, and spares rows that join nothing."""
-
-    def __init__(self, hashes: DataFrame):
-        """From a column ``h`` of 64-bit hashes; the words are joined by Spark, at most BITS / 64 of them come here."""
-        at = F.col("h").bitwiseAND(F.lit(BITS - 1))
-        words = hashes.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("mask"))
-        found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        self.words = np.zeros(BITS // 64, U64)
-        self.words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(U64) if found.num_rows else 0
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes & U64(BITS - 1)
-        return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
-
-
-def bucket_reader(wanted):
-    """(key, id) of the bands the bitmap may hold, from rows (h1, bands)."""
-
-    def run(batches):
-        bitmap = wanted.value
-        for batch in batches:
-            bands = batch.column(1)
-            keys = bands.flatten().to_numpy().view(U64)
-            kept = bitmap.holds(keys)
-            ids = np.repeat(batch.column(0).to_numpy(), np.diff(bands.offsets.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(ids[kept])], names=["key", "id"])
-
-    return run
+def few_lines(batch: pa.RecordBatch, columns: tuple[int, ...]):
+    """The batch in parts of at most AT_ONCE rows and about 128 KB in these columns, whose sets stay in the processor's cache."""
+    for begin in range(0, batch.num_rows, AT_ONCE):
+        some = batch.slice(begin, AT_ONCE)
+        for first, last in T.row_slices(sum(T.column_bytes(some.column(i))[1] for i in columns), 1 << 17):
+            yield some.slice(first, last - first)
 
 
 def cutter(text_at: int, cut_at: int):
@@ -228,21 +296,33 @@ def cutter(text_at: int, cut_at: int):
 
     def run(batches):
         for batch in batches:
-            texts, counts, kept = [], [], []
-            for text, cut in zip(batch.column(text_at), batch.column(cut_at), strict=True):
-                text, gone = text.as_py(), set(cut.as_py() or ())
-                lines = [] if text is None else text.split("\n")
-                left = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
-                texts.append(text if not gone else "\n".join(left))
-                counts.append(len(lines))
-                kept.append(len(left))
-            out = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
+            texts, cuts = batch.column(text_at), batch.column(cut_at)
+            counts = pa.compute.fill_null(pa.compute.add(pa.compute.count_substring(texts, "\n"), 1), 0).to_numpy()
+            texts, kept = texts.to_pylist() if cuts.null_count < len(cuts) else texts, counts.astype(np.int64)
+            for row in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)):
+                gone = set(cuts[row].as_py())
+                texts[row] = "\n".join(x for i, x in enumerate(texts[row].split("\n")) if i not in gone)
+                kept[row] -= len(gone)
+            out = batch.set_column(text_at, batch.schema.field(text_at), texts if isinstance(texts, pa.Array) else pa.array(texts, batch.schema.field(text_at).type))
             out = out.remove_column(cut_at)
             yield out.append_column("n_lines", pa.array(counts, pa.int64())).append_column("n_kept", pa.array(kept, pa.int64()))
 
     return run
 
 
+def linked_lines(pairs: DataFrame, large: DataFrame, sets: LineSets) -> DataFrame:
+    """(node, root) of the components over the links among pairs (a, b) and among the ids that share a key of ``large`` (key, id)."""
+    pairs = saved(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(large.select("id")).distinct()
+    bodies = saved(sets.fetch(ids), "sets")
+    of = lambda end, body: bodies.select(F.col("id").alias(end), F.col("body").alias(body), F.col("n").alias(f"n_{end}"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * sets.percent
+    both = pairs.join(of("a", "x").drop("x"), "a").join(of("b", "y"), "b").where(near).drop("n_a", "n_b").join(of("a", "x"), "a")
+    links = saved(sets.linked(both), "links")
+    labels = components(links)
+    return labels if large.isEmpty() else link_components(large, sets, bodies, labels)
+
+
 def without_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8, percent: int = 80, bands: int = 22, rows: int = 4
 ) -> DataFrame:
@@ -264,25 +344,27 @@ def without_repeated_lines(
     own = [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("f")]
     given = docs.select(*own, F.col(text_col).alias("text")).where("text is not null")
     spark = docs.sparkSession
-    lines = saved(given.mapInArrow(signer(size, bands, rows), LINE), "lines")
-    # A line's first hash is its node. Only bands that two different lines share matter from here on.
-    keys = lines.select(F.explode("bands").alias("key"), F.col("h1").alias("id")).groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    keys = saved(keys.where("least < most").select("key"), "keys")
-    met = spark.sparkContext.broadcast(Bitmap(keys.select(F.col("key").alias("h"))))
-    buckets = lines.select("h1", "bands").mapInArrow(bucket_reader(met), "key long, id long").distinct().join(keys, "key", "left_semi")
+    signed = saved(given.mapInArrow(signer(size, bands, rows), DEALT).groupBy("part").applyInArrow(gatherer, GATHERED), "signed")
+    # A line's first hash is its node. Only bands that two different lines share matter for the links.
+    pairs = signed.where("other is not null").select(F.col("h1").alias("a"), F.col("other").alias("b"))
+    large = signed.where("key is not null").select("key", F.col("h1").alias("id"))
+    places = signed.where("id is not null").select("h1", "h2", "id", "f", "line", "first")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = spark.sparkContext.broadcast(Bitmap(ids.select(F.col("id").alias("h"))))
-        found = given.select("text").mapInArrow(line_reader(size, wanted), "id long, body string, n long")
-        return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
-
-    roots = link_components(buckets, LineSets(fetch, percent, size))
+        known = places.where("first").join(ids.withColumnRenamed("id", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("id", "f", "line")).alias("p"))
+        known = saved(known.select("h1", "p.*"), "known")
+        code = F.col("f").bitwiseXOR(F.col("line").cast("long") * SPREAD)
+        wanted = spark.sparkContext.broadcast(Bitmap(known.select(code.alias("key"))))
+        found = given.mapInArrow(line_reader(size, wanted), "id long, f long, line int, body string, n long")
+        return found.join(known, ["id", "f", "line"]).select(F.col("h1").alias("id"), "body", "n").dropDuplicates(["id"])
+
+    roots = linked_lines(pairs, large, LineSets(fetch, percent, size))
     nodes = roots.select(F.col("node").alias("h1"), "root").union(roots.select("root", "root").distinct())
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "f", "line")).alias("pos"), F.count("*").alias("n")).join(nodes, "h1", "left")
-    member = saved(classes.where("n > 1 or root is not null").select("h1", "h2", "pos", F.coalesce("root", "h1").alias("root")), "members")
-    keeper = member.groupBy("root").agg(F.min("pos").alias("keeper"))
-    touched = saved(member.join(keeper, "root").select("h1", "h2", "keeper"), "touched")
-    gone = lines.select("id", "f", "line", "h1", "h2").join(touched, ["h1", "h2"]).where(F.struct("id", "f", "line") != F.col("keeper"))
+    pos = F.struct("id", "f", "line")
+    joined = places.where("first").join(nodes, "h1")
+    keeper = joined.groupBy("root").agg(F.min(pos).alias("keeper"))
+    touched = saved(nodes.join(keeper, "root").select("h1", "keeper"), "touched")
+    gone = places.join(touched, "h1", "left").where(F.when(F.col("keeper").isNull(), ~F.col("first")).otherwise(pos != F.col("keeper")))
     gone = gone.groupBy("id", "f").agg(F.collect_set("line").alias("cut"))
     here = [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text_col])]
     marked = docs.join(gone, (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias(f"cut_{uuid.uuid4().hex}"))

@@ -104,6 +104,7 @@ class Sets:
     """How the full sets of ids are fetched and compared: here as arrays of 64-bit items."""
 
     few = 0  # members up to which a bucket goes on as it is instead of by rare items
+    growth = 2, 1  # log2 of how many times more hubs each round has, and the last round with a single hub
 
     def __init__(self, fetch, percent: int):
         self.fetch = fetch  # from a frame of ids to (id, body, n), n being the size of the set
@@ -140,23 +141,29 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
     return kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root")
 
 
-def link_components(buckets: DataFrame, sets: Sets) -> DataFrame:
+def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components over the links between ids that share a bucket, from rows (key, id).
 
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
-    (``rare_buckets``) and are compared with hubs, four times as many each round, until the members of each bucket are in
+    (``rare_buckets``) and are compared with hubs, more of them each round (``sets.growth``), until the members of each bucket are in
     one component or all have been hubs: no pair of different components is left out, yet no group is squared. Buckets
     of at most ``sets.few`` members skip the rare items: comparing these members costs less than dealing out all items.
+
+    bodies are the sets of at least these ids, if they are there already; labels are components known so far.
     """
     percent = sets.percent
     table = saved(buckets, "buckets")
-    bodies = saved(sets.fetch(table.select("id").distinct()), "sets")
-    active = table.join(bodies.select("id", "n"), "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"), F.col("id").alias("root"))
-    labels = None
+    bodies = saved(sets.fetch(table.select("id").distinct()), "sets") if bodies is None else bodies
+    active = table.join(bodies.select("id", "n"), "id").select("key", "id", "n", F.lit(0).cast("long").alias("pos"))
+    if labels is None:
+        active = active.withColumn("root", F.col("id"))
+    else:
+        known = active.join(labels.withColumnRenamed("node", "id"), "id", "left")
+        active = several_roots(known.withColumn("root", F.coalesce("root", "id"))).select("key", "id", "n", "pos", "root")
     step = 0
     while True:
-        part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << 2 * max(step - 1, 0)))
+        part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << min(sets.growth[0] * max(step - sets.growth[1], 0), 62)))
         hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
         hubs = active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*")
         close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))

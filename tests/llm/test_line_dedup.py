@@ -2,7 +2,10 @@ from __future__ import annotations
 
 import random
 
-from tallyline.llm.line_dedup import without_repeated_lines
+from pyspark.sql import functions as F
+
+from tallyline.llm.bitmap import Bitmap
+from tallyline.llm.line_dedup import AT_ONCE, DEALT, GATHERED, PARTS, SMALL, LineSets, gatherer, line_reader, signer, without_repeated_lines
 from tests.llm.conftest import ODD, groups, lower
 
 BLANK = " \t\r\n\x0b\x0c"
@@ -61,3 +64,29 @@ def test_pairs_at_the_threshold_meet(spark):
     assert all(5 * len(a & b) >= 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
     got = without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [2 * i for i in range(4000)]
+
+
+def test_sets_of_many_short_lines(spark):
+    """Sizes and pairs of sets made in slices of more lines than are told apart at once."""
+    texts = [f"{i:05d} is the number of this line" for i in range(3 * AT_ONCE)]
+    ids = spark.createDataFrame([(i, i, x) for i, x in enumerate(texts)], "id long, f long, text string").coalesce(1)
+    wanted = spark.sparkContext.broadcast(Bitmap(ids.select(F.col("f").alias("key"))))
+    got = ids.mapInArrow(line_reader(8, wanted), "id long, f long, line int, body string, n long").collect()
+    assert {(r["id"], r["line"], r["body"], r["n"]) for r in got} == {(i, 0, x, len({x[k : k + 8] for k in range(len(x) - 7)})) for i, x in enumerate(texts)}
+    both = spark.createDataFrame([(i, i + 1, x, y) for i, (x, y) in enumerate(zip(texts, texts[1:]))], "a long, b long, x string, y string").coalesce(1)
+    links = {(r["a"], r["b"]) for r in LineSets(None, 80, 8).linked(both).collect()}
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in texts]
+    assert links == {(i, i + 1) for i in range(len(texts) - 1) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
+
+
+def test_a_task_gets_its_lines_in_parts(spark):
+    """Little goes through: of a text of many lines no task writes all bands of a line as a row."""
+    rows = [(i, "\n".join(f"{i} {j} a line like others here" for j in range(40))) for i in range(50)]
+    given = spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("text").alias("f"), "text").coalesce(1)
+    parts = given.mapInArrow(signer(8, 22, 4), DEALT)
+    assert parts.count() <= PARTS
+    found = parts.groupBy("part").applyInArrow(gatherer, GATHERED)
+    assert found.where("id is not null").count() == found.where("first").count() == 2000
+    assert found.where("other is not null").select("h1", "other").where("h1 >= other").count() == 0
+    large = found.where("key is not null").groupBy("key").count()
+    assert large.where(f"count <= {SMALL}").count() == 0 and large.count() > 0
