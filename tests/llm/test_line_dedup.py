@@ -79,8 +79,8 @@ def test_sets_of_many_short_lines(spark):
     assert links == {(i, i + 1) for i in range(len(texts) - 1) if 100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1])}
 
 
-def test_a_task_gets_its_lines_in_parts(spark):
-    """Little goes through: of a text of many lines no task writes all bands of a line as a row."""
+def test_a_task_packs_its_lines_by_part(spark):
+    """One row a part leaves the task; pairs come of small band keys, rows of large ones only, and every place once."""
     rows = [(i, "\n".join(f"{i} {j} a line like others here" for j in range(40))) for i in range(50)]
     given = spark.createDataFrame(rows, "id long, text string").select("id", F.xxhash64("text").alias("f"), "text").coalesce(1)
     parts = given.mapInArrow(signer(8, 22, 4), DEALT)
