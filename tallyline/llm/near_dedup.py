@@ -133,12 +133,14 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
     n - ceil(n * percent / 100) + 1 items of each, in any fixed order. Rarest first, the items that only one member has
     fill these places before common passages do, and texts that differ too much meet in no bucket.
     """
-    tokens = items.join(members, "id").select("id", "n", "root", F.explode("items").alias("key"))
+    tokens = saved(items.join(members, "id").select("id", "n", "root", F.explode("items").alias("key")), "tokens")
     often = tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     own = tokens.join(often, "key").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
     places = F.expr(f"n - ceil(n * {percent} / 100.0) + 1 - (n - size(shared))").cast("int")
     kept = own.select("id", "n", "root", F.posexplode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("at", "t"), F.size("shared").alias("m"))
-    return kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root")
+    rare = saved(kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root"), "rare")
+    dropped(tokens)
+    return rare
 
 
 def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
@@ -160,12 +162,16 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
         active = active.withColumn("root", F.col("id"))
     else:
         known = active.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        active = several_roots(known.withColumn("root", F.coalesce("root", "id"))).select("key", "id", "n", "pos", "root")
+        known = saved(known.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root")), "known")
+        active = several_roots(known).select("key", "id", "n", "pos", "root")
+    before, table = table, saved(active, "buckets")
+    dropped(before)
+    active = table
     step = 0
     while True:
         part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << min(sets.growth[0] * max(step - sets.growth[1], 0), 62)))
         hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
-        hubs = active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*")
+        hubs = saved(active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*"), "hubs")
         close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))
         pairs = active.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & close)
         pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()
@@ -175,14 +181,17 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
         found = saved(sets.linked(both), "links")
         if not found.isEmpty():
             labels = merged(labels, found)
-        rest = active.join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti")
+        now = active
         if labels is not None:
-            rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        rest = rest.select("key", "id", "n", "pos", F.coalesce("root", "id").alias("root"))
-        rest = several_roots(rest)
-        members = everyone = None
+            now = now.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # Buckets that became one component are done, with hubs and all.
+        now = several_roots(now).join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti")
+        left = saved(now.select("key", "id", "n", "pos", "root"), "rest")
+        rest = several_roots(left)
+        members = everyone = rare = many = None
         if not step:
             # What was compared with the only other member of its buckets is done.
+            rest = many = saved(rest.select("key", "id", "n", "pos", "root"), "rest")
             small, large = None, rest
             if sets.few:
                 sizes = rest.groupBy("key").agg(F.count("*").alias("members"))
@@ -197,7 +206,7 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
                 rest = rest.union(small.select("key", "id", "n", "pos", "root"))
         before, table = table, saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
         active = table
-        dropped(before, pairs, found, members, everyone)
+        dropped(before, hubs, pairs, found, left, many, members, everyone, rare)
         step += 1
         if active.isEmpty():
             return active.select(F.col("id").alias("node"), "root") if labels is None else labels

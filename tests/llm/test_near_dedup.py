@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tallyline.llm import components as C
 from tallyline.llm.components import components
 from tallyline.llm.near_dedup import near_duplicates
 from tests.llm.conftest import ODD, groups, spaced_words
@@ -71,6 +73,26 @@ def test_components_of_paths_stars_and_nulls(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_edges_take_one_round(spark, monkeypatch):
+    """A path of 3,000 nodes is united where it is read; more edges than a task takes give the same in rounds."""
+    edges = [(i, i + 1) for i in range(1, 3000)]
+    random.Random(3).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    tables = []
+    monkeypatch.setattr(C, "saved", lambda df, purpose, keep=C.saved: tables.append(purpose) or keep(df, purpose))
+    assert {tuple(r) for r in components(df).collect()} == {(i, 1) for i in range(2, 3001)}
+    assert len(tables) == 2
+    monkeypatch.setattr(C, "EDGES", 700)
+    assert {tuple(r) for r in components(df).collect()} == {(i, 1) for i in range(2, 3001)}
+    named = df.selectExpr("concat('n', a) as a", "concat('n', b) as b")
+    assert {tuple(r) for r in components(named).collect()} == {(f"n{i}", "n1") for i in range(2, 3001)}
+
+
+def test_stars_of_edges():
+    lo, hi = C.stars(np.array([5, 3, 9, 7, 20]), np.array([9, 5, 11, 8, 20]))
+    assert sorted(zip(hi.tolist(), lo.tolist(), strict=True)) == [(5, 3), (8, 7), (9, 3), (11, 3)]
+
+
 def test_whole_texts_count(spark):
     """Texts that differ only far behind are told apart."""
     head = " ".join(f"w{i}" for i in range(4000))
