@@ -100,3 +100,17 @@ def test_odd_rows(odd):
     assert [by[i]["n_shingles"] for i in (4, 5, 6, 7, 9, 10)] == [0, 0, 0, 1, 1, 0]
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None, None]
     assert J.jaccard_components(odd.where("false")).count() == 0
+
+
+def test_components_take_few_tables(spark, monkeypatch):
+    """A chain of near texts: the edges between them are united in one go, not in rounds."""
+    from tallyline.llm import components as C
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join(words[k : k + 200])) for k in range(150)]
+    tables = []
+    monkeypatch.setattr(C, "saved", lambda df, purpose, keep=C.saved: tables.append(purpose) or keep(df, purpose))
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), size=3, percent=85).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 150
+    # Two for the blocks, two for each merging of links, which also writes its labels.
+    assert tables.count("edges") <= 2 + 2 * (tables.count("labels") + 1)
