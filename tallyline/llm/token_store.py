@@ -19,6 +19,7 @@ U64 = np.uint64
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 LANE = 1024  # values between two word offsets
+BLOCK_BYTES = 1 << 20  # bytes of text of a block: its ids and their coding take some 60 times that while it is written
 HEADER = 4  # uint32 numbers: values, words, exceptions, values in a lane
 
 
@@ -116,7 +117,7 @@ def writer(path: str, end_id: int):
         encoder = Encoder.shared(path)
         part, block, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for first, last, ids, counts in encoder.column(batch.column(1)):
+            for first, last, ids, counts in encoder.column(batch.column(1), BLOCK_BYTES):
                 ids, counts = with_end(ids, counts, end_id)
                 docs = batch.column(0).slice(first, last - first)
                 known = docs.drop_null().to_numpy()
@@ -137,7 +138,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     """Write the ids of all texts, each followed by ``end_id``, into token files under ``path``.
 
     Documents lie in ascending id order across files and blocks (a null id first, equal ids in any order); a null text
-    is empty and has the end id alone. A block holds the documents of about 4 MB of text, so no row grows with the
+    is empty and has the end id alone. A block holds the documents of about 1 MB of text, so no row grows with the
     table; one longer text is one block. Other columns are ignored, no rows give no blocks.
     """
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")

@@ -99,11 +99,12 @@ class Encoder:
         ids, sizes = self._encode(chunks)
         begins = np.cumsum(sizes) - sizes + len(self.flat)
         self.flat = np.concatenate([self.flat, ids])
-        keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.begins = np.concatenate([self.begins, begins])[order]
-        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])[order]
+        # The known ones are in order: the new ones are put between them.
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.begins = np.insert(self.begins, at, begins[order])
+        self.sizes = np.insert(self.sizes, at, sizes[order].astype(np.int32))
 
     def _missing(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
@@ -135,9 +136,9 @@ class Encoder:
         of_row = np.append(place, len(out))[np.searchsorted(starts, offsets)]
         return out, np.diff(of_row)
 
-    def column(self, column: pa.Array):
-        """First and last row, ids and counts of each slice of a text column; null reads as empty."""
-        for first, last, data, offsets in T.slices(column, SLICE):
+    def column(self, column: pa.Array, limit: int = SLICE):
+        """First and last row, ids and counts of each slice of a text column, of ``limit`` bytes or one longer text; null reads as empty."""
+        for first, last, data, offsets in T.slices(column, limit):
             yield first, last, *self.slice_ids(data, offsets)
 
 

@@ -80,6 +80,16 @@ def test_ids_come_back(spark, documents, ids_of, tmp_path):
     assert got == {r["doc_id"]: [*ids_of(r["text"]), 2] for r in documents.select("doc_id", "text").collect()}
 
 
+def test_blocks_stay_small(spark, tmp_path):
+    """Texts of 4 MB that one task writes: no block holds more than about 1 MB of them."""
+    rows = [(i, " ".join(f"w{(i * 31 + k) % 977}" for k in range(2000))) for i in range(400)]
+    write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "t"), vocabulary(), 2)
+    size = {i: len(t) for i, t in rows}
+    blocks = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert sum(b["n_docs"] for b in blocks) == len(rows)
+    assert max(sum(size[i] for i in decode(b["doc_ids"]).tolist()) for b in blocks) <= 1 << 20
+
+
 def test_best_fit():
     where, n = best_fit(np.array([5, 6, 4, 5, 10, 1, 9]), 10)
     assert n == 4 and np.bincount(where, weights=[5, 6, 4, 5, 10, 1, 9]).tolist() == [10.0, 10.0, 10.0, 10.0]
