@@ -250,7 +250,6 @@ class LineSets(Sets):
     """Lines travel as text, an eighth of their sets; the sets are made where they are compared."""
 
     few = 16
-    growth = 9, 0
 
     def __init__(self, fetch, percent: int, size: int):
         super().__init__(fetch, percent)

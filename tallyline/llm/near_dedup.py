@@ -104,7 +104,6 @@ class Sets:
     """How the full sets of ids are fetched and compared: here as arrays of 64-bit items."""
 
     few = 0  # members up to which a bucket goes on as it is instead of by rare items
-    growth = 2, 1  # log2 of how many times more hubs each round has, and the last round with a single hub
 
     def __init__(self, fetch, percent: int):
         self.fetch = fetch  # from a frame of ids to (id, body, n), n being the size of the set
@@ -120,12 +119,30 @@ class Sets:
         return bodies.select("id", F.col("body").alias("items"))
 
 
+GROWTH = 4  # log2 of how many times more hubs each round has
+ANY_HUB = 2  # the last round in which members of a bucket's first component are hubs too
+
+
 def several_roots(buckets: DataFrame) -> DataFrame:
     """The rows of buckets whose members lie in more than one component."""
     keys = buckets.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
     return buckets.join(keys, "key")
 
 
+def hubs_of(active: DataFrame, step: int) -> DataFrame:
+    """(key, hub_id, hub_n, hub_pos, hub_root): 16 ** step hubs of each bucket at most, one of each part of its members.
+
+    The first rounds take them from all members, so that texts with many links join at a few comparisons each. Later the
+    members of the component with the least root, mostly the largest, are no hubs: a pair between components has an end
+    outside it, so the others meet all members and the large component is not compared with them hub by hub.
+    """
+    if step > ANY_HUB:
+        active = active.join(active.groupBy("key").agg(F.min("root").alias("least")), "key").where("root > least")
+    part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << min(GROWTH * step, 62)))
+    hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
+    return active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*").drop("rank")
+
+
 def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """Buckets (key, id, n, pos, root) by rare items, such that every pair that reaches ``percent`` shares one.
 
@@ -148,8 +165,8 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
 
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
-    (``rare_buckets``) and are compared with hubs, more of them each round (``sets.growth``), until the members of each bucket are in
-    one component or all have been hubs: no pair of different components is left out, yet no group is squared. Buckets
+    (``rare_buckets``) and are compared with hubs, more of them each round (``hubs_of``), until each bucket's members
+    that have not been hubs are in one component: no pair of different components is left out, yet no group is squared. Buckets
     of at most ``sets.few`` members skip the rare items: comparing these members costs less than dealing out all items.
 
     bodies are the sets of at least these ids, if they are there already; labels are components known so far.
@@ -169,9 +186,7 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
     active = table
     step = 0
     while True:
-        part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << min(sets.growth[0] * max(step - sets.growth[1], 0), 62)))
-        hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
-        hubs = saved(active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*"), "hubs")
+        hubs = saved(hubs_of(active, step), "hubs")
         close = F.least(F.expr("n - pos"), F.expr("hub_n - hub_pos")) * (100 + percent) >= percent * (F.col("n") + F.col("hub_n"))
         pairs = active.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & close)
         pairs = pairs.select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b")).distinct()

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyline.llm import near_dedup as N
 from tallyline.llm.bitmap import Bitmap
 from tallyline.llm.line_dedup import AT_ONCE, DEALT, GATHERED, PARTS, SMALL, LineSets, gatherer, line_reader, signer, without_repeated_lines
 from tests.llm.conftest import ODD, groups, lower
@@ -90,3 +91,26 @@ def test_a_task_packs_its_lines_by_part(spark):
     assert found.where("other is not null").select("h1", "other").where("h1 >= other").count() == 0
     large = found.where("key is not null").groupBy("key").count()
     assert large.where(f"count <= {SMALL}").count() == 0 and large.count() > 0
+
+
+def test_a_group_of_near_copies_is_not_squared(spark, monkeypatch):
+    """300 lines of one family, many similar and many not: components as from all pairs, at a quarter of the comparisons."""
+    rnd = random.Random(8)
+    base = rnd.choices("abcdefghijklmnopqrstuvwxyz", k=400)
+    lines = []
+    for _ in range(300):
+        edited = list(base)
+        for at in rnd.sample(range(400), rnd.randrange(1, 8)):
+            edited[at] = rnd.choice("0123456789")
+        lines.append("".join(edited))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    want = groups(len(lines), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    bodies = spark.createDataFrame([(i, x, len(s)) for i, (x, s) in enumerate(zip(lines, sets, strict=True))], "id long, body string, n long")
+    made = []
+    monkeypatch.setattr(N, "saved", lambda df, purpose, keep=N.saved: made.append((purpose, keep(df, purpose))) or made[-1][1])
+    monkeypatch.setattr(N, "dropped", lambda *tables: None)
+    got = N.link_components(bodies.select(F.lit(1).cast("long").alias("key"), "id"), LineSets(None, 80, 8), bodies)
+    roots = {r["node"]: r["root"] for r in got.collect()}
+    assert [roots.get(i, i) for i in range(len(lines))] == want
+    compared = sum(df.count() for purpose, df in made if purpose == "pairs")
+    assert compared < len(lines) * (len(lines) - 1) / 8

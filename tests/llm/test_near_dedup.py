@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tallyline.llm import components as C
+from tallyline.llm import near_dedup as N
 from tallyline.llm.components import components
 from tallyline.llm.near_dedup import near_duplicates
 from tests.llm.conftest import ODD, groups, spaced_words
@@ -99,3 +100,17 @@ def test_whole_texts_count(spark):
     rows = [(1, head + " " + " ".join(f"a{i}" for i in range(4000))), (2, head + " " + " ".join(f"b{i}" for i in range(4000)))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where(F.col("doc_id") != F.col("component_id")).count() == 0
+
+
+def test_few_rounds_of_hubs(spark, monkeypatch):
+    """A bucket of 400 unlike texts and one copy is done in five rounds, not one for each power of four."""
+    rows = [(i, [*range(20), *range(1000 * i + 1000, 1000 * i + 1040)]) for i in range(400)]
+    rows.append((400, rows[0][1][:59]))
+    bodies = spark.createDataFrame(rows, "id long, body array<long>").withColumn("n", F.size("body").cast("long"))
+    bucket = lambda ids, *cols: ids.select(F.lit(7).cast("long").alias("key"), "id", *cols)
+    tables = []
+    monkeypatch.setattr(N, "rare_buckets", lambda members, items, percent: bucket(members, "n", F.lit(0).cast("long").alias("pos"), "root"))
+    monkeypatch.setattr(N, "saved", lambda df, purpose, keep=N.saved: tables.append(purpose) or keep(df, purpose))
+    got = N.link_components(bucket(bodies), N.Sets(lambda ids: bodies.join(ids, "id"), 80))
+    assert [tuple(r) for r in got.collect()] == [(400, 0)]
+    assert tables.count("hubs") <= 5
