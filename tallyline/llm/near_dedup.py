@@ -166,7 +166,7 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
     First every member is compared with one hub of each of its buckets. That joins groups of similar texts at one
     comparison a member. Members of buckets that still hold several components meet again by their rare items
     (``rare_buckets``) and are compared with hubs, more of them each round (``hubs_of``), until each bucket's members
-    that have not been hubs are in one component: no pair of different components is left out, yet no group is squared. Buckets
+    that have not been hubs are in one component: no pair of different components is left out, yet a group of similar texts is not squared. Buckets
     of at most ``sets.few`` members skip the rare items: comparing these members costs less than dealing out all items.
 
     bodies are the sets of at least these ids, if they are there already; labels are components known so far.
