@@ -16,6 +16,7 @@ from tallyline.llm.near_dedup import Sets, band_keys, link_components, lists
 from tallyline.llm.shared import saved
 
 U64 = np.uint64
+COMMON = 1 << 10  # code points whose hashes are looked up
 NO_ID = -(1 << 63)
 SEEN = 1 << 18  # lines a task remembers to have met
 SLICE = 1 << 18  # bytes of text at once: their arrays stay in the processor's cache
@@ -34,6 +35,16 @@ def bounds(at: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, rows, np.arange(len(ends)) - np.searchsorted(rows, rows)
 
 
+def _common() -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the common code points: which are white space, and the hashes under each seed, A-Z lowered."""
+    low = np.arange(COMMON, dtype=U64)
+    low[65:91] += U64(32)
+    return (low == 32) | ((low >= 9) & (low <= 13)), [T.mix(low * seed) for seed in T.seeds(2, 131)]
+
+
+BLANK, CODES = _common()
+
+
 class Lines:
     """The lines of some rows as code points: bounds, row and number in the row of every line, and prefix sums of hashes."""
 
@@ -43,11 +54,17 @@ class Lines:
         self.points = points
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         self.starts, self.ends, self.rows, self.numbers = bounds(at, np.flatnonzero(points == 10))
-        low = np.where((points >= 65) & (points <= 90), points + 32, points).astype(U64)
-        blank = (low == 32) | ((low >= 9) & (low <= 13))
+        at = np.minimum(points, COMMON - 1).astype(np.intp)
+        rare = np.flatnonzero(points >= COMMON)
+        blank = BLANK[at]
         self.solid = np.diff(np.concatenate([[0], np.cumsum(~blank)])[np.stack([self.starts, self.ends])], axis=0)[0]
         self.up, self.down = T.powers(len(points) + 1)
-        self.sums = [np.concatenate([np.zeros(1, U64), np.cumsum(T.mix(low * seed) * self.up[:-1])]) for seed in T.seeds(2, 131)[:prints]]
+        self.sums = []
+        for codes, seed in zip(CODES[:prints], T.seeds(2, 131), strict=False):
+            hashes = codes[at]
+            hashes[rare] = T.mix(points[rare].astype(U64) * seed)
+            hashes *= self.up[:-1]
+            self.sums.append(np.concatenate([np.zeros(1, U64), np.cumsum(hashes)]))
 
     def take(self, kept: np.ndarray) -> None:
         self.starts, self.ends, self.rows, self.numbers = (a[kept] for a in (self.starts, self.ends, self.rows, self.numbers))
@@ -112,9 +129,10 @@ def records(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
 def dealt(hashes: np.ndarray, rows: np.ndarray) -> pa.Array:
     """The records of each part as one binary value."""
     part = (hashes >> U64(54)).astype(np.uint16)
-    ends = np.cumsum(np.bincount(part, minlength=PARTS)) * rows.dtype.itemsize
-    rows = rows[np.argsort(part, kind="stable")]
-    return pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(rows.view(np.uint8))])
+    ends = np.cumsum(np.bincount(part, minlength=PARTS)) * rows.itemsize
+    # Rows of a plain table are taken several times as fast as records.
+    rows = np.take(rows.view(np.uint32).reshape(len(rows), -1), np.argsort(part, kind="stable"), axis=0)
+    return pa.Array.from_buffers(pa.binary(), PARTS, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(rows)])
 
 
 def signer(size: int, bands: int, rows: int):
@@ -151,7 +169,7 @@ def signer(size: int, bands: int, rows: int):
 
 
 SMALL = 32  # lines up to which all pairs of a band key are compared
-GATHERED = "key long, h1 long, other long, h2 long, id long, f long, line int, n long, first boolean"
+GATHERED = "key long, h1 long, other long, id long, f long, line int, first boolean"
 
 
 def met(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +199,7 @@ def all_pairs(node: np.ndarray, m: np.ndarray) -> np.ndarray:
 def gatherer(group: pa.Table) -> pa.Table:
     """Of one part: pairs (h1, other) of lines that share a band key, (key, h1) where more than SMALL do, and all places.
 
-    n counts the places of equal lines, first marks the least of them.
+    first marks the least place of equal lines; the others are repeats and need no hash.
     """
     part = group.column("part")[0].as_py()
     keys, places = (np.frombuffer(b"".join(x for x in group.column(c).to_pylist() if x), kind) for c, kind in (("keys", KEY), ("places", PLACE)))
@@ -192,16 +210,17 @@ def gatherer(group: pa.Table) -> pa.Table:
     places = unrepeated(places)
     first = np.ones(len(places), bool)
     first[1:] = (places["h1"][1:] != places["h1"][:-1]) | (places["h2"][1:] != places["h2"][:-1])
-    n = np.diff(np.append(np.flatnonzero(first), len(places)))
     large = m > SMALL
+    place = lambda some: {**{c: places[c][some] for c in ("id", "f", "line")}, "first": first[some]}
     found = [
         {"h1": pairs[:, 0], "other": pairs[:, 1]},
         {"key": (key[large].astype(np.int64) << 10) | part, "h1": node[large]},
-        {**{c: places[c].astype(np.int64 if places[c].dtype == U64 else places[c].dtype) for c in PLACE.names}, "n": np.repeat(n, n), "first": first},
+        {"h1": places["h1"][first].view(np.int64), **place(first)},
+        place(~first),
     ]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     fields = [(c, kinds[k]) for c, k in (x.split() for x in GATHERED.split(", "))]
-    return pa.concat_tables([pa.table({c: pa.array(rows[c], k) if c in rows else pa.nulls(len(rows["h1"]), k) for c, k in fields}) for rows in found])
+    return pa.concat_tables([pa.table({c: pa.array(rows[c], k) if c in rows else pa.nulls(len(next(iter(rows.values()))), k) for c, k in fields}) for rows in found])
 
 
 SPREAD = 1640531527  # odd, and small enough that its product with a line's number fits 64 bits
@@ -246,6 +265,21 @@ def distinct(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount((found >> U64(54)).astype(np.int64), minlength=len(column))
 
 
+def sets_of(columns: list[pa.Array], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``distinct`` of each column; a line that stands in several rows is cut into runs once."""
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    made = [distinct(coded.dictionary.slice(i, AT_ONCE), size) for i in range(0, len(coded.dictionary), AT_ONCE)]
+    items = np.concatenate([x for x, _ in made]) & U64((1 << 54) - 1)
+    sizes = np.concatenate([n for _, n in made])
+    begins = np.cumsum(sizes) - sizes
+    out = []
+    for rows in np.split(coded.indices.to_numpy(), len(columns)):
+        n = sizes[rows]
+        at = np.arange(int(n.sum())) + np.repeat(begins[rows] - (np.cumsum(n) - n), n)
+        out.append((items[at] | np.repeat(np.arange(len(rows), dtype=U64) << U64(54), n), n))
+    return out
+
+
 class LineSets(Sets):
     """Lines travel as text, an eighth of their sets; the sets are made where they are compared."""
 
@@ -261,7 +295,7 @@ class LineSets(Sets):
         def run(batches):
             for batch in batches:
                 for part in few_lines(batch, (2, 3)):
-                    (x, n), (y, m) = (distinct(part.column(i), size) for i in (2, 3))
+                    (x, n), (y, m) = sets_of([part.column(i) for i in (2, 3)], size)
                     all_items = np.sort(np.concatenate([x, y]))
                     shared = all_items[1:][all_items[1:] == all_items[:-1]]
                     common = np.bincount((shared >> U64(54)).astype(np.int64), minlength=part.num_rows)
@@ -347,10 +381,11 @@ def without_repeated_lines(
     # A line's first hash is its node. Only bands that two different lines share matter for the links.
     pairs = signed.where("other is not null").select(F.col("h1").alias("a"), F.col("other").alias("b"))
     large = signed.where("key is not null").select("key", F.col("h1").alias("id"))
-    places = signed.where("id is not null").select("h1", "h2", "id", "f", "line", "first")
+    places = signed.where("id is not null").select("id", "f", "line", "first", "h1")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        known = places.where("first").join(ids.withColumnRenamed("id", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("id", "f", "line")).alias("p"))
+        # The lines asked for are few beside all places: their hash table spares sorting these.
+        known = places.where("first").join(ids.withColumnRenamed("id", "h1").hint("shuffle_hash"), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("id", "f", "line")).alias("p"))
         known = saved(known.select("h1", "p.*"), "known")
         code = F.col("f").bitwiseXOR(F.col("line").cast("long") * SPREAD)
         wanted = spark.sparkContext.broadcast(Bitmap(known.select(code.alias("key"))))
@@ -360,12 +395,12 @@ def without_repeated_lines(
     roots = linked_lines(pairs, large, LineSets(fetch, percent, size))
     nodes = roots.select(F.col("node").alias("h1"), "root").union(roots.select("root", "root").distinct())
     pos = F.struct("id", "f", "line")
-    joined = places.where("first").join(nodes, "h1")
-    keeper = joined.groupBy("root").agg(F.min(pos).alias("keeper"))
-    touched = saved(nodes.join(keeper, "root").select("h1", "keeper"), "touched")
-    gone = places.join(touched, "h1", "left").where(F.when(F.col("keeper").isNull(), ~F.col("first")).otherwise(pos != F.col("keeper")))
+    touched = saved(places.where("first").join(nodes.hint("shuffle_hash"), "h1").select("root", "id", "f", "line"), "touched")
+    keeper = touched.groupBy("root").agg(F.min(pos).alias("keeper"))
+    # A keeper is the first of its equal lines, so every repeat goes.
+    gone = places.where("not first").select("id", "f", "line").union(touched.join(keeper, "root").where(pos != F.col("keeper")).select("id", "f", "line"))
     gone = gone.groupBy("id", "f").agg(F.collect_set("line").alias("cut"))
     here = [F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.xxhash64(docs[text_col])]
-    marked = docs.join(gone, (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias(f"cut_{uuid.uuid4().hex}"))
+    marked = docs.join(gone.hint("shuffle_hash"), (here[0] == gone["id"]) & (here[1] == gone["f"]), "left").select(*[docs[c] for c in names], gone["cut"].alias(f"cut_{uuid.uuid4().hex}"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return marked.mapInArrow(cutter(names.index(text_col), len(names)), f"{kinds}, n_lines long, n_kept long")

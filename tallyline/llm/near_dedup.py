@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
@@ -120,25 +120,42 @@ class Sets:
 
 
 GROWTH = 4  # log2 of how many times more hubs each round has
+BUCKET = ("key", "id", "n", "pos", "root", "least", "members")
 ANY_HUB = 2  # the last round in which members of a bucket's first component are hubs too
 
 
 def several_roots(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets whose members lie in more than one component."""
-    keys = buckets.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
-    return buckets.join(keys, "key")
+    """The rows of buckets whose members lie in more than one component, with the least root and the number of members."""
+    keys = buckets.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).where("least < most")
+    return buckets.drop("least", "members").join(keys.drop("most"), "key")
+
+
+def unlike_buckets(buckets: DataFrame, order: tuple[str, ...] = ("key",)) -> DataFrame:
+    """The rows of buckets with several components; of those with the same members only the first by ``order``.
+
+    Members are the same where their number and two 64-bit sums agree. ``order`` holds columns that depend on the key
+    alone. A bucket with the same members as another would only bring the same pairs again.
+    """
+    sums = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"sum_{i}") for i in range(2)]
+    roots = [F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")]
+    keys = buckets.groupBy(*dict.fromkeys((*order, "key"))).agg(*sums, *roots).where("least < most")
+    single = keys.groupBy("members", "sum_0", "sum_1").agg(F.min(F.struct(*dict.fromkeys((*order, "key")))).alias("k")).select("k.key")
+    return buckets.join(single, "key")
 
 
 def hubs_of(active: DataFrame, step: int) -> DataFrame:
     """(key, hub_id, hub_n, hub_pos, hub_root): 16 ** step hubs of each bucket at most, one of each part of its members.
 
-    The first rounds take them from all members, so that texts with many links join at a few comparisons each. Later the
+    A bucket of no more members has all of them as hubs and is done with this round. The first rounds take them from all members, so that texts with many links join at a few comparisons each. Later the
     members of the component with the least root, mostly the largest, are no hubs: a pair between components has an end
     outside it, so the others meet all members and the large component is not compared with them hub by hub.
     """
     if step > ANY_HUB:
-        active = active.join(active.groupBy("key").agg(F.min("root").alias("least")), "key").where("root > least")
-    part = F.pmod(F.xxhash64("id", F.lit(step)), F.lit(1 << min(GROWTH * step, 62)))
+        active = active.where("root > least")
+    parts = F.lit(1 << min(GROWTH * step, 62))
+    part = F.pmod(F.xxhash64("id", F.lit(step)), parts)
+    if step:
+        part = F.when(F.col("members") <= parts, F.col("id")).otherwise(part)
     hub = F.min(F.struct(F.xxhash64("id").alias("rank"), *(F.col(c).alias(f"hub_{c}") for c in ("id", "n", "pos", "root")))).alias("h")
     return active.groupBy("key", part.alias("part")).agg(hub).select("key", "h.*").drop("rank")
 
@@ -148,15 +165,20 @@ def rare_buckets(members: DataFrame, items: DataFrame, percent: int) -> DataFram
 
     Two sets of that similarity agree in at least that part of either, so they share one of the first
     n - ceil(n * percent / 100) + 1 items of each, in any fixed order. Rarest first, the items that only one member has
-    fill these places before common passages do, and texts that differ too much meet in no bucket.
+    fill these places before common passages do, and texts that differ too much meet in no bucket. Of buckets with the
+    same members the first in that order stays: there their places are the least, so it brings every pair of the others.
     """
     tokens = saved(items.join(members, "id").select("id", "n", "root", F.explode("items").alias("key")), "tokens")
     often = tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    own = tokens.join(often, "key").groupBy("id", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("shared"))
-    places = F.expr(f"n - ceil(n * {percent} / 100.0) + 1 - (n - size(shared))").cast("int")
-    kept = own.select("id", "n", "root", F.posexplode(F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)))).alias("at", "t"), F.size("shared").alias("m"))
-    rare = saved(kept.select("t.key", "id", "n", (F.col("n") - F.col("m") + F.col("at")).alias("pos"), "root"), "rare")
-    dropped(tokens)
+    # Sorted by a window: a list of each member's items would be gathered and sorted twice.
+    own = Window.partitionBy("id").orderBy("c", "key")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = tokens.join(often.hint("shuffle_hash"), "key").select("key", "id", "n", "root", "c", F.row_number().over(own).alias("at"), F.count("*").over(whole).alias("m"))
+    # A member's other n - m items stand before the shared ones.
+    kept = shared.where(f"at <= n - ceil(n * {percent} / 100.0) + 1 - (n - m)")
+    kept = saved(kept.select("key", "id", "n", (F.col("n") - F.col("m") + F.col("at") - 1).alias("pos"), "root", "c"), "kept")
+    rare = saved(unlike_buckets(kept, ("c", "key")).select("key", "id", "n", "pos", "root"), "rare")
+    dropped(tokens, kept)
     return rare
 
 
@@ -200,26 +222,24 @@ def link_components(buckets: DataFrame, sets: Sets, bodies: DataFrame | None = N
         if labels is not None:
             now = now.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         # Buckets that became one component are done, with hubs and all.
-        now = several_roots(now).join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti")
+        now = several_roots(now).drop("least", "members").join(hubs.select("key", F.col("hub_id").alias("id")), ["key", "id"], "left_anti")
         left = saved(now.select("key", "id", "n", "pos", "root"), "rest")
         rest = several_roots(left)
         members = everyone = rare = many = None
         if not step:
             # What was compared with the only other member of its buckets is done.
-            rest = many = saved(rest.select("key", "id", "n", "pos", "root"), "rest")
+            rest = many = saved(rest.select(*BUCKET), "rest")
             small, large = None, rest
             if sets.few:
-                sizes = rest.groupBy("key").agg(F.count("*").alias("members"))
-                sized = rest.join(sizes, "key")
-                small, large = (sized.where(c).drop("members") for c in (F.col("members") <= sets.few, F.col("members") > sets.few))
+                small, large = (rest.where(c) for c in (F.col("members") <= sets.few, F.col("members") > sets.few))
             members = saved(large.select("id", "n", "root").distinct(), "members")
             wanted = members.select("id") if small is None else members.select("id").union(small.select("id")).distinct()
             everyone, bodies = bodies, saved(bodies.join(wanted, "id", "left_semi"), "sets")
             rare = rare_buckets(members, sets.items(bodies.join(members.select("id"), "id", "left_semi")), percent)
-            rest = several_roots(rare).select("key", "id", "n", "pos", "root")
+            rest = several_roots(rare).select(*BUCKET)
             if small is not None:
-                rest = rest.union(small.select("key", "id", "n", "pos", "root"))
-        before, table = table, saved(rest.select("key", "id", "n", "pos", "root"), "buckets")
+                rest = rest.union(small.select(*BUCKET))
+        before, table = table, saved(rest.select(*BUCKET), "buckets")
         active = table
         dropped(before, hubs, pairs, found, left, many, members, everyone, rare)
         step += 1

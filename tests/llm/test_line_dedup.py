@@ -114,3 +114,11 @@ def test_a_group_of_near_copies_is_not_squared(spark, monkeypatch):
     assert [roots.get(i, i) for i in range(len(lines))] == want
     compared = sum(df.count() for purpose, df in made if purpose == "pairs")
     assert compared < len(lines) * (len(lines) - 1) / 8
+
+
+def test_repeats_leave_a_part_without_their_hash(spark):
+    """Equal lines stand once with a hash; the others are places to cut, and nothing but a place."""
+    given = spark.createDataFrame([(i, "one line on every page here") for i in range(9)], "id long, text string")
+    given = given.select("id", F.xxhash64("text").alias("f"), "text").coalesce(1).mapInArrow(signer(8, 22, 4), DEALT)
+    found = given.groupBy("part").applyInArrow(gatherer, GATHERED).where("id is not null").orderBy("id").collect()
+    assert [(r["id"], r["first"], r["h1"] is None) for r in found] == [(i, i == 0, i > 0) for i in range(9)]

@@ -114,3 +114,19 @@ def test_few_rounds_of_hubs(spark, monkeypatch):
     got = N.link_components(bucket(bodies), N.Sets(lambda ids: bodies.join(ids, "id"), 80))
     assert [tuple(r) for r in got.collect()] == [(400, 0)]
     assert tables.count("hubs") <= 5
+
+
+def test_buckets_with_the_same_members_count_once(spark):
+    """Texts that share a passage of ten items, and these alone, meet in the first of its buckets, at their least places."""
+    rows = [(i, [*range(10), *range(100 * i + 100, 100 * i + 110)]) for i in range(40)]
+    items = spark.createDataFrame(rows, "id long, items array<long>")
+    members = items.select("id", F.size("items").cast("long").alias("n"), F.col("id").alias("root"))
+    got = N.rare_buckets(members, items, 40).collect()
+    assert len(got) == 40 and {(r["key"], r["pos"]) for r in got} == {(0, 10)}
+
+
+def test_a_small_bucket_is_done_in_the_first_round_that_has_a_hub_for_each_member(spark):
+    rows = [(1, i, 20, 0, i, 0, 16) for i in range(16)] + [(2, i, 20, 0, i, 0, 17) for i in range(17)]
+    active = spark.createDataFrame(rows, "key long, id long, n long, pos long, root long, least long, members long")
+    found = [r["key"] for r in N.hubs_of(active, 1).collect()]
+    assert found.count(1) == 16 and found.count(2) < 16
