@@ -13,8 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-POWERS = 3 << 20  # powers that are kept, as many as the longest slice of any operator has bytes
-FEW = SLICE + 2  # powers that are kept for shorter slices, so that a task that has no longer ones holds no more
+POWERS = SLICE + 2  # powers that are kept, as many as a slice of any operator needs
 ROWS = 4096  # rows whose bytes are copied out of a batch at once
 U64 = np.uint64
 # Fixed odd multipliers and seeds of the hashes.
@@ -48,14 +47,14 @@ def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@functools.lru_cache(maxsize=2)
-def _slice_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_of(n)
+@functools.cache
+def _slice_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(POWERS)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Those of a slice are kept; those of a longer text are not."""
-    up, down = _slice_powers(FEW if n <= FEW else POWERS) if n <= POWERS else _powers_of(n)
+    up, down = _slice_powers() if n <= POWERS else _powers_of(n)
     return up[:n], down[:n]
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from tallyline.llm import text as T
 
 # Text bytes taken at once, and distinct chunks kept between slices.
-SLICE = 3 << 20
+SLICE = 1 << 20
 KEPT = 1_500_000
 
 

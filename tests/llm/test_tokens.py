@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallyline.llm.packing import best_fit, pack
+from tallyline.llm.packing import best_fit, cutter, pack
 from tallyline.llm.queries import vocabulary
 from tallyline.llm.token_store import decode, encode, read_ids, stored_tokens, write_tokens
 from tallyline.llm.tokens import Encoder
@@ -148,3 +149,16 @@ def test_many_flushes_of_one_task(spark, ids_of):
     rows = [(i, "x " * (i % 5)) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     check_packing(rows, pack(df, vocabulary(), capacity=9, batch_items=4, patience=1).collect(), ids_of, 9)
+
+
+def test_packing_takes_a_megabyte_at_once():
+    """A task's arrays hold one slice of 1 MB and what belongs to it, whatever the batch."""
+    texts = pa.array([f"{i} words of a text that is like the others " * 25 for i in range(6000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000), pa.int64()), texts], names=["doc_id", "text"])
+    run = cutter(vocabulary(), 0, 2048, 0, 200_000)
+    list(run([batch.slice(0, 10)]))
+    tracemalloc.start()
+    list(run([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20
