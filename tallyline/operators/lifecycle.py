@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The path of a case, and the states in which it may still change.
@@ -114,8 +114,7 @@ def transition_maps(events: DataFrame, bucket: str = "hour") -> DataFrame:
     at = events.schema["ts"].dataType.simpleString()
     nothing = NOWHERE.format(ts=at)
     start = "array(" + ", ".join(_leads(str(i), "0L", nothing) for i in range(ENDED)) + ")"
-    steps = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(NAMES) if i)
-    step = F.expr(f"CASE to_status {steps} WHEN '{FAILED}' THEN -1 ELSE 0 END").alias("step")
+    step = event_steps().alias("step")
     taken = f"s.to < {ENDED} AND (e.step = -1 OR e.step = s.to + 1)"
     after = _leads(f"if(e.step = -1, {ENDED + 1} + s.to, e.step)", "s.n + 1", "named_struct('ts', e.ts, 'event_id', e.event_id)")
     folded = F.expr(f"aggregate(array_sort(events), {start}, (m, e) -> transform(m, s -> if({taken}, {after}, s)))")
@@ -152,6 +151,82 @@ def guarded_transitions(events: DataFrame, bucket: str = "hour") -> DataFrame:
     )
 
 
+# A transition map as a number: for each active state the state it leads to, in four bits. How many events are accepted on
+# the way follows from the two states, since an accepted event moves a case one place on or fails it.
+_STAY = range(ENDED)
+
+
+def _as_number(leads) -> int:
+    return sum(to << 4 * i for i, to in enumerate(leads))
+
+
+def event_steps(status: str = "to_status") -> Column:
+    """An event's place on the path, -1 for a failure, 0 for anything else."""
+    steps = " ".join(f"WHEN '{name}' THEN {i}" for i, name in enumerate(NAMES) if i)
+    return F.expr(f"CASE {status} {steps} WHEN '{FAILED}' THEN -1 ELSE 0 END")
+
+
+def map_number(events: str) -> Column:
+    """The transition map of a list of events (ts, event_id, step) in any order, as a number."""
+    single = [_as_number(ENDED + 1 + i for i in _STAY), *(_as_number(k if i == k - 1 else i for i in _STAY) for k in range(ENDED + 1))]
+    of = "element_at(array(" + ", ".join(map(str, single)) + "), {}.step + 2)"
+    digits = []
+    for i in _STAY:
+        d = f"(shiftright(m, {4 * i}) & 15)"
+        digits.append(f"shiftleft(if({d} < {ENDED}, shiftright({of.format('e')}, 4 * {d}) & 15, {d}), {4 * i})")
+    folded = f"aggregate(array_sort({events}), {_as_number(_STAY)}, (m, e) -> {' | '.join(digits)})"
+    return F.expr(f"if(size({events}) = 1, {of.format(f'{events}[0]')}, {folded})")
+
+
+def case_states(parts: DataFrame) -> DataFrame:
+    """State per case out of the map numbers (case_id, bucket, _seq, number, events) of its time buckets, the newest ``_seq`` of each."""
+    grouped = parts.groupBy("case_id").agg(F.collect_list(F.struct("bucket", (-F.col("_seq")).alias("age"), "number", "events")).alias("parts"))
+    to = f"if(s.to < {ENDED}, shiftright(p.number, 4 * s.to) & 15, s.to)"
+    start = f"named_struct('to', 0, 'events', 0L, 'n', 0, 'bucket', CAST(NULL AS {parts.schema['bucket'].dataType.simpleString()}))"
+    then = f"named_struct('to', {to}, 'events', s.events + p.events, 'n', 1, 'bucket', p.bucket)"
+    done = grouped.select("case_id", F.expr(f"aggregate(array_sort(parts), {start}, (s, p) -> if(s.n > 0 AND s.bucket <=> p.bucket, s, {then}))").alias("end"))
+    names, to = F.array(*map(F.lit, NAMES)), F.col("end.to")
+    failed = to > ENDED
+    accepted = F.when(failed, to - ENDED).otherwise(to).cast("bigint")
+    return done.select(
+        "case_id", F.when(failed, FAILED).otherwise(F.get(names, to)).alias("status"), F.when(failed, F.get(names, to - ENDED - 1)).alias("failed_stage"),
+        accepted.alias("accepted"), (F.col("end.events") - accepted).alias("dropped"),
+    )
+
+
+def time_outs(parts: DataFrame, minutes: int, wait: str) -> DataFrame:
+    """Cases without an end within ``minutes`` of their first event, out of their events per time bucket of so many minutes.
+
+    Rows (case_id, bucket, _seq, events, last): lists of (ts, event_id, to_status) and their latest time; the newest ``_seq`` of a
+    bucket counts. A case is out once the newest event of all lies more than ``wait`` past its limit. The limit lies in the first
+    bucket or the one after, and of these one is even, one odd: so the least even and the least odd bucket of a case are all it
+    takes. Events without a time come first, and have no others within their limit.
+    """
+    width = int(minutes) * 60_000_000
+    odd = F.pmod(F.floor(F.unix_micros("bucket") / width), F.lit(2)) == 1
+    part = F.struct("bucket", (-F.col("_seq")).alias("age"), "events")
+    timed = F.col("bucket").isNotNull()
+    per = parts.groupBy("case_id").agg(
+        F.min(F.when(timed & ~odd, part)).alias("even"), F.min(F.when(timed & odd, part)).alias("odd"), F.min(F.when(~timed, part)).alias("timeless")
+    )
+    step = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    first, second = F.least("even", "odd"), F.greatest("even", "odd")
+    follows = F.col("even").isNotNull() & F.col("odd").isNotNull() & (second["bucket"] == first["bucket"] + step)
+    near = F.when(follows, F.concat(first["events"], second["events"])).otherwise(first["events"])
+    per = per.select("case_id", "timeless", near.alias("near"), F.array_min(first["events"])["ts"].alias("since"))
+    inside = F.filter("near", lambda e: e["ts"] <= F.col("since") + step)
+    newest = parts.select("last").agg(F.max("last")).scalar()
+    per = per.filter(F.col("timeless").isNotNull() | (F.col("since") + step < newest - F.expr(f"INTERVAL {wait}")))
+    per = per.select(
+        "case_id", F.coalesce("timeless.events", inside).alias("events"), F.when(F.col("timeless").isNull(), F.col("since")).alias("since")
+    )
+    stuck = per.filter(~F.exists("events", lambda e: F.coalesce(e["to_status"].isin(*TERMINAL), F.lit(False))))
+    return stuck.select(
+        "case_id", F.lit(FAILED).alias("status"), F.array_max("events")["to_status"].alias("failed_stage"),
+        F.lit(TIMEOUT).alias("error_reason"), "since",
+    )
+
+
 def reap_stuck(cases: DataFrame, as_of: datetime, minutes: int = 15) -> DataFrame:
     """Active cases whose claim (or creation, when unclaimed) is too old, as they look once timed out."""
     since = F.coalesce("claimed_at", "created_at")

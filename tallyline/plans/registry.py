@@ -411,10 +411,11 @@ plan("open_sessions", lambda t: L.open_sessions(t.stream_entries))
 
 
 # Streaming forms: each runs its stream over all events and returns the table it leaves.
-def _stream(t: Tables, name: str, build: Callable[[DataFrame], DataFrame], keys: tuple[str, ...], mode: str = "update") -> DataFrame:
+def _stream(t: Tables, name: str, build: Callable[[DataFrame], DataFrame | streams.Parts], keys: tuple[str, ...], mode: str = "update") -> DataFrame:
     folder = sinks.shared_folder(t.spark, name)
-    streams.run(build(streams.read_events(streams.stream_session(t.spark), t.folder)), folder, keys, mode)
-    return streams.table(t.spark, folder, keys)
+    stream = build(streams.read_events(streams.stream_session(t.spark), t.folder))
+    streams.run(stream, folder, keys, mode)
+    return streams.table(t.spark, folder, keys, stream)
 
 
 # No registered stream may lose a row, however its files are cut: the rows lie within this of the newest.
@@ -433,7 +434,7 @@ plan(
 )
 plan(
     "stream_guarded_transitions",
-    lambda t: _stream(t, "guarded", lambda e: streams.guarded_transitions(case_events(e), SPAN), ("case_id",)).select(
+    lambda t: _stream(t, "guarded", lambda e: streams.guarded_transitions(case_events(e), SPAN), ("case_id", "bucket")).select(
         "case_id", "status", "accepted", "dropped"
     ),
 )
@@ -447,7 +448,7 @@ def _bursts(t: Tables) -> DataFrame:
 
 
 plan("stream_sessions", _bursts)
-plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e), delay=SPAN), ("case_id", "since")))
+plan("stream_reap_stuck", lambda t: _stream(t, "reap", lambda e: streams.reap_stuck(case_events(e), delay=SPAN), ("case_id", "bucket")))
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -70,8 +70,12 @@ class UpsertLog:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.path}/_seq={batch_id}")
 
+    def versions(self, spark: SparkSession) -> DataFrame:
+        """All rows of all batches, with the number of the batch in ``_seq``."""
+        return spark.read.option("basePath", self.path).parquet(self.path)
+
     def _newest(self, spark: SparkSession) -> DataFrame:
-        rows = spark.read.option("basePath", self.path).parquet(self.path)
+        rows = self.versions(spark)
         marked = ("live",) if "live" in rows.columns else ()
         rows = latest(rows, self.keys, ("_seq", *self.newest, *marked)).drop("_seq")
         return rows.filter("live") if marked else rows

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.operators import lifecycle as L
 from tallyline.sources.derived import BASE
 from tallyline.sources.sinks import UpsertLog
-from tallyline.streaming import processors
-from tallyline.streaming.processors import OUTPUT, REAPED, GuardedTransitions, Reaper
-
-register_pickle_by_value(processors)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,15 +31,6 @@ def metrics(events: DataFrame, window: str = "1 day", delay: str = "1 hour") ->
     return L.lifecycle_metrics(events.withWatermark("ts", delay), window)
 
 
-def _by_event_time(df: DataFrame, time: str, delay: str, key: str, processor, output) -> DataFrame:
-    """One stateful processor per key over rows at most ``delay`` behind the newest. Needs the RocksDB state store."""
-    return (
-        df.withWatermark(time, delay)
-        .groupBy(key)
-        .transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Update", timeMode="EventTime")
-    )
-
-
 def earliest(rows: DataFrame, keys: tuple[str, ...], time: str, values: tuple[str, ...], delay: str, keep_minutes: int) -> DataFrame:
     """The earliest row per key and tumbling window of ``keep_minutes``; ties fall to the smallest event_id.
 
@@ -70,6 +59,7 @@ def idempotent_stages(results: DataFrame, delay: str = "24 hours", keep_minutes:
     return earliest(results, ("case_id", "stage"), "completed_at", ("output",), delay, keep_minutes)
 
 
+SETTLE = pd.Timedelta("1 minute")
 TICK = "INTERVAL 1 MICROSECOND"
 
 
@@ -104,20 +94,54 @@ def all_bursts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, ("case_id", "started_at")).unionByName(open_bursts(spark, folder))
 
 
-def guarded_transitions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """State per case after each micro-batch, whatever the order of arrival within ``delay``."""
-    return _by_event_time(events.select("case_id", "to_status", "ts", "event_id"), "ts", delay, "case_id", GuardedTransitions(), OUTPUT)
+@dataclass(frozen=True)
+class Parts:
+    """A stream that puts out parts of its answer, the newest row of a key each, and how a reader makes the whole of them.
+
+    Stateful streams cannot be chained in update mode; so one keeps what lies together in time, and ``table`` puts a case together.
+    """
+
+    rows: DataFrame
+    whole: Callable[[DataFrame], DataFrame]
+
 
+def _per_bucket(events: DataFrame, item: Column, minutes: int, delay: str) -> DataFrame:
+    """(case_id, bucket, held, last): the items of a case in each time bucket of ``minutes``, and the latest time among them.
 
-def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute", keep_minutes: int = 366 * 24 * 60) -> DataFrame:
+    Runs in the JVM. The watermark is that of buckets: no row at most ``delay`` behind the newest is lost, and a
+    bucket leaves the state at the latest when the newest row lies ``delay`` and two buckets after its start. Rows without a
+    time are never late; they stay.
+    """
+    width = int(minutes) * 60_000_000
+    us = F.unix_micros("ts")
+    behind = pd.Timedelta(delay) // pd.Timedelta("1us") + width
+    rows = events.select("case_id", F.timestamp_micros(us - F.pmod(us, F.lit(width))).alias("bucket"), item.alias("item"), "ts")
+    per = rows.withWatermark("bucket", f"{behind} microseconds").groupBy("case_id", "bucket")
+    return per.agg(F.collect_list("item").alias("held"), F.max("ts").alias("last"))
+
+
+def guarded_transitions(events: DataFrame, delay: str = "1 hour", bucket_minutes: int = 60) -> Parts:
+    """State per case, whatever the order of arrival within ``delay``.
+
+    The state holds the events of a case and time bucket until the watermark has passed it; put out is what they make of
+    each state a case may come in with (``L.map_number``). A micro-batch folds only the buckets it has rows for.
+    """
+    item = F.struct("ts", F.col("event_id").cast("bigint").alias("event_id"), L.event_steps().alias("step"))
+    per = _per_bucket(events, item, bucket_minutes, delay)
+    return Parts(per.select("case_id", "bucket", L.map_number("held").alias("number"), F.size("held").cast("bigint").alias("events")), L.case_states)
+
+
+def reap_stuck(events: DataFrame, minutes: int = 15, delay: str = "1 minute") -> Parts:
     """Cases that reach no terminal state within ``minutes`` of event time of their first event.
 
-    A time-out is put out once the newest event is a minute past the limit (``delay`` past it, if that is less). A row
-    that is not ``live`` takes one back that events later than that, but within ``delay``, have changed.
+    A time-out stands once the newest event is a minute past the limit (``delay`` past it, if that is less), and
+    events later than that, but within ``delay``, may take it back. The state holds the events of a case and ``minutes``
+    until the watermark has passed them. The table remembers a case, so what it says later does not start it anew.
     """
-    rows = events.select("case_id", "to_status", "ts", "event_id")
-    processor = Reaper(minutes, keep_minutes, pd.Timedelta(delay) // pd.Timedelta("1ms"))
-    return _by_event_time(rows, "ts", delay, "case_id", processor, REAPED)
+    item = F.struct("ts", F.col("event_id").cast("bigint").alias("event_id"), "to_status")
+    per = _per_bucket(events, item, minutes, delay).select("case_id", "bucket", F.col("held").alias("events"), "last")
+    wait = f"{min(pd.Timedelta(delay), SETTLE) // pd.Timedelta('1us')} MICROSECONDS"
+    return Parts(per, lambda parts: L.time_outs(parts, minutes, wait))
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -132,12 +156,15 @@ def stream_session(spark: SparkSession) -> SparkSession:
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
     beside.conf.set("spark.sql.shuffle.partitions", min(wanted, max(spark.sparkContext.defaultParallelism, 1)))
     beside.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Lists of few items for many keys: hashing them falls back to sorting after 128 keys, in each of the four aggregates.
+    beside.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
     return beside
 
 
-def run(df: DataFrame, folder: str, keys: tuple[str, ...], mode: str = "update") -> None:
+def run(stream: DataFrame | Parts, folder: str, keys: tuple[str, ...], mode: str = "update") -> None:
     """Run a stream over everything available into an upsert table under the folder."""
     log = UpsertLog(f"{folder}/table", keys)
+    df = stream.rows if isinstance(stream, Parts) else stream
     query = (
         df.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -148,11 +175,13 @@ def run(df: DataFrame, folder: str, keys: tuple[str, ...], mode: str = "update")
     query.awaitTermination()
 
 
-def table(spark: SparkSession, folder: str, keys: tuple[str, ...]) -> DataFrame:
-    """What the stream's upserts left."""
-    return UpsertLog(f"{folder}/table", keys).read(spark)
+def table(spark: SparkSession, folder: str, keys: tuple[str, ...], stream: DataFrame | Parts | None = None) -> DataFrame:
+    """What the stream's upserts left, put together if they are parts."""
+    log = UpsertLog(f"{folder}/table", keys)
+    return stream.whole(log.versions(spark)) if isinstance(stream, Parts) else log.read(spark)
 
 
-def run_to_table(df: DataFrame, folder: str, keys: tuple[str, ...], mode: str = "update") -> DataFrame:
-    run(df, folder, keys, mode)
-    return table(df.sparkSession, folder, keys)
+def run_to_table(stream: DataFrame | Parts, folder: str, keys: tuple[str, ...], mode: str = "update") -> DataFrame:
+    run(stream, folder, keys, mode)
+    df = stream.rows if isinstance(stream, Parts) else stream
+    return table(df.sparkSession, folder, keys, stream)

@@ -1,18 +1,24 @@
-"""The stateful processors of the lifecycle streams.
+"""The case state machine and the time-outs as stateful processors, one row per case after each micro-batch.
 
-This module imports nothing of its own package: its classes travel to the workers by value
-(see ``lifecycle``), so a worker need not have the package installed.
+For stores that want such rows as they come (``transformWithStateInPandas``). They call Python for each case, so the registered
+streams are those of ``lifecycle``, which run in the JVM. This module imports nothing of its own package: its classes travel to the
+workers by value, so a worker need not have the package installed.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType, TimestampType
 
+if __name__ in sys.modules:
+    register_pickle_by_value(sys.modules[__name__])
+
 # The path of a case, its failed state and the reason of a time-out. They are
 # the same as those of the batch operators; a test compares them.
 PATH = ("queued", "retrieving", "analyzing", "doc_analysis", "complete")
