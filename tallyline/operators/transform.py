@@ -190,14 +190,14 @@ def _created_later() -> Column:
     return F.to_date("created_timestamp") > F.to_date("reporting_timestamp")
 
 
-def in_future_lookback() -> Column:
+def in_future_lookback(later: Column | None = None) -> Column:
     ts = F.col("reporting_timestamp")
-    return (ts >= F.col("lookback_start_ts")) & (ts < F.col("from_ts")) & _created_later()
+    return (ts >= F.col("lookback_start_ts")) & (ts < F.col("from_ts")) & (_created_later() if later is None else later)
 
 
-def in_future_period() -> Column:
+def in_future_period(later: Column | None = None) -> Column:
     ts = F.col("reporting_timestamp")
-    return (ts >= F.col("from_ts")) & (ts <= F.col("to_ts")) & _created_later()
+    return (ts >= F.col("from_ts")) & (ts <= F.col("to_ts")) & (_created_later() if later is None else later)
 
 
 def batch_windows(batch_info: DataFrame) -> DataFrame:
@@ -231,22 +231,31 @@ def batch_keys(hits: DataFrame, attempts: DataFrame, config: DataFrame, windows:
     excluded, missing, already reported and reportable figures count keys; the dedup
     figure counts rows. A key counts as already reported if every live row of it has
     another reported hit; a live row that is the key's only reported hit stays alone. Everything after the joins is
-    partial aggregations, per (batch, key) here and per batch in ``build_batch_reconciliation``.
+    partial aggregations, per (batch, key) here and per batch in ``build_batch_reconciliation``. What a row's texts, times
+    and attempt say becomes yes or no before it travels.
     """
+    live = required() & ~is_sml()
     pool = hits.filter(F.col("efile_batch_id").isNull()).select(
-        *HIT_PK, "external_txn_key", "exclusion_reason_id", "galactic_id", "mtcn", "transaction_date",
-        "created_timestamp", "reporting_timestamp", "is_reported",
+        *HIT_PK, "external_txn_key", excluded().alias("excluded"), live.alias("live"),
+        (live & F.coalesce("is_reported", F.lit(False))).alias("own"), "transaction_date", "reporting_timestamp", _created_later().alias("later"),
     )
     inside = join_windows(pool, windows, ("rpt_grp_id",), "transaction_date", "lookback_start_ts", "to_ts")
-    keyed = with_recon_key(with_attempts(inside, attempts), config)
-    live = required() & ~is_sml()
-    own = live & F.coalesce("is_reported", F.lit(False))
+    inside = inside.select(
+        *HIT_PK, "external_txn_key", "batch_id", "excluded", "live", "own",
+        (F.col("transaction_date") < F.col("from_ts")).alias("look"), (F.col("transaction_date") >= F.col("from_ts")).alias("per"),
+        F.coalesce(in_future_lookback(F.col("later")), F.lit(False)).alias("future_look"),
+        F.coalesce(in_future_period(F.col("later")), F.lit(False)).alias("future_per"),
+    )
+    arrived = attempts.filter(F.col("txn_sur_key").isNotNull()).select("attempt_id").distinct().withColumn("arrived", F.lit(True))
+    inside = inside.join(arrived, "attempt_id", "left").withColumn("arrived", F.coalesce("arrived", F.lit(False)))
+    keyed = with_recon_key(inside, config)
+    live, own = F.col("live"), F.col("own")
     kept = F.struct("attempt_id", "rule_id", "bucket_id")
-    row = F.struct("transaction_date", "created_timestamp", "reporting_timestamp", "from_ts", "to_ts", "lookback_start_ts", "txn_sur_key")
+    row = F.struct("look", "per", "future_look", "future_per", "arrived")
     per_key = keyed.groupBy("batch_id", *KEY).agg(
-        F.every(excluded()).alias("all_excluded"),
+        F.every("excluded").alias("all_excluded"),
         F.count_if(live).alias("live_rows"),
-        F.every(F.when(live, F.col("txn_sur_key").isNull())).alias("all_missing"),
+        F.every(F.when(live, ~F.col("arrived"))).alias("all_missing"),
         F.count_if(own).alias("own_reported"),
         F.max_by(F.when(live, row), F.when(live, kept)).alias("r_any"),
         F.max_by(F.when(own, row), F.when(own, kept)).alias("r_own"),
@@ -270,10 +279,8 @@ def batch_keys(hits: DataFrame, attempts: DataFrame, config: DataFrame, windows:
 
 def _key_counts() -> list[Column]:
     """The figures of a batch row that count keys of ``batch_keys``, and the rows its dedup drops."""
-    look = F.col("kept") & (F.col("transaction_date") < F.col("from_ts"))
-    per = F.col("kept") & (F.col("transaction_date") >= F.col("from_ts"))
-    future_look = look & F.coalesce(in_future_lookback(), F.lit(False))
-    future_per = per & F.coalesce(in_future_period(), F.lit(False))
+    look, per = F.col("kept") & F.col("look"), F.col("kept") & F.col("per")
+    future_look, future_per = look & F.col("future_look"), per & F.col("future_per")
 
     def n(c: Column, name: str) -> Column:
         return F.count_if(c).alias(name)
@@ -321,7 +328,7 @@ def batch_reconciliation_rows(
     never multiplies and the sum per batch follows it. A journey without rows gives no eligible keys, a batch without
     configuration has no name.
     """
-    ready = F.col("kept") & F.col("txn_sur_key").isNotNull()
+    ready = F.col("kept") & F.col("arrived")
     txns = batch_keys(hits, attempts, config, windows).groupBy("rpt_grp_id", "batch_id", "key_txn").agg(
         *_key_counts(), F.count_if(F.col("kept") & ~ready).alias("activity_missing"), F.count_if(ready).alias("ready")
     )

@@ -264,6 +264,8 @@ plan(
 
 
 def _whole_rows(t: Tables) -> DataFrame:
+    """All five tables, the windows twice, come from the same lines."""
+    t = t.kept()
     windows = T.batch_windows(t.batch_info)
     return T.batch_reconciliation_rows(t.hits, t.attempts, t.group_config, windows, t.journey, t.batch_recon, datetime(2002, 1, 1))
 

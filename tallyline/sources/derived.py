@@ -4,7 +4,7 @@ The test data holds no reconciliation tables, so each one is derived from it by
 DataFrame plans below: orders stand for transactions, their lines for rule hits, the
 customer's nation for the report group and the order month for the batch. Nothing is
 collected or cached; a query reads the base tables through whichever plans it needs,
-and column pruning reaches the scans.
+and column pruning reaches the scans. Only ``Tables.kept`` writes, for queries that say so.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.sources.sinks import shared_folder
 from tallyline.sources.tables import SCHEMAS, schema
 
 
@@ -34,6 +35,13 @@ BASE: dict[str, str] = {
 }
 
 
+# What the tables of rule hits are made of.
+HIT_LINE = (
+    "l_orderkey l_linenumber rf ls price x_qty x_disc x_tax o_custkey o_orderstatus o_orderdate o_orderpriority "
+    "c_nationkey c_acctbal c_mktsegment n_name r_name"
+).split()
+
+
 class Tables:
     """Lazily derived tables over one data folder."""
 
@@ -61,8 +69,8 @@ class Tables:
         )
 
     @cached_property
-    def hit_base(self) -> DataFrame:
-        """One row per order line, with columns (x_) that later tables draw faults from.
+    def hit_lines(self) -> DataFrame:
+        """One row per order line with its order and parties.
 
         Lines are reduced to their key first: the partial aggregate runs before the
         shuffle, so a hot order is a handful of rows by the time of the join. The one-letter
@@ -77,8 +85,23 @@ class Tables:
             F.max("l_discount").alias("x_disc"),
             F.min("l_tax").alias("x_tax"),
         )
-        joined = lines.join(self.order_parties, F.col("l_orderkey") == F.col("o_orderkey"))
-        return joined.selectExpr(
+        return lines.join(self.order_parties, F.col("l_orderkey") == F.col("o_orderkey")).select(*HIT_LINE)
+
+    def kept(self) -> Tables:
+        """The same tables, with the joined lines written once under ``spark.checkpoint.dir`` instead of joined anew for each table.
+
+        For queries that take many of them: each keeps other columns, so no shuffle of the lines serves two.
+        """
+        path = shared_folder(self.spark, "hit-lines")
+        self.hit_lines.write.option("compression", "zstd").parquet(path)
+        out = Tables(self.spark, self.folder)
+        out.hit_lines = self.spark.read.schema(self.hit_lines.schema).parquet(path)
+        return out
+
+    @cached_property
+    def hit_base(self) -> DataFrame:
+        """One row per order line, with columns (x_) that later tables draw faults from."""
+        return self.hit_lines.selectExpr(
             "CAST(100 + c_nationkey AS INT) AS rpt_grp_id",
             "CAST(l_orderkey % 16 AS INT) AS bucket_id",
             "concat('R', l_linenumber) AS rule_id",
