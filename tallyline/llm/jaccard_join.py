@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyline.llm import text as T
 from tallyline.llm.bitmap import Bitmap
-from tallyline.llm.components import components, merged
+from tallyline.llm.components import merged
 from tallyline.llm.near_dedup import lists, shingle_sets
 from tallyline.llm.shared import saved
 
@@ -293,41 +293,66 @@ def tile_jobs(active: DataFrame, local: bool) -> DataFrame:
     return rows.join(ends, named).select("job", "side", "block", "id", "root", "n", "point")
 
 
-def linked_components(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) over all links within blocks (id, block), from sets (id, n, cls, point, items); None without links.
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough. Only the sets of the pairs travel."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    met = sets.select("id", "items").join(saved(ids, "ids"), "id", "left_semi")
+    both = pairs.join(met.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    both = both.join(met.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return saved(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "links")
+
+
+def with_roots(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows (id) with the root of each."""
+    if labels is None:
+        return rows.withColumn("root", F.col("id"))
+    return rows.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def several_roots(rows: DataFrame, group: str) -> DataFrame:
+    """The groups that hold several components."""
+    return rows.groupBy(group).agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select(group)
+
+
+def open_blocks(agreeing: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(id, block): the members of the keys (id, key) that hold several components. Keys with the same members are one block.
+
+    A block is a key's members, not whatever hangs together over keys: few unlike sets agree in one group, but chains of them
+    run through most of a large corpus.
+    """
+    agreeing = agreeing.select("id", "key").distinct()
+    several = several_roots(with_roots(agreeing, labels), "key")
+    members = saved(agreeing.join(several, "key", "left_semi"), "members")
+    per = members.groupBy("key").agg(F.count("*").alias("c"), *[F.sum(F.xxhash64("id", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in (1, 2)])
+    first = per.groupBy("c", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    return members.join(first, "key", "left_semi").select("id", F.col("key").alias("block"))
+
+
+def linked_components(blocks: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) over all links within blocks (id, block) and the labels known, from sets (id, n, cls, point, items); None without links.
 
     In every round each point finds its best partners in other components, the pairs are verified and the components
     merged. Blocks whose points still have untried partners in other components go on, with sixteen times as many partners
     a point, until none is left untried.
     """
-    active = saved(sets.select("id", "n", "cls", "point").join(blocks, "id").withColumn("root", F.col("id")), "points")
-    labels, want, local = None, 4, True
-    while True:
+    active = saved(with_roots(sets.select("id", "n", "cls", "point").join(blocks, "id"), labels), "points")
+    want, local = 4, True
+    while not active.isEmpty():
         jobs = tile_jobs(active, local).repartition("job").sortWithinPartitions("job", "side")
         found = saved(jobs.mapInArrow(tree_search(percent, want), CANDIDATES), "candidates")
-        # Only the sets of candidates travel.
-        pairs = saved(found.where("a is not null").select("a", "b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        met = sets.select("id", "items").join(saved(ids, "ids"), "id", "left_semi")
-        both = pairs.join(met.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-        both = both.join(met.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
-        links = saved(links, "links")
+        links = verified(saved(found.where("a is not null").select("a", "b").distinct(), "pairs"), sets, percent)
         if not links.isEmpty():
             labels = merged(labels, links)
         more = found.where("a is null").select("block").distinct()
         if local:
             large = active.groupBy("block").agg(F.count("*").alias("m")).where(F.col("m") > TILE).select("block")
             more = more.union(large).distinct()
-        rest = active.join(more, "block", "left_semi")
-        if labels is not None:
-            rest = rest.drop("root").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        several = rest.groupBy("block").agg(F.min("root").alias("l"), F.max("root").alias("m")).where("l < m").select("block")
+        rest = with_roots(active.drop("root").join(more, "block", "left_semi"), labels)
+        several = several_roots(rest, "block")
         active = saved(rest.join(several, "block", "left_semi").select("id", "n", "cls", "point", "block", "root"), "points")
-        if active.isEmpty():
-            return labels
         want, local = want * 16, False
+    return labels
 
 
 def only(known: Bitmap, held: bool):
@@ -362,8 +387,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are linked from ``percent`` hundredths of Jaccard similarity on; every such link counts.
 
     Equal sets become one class. The tokens of a set are hashed into groups: linked sets agree in the whole of a group
-    (``SizeClasses``), and what agrees so, in steps, forms a block. The counts of 256 coarser groups are a set's point.
-    Blocks are searched with R-trees of points (``Forest``), where the sum of the smaller counts bounds what two sets share, and the
+    (``SizeClasses``), so they share a key. Every member of a key is compared with its least one; the members of a key that then
+    lie in several components form a block (``open_blocks``). The counts of 256 coarser groups are a set's point. Blocks are searched with R-trees of points (``Forest``), where the sum of the smaller counts bounds what two sets share, and the
     surviving pairs are verified on whole sets.
 
     Null or empty texts and texts without words have no shingles and are their own component. A row without an id is
@@ -381,13 +406,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     maybe = known.mapInArrow(only(copies, True), fields)
     reps = maybe.join(members.where("id = rep").select("id").distinct(), "id", "left_semi")
     keys = known.mapInArrow(key_reader(size, percent, only(copies, False)), key_fields).union(reps.mapInArrow(key_reader(size, percent), key_fields))
-    hub = F.min("id").over(Window.partitionBy("key"))
-    agreeing = keys.withColumn("hub", hub).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    found = components(agreeing).select(F.col("node").alias("id"), F.col("root").alias("block"))
-    blocks = saved(found.union(found.select(F.col("block").alias("id"), "block").distinct()), "blocks")
+    ends = Window.partitionBy("key")
+    agreeing = keys.withColumns({"hub": F.min("id").over(ends), "last": F.max("id").over(ends)}).where("hub < last")
+    agreeing = saved(agreeing.select("id", "key", "hub"), "agreeing")
     point_fields = "id long, n long, cls long, point binary, items array<long>"
-    points = known.mapInArrow(point_reader(size, percent, only(id_bitmap(blocks), True)), point_fields).join(blocks.select("id"), "id", "left_semi")
-    roots = linked_components(blocks, saved(points, "sets"), percent)
+    met = saved(agreeing.select("id").distinct(), "met")
+    points = known.mapInArrow(point_reader(size, percent, only(id_bitmap(met), True)), point_fields).join(met, "id", "left_semi")
+    sets = saved(points, "sets")
+    # Every member of a key meets its least one; what is then one component needs no search.
+    stars = saved(agreeing.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = verified(stars, sets, percent)
+    labels = None if links.isEmpty() else merged(None, links)
+    roots = linked_components(saved(open_blocks(agreeing, labels), "blocks"), sets, percent, labels)
     out = members.withColumn("component_id", F.col("rep"))
     if roots is not None:
         out = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))

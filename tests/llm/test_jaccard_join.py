@@ -114,3 +114,14 @@ def test_components_take_few_tables(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and len(got) == 150
     # Two for the blocks, two for each merging of links, which also writes its labels.
     assert tables.count("edges") <= 2 + 2 * (tables.count("labels") + 1)
+
+
+def test_blocks_are_the_members_of_a_key_not_chains_of_keys(spark):
+    chain = [(i + k, i) for i in range(100) for k in (0, 1)]
+    same = [(i, key) for i in (500, 501, 502) for key in (1000, 1001)]
+    one = [(600, 2000), (601, 2000), (601, 2000), (None, 3000)]
+    agreeing = spark.createDataFrame([*chain, *same, *one], "id long, key long")
+    labels = spark.createDataFrame([(601, 600), (1, 0)], "node long, root long")
+    blocks = J.open_blocks(agreeing, labels).groupBy("block").count().collect()
+    # 0 and 1 are one component, as are 600 and 601; two keys with the same three members are one block.
+    assert sorted((r["block"], r["count"]) for r in blocks) == [*((i, 2) for i in range(1, 100)), (1000, 3)]
